@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -67,9 +68,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        clean = Path(folder, "src")
-        shutil.copytree(root, clean / root.name, ignore=shutil.ignore_patterns("__pycache__"))
-        archive = shutil.make_archive(str(Path(folder, f"{root.name}-code")), "zip", clean)
-        spark.sparkContext.addPyFile(archive)
+    folder = tempfile.mkdtemp(prefix="gleaner-code-")  # the driver serves the file as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    clean = Path(folder, "src")
+    shutil.copytree(root, clean / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(Path(folder, f"{root.name}-code")), "zip", clean))
     _shipped.add(app)

@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.bpe import bpe_round_trip
-from gleaner.llm.common import documents
+from gleaner.llm.common import documents, table
+from gleaner.llm.decontaminate import contamination, judge
+from gleaner.llm.line_dedup import line_digests
 from gleaner.llm.token_counts import token_counts
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -20,5 +26,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op8_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op8_token_counts, op10_line_dedup)}

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def sha256_hex(data: bytes) -> str:
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about ``most_bytes`` at most (one row at least)."""
     start, total = 0, 0
-    sizes = [0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    sizes = [0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()]
     for i, size in enumerate(sizes):
         if i > start and total + size > most_bytes:
             yield batch.slice(start, i - start)

@@ -33,6 +33,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
+OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s::VARCHAR, ',' ORDER BY s)) AS whole FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole, n) AS rep FROM n),
+r AS (SELECT doc_id, n FROM c WHERE doc_id = rep),
+-- of similar sets the shorter holds 3/4 of its shingles in the other, so they share one of its rarest quarter and a bit
+f AS (SELECT s, count(*) AS df FROM s JOIN r USING (doc_id) GROUP BY s HAVING count(*) > 1),
+t AS (SELECT s.doc_id, s.s, r.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(f.df, 1), s.s) AS nth FROM s JOIN r USING (doc_id) LEFT JOIN f USING (s)),
+p AS (SELECT * FROM t WHERE nth <= n - CAST(ceil(0.75 * n) AS BIGINT) + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn FROM p a JOIN p b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+i AS (SELECT a, b, an, bn, count(*) AS both FROM cand JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.s = y.s GROUP BY a, b, an, bn),
+e AS (SELECT a, b FROM i WHERE 100 * both >= 75 * (an + bn - both)),
+u AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM r UNION SELECT reach.x, u.y FROM reach JOIN u ON reach.y = u.x),
+comp AS (SELECT x AS rep, min(y) AS root FROM reach GROUP BY x)
+SELECT w.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, coalesce(comp.root, w.doc_id) AS component_id, coalesce(comp.root, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN comp ON c.rep = comp.rep
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op10_line_dedup": OP10}
+    return {"op1_decontaminate": OP1, "op7_near_dedup": OP7, "op10_line_dedup": OP10}

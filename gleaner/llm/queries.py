@@ -11,6 +11,7 @@ from gleaner.llm.bpe import bpe_round_trip
 from gleaner.llm.common import documents, table
 from gleaner.llm.decontaminate import contamination, judge
 from gleaner.llm.line_dedup import line_digests
+from gleaner.llm.near_dedup import near_components
 from gleaner.llm.token_counts import token_counts
 
 
@@ -22,6 +23,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,4 +36,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op8_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op7_near_dedup, op8_token_counts, op10_line_dedup)}

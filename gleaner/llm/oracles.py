@@ -47,8 +47,8 @@ f AS (SELECT s, count(*) AS df FROM s JOIN r USING (doc_id) GROUP BY s HAVING co
 t AS (SELECT s.doc_id, s.s, r.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(f.df, 1), s.s) AS nth FROM s JOIN r USING (doc_id) LEFT JOIN f USING (s)),
 p AS (SELECT * FROM t WHERE nth <= n - CAST(ceil(0.75 * n) AS BIGINT) + 1),
 cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn FROM p a JOIN p b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
-i AS (SELECT a, b, an, bn, count(*) AS both FROM cand JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.s = y.s GROUP BY a, b, an, bn),
-e AS (SELECT a, b FROM i WHERE 100 * both >= 75 * (an + bn - both)),
+i AS (SELECT a, b, an, bn, count(*) AS shared FROM cand JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.s = y.s GROUP BY a, b, an, bn),
+e AS (SELECT a, b FROM i WHERE 100 * shared >= 75 * (an + bn - shared)),
 u AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM r UNION SELECT reach.x, u.y FROM reach JOIN u ON reach.y = u.x),
 comp AS (SELECT x AS rep, min(y) AS root FROM reach GROUP BY x)
@@ -56,6 +56,20 @@ SELECT w.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, coalesce(comp.r
 FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN comp ON c.rep = comp.rep
 """
 
+OP9 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM w SEMI JOIN r USING (k)),
+g AS (SELECT doc_id, i, count(*) FILTER (WHERE prev IS NULL OR i > prev + 200) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY doc_id, g),
+kept AS (SELECT sp.doc_id, lag(z, 1, 0) OVER (PARTITION BY sp.doc_id ORDER BY a) AS f, a AS t FROM sp UNION ALL SELECT doc_id, max(z), NULL FROM sp GROUP BY doc_id),
+k AS (SELECT d.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (coalesce(t, len(h) // 2) - f)), '' ORDER BY f) AS kept FROM kept JOIN d USING (doc_id) GROUP BY d.doc_id),
+n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM sp GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(k.kept, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op7_near_dedup": OP7, "op10_line_dedup": OP10}
+    return {"op1_decontaminate": OP1, "op7_near_dedup": OP7, "op9_substring_dedup": OP9, "op10_line_dedup": OP10}

@@ -12,6 +12,7 @@ from gleaner.llm.common import documents, table
 from gleaner.llm.decontaminate import contamination, judge
 from gleaner.llm.line_dedup import line_digests
 from gleaner.llm.near_dedup import near_components
+from gleaner.llm.substring_dedup import substring_dedup
 from gleaner.llm.token_counts import token_counts
 
 
@@ -31,9 +32,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op7_near_dedup, op8_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_line_dedup)}

@@ -11,6 +11,7 @@ from gleaner.llm.bpe import bpe_round_trip
 from gleaner.llm.common import documents, table
 from gleaner.llm.decontaminate import contamination, judge
 from gleaner.llm.line_dedup import line_digests
+from gleaner.llm.mih import nearest
 from gleaner.llm.near_dedup import near_components
 from gleaner.llm.quality import quality_classifier
 from gleaner.llm.substring_dedup import substring_dedup
@@ -29,6 +30,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir))
 
@@ -46,4 +51,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_quality, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_quality, op6_nearest, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_line_dedup)}

@@ -15,8 +15,12 @@ from gleaner.llm.mih import nearest
 from gleaner.llm.near_dedup import near_components
 from gleaner.llm.quality import quality_classifier
 from gleaner.llm.substring_dedup import substring_dedup
+from gleaner.llm.surrogates import with_surrogates
 from gleaner.llm.token_counts import token_counts
 
+#: A stand-in; a production run passes a secret of its own, kept outside the code.
+SURROGATE_KEY = "gleaner surrogate key"
+
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
@@ -30,6 +34,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(documents(spark, sf_dir), SURROGATE_KEY)
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -51,4 +59,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_quality, op6_nearest, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_quality, op5_surrogates, op6_nearest, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_line_dedup)}

@@ -11,6 +11,7 @@ from gleaner.llm.bpe import bpe_round_trip
 from gleaner.llm.common import documents, table
 from gleaner.llm.decontaminate import contamination, judge
 from gleaner.llm.line_dedup import line_digests
+from gleaner.llm.lm import language_scores
 from gleaner.llm.mih import nearest
 from gleaner.llm.near_dedup import near_components
 from gleaner.llm.quality import quality_classifier
@@ -30,6 +31,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -59,4 +64,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_quality, op5_surrogates, op6_nearest, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_lm_score, op4_quality, op5_surrogates, op6_nearest, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_line_dedup)}

@@ -10,7 +10,11 @@
    verified on the full sets, and verified links merge components. Only pairs between different
    components are ever tried, so a group of near copies costs a few pairs per member.
 4. After the star rounds, what can still link is a member outside its bucket's largest component,
-   with any member of another component: those pairs are all made and verified, so no link is lost.
+   with any member of another component. Such members are compared with whole blocks of those
+   components by an index on the block's shingles, so no link is lost and no list of pairs is made.
+5. Before pairs are made, each document's *common* shingles are counted, those that any other candidate holds.
+   Two sets share no more than either's common count, so copies edited too much to link with anything
+   leave exactly, without a pair being made for them.
 
 Components (``components.py``) and all tables stay distributed; each round ends in a written table.
 
@@ -75,33 +79,114 @@ def _verify(words: int, percent: int):
     return work
 
 
+def _common(words: int):
+    """Rows (id, hash, weight) of a batch: shingles seen once with their document, others once with weight 2, and (id, null, n) for what the batch shows to be shared."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 8_000_000):
+                sets, at = shingle_sets(batch.column("text").to_pylist(), words)
+                ids = np.asarray(batch.column("id"))
+                own = np.repeat(np.arange(len(ids)), np.diff(at))
+                values, back, times = np.unique(sets, return_inverse=True, return_counts=True)
+                once = times[back] == 1
+                several = values[times > 1]
+                known = np.bincount(own[~once], minlength=len(ids))
+                id_ = pa.concat_arrays([pa.array(ids[own[once]]), pa.nulls(len(several), "int64"), pa.array(ids)])
+                hash_ = pa.concat_arrays([pa.array(np.concatenate([sets[once], several]).view(np.int64)), pa.nulls(len(ids), "int64")])
+                weight = np.concatenate([np.ones(once.sum(), np.int64), np.full(len(several), 2), known])
+                yield pa.RecordBatch.from_arrays([id_, hash_, pa.array(weight)], ["id", "hash", "weight"])
+
+    return work
+
+
+def _with_common(live: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``live`` with ``common``, the shingles of a document that any other of these documents holds.
+
+    Similar documents have no more in common than either's count, so those whose count is too small for any
+    partner of their size link with nothing and leave.
+    """
+    rows = cut(map_batches(texts.select("id", "text"), "id long, hash long, weight long", _common(words)), "near-common")
+    shared = rows.filter("hash IS NOT NULL").groupBy("hash").agg(F.sum("weight").alias("n")).filter("n > 1").select("hash")
+    met = rows.filter("id IS NOT NULL AND hash IS NOT NULL").join(shared, "hash", "left_semi").select("id", F.lit(1).cast("long").alias("weight"))
+    count = met.unionByName(rows.filter("hash IS NULL").select("id", "weight")).groupBy("id").agg(F.sum("weight").alias("common"))
+    return live.select("key", "id", "size").join(count, "id").filter(100 * F.col("common") >= percent * F.col("size"))
+
+
+def _may_link(percent: int, *, a: str = "", b: str):
+    """The sizes, and what each has in common with any other, allow a link."""
+    size_a, size_b, both = F.col(f"{a}size"), F.col(f"{b}size"), F.col(f"{a}size") + F.col(f"{b}size")
+    near = 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
+    return near & ((100 + percent) * F.least(F.col(f"{a}common"), F.col(f"{b}common")) >= percent * both)
+
+
 def _pairs_of_centres(live: DataFrame, turn: int, most: int, percent: int) -> DataFrame:
-    """(a, b): each document with up to ``most`` of its buckets' centres, those it meets most often."""
-    by_comp = live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.when(F.lit(turn) > 0, F.xxhash64("id", F.lit(turn))).otherwise(F.col("id")).alias("order"), "id", "size")).alias("pick"))
-    centre = by_comp.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("comp"), "pick")).alias("top"))
-    centre = centre.select("key", (-F.col("top.comp")).alias("c_comp"), F.col("top.pick.id").alias("c_id"), F.col("top.pick.size").alias("c_size"))
-    met = live.join(centre, "key").filter("comp <> c_comp").filter(_near_sizes("size", "c_size", percent))
+    """(a, b): each document with up to ``most`` of its buckets' centres, those it meets most often.
+
+    In the first turn a bucket's centre is the member that meets most others over all its buckets, later any.
+    """
+    order = F.xxhash64("id", F.lit(turn)) if turn else -F.col("met")
+    by_comp = live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("order"), "id", "size", "common")).alias("pick"))
+    centre = by_comp.groupBy("key").agg(F.max(F.struct("n", (-F.col("pick.order")).alias("order"), (-F.col("comp")).alias("comp"), "pick")).alias("top"))
+    centre = centre.select("key", (-F.col("top.comp")).alias("c_comp"), *(F.col(f"top.pick.{c}").alias(f"c_{c}") for c in ("id", "size", "common")))
+    met = live.join(centre, "key").filter("comp <> c_comp").filter(_may_link(percent, b="c_"))
     count = met.groupBy(F.col("id").alias("a"), F.col("c_id").alias("b")).count()
     best = count.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", (-F.col("b")).alias("b"))), False), 1, most).alias("best"))
     return best.select("a", F.explode("best").alias("x")).select("a", (-F.col("x.b")).alias("b"))
 
 
-def _near_sizes(a: str, b: str, percent: int):
-    return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
+SUPER, SUB = 1024, 128
+
+
+def _blocks_left(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((a, comp, part, chunk), (id, comp, part, chunk)): members outside their bucket's largest component, against blocks of other components.
+
+    A component's members fall into blocks of about SUB by hash. A member meets every block that has one of
+    its buckets and may hold a link. Members that meet one block are dealt to chunks of about SUB too.
+    """
+    members = live.select("id", "comp").distinct()
+    supers = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / SUPER).alias("supers"))
+    live = live.join(supers, "comp").withColumn("super", F.pmod(F.xxhash64("id"), F.col("supers")))
+    by_comp = live.groupBy("key", "comp", "super").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("common").alias("common"))
+    top = by_comp.groupBy("key", "comp").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("comp"))).alias("top")).select("key", (-F.col("top.comp")).alias("top"))
+    minor = live.join(top, "key").filter("comp <> top").select("key", "top", *(F.col(c).alias(f"a_{c}") for c in ("id", "comp", "size", "common")))
+    # bounds that hold if any member of the block may link
+    may = (100 * F.col("most") >= percent * F.col("a_size")) & (100 * F.col("a_size") >= percent * F.col("least")) & ((100 + percent) * F.least("common", "a_common") >= percent * (F.col("least") + F.col("a_size")))
+    met = by_comp.join(minor, "key").filter("comp <> a_comp AND (comp = top OR comp < a_comp)").filter(may).select(F.col("a_id").alias("a"), "comp", "super").distinct()
+    parts = SUPER // SUB
+    met = met.withColumn("part", F.explode(F.sequence(F.col("super") * parts, F.col("super") * parts + parts - 1))).drop("super")
+    chunks = met.groupBy("comp", "part").agg(F.ceil(F.count(F.lit(1)) / SUB).alias("chunks"))
+    left = met.join(chunks, ["comp", "part"]).select("a", "comp", "part", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"))
+    members = members.join(supers, "comp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("supers")) * parts + F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.lit(parts)))
+    right = members.join(chunks, ["comp", "part"]).select("id", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    return left, right
+
 
+def _verify_blocks(words: int, percent: int):
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            sets, at = shingle_sets(right.column("text").to_pylist(), words)
+            owner, size = np.repeat(np.arange(right.num_rows), np.diff(at)), np.diff(at)
+            order = np.argsort(sets, kind="stable")
+            values, owner, ids = sets[order], owner[order], np.asarray(right.column("id"))
+            own, own_at = shingle_sets(left.column("text").to_pylist(), words)
+            for i, doc in enumerate(left.column("a").to_pylist()):
+                x = own[own_at[i] : own_at[i + 1]]
+                lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+                n = hi - lo
+                spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                both = np.bincount(owner[spot], minlength=right.num_rows)
+                for k in np.flatnonzero((both > 0) & (100 * both >= percent * (len(x) + size - both))).tolist():
+                    a.append(doc)
+                    b.append(int(ids[k]))
+        return pa.table({"a": pa.array(a, "int64"), "b": pa.array(b, "int64")})
 
-def _all_pairs_left(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a outside its bucket's largest component, b in the bucket and in another component."""
-    by_comp = live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = by_comp.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("comp"))).alias("top")).select("key", (-F.col("top.comp")).alias("top"))
-    live = live.join(top, "key")
-    minor = live.filter("comp <> top").select("key", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("size").alias("a_size"))
-    met = live.join(minor, "key").filter("comp <> a_comp AND (comp = top OR id < a)").filter(_near_sizes("size", "a_size", percent))
-    return met.select("a", F.col("id").alias("b")).distinct()
+    return work
 
 
 def _with_components(live: DataFrame, comp: DataFrame | None) -> DataFrame:
-    live = live.select("key", "id", "size")
+    live = live.drop("comp")
     if comp is None:
         return live.withColumn("comp", F.col("id"))
     return live.join(comp.select(F.col("node").alias("id"), F.col("root").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -113,20 +198,30 @@ def _several(live: DataFrame) -> DataFrame:
     return live.join(keys, "key", "left_semi")
 
 
+def _of(texts: DataFrame, live: DataFrame) -> DataFrame:
+    return texts.join(live.select("id").distinct(), "id", "left_semi")
+
+
 def near_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, star_rounds: tuple[int, ...]) -> DataFrame | None:
-    """(node, root) of the representatives that link, or None if none share a bucket.
+    """(node, root) of the representatives that link, or None if none do.
 
     ``reps``: doc_id, n_shingles, bands of one document for each distinct non-empty set.
     """
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     live = cut(rows.join(shared, "key", "left_semi"), "near-live")
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = cut(_of(docs.select(F.col("doc_id").alias("id"), "text"), live).dropDuplicates(["id", "text"]), "near-texts")
+    live = cut(_several(_with_components(_with_common(live, texts, words, percent), None)), "near-live")
+    meets = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    live = live.join(live.join(meets, "key").groupBy("id").agg(F.sum("n").alias("met")), "id")
     comp, links, tried = None, None, None
-    for turn, most in enumerate([*star_rounds, 0]):
+    def renewed(live: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         live = cut(_several(_with_components(live, comp)), "near-live")
-        texts = cut(texts.join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]) if turn == 0 else texts.join(live.select("id").distinct(), "id", "left_semi"), "near-texts")
-        pairs = _pairs_of_centres(live, turn, most, percent) if most else _all_pairs_left(live, percent)
+        return live, cut(_of(texts, live), "near-texts")
+
+    for turn, most in enumerate(star_rounds):
+        live, texts = renewed(live, texts)
+        pairs = _pairs_of_centres(live, turn, most, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = cut(pairs, "near-pairs")
@@ -137,7 +232,16 @@ def near_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, star_
         found = cut(map_batches(loaded.select("a", "b", "text_a", "text_b"), "a long, b long", _verify(words, percent)), "near-links")
         links = found if links is None else links.unionByName(found)
         comp = components(links, "near-components")
-    return comp
+    live, texts = renewed(live, texts)
+    live, texts = renewed(_with_common(live, texts, words, percent), texts)
+    left, right = _blocks_left(live, percent)
+    left = cut(left.join(texts.select(F.col("id").alias("a"), "text"), "a"), "near-left")
+    right = cut(right.join(texts, "id"), "near-right")
+    place = ["comp", "part", "chunk"]
+    found = cut(left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(_verify_blocks(words, percent), "a long, b long"), "near-links")
+    if found.isEmpty():
+        return comp
+    return components(found if links is None else links.unionByName(found), "near-components")
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 60, rows: int = 6, star_rounds: tuple[int, ...] = (1, 2, 4)) -> DataFrame:

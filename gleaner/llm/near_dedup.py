@@ -145,19 +145,19 @@ def _blocks_left(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     its buckets and may hold a link. Members that meet one block are dealt to chunks of about SUB too.
     """
     members = live.select("id", "comp").distinct()
-    supers = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / SUPER).alias("supers"))
+    most = SUPER // SUB
+    supers = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / SUPER).alias("supers"), F.least(F.lit(most), F.ceil(F.count(F.lit(1)) / SUB)).alias("parts"))
     live = live.join(supers, "comp").withColumn("super", F.pmod(F.xxhash64("id"), F.col("supers")))
-    by_comp = live.groupBy("key", "comp", "super").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("common").alias("common"))
+    by_comp = live.groupBy("key", "comp", "super", "parts").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("greatest"), F.max("common").alias("common"))
     top = by_comp.groupBy("key", "comp").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("comp"))).alias("top")).select("key", (-F.col("top.comp")).alias("top"))
     minor = live.join(top, "key").filter("comp <> top").select("key", "top", *(F.col(c).alias(f"a_{c}") for c in ("id", "comp", "size", "common")))
     # bounds that hold if any member of the block may link
-    may = (100 * F.col("most") >= percent * F.col("a_size")) & (100 * F.col("a_size") >= percent * F.col("least")) & ((100 + percent) * F.least("common", "a_common") >= percent * (F.col("least") + F.col("a_size")))
-    met = by_comp.join(minor, "key").filter("comp <> a_comp AND (comp = top OR comp < a_comp)").filter(may).select(F.col("a_id").alias("a"), "comp", "super").distinct()
-    parts = SUPER // SUB
-    met = met.withColumn("part", F.explode(F.sequence(F.col("super") * parts, F.col("super") * parts + parts - 1))).drop("super")
+    may = (100 * F.col("greatest") >= percent * F.col("a_size")) & (100 * F.col("a_size") >= percent * F.col("least")) & ((100 + percent) * F.least("common", "a_common") >= percent * (F.col("least") + F.col("a_size")))
+    met = by_comp.join(minor, "key").filter("comp <> a_comp AND (comp = top OR comp < a_comp)").filter(may).select(F.col("a_id").alias("a"), "comp", "super", "parts").distinct()
+    met = met.select("a", "comp", F.explode(F.sequence(F.col("super") * most, F.col("super") * most + F.col("parts") - 1)).alias("part"))
     chunks = met.groupBy("comp", "part").agg(F.ceil(F.count(F.lit(1)) / SUB).alias("chunks"))
     left = met.join(chunks, ["comp", "part"]).select("a", "comp", "part", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"))
-    members = members.join(supers, "comp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("supers")) * parts + F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.lit(parts)))
+    members = members.join(supers, "comp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("supers")) * most + F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.col("parts")))
     right = members.join(chunks, ["comp", "part"]).select("id", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     return left, right
 

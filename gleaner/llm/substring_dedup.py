@@ -16,10 +16,12 @@ together as long as they agree:
    with one anchor form a run, on average about 69 of them. Buckets with one run hold only unique windows and are dropped.
 2. Runs are refined by b2 at their first and last window, which fixes all bytes of the run. Runs
    that share all bytes with another are repeated as a whole.
-3. What is left are runs that share a bucket but not all bytes. Their windows are refined one by one
-   by b2, against each other and one representative of each repeated run in the bucket. Windows
-   that hold a 64-gram seen once in all texts are left out: that is known of *markers*, 64-grams with an identifier
-   below a threshold, which step 1 counts wherever they stand, anchors or not.
+3. What is left are runs that share a bucket but not all bytes. Their windows are refined in groups
+   of up to 16 with neighbouring distances from the anchor. The 185 bytes that all windows of such a group share
+   (its *core*) have an identifier too, from b1; if it is seen once, so are all windows of the group.
+   Windows of the other groups are refined one by one by b2, against each other and one representative
+   of each repeated run in the bucket. Windows that hold a 64-gram seen once in all texts are left out before: that is known of
+   *markers*, 64-grams with an identifier below a threshold, which step 1 counts wherever they stand, anchors or not.
 
 Counts are combined in each batch before any shuffle, so a string that a third of all documents hold is one
 row per batch. Identifiers are 64-bit hashes; a window is identified by its bucket and b2, 128 bits
@@ -43,13 +45,15 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import id_text, map_batches, per_worker, sha256_hex
 from gleaner.llm.shingles import _BASE, _BYTE, _INVERSE, mix, powers
-from gleaner.session import cut
+from gleaner.session import cut, drop_path, free
 
 LENGTH, GRAM = 200, 64
 SPREAD = LENGTH - GRAM + 1  # 64-grams in a window, and the most windows in a run
 MARK = np.uint64(2**64 // 64)  # a 64-gram with an identifier below is a marker wherever it stands
 PIECE = 1_000_000
 VERSION_BITS = 25
+TOGETHER = 16  # windows in a group; its core has LENGTH - TOGETHER + 1 bytes
+GROUPS = "doc_id long, at long, bucket long, core long, weight int, twice int, finer array<long>, n long"
 RUNS = "doc_id long, at long, bucket long, finer long, weight int"
 CUTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -70,6 +74,7 @@ class Runs:
     loose: np.ndarray  # markers that are no anchors
     loose_row: np.ndarray
     b0: np.ndarray
+    b1: np.ndarray
     b2: np.ndarray
 
 
@@ -112,7 +117,7 @@ def runs_of(pieces: list[tuple[int, int, bytes]]) -> Runs | None:
     loose = np.setdiff1d(np.flatnonzero(b0 < MARK), own[first])
     home = np.searchsorted(end, loose, "right")
     inside = loose + GRAM <= end[home]
-    return Runs(start, n, own[first], rows[piece], shift[piece], loose[inside], rows[home[inside]], b0, b2)
+    return Runs(start, n, own[first], rows[piece], shift[piece], loose[inside], rows[home[inside]], b0, b1, b2)
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -225,7 +230,44 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             open_ = alone[np.searchsorted(alone, at)] >= at + SPREAD
             at, run = at[open_], run[open_]
             if len(at):
-                yield from _combined(batch, r.row[run], at + r.base[run], np.ones(len(at), np.int64), r.b0[r.anchor[run]], r.b2[at], np.where(kind[run] == 1, 2, 1))
+                yield from _grouped(batch, r, at, run, np.where(kind[run] == 1, 2, 1))
+
+
+def _grouped(batch: pa.RecordBatch, r: Runs, at: np.ndarray, run: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each group of windows; windows that this batch shows to be repeated leave as stretches, one of each staying."""
+    anchor = r.anchor[run]
+    bucket, finer = r.b0[anchor], r.b2[at]
+    once, summed = _counted(bucket, finer, weight)
+    stays = np.zeros(len(at), bool)
+    stays[once] = True
+    known = ~stays | ((summed >= 2) & (weight == 1))
+    which = (anchor - at) // TOGETHER
+    first = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)]))
+    n = np.diff(np.append(first, len(at)))
+    start = anchor[first] - TOGETHER * which[first]
+    half = LENGTH - TOGETHER + 1 - 2 * GRAM
+    core = mix(r.b1[start] ^ mix(r.b1[start + half] + which[first].astype(np.uint64) + np.uint64(3)))
+    _, cores = _counted(bucket[first], core, weight[first])
+    group = np.repeat(np.arange(len(first)), n)
+    place = np.arange(len(at)) - first[group]
+    twice = np.bincount(group, ((summed >= 2) & stays) * (1 << place), minlength=len(first)).astype(np.int32)
+    full = np.bincount(group, stays, minlength=len(first)) > 0
+    values = pa.array(finer.view(np.int64)[full[group]], mask=~stays[full[group]])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[full])]), "int32"), values)
+    keep = first[full]
+    version, row = np.asarray(batch.column("version")), r.row[run]
+    packed = _packed(version[row[keep]], (at + r.base[run])[keep], np.zeros(len(keep), np.int64))
+    yield pa.RecordBatch.from_arrays(
+        [batch.column("doc_id").cast("int64").take(pa.array(row[keep])), pa.array(packed), pa.array(bucket[keep].view(np.int64)), pa.array(core[full].view(np.int64)), pa.array(np.minimum(cores[full], 2).astype(np.int32)), pa.array(twice[full]), lists, pa.nulls(len(keep), "int64")],
+        ["doc_id", "at", "bucket", "core", "weight", "twice", "finer", "n"],
+    )
+    if known.any():
+        rows, starts, k = _merged(row[known], (at + r.base[run])[known], np.ones(known.sum(), np.int64))
+        none = {t: pa.nulls(len(rows), t) for t in ("int64", "int32")}
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").cast("int64").take(pa.array(rows)), pa.array(_packed(version[rows], starts, np.zeros(len(rows), np.int64))), none["int64"], none["int64"], none["int32"], none["int32"], pa.nulls(len(rows), pa.list_(pa.int64())), pa.array(k.astype(np.int64))],
+            ["doc_id", "at", "bucket", "core", "weight", "twice", "finer", "n"],
+        )
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,22 +306,31 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     ``docs`` has doc_id, text and version.
     """
     runs = cut(map_batches(docs, RUNS, _runs), "substring-runs")
-    keyed, stretch = runs.filter("bucket IS NOT NULL"), runs.filter("bucket IS NULL")
+    keyed, stretch = runs.filter("bucket IS NOT NULL"), cut(runs.filter("bucket IS NULL"), "substring-stretches")
     several = keyed.groupBy("bucket").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket")
     left = cut(keyed.filter(F.col("at").bitwiseAND(F.lit(255)) > 0).join(several, "bucket", "left_semi"), "substring-left")
+    for path in {p.rsplit("/", 1)[0] for p in runs.inputFiles()}:
+        drop_path(docs.sparkSession, path)
+    free(docs.sparkSession)
     mark = F.xxhash64("doc_id", "at")
     spans = left.groupBy("bucket", "finer").agg(F.sum("weight").alias("w"), F.min(mark).alias("rep"))
     kinds = spans.join(spans.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_spans")), "bucket")
     kind = F.when(F.col("w") < 2, 2).when((F.col("n_spans") > 1) & (mark == F.col("rep")), 1).otherwise(0)
     judged = cut(left.join(kinds, ["bucket", "finer"]).select("doc_id", "at", kind.alias("kind")), "substring-judged")
+    free(docs.sparkSession)
 
     at, version = F.col("at"), _version_of(F.col("at")).alias("version")
     whole = judged.select("doc_id", version, (_start_of(at) * 4 + F.col("kind")).alias("shared"), F.lit(None).cast("long").alias("known"), F.col("kind"))
     local = stretch.select("doc_id", version, F.lit(None).cast("long").alias("shared"), (_start_of(at) * 2**32 + F.col("finer")).alias("known"), F.lit(0).alias("kind"))
     todo = whole.unionByName(local).groupBy("doc_id", "version").agg(F.collect_list("shared").alias("shared"), F.collect_list("known").alias("known"), F.max("kind").alias("kind")).filter("kind > 0").drop("kind")
     loaded = _on_rows(docs, todo, "inner")
-    windows = cut(map_batches(loaded.select("doc_id", "version", "text", "shared", "known"), RUNS, _windows), "substring-windows")
-    single = windows.filter("bucket IS NOT NULL")
+    groups = cut(map_batches(loaded.select("doc_id", "version", "text", "shared", "known"), GROUPS, _windows), "substring-groups")
+    free(docs.sparkSession)
+    grouped = groups.filter("bucket IS NOT NULL")
+    cores = grouped.groupBy("bucket", "core").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket", "core")
+    each = grouped.select("doc_id", "at", "bucket", "core", "twice", "finer").join(cores, ["bucket", "core"], "left_semi").select("doc_id", "at", "bucket", "twice", F.posexplode("finer").alias("place", "finer")).filter("finer IS NOT NULL")
+    single = cut(each.select("doc_id", (at + F.col("place") * 256).alias("at"), "bucket", "finer", F.expr("1 + (shiftright(twice, place) & 1)").alias("weight")), "substring-windows")
+    free(docs.sparkSession)
     twice = single.groupBy("bucket", "finer").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket", "finer")
     matched = single.filter("weight = 1").join(twice, ["bucket", "finer"], "left_semi")
 
@@ -287,7 +338,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         return rows.select("doc_id", version, (_start_of(at) * 2**32 + n).alias("found"))
 
     found = stretches(judged.filter("kind < 2"), at.bitwiseAND(F.lit(255)))
-    for more in (stretches(stretch, F.col("finer")), stretches(windows.filter("bucket IS NULL"), F.col("finer")), stretches(matched, F.lit(1))):
+    for more in (stretches(stretch, F.col("finer")), stretches(groups.filter("bucket IS NULL"), F.col("n")), stretches(matched, F.lit(1))):
         found = found.unionByName(more)
     return found.groupBy("doc_id", "version").agg(F.collect_list("found").alias("found"))
 

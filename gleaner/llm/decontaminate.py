@@ -150,7 +150,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
         lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["e"] - F.greatest(a["upto"], r["s"]))).alias("n"), F.greatest(a["upto"], r["e"]).alias("upto")),
     )
-    return found.select("doc_id", "n_words", joined["n"].cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "runs")
+    return found.select("doc_id", "version", "n_words", joined["n"].cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "runs")
+
+
+def judge_rows(found: DataFrame, share: int) -> DataFrame:
+    return found.filter((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def judge(found: DataFrame, share: int = 20) -> DataFrame:
@@ -165,6 +169,35 @@ def judge(found: DataFrame, share: int = 20) -> DataFrame:
     )
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, most_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that aren't contaminated; one pass over them for each shard of the benchmark.
+
+    A document that only several shards together contaminate is found by merging their hits, so with more than
+    one shard the verdicts are joined to the rows.
+    """
+    items = id_text(benchmark, "item_id").withColumnRenamed("doc_id", "item_id")
+    if _shards(items, most_bytes) > 1:
+        keyed = docs.withColumn("_version", F.xxhash64(F.col("text").cast("string")))
+        bad = judge_rows(contamination(docs, benchmark, window, most_bytes), share).select(F.col("doc_id").alias("_bad"), F.col("version").alias("_bad_version")).distinct()
+        return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_bad"]) & (keyed["_version"] == bad["_bad_version"]), "left_anti").drop("_version")
+    texts = [t for (t,) in items.select("text").toLocalIterator() if t]
+    sent = docs.sparkSession.sparkContext.broadcast(texts)
+    kept: list = []
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not kept:
+            kept.append(automata([(k, words_of(t)) for k, t in enumerate(sent.value)], window))
+        for batch in batches:
+            clean = []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                hit = sum(e - s for s, e in search(kept[0], words)[0])
+                clean.append(not hit or share * hit < len(words))
+            yield batch.filter(pa.array(clean, "bool"))
+
+    return map_batches(docs, docs.schema, work)
+
+
 def brute_force(texts: list[str | None], items: list[tuple[int, str | None]], window: int = 13) -> list[tuple[int, int, int, str, bool]]:
     """What ``judge`` returns for each text but doc_id, by comparing every position (for tests)."""
     out = []

@@ -23,7 +23,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import id_text
 from gleaner.session import cut, drop_path, work_path
 
 #: The white space that is stripped from a line's ends (fixed values of the line key).
@@ -110,12 +109,12 @@ def repeated_lines(docs: DataFrame, least_chars: int, least_docs: int, batches:
 
 
 def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
-    """doc_id, n_lines, n_dropped and ``kept_text``: each text without its repeated lines.
+    """doc_id, n_lines, n_dropped, ``kept_text`` (each text without its repeated lines) and ``rest``, a struct of all columns.
 
     A key of at least ``least_chars`` code points in at least ``least_docs`` documents loses its
     lines everywhere but in the largest doc_id that holds it.
     """
-    docs = id_text(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
     lines, repeated = repeated_lines(docs, least_chars, least_docs, batches, fanout)
     drops = (
         lines.join(repeated, KEY)
@@ -128,7 +127,14 @@ def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batc
     n = F.size("lines")
     keep = F.array_except(F.sequence(F.lit(0), n - 1), F.col("drop"))
     kept = F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(keep, lambda i: F.get("lines", i)), "\n"))
-    return parts.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return parts.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"), "rest")
+
+
+def without_repeated_lines(docs: DataFrame, **parameters: int) -> DataFrame:
+    """``docs`` with the repeated lines gone from its texts, n_chars (if there) following."""
+    kept = line_dedup(docs, **parameters)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def line_digests(docs: DataFrame, **parameters: int) -> DataFrame:

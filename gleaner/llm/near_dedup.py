@@ -259,3 +259,9 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     else:
         members = members.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
     return members.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, **parameters: int) -> DataFrame:
+    """The rows of ``docs``, all columns, that are kept: one document of each group, the smallest doc_id."""
+    gone = near_components(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -202,3 +202,18 @@ def quality_scores(docs: DataFrame, model: Model | None, folds: int = 5, thresho
 def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, most_docs: int = 4000) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
     return quality_scores(docs, fit_quality(docs, labels, folds, most_docs), folds, threshold)
+
+
+def good_documents(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2_000_000):
+                if part.num_rows and sent.value is not None:
+                    x, owner = passages(part.column("text").to_pylist())
+                    part = part.filter(pa.array(sent.value.forward(x.astype(np.float64), owner)[0] >= threshold))
+                yield part
+
+    return map_batches(docs, docs.schema, work)

@@ -1,7 +1,7 @@
 """Connected components of a distributed list of links: local union-find, then alternating stars.
 
 Each partition first contracts its own links by union-find (every node is linked to its partition's
-smallest reachable node). What remains is joined up by the large-star/small-star rounds of Kiveris
+smallest reachable node); up to MOST links fit one task, and then that is all. Else what remains is joined up by the large-star/small-star rounds of Kiveris
 et al. (2014), whose number grows with the logarithm of the graph and which end in stars around the
 smallest node. Links stay distributed throughout; only a count and a checksum reach the driver.
 A node with a third of all links is handled by an aggregate with map-side combination and a sort-merge
@@ -40,7 +40,11 @@ class UnionFind:
             self.up[max(a, b)] = min(a, b)
 
 
-def _contract(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+#: Links that one union-find holds at most: some ten MB.
+MOST = 200_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch], most: int = 2 * MOST) -> Iterator[pa.RecordBatch]:
     def flush(sets: UnionFind) -> pa.RecordBatch:
         rows = [(x, sets.find(x)) for x in list(sets.up)]
         rows = [r for r in rows if r[0] != r[1]]
@@ -69,15 +73,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", most: int = MOST) -> DataFrame:
     """(node, root) for every node with a link, root being the smallest node of its component.
 
     ``links`` has two long columns; nulls and self-links are dropped, repeated links count once.
     """
     a, b = links.columns[:2]
-    links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").distinct()
-    links, seen = cut(map_batches(links, "u long, v long", _contract).distinct(), name), None
-    while True:
+    links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
+    links, seen = cut(map_batches(links, "u long, v long", _contract), name), None
+    small = links.count() <= most
+    if small:  # nodes have one root each, as every link is in the same task
+        links = cut(map_batches(links.coalesce(1), "u long, v long", _contract), name)
+    while not small:
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen or not now[0]:
             break

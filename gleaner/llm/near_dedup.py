@@ -145,9 +145,10 @@ def _blocks_left(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     its buckets and may hold a link. Members that meet one block are dealt to chunks of about SUB too.
     """
     members = live.select("id", "comp").distinct()
+    one = live.drop("comp")
     most = SUPER // SUB
     supers = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / SUPER).alias("supers"), F.least(F.lit(most), F.ceil(F.count(F.lit(1)) / SUB)).alias("parts"))
-    live = live.join(supers, "comp").withColumn("super", F.pmod(F.xxhash64("id"), F.col("supers")))
+    live = one.join(members.join(supers, "comp"), "id").withColumn("super", F.pmod(F.xxhash64("id"), F.col("supers")))
     by_comp = live.groupBy("key", "comp", "super", "parts").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("greatest"), F.max("common").alias("common"))
     top = by_comp.groupBy("key", "comp").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("comp"))).alias("top")).select("key", (-F.col("top.comp")).alias("top"))
     minor = live.join(top, "key").filter("comp <> top").select("key", "top", *(F.col(c).alias(f"a_{c}") for c in ("id", "comp", "size", "common")))
@@ -213,38 +214,28 @@ def near_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, star_
     texts = cut(_of(docs.select(F.col("doc_id").alias("id"), "text"), live).dropDuplicates(["id", "text"]), "near-texts")
     live = cut(_several(_with_components(_with_common(live, texts, words, percent), None)), "near-live")
     meets = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    live = live.join(live.join(meets, "key").groupBy("id").agg(F.sum("n").alias("met")), "id")
-    comp, links, tried = None, None, None
-    def renewed(live: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        live = cut(_several(_with_components(live, comp)), "near-live")
-        return live, cut(_of(texts, live), "near-texts")
-
+    live = cut(live.join(live.join(meets, "key").groupBy("id").agg(F.sum("n").alias("met")), "id"), "near-live")
+    comp, links = None, None
     for turn, most in enumerate(star_rounds):
-        live, texts = renewed(live, texts)
+        if comp is not None:
+            live = cut(_several(_with_components(live, comp)), "near-live")
+            texts = cut(_of(texts, live), "near-texts")
         pairs = _pairs_of_centres(live, turn, most, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = cut(pairs, "near-pairs")
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
         loaded = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         found = cut(map_batches(loaded.select("a", "b", "text_a", "text_b"), "a long, b long", _verify(words, percent)), "near-links")
         links = found if links is None else links.unionByName(found)
         comp = components(links, "near-components")
-    live, texts = renewed(live, texts)
-    live, texts = renewed(_with_common(live, texts, words, percent), texts)
+    live = cut(_several(_with_components(live, comp)), "near-live")
+    texts = _of(texts, live)
     left, right = _blocks_left(live, percent)
     left = cut(left.join(texts.select(F.col("id").alias("a"), "text"), "a"), "near-left")
     right = cut(right.join(texts, "id"), "near-right")
     place = ["comp", "part", "chunk"]
     found = cut(left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(_verify_blocks(words, percent), "a long, b long"), "near-links")
-    if found.isEmpty():
-        return comp
-    return components(found if links is None else links.unionByName(found), "near-components")
+    return components(links.unionByName(found), "near-components")
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 60, rows: int = 6, star_rounds: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+def near_components(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 60, rows: int = 6, star_rounds: tuple[int, ...] = (1, 3)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     docs = id_text(docs)
     signed = cut(map_batches(docs, SIGNED, _signed(words, bands, rows)), "near-signed")

@@ -1,15 +1,455 @@
-"""The engine's queries by name, and the SQL that checks them."""
+"""The engine's queries by name, over whole tables. ``oracles.py`` has the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.config import AnswerConfig, Config
+from gleaner.functions import text as tx
+from gleaner.functions import urls
+from gleaner.operators import answer, binding, chunking, fusion, metrics, topk
+from gleaner.operators.dense import dense_search
+from gleaner.operators.excerpt import excerpt, terms_of
+from gleaner.operators.lexical import bm25_search, build_index
+from gleaner.plans import oracles
+from gleaner.plans.retrieval import repeated_ids
+from gleaner.sinks import package
+from gleaner.sources import html, manifest, markdown, pages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+HOSTS = ["thther.example.org", "m.therou.example.com", "therin.example.net"]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
+
+
+# -- adapters: the tables in the roles of the engine's
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks, one each."""
+    none = F.lit(None).cast("int")
+    return _t(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), F.col("source").alias("title"), "text", "lang",
+        none.alias("page_start"), none.alias("page_end"), F.array("lang").alias("section_path"), F.lit(0).alias("chunk_index"), F.length("text").alias("character_count"), F.concat(F.lit("doc://"), F.col("doc_id")).alias("source_page"),
+    )
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return docs.select("doc_id", "pos", tx.clean_block(F.col("line")).alias("line"))
+
+
+def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return bm25_search(build_index(_chunks(spark, d)), _questions(spark, d), k)
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(embeddings of chunks, of the questions with the same numbers)."""
+    rows = _t(spark, d, "embeddings")
+    asked = rows.join(_t(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    return rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked
+
+
+def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return dense_search(*_vectors(spark, d), k)
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    r = Config().retrieval
+    return fusion.fuse([_bm25(spark, d, r.candidate_k), _dense(spark, d, r.candidate_k)], r.hybrid_top_k, r.rrf_k)
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    """For each question the documents with its number and the four next, as a ranking."""
+    near = _questions(spark, d).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("query_id", (F.col("query_id") + F.col("i")).alias("chunk_id"), (F.col("i") + 1).alias("rank"))
+    return answer.evidence(topk.with_payload(near, _chunks(spark, d)), AnswerConfig())
+
+
+def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(20 nearest of each question vector, chunks with the question's label)."""
+    rows = _t(spark, d, "embeddings")
+    asked = rows.join(_t(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    same = asked.select(F.col("vec_id").alias("query_id"), "label").join(rows.select(F.col("vec_id").alias("chunk_id"), "label"), "label").filter("query_id <> chunk_id")
+    return _dense(spark, d, 20), same
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    ranking, same = _similar(spark, d)
+    return metrics.per_query(ranking, same)
+
+
+def _labelled_metrics(spark: SparkSession, d: str) -> DataFrame:
+    labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("language"))
+    return _metrics(spark, d).join(labels, "query_id").withColumn("mode", F.lit("dense"))
+
+
+NAMES = metrics.metric_names(Config().evaluation)
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# -- sources and manifest
+
+
+@query
+def zip_member_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(n, g) for n in oracles.MEMBERS for g in oracles.GLOBS], "name string, globs string")
+    return rows.select("name", "globs", urls.member_allowed(F.col("name"), F.filter(F.split("globs", ","), lambda g: g != "")).alias("allowed"))
+
+
+@query
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    return html.page_links(_t(spark, d, "pages")).select("page_id", "pos", "href", "text")
+
+
+@query
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", html.page_title(F.col("html")).alias("title"))
+
+
+@query
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return html.page_blocks(_t(spark, d, "pages"))
+
+
+@query
+def content_receipts(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", "url", F.octet_length("html").cast("long").alias("bytes"), F.sha2(F.encode("html", "UTF-8"), 256).alias("sha256"))
+
+
+@query
+def safe_filename(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", urls.safe_filename(F.col("url")).alias("filename"))
+
+
+@query
+def url_guard(spark: SparkSession, d: str) -> DataFrame:
+    hosts = F.array(*map(F.lit, HOSTS))
+    return _t(spark, d, "pages").select("page_id", urls.url_allowed(F.col("url"), hosts).alias("https_only"), urls.url_allowed(F.col("url"), hosts, https_only=False).alias("any_scheme"))
+
+
+def _manifest(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([{"pos": i, "id": s, "repository_policy": p, "fetch": {"enabled": e, "kind": k, "url": u, "allowed_hosts": h.split(",") if h else [], "max_file_size_mb": m}} for i, (s, p, e, k, u, h, m) in enumerate(oracles.SOURCES)], manifest.SOURCE)
+
+
+@query
+def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.violations(_manifest(spark))
+
+
+@query
+def source_selection(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.select(_manifest(spark), open_only=True).select("pos", "id")
+
+
+@query
+def policy_group(spark: SparkSession, d: str) -> DataFrame:
+    return _manifest(spark).select("pos", manifest.group(F.col("repository_policy")).alias("output_group"))
+
+
+@query
+def effective_settings(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.effective(_manifest(spark).dropDuplicates(["id"]), {"retries": 5}).select("id", "max_file_size_bytes", "timeout_seconds", "retries")
+
+
+# -- text
+
+
+@query
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.sha2(F.encode(tx.clean_block(F.col("text")), "UTF-8"), 256).alias("sha256"))
+
+
+@query
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.sha2(F.encode(tx.normalize_text(F.col("text")), "UTF-8"), 256).alias("sha256"))
+
+
+@query
+def strip_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.sha2(F.encode(tx.strip_markdown(F.col("text")), "UTF-8"), 256).alias("sha256"))
+
+
+@query
+def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:
+    words = _t(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.sha2(F.encode(F.array_join("w", " "), "UTF-8"), 256).alias("sha256"))
+
+
+@query
+def token_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", tx.stable_id("doc", F.concat_ws("::", "source", "doc_id")).alias("document_id"), tx.stable_id("chk", F.col("source"), F.col("doc_id"), F.col("text")).alias("chunk_id"))
+
+
+@query
+def heading_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).filter(tx.is_heading(F.col("line"))).select("doc_id", "pos", "line", tx.heading_level(F.col("line")).alias("level"))
+
+
+@query
+def section_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    headings = F.transform(F.slice("w", 1, 6), lambda w, i: F.struct((i * 7 % 4 + 1).alias("level"), w.alias("text")))
+    return rows.select("doc_id", F.array_join(tx.section_path(headings), " > ").alias("path"))
+
+
+@query
+def page_char_stats(spark: SparkSession, d: str) -> DataFrame:
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.length("text").alias("chars"))
+    return _rounded(pages.page_statistics(turns), "mean_chars", digits=6)
+
+
+@query
+def repeated_edge_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d).filter(F.length("line") > 0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l")).select("doc_id", F.transform("l", lambda x: x["line"]).alias("lines"))
+    books = _t(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 10).alias("document_id"))
+    return pages.repeated_edge_lines(books.join(lines, "doc_id").select("document_id", F.col("doc_id").alias("page"), "lines"))
+
+
+@query
+def text_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.text_blocks(_t(spark, d, "documents"), "doc_id").select("doc_id", "pos", "kind", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
+
+
+# -- documents and chunks
+
+
+@query
+def assembled_spans(spark: SparkSession, d: str) -> DataFrame:
+    blocks = _lines(spark, d).select(F.col("doc_id").alias("document_id"), "pos", F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("page"), F.array().cast("array<string>").alias("section_path"), F.col("line").alias("text"))
+    return chunking.assemble(blocks).select("document_id", F.length("text").alias("character_count"), F.inline("spans")).select("document_id", "character_count", "start", "end")
+
+
+@query
+def document_gate(spark: SparkSession, d: str) -> DataFrame:
+    kept, left = chunking.substantial(_t(spark, d, "documents").select("doc_id", tx.clean_block(F.col("text")).alias("text")))
+    return kept.select("doc_id", F.lit(True).alias("kept")).unionByName(left.select("doc_id", F.lit(False).alias("kept")))
+
+
+def _squeezed(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), tx.clean_block(F.col("text")).alias("text"))
+
+
+@query
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_offsets(_squeezed(spark, d)).select("document_id", "chunk_index", "char_start", "char_end", tx.stable_id("chk", F.col("document_id"), F.col("char_start"), F.col("char_end"), F.col("text")).alias("chunk_id"))
+
+
+@query
+def chunk_span_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """How many of a document's 500-character spans each chunk touches, and on which of them (as pages) it begins and ends."""
+    size = F.length("text")
+    grid = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / 500)), lambda i: F.struct((i * 500).cast("int").alias("start"), F.least(i * 500 + 500, size).cast("int").alias("end"), F.lit("p").alias("kind"), i.cast("int").alias("page"), F.array().cast("array<string>").alias("section_path")))
+    docs = _squeezed(spark, d).withColumn("spans", grid)
+    return chunking.chunk_documents(docs).select("document_id", "chunk_index", "page_start", "page_end", F.size("section_paths").alias("n_paths"))
+
+
+@query
+def processing_report_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.processing_report(_t(spark, d, "documents"), "source").select("source", "documents", "characters")
+
+
+@query
+def processing_report_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.processing_report(_t(spark, d, "documents"), "lang").select("lang", "documents", "characters")
+
+
+@query
+def chunk_id_uniqueness(spark: SparkSession, d: str) -> DataFrame:
+    """Texts' digests as chunk ids: those that occur more than once."""
+    return repeated_ids(_t(spark, d, "documents").select(F.sha1(F.encode("text", "UTF-8")).alias("chunk_id")))
+
+
+# -- retrieval
+
+
+@query
+def topk_per_query(spark: SparkSession, d: str) -> DataFrame:
+    events = _t(spark, d, "events").select(F.col("event_type").alias("query_id"), F.col("event_id").alias("chunk_id"), F.col("value").alias("score"))
+    return _rounded(topk.top_k(events, 5), "score", digits=6)
+
+
+@query
+def ranking_projection(spark: SparkSession, d: str) -> DataFrame:
+    found = topk.with_payload(_dense(spark, d, 3), _chunks(spark, d))
+    return found.select("query_id", "rank", "chunk_id", "source_id", "title", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), F.array_join("section_path", " > ").alias("section"))
+
+
+@query
+def compact_results(spark: SparkSession, d: str) -> DataFrame:
+    found = topk.with_payload(_dense(spark, d, 3), _chunks(spark, d))
+    return found.select("query_id", "rank", F.round("score", 6).alias("score"), topk.compact(F.col("text")).alias("preview"))
+
+
+@query
+def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(build_index(_chunks(spark, d)).stats, "avgdl", "avg_idf", digits=6)
+
+
+@query
+def bm25_vocab(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(build_index(_chunks(spark, d)).vocabulary, "idf", digits=6)
+
+
+@query
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_bm25(spark, d, 10), "score", digits=5).select("query_id", "chunk_id", "rank", "score")
+
+
+@query
+def bm25_zero_padding(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of one rare or unknown token: unmatched chunks fill the ranking."""
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate(oracles.RARE)], "query_id int, query string")
+    return _rounded(bm25_search(build_index(_chunks(spark, d)), asked, 10), "score", digits=5).select("query_id", "chunk_id", "rank", "score")
+
+
+@query
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_dense(spark, d, 10), "score", digits=6).select("query_id", "chunk_id", "rank", "score")
+
+
+@query
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_fused(spark, d), "score").select("query_id", "chunk_id", "rank", "score")
+
+
+@query
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    best = _fused(spark, d).filter(F.col("rank") <= Config().retrieval.final_top_k)
+    return best.select("query_id", "chunk_id", "rank", F.col("component_ranks")["bm25"].alias("bm25_rank"), F.col("component_ranks")["dense"].alias("dense_rank"))
+
+
+@query
+def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+    r = Config().retrieval
+    found = fusion.rerank(_fused(spark, d).filter(F.col("rank") <= r.rerank_candidates), _questions(spark, d), _chunks(spark, d), r.final_top_k)
+    return found.select("query_id", "chunk_id", "rank", "score", "pre_rerank_rank")
+
+
+@query
+def query_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _questions(spark, d).withColumn("terms", terms_of(F.col("query"))).join(_t(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text"), "query_id")
+    return pairs.select("query_id", excerpt(F.col("terms"), F.col("text")).alias("excerpt"))
+
+
+# -- answers
+
+
+@query
+def locators(spark: SparkSession, d: str) -> DataFrame:
+    first = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7 + 1).cast("int")
+    last = F.when(F.col("doc_id") % 5 > 0, first + (F.col("doc_id") % 3 - 1)).cast("int")
+    section = F.when(F.col("doc_id") % 2 == 0, F.array("source", "lang"))
+    return _t(spark, d, "documents").select("doc_id", answer.locator(first, last, section).alias("locator"))
+
+
+@query
+def evidence_budget(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence(spark, d).select("query_id", "rank", "citation", F.length("text").alias("characters"))
+
+
+@query
+def extractive_answers(spark: SparkSession, d: str) -> DataFrame:
+    return answer.extractive_answers(_questions(spark, d), _evidence(spark, d))
+
+
+@query
+def prompt_context(spark: SparkSession, d: str) -> DataFrame:
+    return answer.prompts(_questions(spark, d), _evidence(spark, d)).select("query_id", F.sha2(F.encode("prompt", "UTF-8"), 256).alias("prompt_sha256"))
+
+
+@query
+def answer_sources(spark: SparkSession, d: str) -> DataFrame:
+    return answer.sources(_questions(spark, d), _evidence(spark, d)).select("query_id", "citation", "title", "chunk_id", "locator", "evidence")
+
+
+# -- ground truth and metrics
+
+
+@query
+def page_distance(spark: SparkSession, d: str) -> DataFrame:
+    start = F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 10 + 1)
+    end = F.when(F.col("doc_id") % 6 > 0, (F.col("doc_id") % 10 + 1) * (F.col("doc_id") % 3))
+    return _t(spark, d, "documents").select("doc_id", binding.page_distance(start, end, F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 15)).cast("long").alias("distance"))
+
+
+@query
+def query_id_summary(spark: SparkSession, d: str) -> DataFrame:
+    return binding.summary(_t(spark, d, "documents").select(F.col("lang").alias("id"), F.col("source").alias("source_id")))
+
+
+@query
+def bind_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark text asked of every source (there are few): the documents that hold it."""
+    asked = _t(spark, d, "benchmark").crossJoin(F.broadcast(_t(spark, d, "documents").select(F.col("source").alias("source_id")).distinct()))
+    specs = asked.select(F.concat_ws(":", "item_id", "source_id").alias("id"), "source_id", F.array("text").alias("evidence_terms"))
+    bound = binding.bind(specs, _chunks(spark, d))
+    return bound.select("query_id", F.array_join(F.transform("relevant_chunk_ids", lambda c: c.cast("string")), ",").alias("relevant"), "primary_chunk_id", F.col("source_locator.type").alias("locator_type"))
+
+
+@query
+def ir_metrics_per_query(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_metrics(spark, d), *NAMES)
+
+
+@query
+def metric_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.summarize(_labelled_metrics(spark, d), NAMES, ["mode"]), *NAMES)
+
+
+@query
+def metric_by_language(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.summarize_levels(_labelled_metrics(spark, d), NAMES), *NAMES).select("mode", "language", "query_count", *NAMES)
+
+
+@query
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.latency_summary(_t(spark, d, "events"), "value", ["event_type"]), "mean", "p50", "p95", "max", digits=6)
+
+
+@query
+def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").groupBy(F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source").alias("sources"))
+
+
+# -- packaging
+
+
+@query
+def release_allowlist(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(p,) for p in oracles.PATHS], "path string")
+    return rows.select("path", package.allowed(F.col("path")).alias("allowed"), package.forbidden(F.col("path")).alias("forbidden"))
+
+
+@query
+def demo_sample(spark: SparkSession, d: str) -> DataFrame:
+    return package.demo_sample(_chunks(spark, d), "src1").select("chunk_id", "title", "text")

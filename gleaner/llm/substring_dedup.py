@@ -309,15 +309,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     keyed, stretch = runs.filter("bucket IS NOT NULL"), cut(runs.filter("bucket IS NULL"), "substring-stretches")
     several = keyed.groupBy("bucket").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket")
     left = cut(keyed.filter(F.col("at").bitwiseAND(F.lit(255)) > 0).join(several, "bucket", "left_semi"), "substring-left")
-    for path in {p.rsplit("/", 1)[0] for p in runs.inputFiles()}:
-        drop_path(docs.sparkSession, path)
-    free(docs.sparkSession)
+    done_with(runs)
     mark = F.xxhash64("doc_id", "at")
-    spans = left.groupBy("bucket", "finer").agg(F.sum("weight").alias("w"), F.min(mark).alias("rep"))
+    spans = cut(left.groupBy("bucket", "finer").agg(F.sum("weight").alias("w"), F.min(mark).alias("rep")), "substring-spans")
     kinds = spans.join(spans.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_spans")), "bucket")
     kind = F.when(F.col("w") < 2, 2).when((F.col("n_spans") > 1) & (mark == F.col("rep")), 1).otherwise(0)
     judged = cut(left.join(kinds, ["bucket", "finer"]).select("doc_id", "at", kind.alias("kind")), "substring-judged")
-    free(docs.sparkSession)
+    done_with(spans, left)
 
     at, version = F.col("at"), _version_of(F.col("at")).alias("version")
     whole = judged.select("doc_id", version, (_start_of(at) * 4 + F.col("kind")).alias("shared"), F.lit(None).cast("long").alias("known"), F.col("kind"))
@@ -325,12 +323,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     todo = whole.unionByName(local).groupBy("doc_id", "version").agg(F.collect_list("shared").alias("shared"), F.collect_list("known").alias("known"), F.max("kind").alias("kind")).filter("kind > 0").drop("kind")
     loaded = _on_rows(docs, todo, "inner")
     groups = cut(map_batches(loaded.select("doc_id", "version", "text", "shared", "known"), GROUPS, _windows), "substring-groups")
+    grouped, shown = groups.filter("bucket IS NOT NULL"), cut(groups.filter("bucket IS NULL").select("doc_id", "at", "n"), "substring-shown")
     free(docs.sparkSession)
-    grouped = groups.filter("bucket IS NOT NULL")
     cores = grouped.groupBy("bucket", "core").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket", "core")
     each = grouped.select("doc_id", "at", "bucket", "core", "twice", "finer").join(cores, ["bucket", "core"], "left_semi").select("doc_id", "at", "bucket", "twice", F.posexplode("finer").alias("place", "finer")).filter("finer IS NOT NULL")
     single = cut(each.select("doc_id", (at + F.col("place") * 256).alias("at"), "bucket", "finer", F.expr("1 + (shiftright(twice, place) & 1)").alias("weight")), "substring-windows")
-    free(docs.sparkSession)
+    done_with(groups)
     twice = single.groupBy("bucket", "finer").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket", "finer")
     matched = single.filter("weight = 1").join(twice, ["bucket", "finer"], "left_semi")
 
@@ -338,9 +336,19 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         return rows.select("doc_id", version, (_start_of(at) * 2**32 + n).alias("found"))
 
     found = stretches(judged.filter("kind < 2"), at.bitwiseAND(F.lit(255)))
-    for more in (stretches(stretch, F.col("finer")), stretches(groups.filter("bucket IS NULL"), F.col("n")), stretches(matched, F.lit(1))):
+    for more in (stretches(stretch, F.col("finer")), stretches(shown, F.col("n")), stretches(matched, F.lit(1))):
         found = found.unionByName(more)
-    return found.groupBy("doc_id", "version").agg(F.collect_list("found").alias("found"))
+    found = cut(found.groupBy("doc_id", "version").agg(F.collect_list("found").alias("found")), "substring-found")
+    done_with(single, judged, stretch, shown)
+    return found
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and the shuffles of their making."""
+    spark = tables[0].sparkSession
+    for path in {p.rsplit("/", 1)[0] for t in tables for p in t.inputFiles()}:
+        drop_path(spark, path)
+    free(spark)
 
 
 def _on_rows(docs: DataFrame, more: DataFrame, how: str) -> DataFrame:

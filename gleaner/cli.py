@@ -7,6 +7,7 @@ import json
 import os
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gleaner.config import Config
@@ -64,7 +65,7 @@ def run(args: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None) -> int:
     try:
         return run(parser().parse_args(argv))
-    except (ValueError, OSError, RuntimeError) as e:
+    except (ValueError, OSError, RuntimeError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

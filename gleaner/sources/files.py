@@ -21,9 +21,11 @@ MOST_MEMBERS, MOST_MEMBER_BYTES = 100, 30 << 20
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines with a given schema; empty lines are skipped, a broken one is an error that shows it."""
     full = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).add("_broken", "string")
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    bad = F.when(F.col("_broken").isNotNull(), F.raise_error(F.concat(F.lit(f"invalid JSON in {path}: "), "_broken")))
-    return rows.withColumn("_ok", bad.cast("string")).filter("_ok IS NULL").drop("_ok", "_broken")
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    rows = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    broken = F.col("r").isNull() | F.col("r._broken").isNotNull()
+    ok = F.when(broken, F.raise_error(F.concat(F.lit(f"invalid JSON in {path}: "), "value"))).otherwise(F.lit("ok")).cast("string")
+    return rows.filter(ok == "ok").select("r.*").drop("_broken")
 
 
 def raw_files(spark: SparkSession, root: str, sources: DataFrame, only: list[str] | None = None) -> DataFrame:

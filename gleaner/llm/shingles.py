@@ -55,7 +55,7 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> tuple[np.ndarray, n
     left = bounds[1:][doc] - np.arange(len(hashes))  # words from here to the text's end
     for k in range(words):
         here = np.zeros(len(hashes), np.uint64)
-        here[: len(hashes) - k] = hashes[k:]
+        here[: max(0, len(hashes) - k)] = hashes[k:]
         own = np.where(k < left, mix(own ^ (here * _STEP[k % 5])) + np.uint64(k), own)
     first = np.arange(len(hashes)) == bounds[:-1][doc]
     keep = (left >= words) | (first & (n[doc] < words))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from gleaner.config import Bm25Config
 from gleaner.functions.text import tokens
 from gleaner.operators.topk import top_k
+from gleaner.session import cut
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,23 @@ def titled(chunks: DataFrame) -> Column:
     return F.concat_ws(" ", "title", "text")
 
 
-def build_index(chunks: DataFrame, text: Column | None = None, config: Bm25Config = Bm25Config(), exact: bool = True) -> Bm25Index:
-    """Index the ``chunk_id`` and text of ``chunks`` (by default title and text)."""
+def build_index(chunks: DataFrame, text: Column | None = None, config: Bm25Config = Bm25Config(), exact: bool = True, written: bool = False) -> Bm25Index:
+    """Index the ``chunk_id`` and text of ``chunks`` (by default title and text).
+
+    ``written`` puts postings and lengths into work tables, so that texts are read and split into tokens once
+    however often the index is used; a chunk's postings are made in the task that reads it, without a shuffle.
+    """
     words = chunks.select("chunk_id", tokens(titled(chunks) if text is None else text, exact).alias("tokens"))
-    lengths = words.select("chunk_id", F.size("tokens").cast("long").alias("dl"))
-    postings = words.select("chunk_id", F.explode("tokens").alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    sorted_ = F.array_sort("tokens")
+    edges = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    if written:
+        counted = words.select("chunk_id", F.size("tokens").cast("long").alias("dl"), sorted_.alias("s")).withColumn("e", F.when(F.size("s") > 0, edges).otherwise(F.array().cast("array<int>")))
+        runs = F.transform("e", lambda i, n: F.struct(F.get("s", i).alias("token"), (F.coalesce(F.get("e", n + 1), F.size("s")) - i).cast("long").alias("tf")))
+        words = cut(counted.select("chunk_id", "dl", runs.alias("terms")), "lexical-index")
+        lengths, postings = words.select("chunk_id", "dl"), words.select("chunk_id", F.inline("terms"))
+    else:
+        lengths = words.select("chunk_id", F.size("tokens").cast("long").alias("dl"))
+        postings = words.select("chunk_id", F.explode("tokens").alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     raw = df.crossJoin(corpus.select("n")).select("token", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row on the right

@@ -62,7 +62,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return bm25_search(build_index(_chunks(spark, d)), _questions(spark, d), k)
+    return bm25_search(build_index(_chunks(spark, d), written=True), _questions(spark, d), k)
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -317,7 +317,7 @@ def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(build_index(_chunks(spark, d)).vocabulary, "idf", digits=6)
+    return _rounded(build_index(_chunks(spark, d), written=True).vocabulary, "idf", digits=6)
 
 
 @query
@@ -329,7 +329,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def bm25_zero_padding(spark: SparkSession, d: str) -> DataFrame:
     """Queries of one rare or unknown token: unmatched chunks fill the ranking."""
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(oracles.RARE)], "query_id int, query string")
-    return _rounded(bm25_search(build_index(_chunks(spark, d)), asked, 10), "score", digits=5).select("query_id", "chunk_id", "rank", "score")
+    return _rounded(bm25_search(build_index(_chunks(spark, d), written=True), asked, 10), "score", digits=5).select("query_id", "chunk_id", "rank", "score")
 
 
 @query

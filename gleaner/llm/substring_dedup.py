@@ -307,12 +307,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """
     runs = cut(map_batches(docs, RUNS, _runs), "substring-runs")
     keyed, stretch = runs.filter("bucket IS NOT NULL"), cut(runs.filter("bucket IS NULL"), "substring-stretches")
-    several = keyed.groupBy("bucket").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket")
+    # written, so that the join reads two plain shuffles, of which Spark can split a hot key
+    several = cut(keyed.groupBy("bucket").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket"), "substring-several")
     left = cut(keyed.filter(F.col("at").bitwiseAND(F.lit(255)) > 0).join(several, "bucket", "left_semi"), "substring-left")
-    done_with(runs)
+    done_with(runs, several)
     mark = F.xxhash64("doc_id", "at")
     spans = cut(left.groupBy("bucket", "finer").agg(F.sum("weight").alias("w"), F.min(mark).alias("rep")), "substring-spans")
-    kinds = spans.join(spans.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_spans")), "bucket")
+    kinds = spans.join(cut(spans.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_spans")), "substring-kinds"), "bucket")
     kind = F.when(F.col("w") < 2, 2).when((F.col("n_spans") > 1) & (mark == F.col("rep")), 1).otherwise(0)
     judged = cut(left.join(kinds, ["bucket", "finer"]).select("doc_id", "at", kind.alias("kind")), "substring-judged")
     done_with(spans, left)
@@ -325,11 +326,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     groups = cut(map_batches(loaded.select("doc_id", "version", "text", "shared", "known"), GROUPS, _windows), "substring-groups")
     grouped, shown = groups.filter("bucket IS NOT NULL"), cut(groups.filter("bucket IS NULL").select("doc_id", "at", "n"), "substring-shown")
     free(docs.sparkSession)
-    cores = grouped.groupBy("bucket", "core").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket", "core")
+    cores = cut(grouped.groupBy("bucket", "core").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket", "core"), "substring-cores")
     each = grouped.select("doc_id", "at", "bucket", "core", "twice", "finer").join(cores, ["bucket", "core"], "left_semi").select("doc_id", "at", "bucket", "twice", F.posexplode("finer").alias("place", "finer")).filter("finer IS NOT NULL")
     single = cut(each.select("doc_id", (at + F.col("place") * 256).alias("at"), "bucket", "finer", F.expr("1 + (shiftright(twice, place) & 1)").alias("weight")), "substring-windows")
-    done_with(groups)
-    twice = single.groupBy("bucket", "finer").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket", "finer")
+    done_with(groups, cores)
+    twice = cut(single.groupBy("bucket", "finer").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket", "finer"), "substring-twice")
     matched = single.filter("weight = 1").join(twice, ["bucket", "finer"], "left_semi")
 
     def stretches(rows: DataFrame, n: Column) -> DataFrame:
@@ -339,7 +340,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     for more in (stretches(stretch, F.col("finer")), stretches(shown, F.col("n")), stretches(matched, F.lit(1))):
         found = found.unionByName(more)
     found = cut(found.groupBy("doc_id", "version").agg(F.collect_list("found").alias("found")), "substring-found")
-    done_with(single, judged, stretch, shown)
+    done_with(single, judged, stretch, shown, twice)
     return found
 
 

@@ -105,7 +105,8 @@ def repeated_lines(docs: DataFrame, least_chars: int, least_docs: int, batches:
     runs = LineRuns(docs.sparkSession, fanout)
     for i in range(batches):
         runs.add(lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
-    return lines, runs.totals().filter(F.col("n_docs") >= least_docs).select(*KEY, "max_doc")
+    # written, so that the join with the lines reads two plain shuffles, of which Spark can split a hot line
+    return lines, cut(runs.totals().filter(F.col("n_docs") >= least_docs).select(*KEY, "max_doc"), "line-repeated")
 
 
 def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -39,7 +40,7 @@ def comparable(frame):
     frame = frame[sorted(frame.columns)]
 
     def show(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 

@@ -156,7 +156,9 @@ def poured(kind: Column, body: Column, core: Column) -> Column:
 def surrogate_table(bodies: DataFrame, key: str, most_attempts: int = 60) -> DataFrame:
     """(kind, norm, core) of distinct (kind, norm), no two of a kind with one core and none that is itself a norm."""
     kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
-    table = cut(bodies.distinct().withColumn("attempt", F.lit(0)).withColumn("core", surrogate(key, kind, norm, attempt)), "surrogates")
+    # few bytes but much work a row, so the number of parts is given rather than left to their size
+    spread = bodies.distinct().repartition(int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "norm")
+    table = cut(spread.withColumn("attempt", F.lit(0)).withColumn("core", surrogate(key, kind, norm, attempt)), "surrogates")
     real = table.select("kind", F.when(F.col("kind").isin("given", "given_m", "given_f", "surname"), F.initcap("norm")).otherwise(F.col("norm")).alias("core")).distinct()
     real = cut(real, "surrogate-norms")
     for _ in range(most_attempts):
@@ -180,8 +182,10 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     pieces = cut(pieces, "pii-pieces")
     core = surrogate_table(pieces.filter("kind IS NOT NULL").select("kind", "norm"), key)
     out = F.concat("prefix", F.when(F.col("kind").isNull(), F.col("body")).otherwise(poured(F.col("kind"), F.col("body"), F.col("core"))))
-    replaced = pieces.join(core, ["kind", "norm"], "left").select("doc_id", "version", "what", F.struct("pos", "k", out.alias("out")).alias("p"))
-    replaced = replaced.groupBy(F.col("doc_id").alias("p_id"), F.col("version").alias("p_version")).agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_join(F.array_sort(F.collect_set("what")), ",").alias("kinds"))
+    met = pieces.join(core, ["kind", "norm"], "left").withColumnsRenamed({"doc_id": "p_id", "version": "p_version"})
+    met = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p_id", "p_version")
+    replaced = met.select("p_id", "p_version", "what", F.struct("pos", "k", out.alias("out")).alias("p"))
+    replaced = replaced.groupBy("p_id", "p_version").agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_join(F.array_sort(F.collect_set("what")), ",").alias("kinds"))
     joined = docs.join(replaced, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("version") == F.col("p_version")), "left")
     gaps = F.split("text", ANY, -1)
     text = F.concat(F.array_join(F.transform("ps", lambda p: F.concat(F.when(p["k"] == 0, F.get("gaps", p["pos"])).otherwise(""), p["out"])), ""), F.element_at("gaps", -1))

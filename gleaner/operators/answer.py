@@ -11,12 +11,10 @@ from gleaner.config import AnswerConfig
 from gleaner.functions.text import stripped, tokens
 from gleaner.operators.excerpt import excerpt, terms_of
 
-#: What an answer says without evidence, and how a remote model is told to answer (fixed values of the answer format).
+#: What an answer says without evidence (a fixed value of the answer format).
 NOT_FOUND = "未在当前检索证据中找到足以回答该问题的内容。"
-INSTRUCTIONS = (
-    "你是轨道交通运维检索助手。只能依据提供的证据回答，不得补充证据中没有的事实。"
-    "在每个事实后使用[S1]这类编号引用。证据不足时明确说不知道。回答简洁，并区分事实与建议。"
-)
+#: How a remote model is told to answer, in the language of its prompt.
+INSTRUCTIONS = "只根据下面的证据回答。每个事实之后注明证据编号，例如[S1]。证据不够时说明不知道。区分事实与建议，力求简洁。"
 SENTENCE_END = r"(?U)(?<=[。！？!?；;.])\s+|\n+"
 
 

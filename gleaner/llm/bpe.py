@@ -193,14 +193,14 @@ def _load(docs: DataFrame, ranks_path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, most_cached: int = 250_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, most_cached: int = 150_000) -> DataFrame:
     """doc_id and the array of ids of each text."""
     sent = _load(docs, ranks_path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent.value, pattern, most_cached)
         for whole in batches:
-            for batch in slices(whole, "text", 4_000_000):
+            for batch in slices(whole, "text", 2_000_000):
                 ids = list(coder.encode_texts([t or "" for t in batch.column("text").to_pylist()]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast("int64"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -220,7 +220,7 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), "doc_id long, decoded binary", work)
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, most_cached: int = 250_000) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, most_cached: int = 150_000) -> DataFrame:
     """Encode, decode the ids, and return per document the count and the digests of both.
 
     One pass: ids and decoded bytes of a text exist only while its row is worked on.
@@ -231,7 +231,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, most_cached:
         coder = _coder(sent.value, pattern, most_cached)
         word, decode = coder.bpe.words.__getitem__, coder.bpe.decode
         for whole in batches:
-            for batch in slices(whole, "text", 4_000_000):
+            for batch in slices(whole, "text", 2_000_000):
                 n, enc, dec = [], [], []
                 for ids in coder.encode_texts([t or "" for t in batch.column("text").to_pylist()]):
                     n.append(len(ids))

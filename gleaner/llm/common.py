@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -32,7 +34,28 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def map_batches(df: DataFrame, schema: str | StructType, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    owner = work.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if WORKER.get("owner") != owner:  # a worker serves one operator after the other; it keeps the state of one
+            WORKER.clear()
+            WORKER["owner"] = owner
+            give_back()
+        yield from work(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except AttributeError:  # another C library
+        return
+    trim(0)
 
 
 def per_worker(key: str, make: Callable[[], object]) -> object:

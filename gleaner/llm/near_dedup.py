@@ -44,7 +44,7 @@ SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 def _signed(words: int, bands: int, rows: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 4_000_000):
+            for batch in slices(whole, "text", 2_000_000):
                 sets, at = shingle_sets(batch.column("text").to_pylist(), words)
                 n = np.diff(at)
                 sig = signatures(sets, at, bands * rows).reshape(len(n), bands, rows)
@@ -64,7 +64,7 @@ def _signed(words: int, bands: int, rows: int):
 def _verify(words: int, percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text_a", 4_000_000):
+            for batch in slices(whole, "text_a", 2_000_000):
                 texts: dict[str, int] = {}
                 a, b = ([texts.setdefault(t, len(texts)) for t in batch.column(c).to_pylist()] for c in ("text_a", "text_b"))
                 sets, at = shingle_sets(list(texts), words)
@@ -84,7 +84,7 @@ def _common(words: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8_000_000):
+            for batch in slices(whole, "text", 4_000_000):
                 sets, at = shingle_sets(batch.column("text").to_pylist(), words)
                 ids = np.asarray(batch.column("id"))
                 own = np.repeat(np.arange(len(ids)), np.diff(at))

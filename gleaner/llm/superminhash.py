@@ -25,7 +25,7 @@ def _draw(elements: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return x >> np.uint64(24), x & np.uint64(0xFFFFFF)
 
 
-def signatures(elements: np.ndarray, offsets: np.ndarray, slots: int, most: int = 40_000) -> np.ndarray:
+def signatures(elements: np.ndarray, offsets: np.ndarray, slots: int, most: int = 20_000) -> np.ndarray:
     """A row of ``slots`` values for each set; EMPTY in all for an empty set."""
     n = len(offsets) - 1
     out = np.full((n, slots), EMPTY)

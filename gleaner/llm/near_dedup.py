@@ -135,7 +135,7 @@ def _pairs_of_centres(live: DataFrame, turn: int, most: int, percent: int) -> Da
     return best.select("a", F.explode("best").alias("x")).select("a", (-F.col("x.b")).alias("b"))
 
 
-SUPER, SUB = 1024, 128
+SUPER, SUB = 8192, 128
 
 
 def _blocks_left(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -3,9 +3,11 @@
 1. Token counts over all training documents: each task counts its own words, counts are summed by
    word. They grow with the corpus and stay distributed; to the driver go totals, per rare class and overall, and
    the words above a count that at most ``most_frequent`` words exceed (a histogram of at most some hundred bins finds it).
-2. The network (``recurrent.py``) is fitted by truncated backpropagation on a bounded sample of
-   training documents (``most_docs`` with the least hash of doc_id, ``most_tokens`` tokens, texts of at most ``most_bytes``): its
-   weights are of fixed size, whatever the corpus. Everything counted is counted over all of it.
+2. The network (``recurrent.py``) is fitted by truncated backpropagation on all training documents: every task
+   carries one set of weights on over all texts of its partition, long ones from window to window with the state kept, and
+   the tasks' weights are averaged by their tokens. All tasks begin at one point, weights fitted on the driver on a
+   bounded sample (``most_docs`` with the least hash of doc_id, ``most_tokens`` tokens, the first ``most_bytes`` characters of a text), as
+   an average of weights asks for; the sample bounds only that start. Weights are of fixed size and are summed by block on executors.
 3. One pass scores whole documents, the state being carried from window to window. Words above the
    count are looked up in the broadcast table; the others leave as (document, word, n), meet their counts in
    a join, and come back summed by document.
@@ -31,11 +33,12 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import id_text, map_batches, slices
 from gleaner.llm.quality import held_out
-from gleaner.llm.recurrent import RARE, Gru, rare_class
+from gleaner.llm.recurrent import RARE, Adam, Gru, rare_class
 from gleaner.llm.shingles import UPPER
 from gleaner.session import cut
 
 END = b"\n"  # no word holds a line feed
+BLOCK = 8192  # weights that are summed together
 LONGEST = 64  # bytes of a word in the broadcast table
 SCORED = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, logs double, plain double, word binary, n long"
 
@@ -116,20 +119,57 @@ def fit_language_model(docs: DataFrame, counts: DataFrame, n_words: int, most_fr
     chosen = [r.doc_id for r in docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).toLocalIterator()]
     if chosen:
         ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long"))  # most_docs rows at most
-        rows = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).join(ids, "doc_id").select("doc_id", "text").toArrow()
+        rows = docs.join(ids, "doc_id").select("doc_id", F.substring("text", 1, most_bytes).alias("text")).toArrow()
         texts = sorted(zip(rows.column("doc_id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()], strict=True))
         order = {d: i for i, d in enumerate(chosen)}
         places, sample, total = table.places(), [], 0
         for _, text in sorted(texts, key=lambda r: (order[r[0]], r[1])):
-            own = tokens_of(text)
-            if total + len(own) > most_tokens:
-                break
-            sample.append(table.ids(np.fromiter(map(places.__getitem__, own), np.int64, len(own))))
+            own = table_ids(table, places, text)[: most_tokens - total]
+            sample.append(own)
             total += len(own)
+            if total >= most_tokens:
+                break
         table.model.train(sample, table.end)
+    fit_further(docs, table)
     return table
 
 
+def fit_further(docs: DataFrame, table: Table) -> None:
+    """Carry the network on over all of ``docs``: each task by itself from the weights at hand, then the mean by tokens."""
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, places = sent.value, sent.value.places()
+        model = Gru(own.n_words)
+        model.fill(own.model.flat())
+        adam, total = Adam(model), 0
+        for batch in batches:
+            for part in slices(batch, "text", 8_000_000):
+                texts = [table_ids(own, places, t) for t in part.column("text").to_pylist()]
+                model.further(texts, own.end, adam)
+                total += sum(map(len, texts))
+        if total:
+            blocks = np.split(model.flat().astype(np.float64) * total, range(BLOCK, model.flat().size, BLOCK))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), "int32"), pa.array([total] * len(blocks), "int64"), pa.array([b.tobytes() for b in blocks], "binary")], ["block", "n", "w"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        w = sum(np.frombuffer(b.as_py(), np.float64) for b in parts.column("w"))
+        n = sum(parts.column("n").to_pylist())
+        return pa.table({"block": pa.array([parts.column("block")[0].as_py()], "int32"), "w": pa.array([(w / n).tobytes()], "binary")})
+
+    # written first: what reads a task's weights again must not train it again
+    parts = cut(map_batches(docs.select("text"), "block int, n long, w binary", learn), "lm-weights")
+    found = parts.groupBy("block").applyInArrow(add, "block int, w binary").collect()
+    if found:
+        table.model.fill(np.concatenate([np.frombuffer(r.w, np.float64) for r in sorted(found, key=lambda r: r.block)]))
+    sent.destroy()
+
+
+def table_ids(table: Table, places: dict[bytes, int], text: str | None) -> np.ndarray:
+    words = tokens_of(text)
+    return table.ids(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
+
+
 def _score(table: Table, places: dict[bytes, int], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     n_rows = part.num_rows
     ids, rare = [], []

@@ -29,6 +29,19 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+class Adam:
+    def __init__(self, model: Gru):
+        self.model, self.turn = model, 0
+        self.m, self.v = ({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2))
+
+    def step(self, grad: dict[str, np.ndarray], rate: float) -> None:
+        self.turn += 1
+        for k, g in grad.items():
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.01 * (g * g - self.v[k])
+            self.model.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.turn)) / (np.sqrt(self.v[k] / (1 - 0.99**self.turn)) + 1e-7)).astype(np.float32)
+
+
 class Gru:
     """Ids 0..n_words-1 are words by falling frequency, n_words..n_words+RARE-1 the rare classes."""
 
@@ -84,28 +97,35 @@ class Gru:
 
         The state goes on into the next window; a document starts from the zero state, its first input being ``end``.
         """
-        y = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        if not len(y):
-            return
-        fresh = np.zeros(len(y), bool)
-        fresh[np.cumsum([0, *map(len, docs[:-1])])] = True
-        x = np.where(fresh, end, np.roll(y, 1))
-        lanes = min(lanes, len(y))
-        length = len(y) // lanes
-        x, y, fresh = (v[: lanes * length].reshape(lanes, length) for v in (x, y, fresh))
-        m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
-        turn, total = 0, epochs * -(-length // window)
+        adam, turn = Adam(self), 0
+        x, y, fresh = self.lanes_of(docs, end, lanes)
+        total = epochs * -(-y.shape[1] // window)
         for _ in range(epochs):
-            h = np.zeros((lanes, self.h), np.float32)
-            for at in range(0, length, window):
+            h = np.zeros((len(y), self.h), np.float32)
+            for part in (slice(at, at + window) for at in range(0, y.shape[1], window)):
                 turn += 1
-                part = slice(at, at + window)
                 grad, h = self._gradients(x[:, part], y[:, part], fresh[:, part], h)
-                now = rate * min(1.0, 2 - 2 * turn / total)
-                for k, g in grad.items():
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    self.p[k] -= (now * (m[k] / (1 - 0.9**turn)) / (np.sqrt(v[k] / (1 - 0.99**turn)) + 1e-7)).astype(np.float32)
+                adam.step(grad, rate * min(1.0, 2 - 2 * turn / total))
+
+    def further(self, docs: list[np.ndarray], end: int, adam: Adam, lanes: int = 512, window: int = 24, rate: float = 0.004) -> None:
+        """One more epoch over documents that come in several calls, of unknown number; every token counts once."""
+        x, y, fresh = self.lanes_of(docs, end, min(lanes, max(64, sum(map(len, docs)) // (64 * window))))
+        h = np.zeros((len(y), self.h), np.float32)
+        for part in (slice(at, at + window) for at in range(0, y.shape[1], window)):
+            grad, h = self._gradients(x[:, part], y[:, part], fresh[:, part], h)
+            adam.step(grad, rate * min(1.0, (adam.turn + 1) / 20) / (1 + adam.turn / 100) ** 0.5)
+
+    def lanes_of(self, docs: list[np.ndarray], end: int, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, targets and starts of documents, a lane in each row; what is short of a full matrix has target -1."""
+        y = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        fresh = np.zeros(len(y), bool)
+        fresh[np.cumsum([0, *map(len, docs[:-1])])[: len(y)]] = True
+        x = np.where(fresh, end, np.roll(y, 1))
+        length = -(-len(y) // max(1, min(lanes, len(y))))
+        lanes = -(-len(y) // max(1, length))
+        short = lanes * length - len(y)
+        filled = ((x, end), (y, -1), (fresh, False))
+        return tuple(np.concatenate([v, np.full(short, fill, v.dtype)]).reshape(lanes, length) for v, fill in filled)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         k, p, steps = self.h, self.p, x.shape[1]
@@ -115,23 +135,40 @@ class Gru:
             h, s = self.step(x[:, t], np.where(fresh[:, t, None], np.float32(0), h))
             states.append(h)
             kept.append(s)
-        _, dout = self.log_probs(np.concatenate(states), y.T.ravel(), grad)
+        target = y.T.ravel()
+        live = np.flatnonzero(target >= 0)
+        dout = np.zeros((len(target), k), h.dtype)
+        dout[live] = self.log_probs(np.concatenate(states)[live], target[live], grad)[1]
         dout = dout.reshape(steps, len(x), k)
-        back = np.zeros_like(h)
+        back, dgs = np.zeros_like(h), []
         for t in range(steps - 1, -1, -1):
-            own, before, z, r, n, s = kept[t]
+            _, before, z, r, n, s = kept[t]
             d = dout[t] + back
             dn, dz = d * (1 - z) * (1 - n * n), d * (before - n) * z * (1 - z)
             dr = dn * s * r * (1 - r)
             dg = np.concatenate([dz, dr, dn], 1)
             ds = np.concatenate([dz, dr, dn * r], 1)
-            np.add.at(grad["x"], own, dg)
+            dgs.append(dg)
             grad["b"] += dg.sum(0)
             grad["u"] += before.T @ ds
             back = np.where(fresh[:, t, None], 0, d * z + ds @ p["u"].T)
-        size = np.float32(1 / y.size)
+        own = x.T[::-1].ravel()
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.diff(own[order], prepend=-1))
+        grad["x"][own[order][first]] = np.add.reduceat(np.concatenate(dgs)[order], first)
+        size = np.float32(1 / max(1, len(live)))
         return {name: np.clip(g * size, -1, 1) for name, g in grad.items()}, h
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def fill(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            w = self.p[k]
+            self.p[k] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+            at += w.size
+
     def score(self, docs: list[np.ndarray], end: int, window: int = 32) -> np.ndarray:
         """Natural log probability of each document's ids; states are carried from window to window."""
         size = np.array([len(d) for d in docs])

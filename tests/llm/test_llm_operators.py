@@ -115,6 +115,29 @@ def test_language_model_beats_counts_on_held_out_rows(spark):
     assert rows[0] > rows[1]
 
 
+def test_language_model_learns_from_long_texts(spark):
+    cycle = " ".join(["ka", "lo", "mi", "nu"] * 8000)  # over 65,536 bytes, no text of a bounded sample
+    rows = lm.language_scores(frame(spark, [cycle] * 24)).filter("held_out").collect()
+    assert rows and all(r.score > r.base_score / 4 for r in rows)  # the order is certain, the counts see none
+
+
+def test_language_model_learns_outside_the_first_sample(spark):
+    docs = frame(spark, [" ".join(["ka", "lo", "mi", "nu"] * 250)] * 600)
+    rows = lm.language_scores(docs, most_docs=0).filter("held_out").collect()
+    assert rows and all(r.score > r.base_score for r in rows)
+
+
+def test_every_training_token_counts_once():
+    g = Gru(128, hidden=4)
+    docs = [np.arange(n) % 140 for n in (5, 0, 1, 9, 300)]
+    for lanes in (1, 4, 64, 1000):
+        x, y, fresh = g.lanes_of(docs, 3, lanes)
+        flat = y.ravel()
+        assert flat[: len(flat) - (flat < 0).sum()].tolist() == np.concatenate(docs).tolist() and fresh.sum() == 4
+        assert (x[fresh] == 3).all()
+    assert g.lanes_of([], 3, 64)[1].size == 0
+
+
 def test_recurrent_gradients_and_probabilities():
     g = Gru(128, hidden=4)
     g.p = {k: v.astype(np.float64) for k, v in g.p.items()}

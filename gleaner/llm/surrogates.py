@@ -33,20 +33,20 @@ from gleaner.session import cut
 
 SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 MALE, FEMALE, OPEN = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Госпожа", "Dr|Prof"
-NAME_WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
+NAME_WORD = r"\p{Lu}[\p{L}'’-]++"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Kind -> pattern, in order of precedence. Quantifiers are bounded or possessive: linear time on any text.
+#: Kind -> pattern, in order of precedence. Open-ended quantifiers are possessive: linear time on any text, and no rest of an entity stays.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z0-9]){SECRET_NAME}[^\s\"',;]{{6,200}}",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
+    "secret": rf"(?<![A-Za-z0-9]){SECRET_NAME}[^\s\"',;]{{6,}}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,4}(?![\d-])",
-    "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
-    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{OPEN})\.? {NAME_WORD}(?: {NAME_WORD}){{0,2}}",
+    "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
+    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{OPEN})\.? {NAME_WORD}(?: {NAME_WORD})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 LATIN = ["ba", "ce", "di", "fo", "ga", "he", "ki", "lo", "ma", "ne", "pi", "ro", "sa", "te", "vi", "zo"]
@@ -87,8 +87,7 @@ def pieces_of(entity: Column, kind: Column) -> Column:
 def _draw(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """array<int>: at least 16 keyed bytes, and one for each character of the normal form."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(norm) / 32).cast("int")), lambda b: F.sha2(F.concat_ws("\u0000", F.lit(key), kind, norm, attempt.cast("string"), b.cast("string")), 256))
-    text = F.array_join(blocks, "")
-    return F.transform(F.sequence(F.lit(1), F.length(text), F.lit(2)), lambda i: F.conv(F.substring(text, i, F.lit(2)), 16, 10).cast("int"))
+    return F.flatten(F.transform(blocks, lambda x: F.transform(F.sequence(F.lit(1), F.lit(63), F.lit(2)), lambda i: F.conv(F.substring(x, i, F.lit(2)), 16, 10).cast("int"))))
 
 
 def _pick(alphabet: str, at: Column) -> Column:
@@ -98,17 +97,17 @@ def _pick(alphabet: str, at: Column) -> Column:
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The core of a surrogate: what takes the place of a normal form."""
     raw = _draw(key, kind, norm, attempt)
-    hexa = norm.rlike("^[0-9a-f]+$")
+    each = F.slice(raw, F.lit(1), F.length(norm))  # drawn once, not once for each character
 
-    def swapped(i: Column) -> Column:
-        c, r = F.substring(norm, i, F.lit(1)), F.get(raw, i - 1)
+    def swapped(c: Column, r: Column) -> Column:
         return (
-            F.when(hexa, _pick("0123456789abcdef", r)).when(c.rlike("[0-9]"), _pick("0123456789", r)).when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", r))
+            F.when(c.rlike("[0-9]"), _pick("0123456789", r)).when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", r))
             .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r)).otherwise(c)
         )
 
-    same = F.array_join(F.transform(F.sequence(F.lit(1), F.length(norm)), swapped), "")
-    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(norm)), lambda i: _pick("0123456789", F.get(raw, i - 1))), "")
+    hexed = F.array_join(F.transform(each, lambda r: _pick("0123456789abcdef", r)), "")
+    same = F.when(norm.rlike("^[0-9a-f]++$"), hexed).otherwise(F.array_join(F.zip_with(F.split(norm, ""), each, swapped), ""))
+    digits = F.array_join(F.transform(each, lambda r: _pick("0123456789", r)), "")
     local, domain = F.substring_index(same, "@", 1), F.substring_index(same, "@", -1)
     tld = F.substring_index(norm, ".", -1)
     # with more attempts an address grows, so that short local parts don't run out

@@ -218,6 +218,19 @@ def test_surrogates(spark):
     assert surrogates.with_surrogates(empty(spark), "k").count() == 0
 
 
+def test_surrogates_leave_no_rest_of_long_entities(spark):
+    signed = "".join("aZ3_-x.Q"[i * i % 7] + str(i % 10) for i in range(150))
+    digest, key, many = "0123456789abcdef" * 8, "0f" * 33, "a" + ".bc" * 12
+    long_name = "Ab" + "cdefgh" * 10
+    texts = [f"token={signed} end", f"sum {digest} end", f"key {key} end", "Sr. José Luis García Fernández vive", f"Mr. {long_name} x", f"mail {'u' * 70}@{many} end", "token=" + "Ab1/" * 50_000 + " end"]
+    got = by_id(surrogates.with_surrogates(frame(spark, texts), "k"))
+    assert [got[i].n_entities for i in range(7)] == [1] * 7
+    for i, gone in enumerate((signed[-20:], digest[-20:], key[-20:], "Fernández", "cdefgh", ".bc.bc", "Ab1/Ab1/")):
+        assert gone not in got[i].text, i
+    assert [len(got[i].text) for i in (0, 1, 2, 6)] == [len(texts[i]) for i in (0, 1, 2, 6)]
+    assert got[3].text.startswith("Sr. ") and got[3].text.endswith(" vive") and len(got[3].text.split()) == 6
+
+
 # 6
 
 

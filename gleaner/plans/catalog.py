@@ -222,6 +222,15 @@ def section_paths(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(tx.section_path(headings), " > ").alias("path"))
 
 
+@query
+def heading_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The section path at the end of each document, folded over all its heading lines."""
+    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw")).withColumn("line", tx.clean_block(F.col("raw")))
+    heading = F.when(tx.is_heading(F.col("line")), F.struct("pos", tx.heading_level(F.col("line")).alias("level"), F.col("line").alias("text")))
+    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(heading)).alias("h"))
+    return rows.select("doc_id", F.size("h").alias("n_headings"), F.array_join(tx.section_path(F.col("h")), " > ").alias("path"))
+
+
 @query
 def page_char_stats(spark: SparkSession, d: str) -> DataFrame:
     turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.length("text").alias("chars"))

@@ -19,6 +19,7 @@ from gleaner.operators import answer, binding, chunking, fusion, metrics
 from gleaner.operators.dense import HashingEncoder, cached_embeddings, dense_search
 from gleaner.operators.excerpt import excerpt, terms_of
 from gleaner.operators.lexical import bm25_search, build_index
+from gleaner.plans import catalog
 from gleaner.plans.ingest import build
 from gleaner.plans.retrieval import MODES, Retriever, evaluate, validated
 from gleaner.sinks import package, writers
@@ -275,3 +276,14 @@ def test_stream_of_documents(spark, tmp_path):
     q = chunk_stream(arriving_documents(spark, str(tmp_path / "in"), "document_id string, text string"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(list(chunking.cuts("Sentence one. " * 100, ChunkConfig())))
+
+
+def test_heading_paths_fold_whole_texts(spark, tmp_path):
+    heads = ["Chapter 1 One", "Chapter 2 A chapter whose long title is of level two", "Chapter 3 Three", "Chapter 4 Another chapter whose title is of level two"]
+    text = "\n".join(f"plain words here, and more of them.\n{h}" for h in heads * 3)
+    spark.createDataFrame([(1, text), (2, "no headings here."), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_headings, r.path) for r in catalog.queries()["heading_paths"](spark, str(tmp_path)).collect()}
+    found, path = [h for h in heads * 3], []
+    for h in found:
+        path = [*path[: 0 if len(h) <= 35 else 1], h]
+    assert got[1] == (12, " > ".join(path)) and got[2] == (0, "")

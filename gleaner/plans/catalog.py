@@ -87,6 +87,15 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     return answer.evidence(topk.with_payload(near, _chunks(spark, d)), AnswerConfig())
 
 
+def _retrieved(spark: SparkSession, d: str) -> DataFrame:
+    """For each question the documents that rank best among all, with their texts."""
+    return topk.with_payload(_bm25(spark, d, AnswerConfig().max_evidence_chunks), _chunks(spark, d))
+
+
+def _retrieved_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return answer.evidence(_retrieved(spark, d), AnswerConfig())
+
+
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(20 nearest of each question vector, chunks with the question's label)."""
     rows = _t(spark, d, "embeddings")
@@ -401,6 +410,35 @@ def answer_sources(spark: SparkSession, d: str) -> DataFrame:
     return answer.sources(_questions(spark, d), _evidence(spark, d)).select("query_id", "citation", "title", "chunk_id", "locator", "evidence")
 
 
+# -- the same on the ranking of all documents
+
+
+@query
+def retrieved_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _questions(spark, d).withColumn("terms", terms_of(F.col("query"))).join(_retrieved(spark, d), "query_id")
+    return pairs.select("query_id", "rank", "chunk_id", excerpt(F.col("terms"), F.col("text")).alias("excerpt"))
+
+
+@query
+def retrieved_evidence_budget(spark: SparkSession, d: str) -> DataFrame:
+    return _retrieved_evidence(spark, d).select("query_id", "rank", "chunk_id", "citation", F.length("text").alias("characters"))
+
+
+@query
+def retrieved_extractive_answers(spark: SparkSession, d: str) -> DataFrame:
+    return answer.extractive_answers(_questions(spark, d), _retrieved_evidence(spark, d))
+
+
+@query
+def retrieved_prompt_context(spark: SparkSession, d: str) -> DataFrame:
+    return answer.prompts(_questions(spark, d), _retrieved_evidence(spark, d)).select("query_id", F.sha2(F.encode("prompt", "UTF-8"), 256).alias("prompt_sha256"))
+
+
+@query
+def retrieved_answer_sources(spark: SparkSession, d: str) -> DataFrame:
+    return answer.sources(_questions(spark, d), _retrieved_evidence(spark, d)).select("query_id", "citation", "title", "chunk_id", "locator", "evidence")
+
+
 # -- ground truth and metrics
 
 

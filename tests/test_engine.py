@@ -287,3 +287,16 @@ def test_heading_paths_fold_whole_texts(spark, tmp_path):
     for h in found:
         path = [*path[: 0 if len(h) <= 35 else 1], h]
     assert got[1] == (12, " > ".join(path)) and got[2] == (0, "")
+
+
+def test_evidence_comes_from_the_ranking_of_all_documents(spark, tmp_path):
+    docs = [(i, f"filler number {i} about nothing at all in particular. " * 3, "en", "s") for i in range(30)] + [(5000, "the quokka sleeps under the old bridge at noon today. " * 3, "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "quokka bridge")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = {n: q for n, q in catalog.queries().items() if n.startswith("retrieved_")}
+    first = run["retrieved_evidence_budget"](spark, str(tmp_path)).orderBy("rank").first()
+    assert (first.chunk_id, first.citation, first.characters) == (5000, "S1", len(docs[-1][1]))
+    assert "quokka" in run["retrieved_extractive_answers"](spark, str(tmp_path)).first().answer
+    assert {r.chunk_id: r.excerpt for r in run["retrieved_excerpts"](spark, str(tmp_path)).collect()}[5000].startswith("the quokka")
+    assert 5000 in {r.chunk_id for r in run["retrieved_answer_sources"](spark, str(tmp_path)).collect()}
+    assert run["retrieved_prompt_context"](spark, str(tmp_path)).count() == 1

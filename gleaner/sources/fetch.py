@@ -6,11 +6,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.urls import magic_ok, url_allowed
-from gleaner.session import ship
+from gleaner.functions.urls import magic_ok, safe_filename, url_allowed
+from gleaner.session import cut, ship
+from gleaner.sources.html import page_links
 
 #: (url, timeout, most bytes) -> (body, final url, content type)
 Transport = Callable[[str, float, int], tuple[bytes, str, str]]
@@ -62,3 +63,47 @@ def chosen_links(links: DataFrame, pattern: str, most: int) -> DataFrame:
     """The first ``most`` distinct addresses of links (pos, href, text) that fit a pattern, in order of first sight."""
     first = links.filter(F.col("href").rlike(pattern)).groupBy("href").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
     return first.orderBy("pos").limit(most)
+
+
+REPORT_TITLE = "^(?:report |bulletin |safety digest )"
+REPORT_PATH = "^/raib-reports/|/government/news/report-|/government/publications/"
+
+
+def report_pages(links: DataFrame, most: DataFrame) -> DataFrame:
+    """(id, place, href) of the first ``most`` (id, most) distinct report pages that a listing's links (id, pos, href, text) name."""
+    host, path = F.lower(F.try_parse_url("href", F.lit("HOST"))), F.coalesce(F.try_parse_url("href", F.lit("PATH")), F.lit(""))
+    fits = F.lower("text").rlike(REPORT_TITLE) & (host == "www.gov.uk") & path.rlike(REPORT_PATH)
+    first = links.filter(fits).groupBy("id", "href").agg(F.min("pos").alias("pos"))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
+    return placed.join(most, "id").filter("place <= most").select("id", "place", "href")
+
+
+def collections(rows: DataFrame, transport: Transport, most: int | None = None, **options) -> DataFrame:
+    """Fetch the reports of every source of kind govuk_raib_collection.
+
+    id, url, filename, body, final_url, content_type, error, report_page, status: "pdf" for a report page's first PDF,
+    "page_only" where it has none, "failed" with its error, "listing" for a listing (failed, or without any report), and
+    "warning" where fewer reports came than the source asks for (10 if it doesn't say).
+    """
+    sources = rows.filter("fetch.kind = 'govuk_raib_collection'").select("id", "fetch.url", F.lit("_listing.html").alias("filename"), "fetch.allowed_hosts", F.coalesce(F.lit(most).cast("int"), "fetch.max_items", F.lit(10)).alias("most"))
+    wanted = sources.select("id", "most")
+    listings = cut(fetch(sources, transport, **options), "collection-listings")
+    links = page_links(listings.filter("error IS NULL").withColumn("html", F.decode("body", "UTF-8")), "id")
+    place = F.lpad(F.col("place").cast("string"), 2, "0")
+    name = F.concat(F.when(F.col("place") < 100, place).otherwise(F.col("place").cast("string")), F.lit("_"), safe_filename(F.substring_index(F.try_parse_url("href", F.lit("PATH")), "/", -1)))
+    chosen = cut(report_pages(links, wanted).join(sources.select("id", "allowed_hosts"), "id").select("id", F.col("href").alias("url"), F.concat(name, F.lit(".html")).alias("filename"), "allowed_hosts"), "collection-chosen")
+    pages = cut(fetch(chosen, transport, **options).withColumn("page", F.concat_ws("\n", "id", "filename")), "collection-pages")
+    inside = page_links(pages.filter("error IS NULL").withColumn("html", F.decode("body", "UTF-8")), "page").join(pages.select("page", "id", "filename", "allowed_hosts", F.col("url").alias("report_page")), "page")
+    is_pdf = F.lower(F.try_parse_url("href", F.lit("PATH"))).endswith(".pdf") & F.array_contains("allowed_hosts", F.lower(F.try_parse_url("href", F.lit("HOST"))))
+    pdfs = inside.filter(is_pdf).groupBy("page", "id", "filename", "allowed_hosts", "report_page").agg(F.min_by("href", "pos").alias("url")).withColumn("filename", F.regexp_replace("filename", r"\.html$", ".pdf"))
+    pdfs = cut(pdfs, "collection-pdfs")
+    got = cut(fetch(pdfs, transport, **options), "collection-reports").join(pdfs.select("id", "filename", "report_page"), ["id", "filename"])
+    shown = ["id", "url", "filename", "body", "final_url", "content_type", "error", "report_page"]
+    plain = pages.join(pdfs.select("page"), "page", "left_anti").withColumn("report_page", F.col("url")).select(*shown, F.when(F.col("error").isNull(), "page_only").otherwise("failed").alias("status"))
+    reports = got.select(*shown, F.when(F.col("error").isNull(), "pdf").otherwise("failed").alias("status")).unionByName(plain)
+    came = reports.filter("status <> 'failed'").groupBy("id").agg(F.count(F.lit(1)).alias("came"))
+    bare = listings.join(chosen.select("id").distinct().withColumn("any", F.lit(True)), "id", "left").filter("any IS NULL")
+    bare = bare.withColumn("error", F.coalesce("error", F.lit("no report is listed; the page may have changed"))).withColumn("report_page", F.lit(None).cast("string")).select(*shown, F.lit("listing").alias("status"))
+    few = listings.join(wanted, "id").join(came, "id", "left").withColumn("came", F.coalesce("came", F.lit(0))).filter("came < most")
+    few = few.withColumns({"error": F.format_string("%d of %d reports", "came", "most"), "report_page": F.lit(None).cast("string"), "body": F.lit(None).cast("binary"), "filename": F.lit(None).cast("string")}).select(*shown, F.lit("warning").alias("status"))
+    return reports.unionByName(bare).unionByName(few)

@@ -90,8 +90,12 @@ def effective(rows: DataFrame, defaults: dict) -> DataFrame:
 
 
 def fetch_plan(rows: DataFrame) -> DataFrame:
-    """(id, kind, url, filename, allowed_hosts): one row per address; a bundle's addresses and names must pair up."""
+    """(id, kind, url, filename, allowed_hosts): one row per address; a bundle's addresses and names must pair up.
+
+    A collection's addresses are known once its listing is read: ``fetch.collections`` takes those sources, this refuses them.
+    """
     bundle = F.col("fetch.kind") == "webpage_bundle"
     paired = F.size("fetch.urls") == F.size("fetch.filenames")
     pairs = F.when(bundle, F.when(paired, F.arrays_zip(F.col("fetch.urls").alias("url"), F.col("fetch.filenames").alias("filename"))).otherwise(F.raise_error("urls and filenames of a bundle must have equal lengths"))).otherwise(F.array(F.struct(F.col("fetch.url").alias("url"), F.col("fetch.filename").alias("filename"))))
+    pairs = F.when(F.col("fetch.kind") == "govuk_raib_collection", F.raise_error("a collection is fetched by fetch.collections")).otherwise(pairs)
     return rows.select("id", F.col("fetch.kind").alias("kind"), F.explode(pairs).alias("p"), F.col("fetch.allowed_hosts").alias("allowed_hosts")).select("id", "kind", "p.url", "p.filename", "allowed_hosts")

@@ -300,3 +300,31 @@ def test_evidence_comes_from_the_ranking_of_all_documents(spark, tmp_path):
     assert {r.chunk_id: r.excerpt for r in run["retrieved_excerpts"](spark, str(tmp_path)).collect()}[5000].startswith("the quokka")
     assert 5000 in {r.chunk_id for r in run["retrieved_answer_sources"](spark, str(tmp_path)).collect()}
     assert run["retrieved_prompt_context"](spark, str(tmp_path)).count() == 1
+
+
+def test_collections_are_crawled(spark):
+    site = "https://www.gov.uk"
+    listing = "".join(f'<a href="{h}">{t}</a>' for h, t in [("/raib-reports/one", "Report 1/2020: One"), ("/raib-reports/one", "Report 1 again"), ("/help", "Report help"), ("/raib-reports/x", "About us"), ("/government/news/report-two", "Bulletin 2"), ("/raib-reports/bad", "Safety digest 3"), ("/raib-reports/four", "Report 4")])
+    web = {
+        "/list": listing, "/raib-reports/one": '<a href="https://other.org/n.pdf">n</a><a href="/a.PDF">a</a><a href="/b.pdf">b</a>', "/government/news/report-two": "<p>text only</p>",
+        "/a.PDF": "%PDF-1", "/raib-reports/four": "<p>past the limit</p>", "/none": "<p>nothing</p>",
+    }
+
+    def transport(url, timeout, most):
+        if url.removeprefix(site) not in web:
+            raise OSError("not found")
+        return web[url.removeprefix(site)].encode(), url, "text/html"
+
+    def source(i, name, path):
+        return {"pos": i, "id": name, "repository_policy": "manifest_only", "fetch": {"enabled": True, "kind": "govuk_raib_collection", "url": site + path, "allowed_hosts": ["www.gov.uk"], "max_items": 3}}
+
+    rows = spark.createDataFrame([source(0, "full", "/list"), source(1, "empty", "/none")], manifest.SOURCE)
+    got = fetch.collections(rows, transport, wait=lambda s: None).collect()
+    seen = {(r.id, r.status, r.filename, r.url.removeprefix(site)) for r in got}
+    assert seen == {
+        ("full", "pdf", "01_one.pdf", "/a.PDF"), ("full", "page_only", "02_report-two.html", "/government/news/report-two"), ("full", "failed", "03_bad.html", "/raib-reports/bad"),
+        ("full", "warning", None, "/list"), ("empty", "listing", "_listing.html", "/none"), ("empty", "warning", None, "/none"),
+    }
+    assert {r.error for r in got if r.status == "warning"} == {"2 of 3 reports", "0 of 3 reports"}
+    with pytest.raises(Exception, match="fetch.collections"):
+        manifest.fetch_plan(rows).collect()

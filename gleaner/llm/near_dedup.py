@@ -38,7 +38,7 @@ from gleaner.llm.shingles import mix, shingle_sets
 from gleaner.llm.superminhash import signatures
 from gleaner.session import cut
 
-SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+SIGNED = "doc_id long, version long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def _signed(words: int, bands: int, rows: int):
@@ -56,7 +56,7 @@ def _signed(words: int, bands: int, rows: int):
                     part = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ np.uint64(salt * 0xD1342543DE82EF95 % 2**64)))])
                     digest.append((part[at[1:]] - part[at[:-1]]).view(np.int64))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, "int32"), pa.array(np.ascontiguousarray(key).reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast("int64"), pa.array(n, "int64"), pa.array(digest[0]), pa.array(digest[1]), flat], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast("int64"), batch.column("version"), pa.array(n, "int64"), pa.array(digest[0]), pa.array(digest[1]), flat], ["doc_id", "version", "n_shingles", "d1", "d2", "bands"])
 
     return work
 
@@ -235,24 +235,49 @@ def near_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, star_
     return components(links.unionByName(found), "near-components")
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 60, rows: int = 6, star_rounds: tuple[int, ...] = (1, 3)) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+SAME = ["n_shingles", "d1", "d2"]
+TAKES_PART = "doc_id IS NOT NULL AND n_shingles > 0"
+
+
+def _members(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 60, rows: int = 6, star_rounds: tuple[int, ...] = (1, 3)) -> tuple[DataFrame, DataFrame]:
+    """(rows with their component and whether they are kept, rows as signed); version is the hash of a row's text."""
     docs = id_text(docs)
-    signed = cut(map_batches(docs, SIGNED, _signed(words, bands, rows)), "near-signed")
-    takes_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    same = ["n_shingles", "d1", "d2"]
-    classes = signed.filter(takes_part).groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    reps = signed.filter(takes_part).join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", *same])
+    signed = cut(map_batches(docs.withColumn("version", F.xxhash64("text")), SIGNED, _signed(words, bands, rows)), "near-signed")
+    takes_part = F.expr(TAKES_PART)
+    classes = signed.filter(takes_part).groupBy(*SAME).agg(F.min("doc_id").alias("rep"))
+    reps = signed.drop("version").filter(takes_part).join(classes.select(*SAME, F.col("rep").alias("doc_id")), [*SAME, "doc_id"], "left_semi").dropDuplicates(["doc_id", *SAME])
     comp = near_links(docs, reps, words, percent, star_rounds)
-    members = signed.select("doc_id", *same).join(classes, same, "left").withColumn("rep", F.when(takes_part, F.col("rep")))
+    members = signed.select("doc_id", "version", *SAME).join(classes, SAME, "left").withColumn("rep", F.when(takes_part, F.col("rep")))
     if comp is None:
         members = members.withColumn("component_id", F.coalesce("rep", "doc_id"))
     else:
         members = members.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
-    return members.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return members.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), signed
+
+
+def near_components(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+    return _members(docs, **parameters)[0].select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def first_of_each(docs: DataFrame, **parameters: int) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept: one document of each group, the smallest doc_id."""
-    gone = near_components(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of ``docs``, all columns, that are kept: one document of each group, the smallest doc_id.
+
+    The verdict is on a row's doc_id and text. Of rows with one doc_id and equal sets one stays; rows with one
+    doc_id and different sets are versions of one document, which are judged each by itself.
+    """
+    members, signed = _members(docs, **parameters)
+    gone = members.filter(~F.col("kept")).select("doc_id", "version")
+    repeated = cut(signed.filter(TAKES_PART).groupBy("doc_id", *SAME).agg(F.count(F.lit(1)).alias("n"), F.min("version").alias("first")).filter("n > 1"), "near-repeated")
+    again = not repeated.isEmpty()
+    if again:
+        others = signed.filter(TAKES_PART).join(repeated, ["doc_id", *SAME]).filter(F.col("version") != F.col("first"))
+        gone = gone.unionByName(others.select("doc_id", "version"))
+    gone = gone.distinct().select(F.col("doc_id").alias("_gone"), F.col("version").alias("_gone_version"))
+    rows = docs.withColumn("_version", F.xxhash64(F.col("text").cast("string")))
+    left = rows.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_version") == F.col("_gone_version")), "left_anti")
+    if again:
+        keys = repeated.select("doc_id", F.col("first").alias("_version"))
+        once = left.join(keys, ["doc_id", "_version"], "left_semi").dropDuplicates(["doc_id", "_version"])
+        left = left.join(keys, ["doc_id", "_version"], "left_anti").unionByName(once)
+    return left.select(*docs.columns)

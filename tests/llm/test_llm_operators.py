@@ -292,6 +292,13 @@ def test_near_components_are_brute_force(spark):
     assert kept == {i for i, r in enumerate(root) if r == i}
 
 
+def test_near_dedup_tells_rows_of_one_doc_id_apart(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in ("red", "sea", "oak"))
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, c), (8, None), (8, None)]
+    got = near_dedup.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(3, b), (5, a), (7, c), (8, ""), (8, "")]
+
+
 def test_near_dedup_cases(spark):
     assert near_dedup.near_components(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (7, "a b c"), (3, "a b c"), (None, None)], "doc_id long, text string")

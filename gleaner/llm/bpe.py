@@ -3,19 +3,26 @@
 Each text is split by the pattern; pre-tokens not yet known to the worker are laid out as rows of
 padded matrices, one matrix per length class. In each round every row merges its leftmost pair of
 minimum rank; pair ranks come from a hashed open-addressing table, and rows are compacted by one
-column per merge. Rows without a pair to merge leave the matrix. Pre-tokens longer than
-``LONG`` bytes (a whole row of rounds would be quadratic) take a heap over a linked list, with the
-same order of merges. A pre-token that is a vocabulary entry is that entry, as in the library.
+column per merge. Rows without a pair to merge leave the matrix. A pre-token that is a vocabulary
+entry is that entry, as in the library.
+
+A pre-token wider than a line (``LINE`` bytes) fills a padded matrix of its own, line after line, so that a round looks
+only at the lines' least ranks and at the lines that hold the least of all. Its round merges that rank's leftmost pair and, as long
+as no merge brings up a pair of lower rank, the next ones of the same rank: the same merges in the same
+order, in fewer rounds. It is compacted whenever half of its places are empty.
+
+Ids of known pre-tokens lie in one flat array per worker, of two generations: when ``most`` pre-tokens
+are kept, those unused since the last such turn leave.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded
-each by itself; an empty table gives an empty result; other columns are ignored.
+each by itself, whatever their doc_id, a null one too; an empty table gives an empty result; other columns are ignored. Very long
+texts and pre-tokens take time in proportion and memory of some 30 bytes a byte.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,7 +34,8 @@ from gleaner.llm.common import id_text, map_batches, per_worker, sha256_hex, sli
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NONE = np.int32(2**31 - 1)
-LONG = 256
+LINE = 256
+MOST, SLICE = 400_000, 2_000_000
 #: White_Space of Unicode, as the library's engine reads ``\s``.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -72,6 +80,25 @@ class PairTable:
         return out.reshape(shape)
 
 
+def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+
+
+class Flat:
+    """Byte strings by number, gathered into one buffer for whole arrays of numbers."""
+
+    def __init__(self, items: list[bytes]):
+        self.size = np.array([len(i) for i in items], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(items), np.uint8)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all, the end of each in them)."""
+        size = self.size[numbers]
+        return self.bytes[_places(self.start[numbers], size)], np.cumsum(size)
+
+
 class Bpe:
     def __init__(self, blob: bytes, pattern: str):
         rows = (line.split() for line in blob.splitlines() if line.strip())
@@ -79,51 +106,59 @@ class Bpe:
         self.bytes = [b""] * (max(self.ids.values()) + 1)
         for token, i in self.ids.items():
             self.bytes[i] = token
-        self.words = [str(i) for i in range(len(self.bytes))]
-        self.numbers = list(range(len(self.bytes)))
+        self.tokens, self.decimals = Flat(self.bytes), Flat([b"%d " % i for i in range(len(self.bytes))])
         self.split = splitter(pattern)
         self.byte_id = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a, b, i) for token, i in self.ids.items() for k in range(1, len(token)) if (a := self.ids.get(token[:k])) is not None and (b := self.ids.get(token[k:])) is not None]
         p = np.array(pairs or [(0, 0, 0)], np.uint64)[: len(pairs) or 0]
         self.pairs = PairTable((p[:, 0] << np.uint64(32)) | p[:, 1], p[:, 2].astype(np.int32))
 
-    def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        out: dict[bytes, tuple[int, ...]] = {}
-        buckets: dict[int, list[bytes]] = {}
-        for piece in pieces:
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after the other, number of ids of each)."""
+        n = np.zeros(len(pieces), np.int64)
+        buckets: dict[int, list[int]] = {}
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # (places of pieces, their ids)
+        whole, own = [], []
+        for at, piece in enumerate(pieces):
             if (i := self.ids.get(piece)) is not None:
-                out[piece] = (self.numbers[i],)
-            elif len(piece) > LONG:
-                out[piece] = self.encode_long(piece)
+                whole.append(at)
+                own.append(i)
             else:
-                n = len(piece)
-                buckets.setdefault(n if n <= 32 else 1 << (n - 1).bit_length(), []).append(piece)
+                size = len(piece)
+                buckets.setdefault(size if size <= 32 else min(LINE * 2, 1 << (size - 1).bit_length()), []).append(at)
+        n[whole] = 1
+        found.append((np.array(whole, np.int64), np.array(own, np.int32)))
         for width, rows in buckets.items():
+            if width > LINE:
+                for at in rows:
+                    ids = self.encode_lines(pieces[at])
+                    n[at] = len(ids)
+                    found.append((np.array([at]), ids))
+                continue
             step = max(1, 2_000_000 // width)
-            for at in range(0, len(rows), step):
-                self.encode_matrix(rows[at : at + step], width, out)
-        return out
-
-    def encode_matrix(self, rows: list[bytes], width: int, out: dict[bytes, tuple[int, ...]]) -> None:
+            for first in range(0, len(rows), step):
+                part = np.array(rows[first : first + step])
+                for line, ids, count in self.encode_matrix([pieces[at] for at in part], width):
+                    n[part[line]] = count
+                    found.append((part[line], ids))
+        start, out = np.cumsum(n) - n, np.empty(n.sum(), np.int32)
+        for at, ids in found:
+            out[_places(start[at], n[at])] = ids
+        return out, n
+
+    def encode_matrix(self, rows: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers of rows that are done, their ids one after the other, number of ids of each), until all are."""
         size = np.array([len(r) for r in rows])
-        raw = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width)
+        raw = np.frombuffer(b"".join([r.ljust(width, b"\0") for r in rows]), np.uint8).reshape(len(rows), width)
         ids = np.where(np.arange(width) < size[:, None], self.byte_id[raw], np.int32(-1))
         rank, at = self.pairs.get(ids[:, :-1], ids[:, 1:]), np.arange(len(rows))
-
-        def leave(done: np.ndarray) -> None:
-            count = (ids[done] >= 0).sum(1)
-            for row, line, n in zip(at[done].tolist(), ids[done].tolist(), count.tolist(), strict=True):
-                out[rows[row]] = tuple(map(self.numbers.__getitem__, line[:n]))
-
         while len(at):
-            if not rank.shape[1]:
-                leave(np.ones(len(at), bool))
-                return
-            j = rank.argmin(1)  # the leftmost of equal minima
-            best = rank[np.arange(len(at)), j]
+            j = rank.argmin(1) if rank.shape[1] else np.zeros(len(at), np.int64)  # the leftmost of equal minima
+            best = rank[np.arange(len(at)), j] if rank.shape[1] else np.full(len(at), NONE)
             done = best == NONE
             if done.any():
-                leave(done)
+                left = ids[done]
+                yield at[done], left[left >= 0], (left >= 0).sum(1)
                 ids, rank, at, j, best = ids[~done], rank[~done], at[~done], j[~done], best[~done]
                 if not len(at):
                     return
@@ -139,49 +174,86 @@ class Bpe:
                 ok = (k >= 0) & (k < w - 2)
                 rank[line[ok], k[ok]] = self.pairs.get(ids[line[ok], k[ok]], ids[line[ok], k[ok] + 1])
 
-    def encode_long(self, piece: bytes) -> tuple[int, ...]:
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        a = np.array(ids, np.int32)
-        first = self.pairs.get(a[:-1], a[1:])
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first.tolist()) if r != NONE]
-        heapq.heapify(heap)
-        token, known = self.bytes, self.ids.get
-        while heap:
-            r, i, x, y = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or ids[i] != x or ids[j] != y:
-                continue
-            ids[i], alive[j], after[i] = r, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (m := after[k]) < n and (q := known(token[ids[k]] + token[ids[m]])) is not None:
-                    heapq.heappush(heap, (q, k, ids[k], ids[m]))
-        return tuple(self.numbers[ids[i]] for i in range(n) if alive[i])
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def encode_lines(self, piece: bytes) -> np.ndarray:
+        ids = np.append(self.byte_id[np.frombuffer(piece, np.uint8)], np.int32(-1))  # the last place stands for the end
+        rank = after = before = low = np.zeros(0)
+        empty = len(ids)  # laid out at first, and again when half of the places are empty
+        while True:
+            if 2 * empty >= len(ids):
+                ids = ids[ids >= 0] if empty < len(ids) else ids[:-1]
+                n, empty = len(ids), 0
+                ids = np.append(ids, np.int32(-1))
+                after, before = np.arange(1, n + 2), np.arange(-1, n)
+                rank = np.full(-(-n // LINE) * LINE, NONE)
+                rank[: n - 1] = self.pairs.get(ids[: n - 1], ids[1:n])
+                low = rank.reshape(-1, LINE).min(1)
+            least = low.min()
+            if least == NONE:
+                return ids[ids >= 0]
+            lines = np.flatnonzero(low == least)
+            hit = np.flatnonzero(rank.reshape(-1, LINE)[lines] == least)
+            at = lines[hit // LINE] * LINE + hit % LINE
+            # of pairs that share a token every second is merged, beginning with the first
+            chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+            first = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            second, previous = after[at], before[at]
+            third = after[second]
+            joined = np.concatenate([[False], second[:-1] == previous[1:]])  # what stands before was merged just now
+            left = self.pairs.get(np.where(joined, least, np.where(previous >= 0, ids[previous], -1)).astype(np.int32), np.full(len(at), least))
+            right = self.pairs.get(np.full(len(at), least), ids[third])
+            lower = np.flatnonzero((left < least) | (right < least))
+            if len(lower):  # that pair comes first, then the others
+                at, second, previous, third, joined, left, right = (v[: lower[0] + 1] for v in (at, second, previous, third, joined, left, right))
+            ids[at], ids[second], rank[second] = least, -1, NONE
+            after[at], before[third] = third, at
+            rank[at] = right
+            rank[np.where(joined, np.concatenate([[0], at[:-1]]), previous)[joined | (previous >= 0)]] = left[joined | (previous >= 0)]
+            empty += len(at)
+            touched = np.unique(np.concatenate([at, second, previous[previous >= 0]]) // LINE)
+            low[touched] = rank.reshape(-1, LINE)[touched].min(1)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.tokens.gather(ids)[0].tobytes()
 
 
 class CachedBpe:
-    """Encodes texts; ids of pre-tokens are kept, ``most`` of them at most."""
+    """Encodes texts; ids of pre-tokens are kept, about ``most`` of them."""
 
     def __init__(self, blob: bytes, pattern: str, most: int):
-        self.bpe, self.most, self.kept = Bpe(blob, pattern), most, {}
-
-    def encode_texts(self, texts: list[str]) -> Iterator[list[int]]:
+        self.bpe, self.most = Bpe(blob, pattern), most
+        self._keep([], np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        self.place = dict(zip(pieces, range(len(pieces)), strict=True))
+        self.ids, self.n, self.start, self.used = ids, n, np.cumsum(n) - n, np.zeros(len(n), bool)
+
+    def _turn(self) -> None:
+        """The pre-tokens used since the last turn stay (none, if that is nearly all)."""
+        stay = np.flatnonzero(self.used)
+        if 4 * len(stay) > 3 * self.most:
+            stay = stay[:0]
+        names = list(self.place)
+        self._keep([names[i] for i in stay.tolist()], self.ids[_places(self.start[stay], self.n[stay])], self.n[stay])
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's end)."""
         pieces = [self.bpe.split(t) for t in texts]
-        new = set(chain.from_iterable(pieces)).difference(self.kept)
-        if len(self.kept) + len(new) > self.most:
-            self.kept.clear()
-            new = set(chain.from_iterable(pieces))
-        raw = {p: p.encode() for p in new}
-        ids = self.bpe.encode_pieces(set(raw.values()))
-        self.kept.update((p, ids[b]) for p, b in raw.items())
-        for row in pieces:
-            yield list(chain.from_iterable(map(self.kept.__getitem__, row)))
+        every = list(chain.from_iterable(pieces))
+        new = set(every).difference(self.place)
+        if len(self.place) + len(new) > self.most and self.place:
+            self._turn()
+            new = set(every).difference(self.place)
+        if new:
+            names = list(new)
+            ids, n = self.bpe.encode_pieces([p.encode() for p in names])
+            self.place.update(zip(names, range(len(self.n), len(self.n) + len(names)), strict=True))
+            self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+            self.start, self.used = np.cumsum(self.n) - self.n, np.concatenate([self.used, np.zeros(len(names), bool)])
+        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        self.used[at] = True
+        upto = np.concatenate([[0], np.cumsum(self.n[at])])
+        return self.ids[_places(self.start[at], self.n[at])], upto[np.cumsum([len(p) for p in pieces], dtype=np.int64)]
 
 
 def _coder(blob: bytes, pattern: str, most: int) -> CachedBpe:
@@ -193,16 +265,17 @@ def _load(docs: DataFrame, ranks_path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, most_cached: int = 150_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, most_cached: int = MOST) -> DataFrame:
     """doc_id and the array of ids of each text."""
     sent = _load(docs, ranks_path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent.value, pattern, most_cached)
         for whole in batches:
-            for batch in slices(whole, "text", 2_000_000):
-                ids = list(coder.encode_texts([t or "" for t in batch.column("text").to_pylist()]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast("int64"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for batch in slices(whole, "text", SLICE):
+                ids, end = coder.encode_texts([t or "" for t in batch.column("text").to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), "int32"), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast("int64"), lists], ["doc_id", "ids"])
 
     return map_batches(id_text(docs), "doc_id long, ids array<int>", work)
 
@@ -212,34 +285,39 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     sent = _load(encoded, ranks_path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _coder(sent.value, pattern, 250_000).bpe
+        bpe = _coder(sent.value, pattern, MOST).bpe
         for batch in batches:
-            out = [bpe.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
+            out = [bpe.decode(np.array(ids or (), np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast("int64"), pa.array(out, "binary")], ["doc_id", "decoded"])
 
     return map_batches(encoded.select("doc_id", "ids"), "doc_id long, decoded binary", work)
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, most_cached: int = 150_000) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, most_cached: int = MOST) -> DataFrame:
     """Encode, decode the ids, and return per document the count and the digests of both.
 
-    One pass: ids and decoded bytes of a text exist only while its row is worked on.
+    One pass: ids and decoded bytes of a text exist only while its slice of a batch is worked on.
     """
     sent = _load(docs, ranks_path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent.value, pattern, most_cached)
-        word, decode = coder.bpe.words.__getitem__, coder.bpe.decode
         for whole in batches:
-            for batch in slices(whole, "text", 2_000_000):
-                n, enc, dec = [], [], []
-                for ids in coder.encode_texts([t or "" for t in batch.column("text").to_pylist()]):
-                    n.append(len(ids))
-                    enc.append(sha256_hex(" ".join(map(word, ids)).encode()))
-                    dec.append(sha256_hex(decode(ids)))
+            for batch in slices(whole, "text", SLICE):
+                ids, end = coder.encode_texts([t or "" for t in batch.column("text").to_pylist()])
+                n = np.diff(end, prepend=0)
+                enc, dec = (digests(flat, ids, end, last) for flat, last in ((coder.bpe.decimals, 1), (coder.bpe.tokens, 0)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").cast("int64"), pa.array(n, "int64"), pa.array(enc, "string"), pa.array(dec, "string")],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
     return map_batches(id_text(docs), SCHEMA, work)
+
+
+def digests(flat: Flat, ids: np.ndarray, end: np.ndarray, less: int) -> list[str]:
+    """SHA-256 of each text's strings put together, without the last ``less`` bytes."""
+    data, upto = flat.gather(ids)
+    upto = np.concatenate([[0], upto])[np.concatenate([[0], end])].tolist()
+    view = data.data
+    return [sha256_hex(view[a : max(a, z - less)]) for a, z in zip(upto, upto[1:], strict=False)]

@@ -1,13 +1,17 @@
 """Removal of repeated 200-byte strings by bucket-pointer refinement over distributed buckets.
 
 A suffix matters here only up to its first 200 bytes, so sorting suffixes means finding which
-200-byte windows are equal. As in bucket-pointer refinement (Schuermann and Stoye, 2005) every offset starts in the bucket of
-its q-gram, and a bucket is refined by the bucket identifiers of later offsets, refined identifiers
-being used again for the next refinement:
+200-byte windows are equal. As in bucket-pointer refinement (Schuermann and Stoye, 2005) every offset
+points to its bucket, at first that of its q-gram (64 bytes); a bucket is refined by the buckets that later offsets
+point to, buckets with one member left take no further part, and refined buckets are what the next refinement uses:
 
     b0(p) bucket of the 64 bytes at p       b1(p) from b0(p), b0(p + 64): 128 bytes
     b2(p) from b1(p), b1(p + 72): 200 bytes
 
+A pointer is a 64-bit name of its bucket and not its place in a sorted array: names need no global order, so a bucket can be
+split over tasks, and a task finds equal members by a local sort before anything is shuffled. (Ranks of all offsets would take
+a shuffle of some 20 bytes for each byte of text in every round.)
+
 Sending every offset through a shuffle would take many times the input, so offsets are refined
 together as long as they agree:
 
@@ -18,19 +22,18 @@ together as long as they agree:
    that share all bytes with another are repeated as a whole.
 3. What is left are runs that share a bucket but not all bytes. Their windows are refined in groups
    of up to 16 with neighbouring distances from the anchor. The 185 bytes that all windows of such a group share
-   (its *core*) have an identifier too, from b1; if it is seen once, so are all windows of the group.
-   Windows of the other groups are refined one by one by b2, against each other and one representative
-   of each repeated run in the bucket. Windows that hold a 64-gram seen once in all texts are left out before: that is known of
+   (its *core*) refine the bucket by b1; where a refined bucket holds one group, its windows are unique.
+   The windows of the other groups refine that bucket once more, one by one by b2, against each other and one representative
+   of each repeated run. Windows that hold a 64-gram seen once in all texts are left out before: that is known of
    *markers*, 64-grams with an identifier below a threshold, which step 1 counts wherever they stand, anchors or not.
 
 Counts are combined in each batch before any shuffle, so a string that a third of all documents hold is one
-row per batch. Identifiers are 64-bit hashes; a window is identified by its bucket and b2, 128 bits
-together. Texts are shuffled once for step 3 and once to remove.
+row per batch. A window is named by its refined bucket and b2, 128 bits together. Texts are shuffled once for step 3 and once to remove.
 
 Defined cases: null or empty texts have no bytes; a text under 200 bytes loses none; repeated rows
 repeat each other's strings and lose them; a null doc_id is a value like any other; an empty table
-gives an empty result; other columns are ignored. (Rows with one doc_id and different texts are told apart by 25 bits
-of the text's hash.)
+gives an empty result; other columns are ignored. A row is named by doc_id and a 64-bit hash of its text, so rows with
+one doc_id, or all with none, are told apart; texts may have up to 2**31 bytes.
 """
 
 from __future__ import annotations
@@ -51,10 +54,10 @@ LENGTH, GRAM = 200, 64
 SPREAD = LENGTH - GRAM + 1  # 64-grams in a window, and the most windows in a run
 MARK = np.uint64(2**64 // 64)  # a 64-gram with an identifier below is a marker wherever it stands
 PIECE = 1_000_000
-VERSION_BITS = 25
 TOGETHER = 16  # windows in a group; its core has LENGTH - TOGETHER + 1 bytes
-GROUPS = "doc_id long, at long, bucket long, core long, weight int, twice int, finer array<long>, n long"
-RUNS = "doc_id long, at long, bucket long, finer long, weight int"
+GROUPS = "doc_id long, version long, at long, bucket long, core long, weight int, twice int, finer array<long>, n long"
+ROW = ["doc_id", "version"]
+RUNS = "doc_id long, version long, at long, bucket long, finer long, weight int"
 CUTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -136,16 +139,12 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, bytes]]]:
         yield out
 
 
-def _packed(version: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return ((version.astype(np.uint64) << np.uint64(39)) | (start.astype(np.uint64) << np.uint64(8)) | n.astype(np.uint64)).view(np.int64)
-
-
-def _version_of(at: Column) -> Column:
-    return F.shiftrightunsigned(at, 39)
+def _packed(start: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    return (start.astype(np.int64) << 8) | n
 
 
 def _start_of(at: Column) -> Column:
-    return F.shiftright(at, 8).bitwiseAND(F.lit(2**31 - 1))
+    return F.shiftright(at, 8)
 
 
 def _counted(key1: np.ndarray, key2: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,12 +168,16 @@ def _merged(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return row[first], start[first], start[last] + n[last] - start[first]
 
 
+def _rows_of(batch: pa.RecordBatch, row: np.ndarray) -> list[pa.Array]:
+    """doc_id and version of a batch's rows."""
+    return [batch.column("doc_id").cast("int64").take(pa.array(row)), batch.column("version").take(pa.array(row))]
+
+
 def _emit(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, n: np.ndarray, bucket: np.ndarray | None, finer: np.ndarray, weight: np.ndarray | int) -> pa.RecordBatch:
-    version = np.asarray(batch.column("version"))
-    at = _packed(version[row], start, n if bucket is not None else np.zeros(len(row), np.int64))
+    at = _packed(start, n if bucket is not None else 0)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id").cast("int64").take(pa.array(row)), pa.array(at), pa.nulls(len(row), "int64") if bucket is None else pa.array(bucket.view(np.int64)), pa.array(finer.astype(np.int64) if bucket is None else finer.view(np.int64)), pa.array(np.broadcast_to(weight, len(row)).astype(np.int32))],
-        ["doc_id", "at", "bucket", "finer", "weight"],
+        [*_rows_of(batch, row), pa.array(at), pa.nulls(len(row), "int64") if bucket is None else pa.array(bucket.view(np.int64)), pa.array(finer.astype(np.int64) if bucket is None else finer.view(np.int64)), pa.array(np.broadcast_to(weight, len(row)).astype(np.int32))],
+        ["doc_id", "version", "at", "bucket", "finer", "weight"],
     )
 
 
@@ -255,18 +258,18 @@ def _grouped(batch: pa.RecordBatch, r: Runs, at: np.ndarray, run: np.ndarray, we
     values = pa.array(finer.view(np.int64)[full[group]], mask=~stays[full[group]])
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[full])]), "int32"), values)
     keep = first[full]
-    version, row = np.asarray(batch.column("version")), r.row[run]
-    packed = _packed(version[row[keep]], (at + r.base[run])[keep], np.zeros(len(keep), np.int64))
+    row = r.row[run]
+    packed = _packed((at + r.base[run])[keep], 0)
     yield pa.RecordBatch.from_arrays(
-        [batch.column("doc_id").cast("int64").take(pa.array(row[keep])), pa.array(packed), pa.array(bucket[keep].view(np.int64)), pa.array(core[full].view(np.int64)), pa.array(np.minimum(cores[full], 2).astype(np.int32)), pa.array(twice[full]), lists, pa.nulls(len(keep), "int64")],
-        ["doc_id", "at", "bucket", "core", "weight", "twice", "finer", "n"],
+        [*_rows_of(batch, row[keep]), pa.array(packed), pa.array(bucket[keep].view(np.int64)), pa.array(core[full].view(np.int64)), pa.array(np.minimum(cores[full], 2).astype(np.int32)), pa.array(twice[full]), lists, pa.nulls(len(keep), "int64")],
+        ["doc_id", "version", "at", "bucket", "core", "weight", "twice", "finer", "n"],
     )
     if known.any():
         rows, starts, k = _merged(row[known], (at + r.base[run])[known], np.ones(known.sum(), np.int64))
         none = {t: pa.nulls(len(rows), t) for t in ("int64", "int32")}
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast("int64").take(pa.array(rows)), pa.array(_packed(version[rows], starts, np.zeros(len(rows), np.int64))), none["int64"], none["int64"], none["int32"], none["int32"], pa.nulls(len(rows), pa.list_(pa.int64())), pa.array(k.astype(np.int64))],
-            ["doc_id", "at", "bucket", "core", "weight", "twice", "finer", "n"],
+            [*_rows_of(batch, rows), pa.array(_packed(starts, 0)), none["int64"], none["int64"], none["int32"], none["int32"], pa.nulls(len(rows), pa.list_(pa.int64())), pa.array(k.astype(np.int64))],
+            ["doc_id", "version", "at", "bucket", "core", "weight", "twice", "finer", "n"],
         )
 
 
@@ -311,35 +314,35 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     several = cut(keyed.groupBy("bucket").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket"), "substring-several")
     left = cut(keyed.filter(F.col("at").bitwiseAND(F.lit(255)) > 0).join(several, "bucket", "left_semi"), "substring-left")
     done_with(runs, several)
-    mark = F.xxhash64("doc_id", "at")
+    mark = F.xxhash64(*ROW, "at")
     spans = cut(left.groupBy("bucket", "finer").agg(F.sum("weight").alias("w"), F.min(mark).alias("rep")), "substring-spans")
     kinds = spans.join(cut(spans.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_spans")), "substring-kinds"), "bucket")
     kind = F.when(F.col("w") < 2, 2).when((F.col("n_spans") > 1) & (mark == F.col("rep")), 1).otherwise(0)
-    judged = cut(left.join(kinds, ["bucket", "finer"]).select("doc_id", "at", kind.alias("kind")), "substring-judged")
+    judged = cut(left.join(kinds, ["bucket", "finer"]).select(*ROW, "at", kind.alias("kind")), "substring-judged")
     done_with(spans, left)
 
-    at, version = F.col("at"), _version_of(F.col("at")).alias("version")
-    whole = judged.select("doc_id", version, (_start_of(at) * 4 + F.col("kind")).alias("shared"), F.lit(None).cast("long").alias("known"), F.col("kind"))
-    local = stretch.select("doc_id", version, F.lit(None).cast("long").alias("shared"), (_start_of(at) * 2**32 + F.col("finer")).alias("known"), F.lit(0).alias("kind"))
-    todo = whole.unionByName(local).groupBy("doc_id", "version").agg(F.collect_list("shared").alias("shared"), F.collect_list("known").alias("known"), F.max("kind").alias("kind")).filter("kind > 0").drop("kind")
+    at = F.col("at")
+    whole = judged.select(*ROW, (_start_of(at) * 4 + F.col("kind")).alias("shared"), F.lit(None).cast("long").alias("known"), F.col("kind"))
+    local = stretch.select(*ROW, F.lit(None).cast("long").alias("shared"), (_start_of(at) * 2**32 + F.col("finer")).alias("known"), F.lit(0).alias("kind"))
+    todo = whole.unionByName(local).groupBy(*ROW).agg(F.collect_list("shared").alias("shared"), F.collect_list("known").alias("known"), F.max("kind").alias("kind")).filter("kind > 0").drop("kind")
     loaded = _on_rows(docs, todo, "inner")
     groups = cut(map_batches(loaded.select("doc_id", "version", "text", "shared", "known"), GROUPS, _windows), "substring-groups")
-    grouped, shown = groups.filter("bucket IS NOT NULL"), cut(groups.filter("bucket IS NULL").select("doc_id", "at", "n"), "substring-shown")
+    grouped, shown = groups.filter("bucket IS NOT NULL"), cut(groups.filter("bucket IS NULL").select(*ROW, "at", "n"), "substring-shown")
     free(docs.sparkSession)
     cores = cut(grouped.groupBy("bucket", "core").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket", "core"), "substring-cores")
-    each = grouped.select("doc_id", "at", "bucket", "core", "twice", "finer").join(cores, ["bucket", "core"], "left_semi").select("doc_id", "at", "bucket", "twice", F.posexplode("finer").alias("place", "finer")).filter("finer IS NOT NULL")
-    single = cut(each.select("doc_id", (at + F.col("place") * 256).alias("at"), "bucket", "finer", F.expr("1 + (shiftright(twice, place) & 1)").alias("weight")), "substring-windows")
+    each = grouped.select(*ROW, "at", "bucket", "core", "twice", "finer").join(cores, ["bucket", "core"], "left_semi").select(*ROW, "at", F.xxhash64("bucket", "core").alias("bucket"), "twice", F.posexplode("finer").alias("place", "finer")).filter("finer IS NOT NULL")
+    single = cut(each.select(*ROW, (at + F.col("place") * 256).alias("at"), "bucket", "finer", F.expr("1 + (shiftright(twice, place) & 1)").alias("weight")), "substring-windows")
     done_with(groups, cores)
     twice = cut(single.groupBy("bucket", "finer").agg(F.sum("weight").alias("w")).filter("w > 1").select("bucket", "finer"), "substring-twice")
     matched = single.filter("weight = 1").join(twice, ["bucket", "finer"], "left_semi")
 
     def stretches(rows: DataFrame, n: Column) -> DataFrame:
-        return rows.select("doc_id", version, (_start_of(at) * 2**32 + n).alias("found"))
+        return rows.select(*ROW, (_start_of(at) * 2**32 + n).alias("found"))
 
     found = stretches(judged.filter("kind < 2"), at.bitwiseAND(F.lit(255)))
     for more in (stretches(stretch, F.col("finer")), stretches(shown, F.col("n")), stretches(matched, F.lit(1))):
         found = found.unionByName(more)
-    found = cut(found.groupBy("doc_id", "version").agg(F.collect_list("found").alias("found")), "substring-found")
+    found = cut(found.groupBy(*ROW).agg(F.collect_list("found").alias("found")), "substring-found")
     done_with(single, judged, stretch, shown, twice)
     return found
 
@@ -359,7 +362,7 @@ def _on_rows(docs: DataFrame, more: DataFrame, how: str) -> DataFrame:
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``."""
-    docs = id_text(docs).withColumn("version", F.xxhash64("text").bitwiseAND(F.lit(2**VERSION_BITS - 1)))
+    docs = id_text(docs).withColumn("version", F.xxhash64("text"))
     found = repeated_windows(docs)
     return map_batches(_on_rows(docs, found, "left").select("doc_id", "text", "found"), CUTS, _cut_out)
 

@@ -92,6 +92,24 @@ def test_bpe_is_the_library(spark, texts):
     assert bpe.bpe_round_trip(empty(spark), RANKS, PATTERN).count() == 0
 
 
+def test_bpe_of_wide_pre_tokens_and_long_texts(spark):
+    """Pre-tokens of many lines of the matrix, runs that chain, and a text of over 2 MB."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(letters) for _ in range(n)) for letters in ("a", "ab", "abc", "etaoins", "abcdefghijklmnopqrstuvwxyz", "aé日ж") for n in (255, 256, 257, 513, 5000)]
+    texts += ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "e" * 1_200_000, "some words and 12 numbers. " * 90_000]
+    rows = [(None if i % 3 == 0 else 5, t) for i, t in enumerate(texts)] * 2  # no id, one id, repeated rows
+    got = Counter(tuple(r) for r in bpe.bpe_round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), RANKS, PATTERN, most_cached=50).collect())
+    want = Counter()
+    for i, t in rows:
+        ids = [x for piece in re.findall("[^ ]+", t) for x in library._encode_single_piece(piece.encode())] if " " not in t else library.encode_ordinary(t)
+        want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+    assert got == want
+
+
 # 3
 
 
@@ -370,6 +388,28 @@ def test_substring_dedup_is_brute_force(spark, monkeypatch):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+def test_substring_dedup_tells_rows_apart(spark):
+    """Rows without doc_id, and rows of one doc_id: names of rows must not run into each other."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(40))
+    texts = [" ".join(word() for _ in range(33)) for _ in range(3000)] + [f"{word()} {passage} {word()}" for _ in range(5)] + [None, "", passage, passage]
+    ids = [None if i % 2 else 7 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, version string").repartition(4)
+    got = sorted((r.doc_id or 0, *tuple(r)[1:]) for r in substring_dedup.substring_dedup(df).collect())
+    assert got == sorted((i or 0, *w) for i, w in zip(ids, substring_dedup.brute_force(texts), strict=True))
+
+
+def test_substring_dedup_of_very_long_texts(spark):
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("abcdef ") for _ in range(1_200_000))
+    texts = [base[:1_100_000], base[1_000_000:], "z" * 1_050_000, base[500_000:500_300]]
+    got = by_id(substring_dedup.substring_dedup(frame(spark, texts, 2)))
+    kept = [base[:500_000] + base[500_300:1_000_000], base[1_100_000:], "", ""]
+    assert [got[i].n_removed for i in range(4)] == [len(t) - len(k) for t, k in zip(texts, kept, strict=True)]
+    assert [got[i].kept_sha256 for i in range(4)] == [hashlib.sha256(k.encode()).hexdigest() for k in kept]
+
+
 def test_long_texts_are_cut_into_pieces(monkeypatch):
     monkeypatch.setattr(substring_dedup, "PIECE", 500)
     import pyarrow as pa

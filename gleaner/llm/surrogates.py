@@ -13,14 +13,17 @@
    grouping and length of numbers stay.
 
 Kinds: e-mail (an address under example.com/.org/.net), telephone, IPv4, card (first digit kept,
-valid check digit), social security number, IBAN, access key, secret value (hexadecimal stays so), and names after a
+valid check digit), social security number, IBAN (valid check digits), access key, secret value (hexadecimal stays so), and names after a
 form of address: given names keep the gender it states, name parts their script (Latin or Cyrillic).
 
 Skew: an entity that a third of all documents hold is one row of the table of distinct bodies (map-side
 combination), and the join back can split it. Texts are shuffled once, to meet their replaced pieces.
 
+A secret's letters are drawn from their script and case (accented Latin, Cyrillic, Greek, Arabic, Hebrew, kana, Han, Hangul; others become
+small Latin letters), its digits from digits; its other characters stay, unless it has nothing else (``********``): then symbols are drawn.
+
 Defined cases: a null text stays null with 0 entities, an empty one empty; a null doc_id is a value
-like any other; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
+like any other; repeated rows, and rows without doc_id, get their texts' own results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,6 +87,29 @@ def pieces_of(entity: Column, kind: Column) -> Column:
     )
 
 
+#: Letters that take the place of letters of their script and case (of a script without a list: small Latin letters).
+ALPHABETS = {
+    "[0-9]": "0123456789",
+    "[a-z]": "abcdefghijklmnopqrstuvwxyz",
+    "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    r"[\p{IsLatin}&&\p{Lu}]": "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ",
+    r"\p{IsLatin}": "àáâãäåçèéêëìíîïñòóôõöùúûüý",
+    r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ",
+    r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя",
+    r"[\p{IsGreek}&&\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+    r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω",
+    r"\p{IsArabic}": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    r"\p{IsHebrew}": "אבגדהוזחטיכלמנסעפצקרשת",
+    r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてとなにぬねの",
+    r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテトナニヌネノ",
+    r"\p{IsHan}": "一丁七上下中久之五人今元入八公六共力十千口右四土大天女子小山川工左市年文方日月木本水火王田石立竹米羊見言足車金門青音",
+    r"\p{IsHangul}": "가나다라마바사아자차카타파하거너더러머버서어저처",
+    r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
+}
+SYMBOLS = "!#$%&*+-./:=?@^_~"
+DRAWN = r"[0-9\p{L}]"
+
+
 def _draw(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """array<int>: at least 16 keyed bytes, and one for each character of the normal form."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(norm) / 32).cast("int")), lambda b: F.sha2(F.concat_ws("\u0000", F.lit(key), kind, norm, attempt.cast("string"), b.cast("string")), 256))
@@ -94,49 +120,74 @@ def _pick(alphabet: str, at: Column) -> Column:
     return F.substring(F.lit(alphabet), at % len(alphabet) + 1, F.lit(1))
 
 
-def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """The core of a surrogate: what takes the place of a normal form."""
-    raw = _draw(key, kind, norm, attempt)
-    each = F.slice(raw, F.lit(1), F.length(norm))  # drawn once, not once for each character
+def _swapped(c: Column, r: Column) -> Column:
+    out = None
+    for pattern, letters in ALPHABETS.items():
+        test = c.rlike(pattern)
+        out = F.when(test, _pick(letters, r)) if out is None else out.when(test, _pick(letters, r))
+    return out.otherwise(c)
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder of a number whose digits are A = 10 to Z = 35 and 0 to 9."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda s, c: F.when(c.rlike("[A-Z]"), (s * 100 + F.ascii(c) - 55) % 97).otherwise((s * 10 + F.ascii(c) - 48) % 97))
+
 
-    def swapped(c: Column, r: Column) -> Column:
-        return (
-            F.when(c.rlike("[0-9]"), _pick("0123456789", r)).when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", r))
-            .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r)).otherwise(c)
-        )
+def with_core(bodies: DataFrame, key: str) -> DataFrame:
+    """``bodies`` (kind, norm, attempt) with ``core``, the surrogate of that attempt.
 
+    Draws are columns of their own, so that each is made once for a row and not once for each use. With more attempts a
+    surrogate grows, so that no form runs out: secrets, keys and addresses from the fifth on, numbers from the ninth.
+    """
+    kind, norm, attempt, raw, same, digits = (F.col(c) for c in ("kind", "norm", "attempt", "raw", "same", "digits"))
+    bodies = bodies.withColumn("raw", _draw(key, kind, norm, attempt))
+    each = F.slice(raw, F.lit(1), F.length(norm))
+    swapped = F.array_join(F.zip_with(F.split(norm, ""), each, _swapped), "")
     hexed = F.array_join(F.transform(each, lambda r: _pick("0123456789abcdef", r)), "")
-    same = F.when(norm.rlike("^[0-9a-f]++$"), hexed).otherwise(F.array_join(F.zip_with(F.split(norm, ""), each, swapped), ""))
-    digits = F.array_join(F.transform(each, lambda r: _pick("0123456789", r)), "")
-    local, domain = F.substring_index(same, "@", 1), F.substring_index(same, "@", -1)
-    tld = F.substring_index(norm, ".", -1)
-    # with more attempts an address grows, so that short local parts don't run out
-    email = F.concat(local, F.when(attempt > 3, F.substring(F.sha2(F.concat(F.lit(key), norm, attempt.cast("string")), 256), F.lit(1), 1 + attempt)).otherwise(""), F.lit("@"), F.regexp_replace(domain, r"[^.]+\.[^.]+$", ""), F.lit("example."), F.when(tld.isin("com", "org", "net"), tld).otherwise("com"))
+    signs = F.array_join(F.transform(each, lambda r: _pick(SYMBOLS, r)), "")
+    drawn = F.when(norm.rlike("^(?=.*[a-f])[0-9a-f]++$"), hexed).when(norm.rlike(DRAWN), swapped).otherwise(signs)
+    numbers = F.array_join(F.transform(each, lambda r: _pick("0123456789", r)), "")
+    more = F.array_join(F.transform(F.slice(raw, F.lit(1), F.greatest(attempt - 4, F.lit(0))), lambda r: _pick("0123456789abcdef", r)), "")
+    bodies = bodies.withColumns({"same": F.when(kind.isin("secret", "hex", "email", "key", "iban"), drawn), "digits": F.when(kind.isin("phone", "ssn", "card"), numbers), "more": F.substring(more, 1, 12)})
+    return bodies.withColumn("core", _core(kind, norm, attempt, raw, same, digits, F.col("more"))).drop("raw", "same", "digits", "more")
+
+
+def _core(kind: Column, norm: Column, attempt: Column, raw: Column, same: Column, digits: Column, more: Column) -> Column:
+    """The core of a surrogate: what takes the place of a normal form."""
+    grown = F.translate(F.when(attempt > 8, more).otherwise(""), "abcdef", "012345")  # digits that a number gains
+    first = (F.get(raw, F.lit(15)) % 9 + 1).cast("string")
+    local, domain, tld = F.substring_index(same, "@", 1), F.substring_index(same, "@", -1), F.substring_index(norm, ".", -1)
+    email = F.concat(local, more, F.lit("@"), F.regexp_replace(domain, r"[^.]+\.[^.]+$", ""), F.lit("example."), F.when(tld.isin("com", "org", "net"), tld).otherwise("com"))
     plus = F.when(F.substring(norm, 1, 1) == "+", 1).otherwise(0)
-    phone = F.concat(F.substring(norm, F.lit(1), 1 + plus), F.when(F.length(norm) > 1 + plus, (F.get(raw, F.lit(15)) % 9 + 1).cast("string")).otherwise(""), F.substring(digits, 3 + plus, F.length(norm)))
-    phone = F.when(plus == 1, phone).otherwise(F.concat((F.get(raw, F.lit(15)) % 9 + 1).cast("string"), F.substring(digits, F.lit(2), F.length(norm))))
+    phone = F.concat(F.substring(norm, F.lit(1), 1 + plus), F.when(F.length(norm) > 1 + plus, first).otherwise(""), F.substring(digits, 3 + plus, F.length(norm)))
+    phone = F.when(plus == 1, phone).otherwise(F.concat(first, F.substring(digits, F.lit(2), F.length(norm))))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.get(raw, i) % 254 + 1).cast("string")), ".")
-    stem = F.concat(F.substring(norm, 1, 1), F.substring(digits, F.lit(2), F.length(norm) - 2))
+    ip = F.when(attempt > 20, F.concat(F.lit("2001:db8::"), more)).otherwise(ip)  # more addresses than the form has
+    stem = F.concat(F.substring(norm, 1, 1), F.substring(digits, F.lit(2), F.length(norm) - 2), grown)
     n = F.length(stem)
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + F.when((n - i) % 2 == 0, _doubled(F.substring(stem, i, F.lit(1)).cast("int"))).otherwise(F.substring(stem, i, F.lit(1)).cast("int")))
+    total = F.aggregate(F.split(stem, ""), F.struct(F.lit(0).alias("i"), F.lit(0).alias("s")), lambda a, c: F.struct((a["i"] + 1).alias("i"), (a["s"] + F.when((n - a["i"]) % 2 == 1, _doubled(c.cast("int"))).otherwise(c.cast("int"))).alias("s")))["s"]
     card = F.concat(stem, ((10 - total % 10) % 10).cast("string"))
+    country, account = F.substring(norm, 1, 2), F.concat(F.substring(same, F.lit(5), F.length(norm)), F.translate(F.when(attempt > 8, more).otherwise(""), "abcdef", "ABCDEF"))
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
+    size = F.least(F.lit(12), 4 + attempt)
 
-    def syllables(first: int, count: Column) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.when(cyrillic, F.get(F.array(*map(F.lit, CYRILLIC)), F.get(raw, i + first) % 16)).otherwise(F.get(F.array(*map(F.lit, LATIN)), F.get(raw, i + first) % 16))), "")
+    def syllables(parts: list[str]) -> Column:
+        sounds = F.array(*map(F.lit, parts))
+        return F.array_join(F.transform(F.slice(raw, F.lit(1), size), lambda r: F.get(sounds, r % 16)), "")
 
-    size = F.least(F.lit(12), 4 + attempt)
     end = {"given_m": ("n", "н"), "given_f": ("na", "на"), "given": ("l", "ль"), "surname": ("r", "р")}
+    stem_of_name = F.when(cyrillic, syllables(CYRILLIC)).otherwise(syllables(LATIN))
     name = None
     for k, (latin, slav) in end.items():
-        value = F.initcap(F.concat(syllables(0, size), F.when(cyrillic, slav).otherwise(latin)))
+        value = F.initcap(F.concat(stem_of_name, F.when(cyrillic, slav).otherwise(latin)))
         name = F.when(kind == k, value) if name is None else name.when(kind == k, value)
     return (
-        F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card)
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, F.lit(2), F.length(norm))))
-        .when(kind == "key", F.concat(F.substring(norm, 1, 4), F.substring(same, F.lit(5), F.length(norm))))
-        .when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(same, F.lit(3), F.length(norm))))
-        .when(kind.isin(*end), name).otherwise(same)
+        F.when(kind == "email", email).when(kind == "phone", F.concat(phone, grown)).when(kind == "ip", ip).when(kind == "card", card)
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, F.lit(2), F.length(norm)), grown))
+        .when(kind == "key", F.concat(F.substring(norm, 1, 4), F.upper(F.substring(same, F.lit(5), F.length(norm))), F.upper(more)))
+        .when(kind == "iban", iban)
+        .when(kind.isin(*end), name).otherwise(F.concat(same, more))
     )
 
 
@@ -145,31 +196,38 @@ def _doubled(d: Column) -> Column:
 
 
 def poured(kind: Column, body: Column, core: Column) -> Column:
-    """A surrogate's core in the written form of the body."""
+    """A surrogate's core in the written form of the body; what the core has more comes last."""
     bare = F.regexp_replace(core, "[^A-Za-z0-9]", "")
-    spread = F.array_join(F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.when(F.substring(body, i, F.lit(1)).rlike("[A-Za-z0-9]"), F.substring(bare, F.length(F.regexp_replace(F.substring(body, F.lit(1), i), "[^A-Za-z0-9]", "")), F.lit(1))).otherwise(F.substring(body, i, F.lit(1)))), "")
+    filled = F.aggregate(
+        F.split(body, ""), F.struct(F.lit(1).alias("next"), F.lit("").alias("out")),
+        lambda a, c: F.when(c.rlike("[A-Za-z0-9]"), F.struct((a["next"] + 1).alias("next"), F.concat(a["out"], F.substring(bare, a["next"], F.lit(1))).alias("out"))).otherwise(F.struct(a["next"].alias("next"), F.concat(a["out"], c).alias("out"))),
+        lambda a: F.concat(a["out"], F.substring(bare, a["next"], F.length(bare))),
+    )
     shouted = (F.length(body) > 1) & (body == F.upper(body)) & (body != F.lower(body))
-    return F.when(kind.isin("phone", "ssn", "card", "iban"), spread).when(kind.isin("email", "given", "given_m", "given_f", "surname") & shouted, F.upper(core)).otherwise(core)
+    return F.when(kind.isin("phone", "ssn", "card", "iban"), filled).when(kind.isin("email", "given", "given_m", "given_f", "surname") & shouted, F.upper(core)).otherwise(core)
+
 
+def surrogate_table(bodies: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, core) of distinct (kind, norm), no two of a kind with one core and none that is itself a norm.
 
-def surrogate_table(bodies: DataFrame, key: str, most_attempts: int = 60) -> DataFrame:
-    """(kind, norm, core) of distinct (kind, norm), no two of a kind with one core and none that is itself a norm."""
-    kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
-    # few bytes but much work a row, so the number of parts is given rather than left to their size
-    spread = bodies.distinct().repartition(int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "norm")
-    table = cut(spread.withColumn("attempt", F.lit(0)).withColumn("core", surrogate(key, kind, norm, attempt)), "surrogates")
+    Only entities whose surrogate clashes are drawn again, each at its own next attempt; surrogates grow, so the rounds end.
+    """
+    attempt = F.col("attempt")
+    # few bytes but much work a row, so the number of parts is given; of a hash, as ``distinct`` has dealt by the columns already
+    n = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = bodies.distinct().repartition(n, F.xxhash64("kind", "norm")).withColumn("attempt", F.lit(0))
+    table = cut(with_core(spread, key), "surrogates")
     real = table.select("kind", F.when(F.col("kind").isin("given", "given_m", "given_f", "surname"), F.initcap("norm")).otherwise(F.col("norm")).alias("core")).distinct()
     real = cut(real, "surrogate-norms")
-    for _ in range(most_attempts):
+    while True:
         shared = table.groupBy("kind", "core").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "norm")).alias("keep")).filter("n > 1")
         clash = table.join(shared.select("kind", "core", "keep"), ["kind", "core"]).filter(F.struct("attempt", "norm") != F.col("keep")).select("kind", "norm")
         taken = table.join(real, ["kind", "core"], "left_semi").select("kind", "norm")
         again = cut(clash.unionByName(taken).distinct(), "surrogate-clashes")
         if again.isEmpty():
             return table.select("kind", "norm", "core")
-        fresh = table.join(again, ["kind", "norm"], "left_semi").withColumn("attempt", attempt + 1).withColumn("core", surrogate(key, kind, norm, attempt))
-        table = cut(table.join(again, ["kind", "norm"], "left_anti").unionByName(fresh), "surrogates")
-    raise ValueError("a kind has more distinct entities than its format has surrogates")
+        fresh = with_core(table.join(again, ["kind", "norm"], "left_semi").select("kind", "norm", (attempt + 1).alias("attempt")).repartition(n, F.xxhash64("kind", "norm")), key)
+        table = cut(table.join(again, ["kind", "norm"], "left_anti").unionByName(fresh.select(*table.columns)), "surrogates")
 
 
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:

@@ -249,6 +249,59 @@ def test_surrogates_leave_no_rest_of_long_entities(spark):
     assert got[3].text.startswith("Sr. ") and got[3].text.endswith(" vive") and len(got[3].text.split()) == 6
 
 
+def test_surrogates_of_secrets_in_any_characters(spark):
+    secrets = ["********", "пароль12Ж", "pässwörtß1", "αβγδεζ", "日本語日本語日本", "😀😀😀😀😀😀", "123456", "a!!!!!", "12-34_56", "********"]
+    rows = [(None if i % 2 else 4, f"password: {s} x") for i, s in enumerate(secrets)] + [(4, "password: 123456 x")] * 2
+    out = surrogates.with_surrogates(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    new = [r.text.removeprefix("password: ").removesuffix(" x") for r in out]
+    assert all(n != s and len(n) >= len(s) for n, s in zip(new, secrets, strict=False))
+    classes = [r"[^\w\s]{8}", r"[а-яА-Я]{6}\d\d[А-Я]", r"p?\w{10}", "[α-ω]{6}", r"\w{8}", r"[^\w\s]{6}", r"\d{6}", r"[a-z]!{5}", r"\d\d-\d\d_\d\d"]
+    assert all(re.fullmatch(c, n) for c, n in zip(classes, new, strict=False)), new
+    assert new[0] == new[9] and new[6] == new[10] == new[11]
+    assert not set("äöß") & {c for c, o in zip(new[2], secrets[2], strict=True) if c == o}
+    same = surrogates.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k")
+    assert Counter(r.text for r in same.collect()) == Counter(r.text for r in out)  # neither ids nor their lack matter
+
+
+def test_surrogates_grow_where_a_form_runs_out(spark):
+    rows = [("secret", c) for c in "0123456789"] + [("ssn", f"9{c}") for c in "0123456789"] + [("ip", "1.2.3.4"), ("card", "4111"), ("iban", "DE89370400440532013000")]
+    core = {(r.kind, r.norm): r.core for r in surrogates.surrogate_table(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()}
+    assert len(core) == len(rows) == len(set(core.values())) and not {(k, c) for (k, _), c in core.items()} & set(rows)
+    number = core["iban", "DE89370400440532013000"]
+    assert number[:2] == "DE" and len(number) == 22 and int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
+def test_surrogates_are_brute_force(spark, texts):
+    """Against a plain search with the same patterns: what is found, what stays, one surrogate for one entity, none shared."""
+    import regex
+
+    find = regex.compile("|".join(f"(?P<{k}>{p.replace('IsCyrillic', 'Cyrillic')})" for k, p in surrogates.PATTERNS.items()))
+    own = [None, "", "Frau Müller and Herr Müller, Dr. Frau", "a@b.co a@B.CO c@b.co", "192.168.1.1 or 192.168.1.2"]
+    texts = own + texts
+    got = by_id(surrogates.with_surrogates(frame(spark, texts), "k"))
+    new_of, old_of, total = {}, {}, 0
+    for i, text in enumerate(texts):
+        found = list(find.finditer(text or ""))
+        total += len(found)
+        assert (got[i].n_entities, got[i].kinds) == (len(found), ",".join(sorted({m.lastgroup for m in found})))
+        rest, at = [], 0
+        for m in found:
+            rest.append(regex.escape(text[at : m.start()]))
+            at = m.end()
+        if text is None:
+            assert got[i].text is None
+            continue
+        shown = regex.fullmatch("(.+?)".join([*rest, regex.escape(text[at:])]), got[i].text, flags=regex.DOTALL)
+        assert shown, i
+        for m, new in zip(found, shown.groups(), strict=True):
+            if m.lastgroup in ("email", "ip", "key", "hex"):
+                old = m[0].lower() if m.lastgroup == "email" else m[0]
+                assert new_of.setdefault(old, new.lower() if m.lastgroup == "email" else new) in (new, new.lower())
+                assert old_of.setdefault((m.lastgroup, new_of[old]), old) == old
+            assert m.lastgroup == "name" or new != m[0]
+    assert total > 20 and not set(new_of) & set(new_of.values())
+
+
 # 6
 
 

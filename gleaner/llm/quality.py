@@ -4,15 +4,16 @@ A document is a bag of passages of ``WORDS`` words. Every passage of the whole t
 (surface features, one tanh layer), a gated attention weighs the passages, and a logistic unit
 scores the weighted sum. All weights are learned together from document labels by Adam.
 
-Fitting takes a bounded sample of labelled documents (``most_docs``, those with the least hash of
-doc_id, ``most_passages`` passages of each at most, chosen by hash); scoring reads every
-passage of every document, in one pass without a shuffle.
+Fitting takes a bounded sample of labelled rows: at most ``most_docs`` of them, those with the least hash of doc_id, and of these, in that
+order, the documents whose passages together number ``most_passages`` at most. A document takes part with every passage
+or not at all. Scoring reads every passage of every document, in one pass without a shuffle.
 
 Held out is what ``crc32(doc_id as text) % folds == 0`` names; such rows never reach the fit. Labels, lang,
 source and doc_id are no inputs of a score.
 
 Defined cases: a null or empty text is one empty passage and gets a score; null labels and labels
-of unknown documents teach nothing; repeated labels of a document count once (the larger); without
+of unknown documents teach nothing; repeated labels of a document count once (the larger), of a doc_id with several texts one (of least
+hash) teaches; a score equal to the threshold is good; without
 any label the score is 0.5; a null doc_id isn't held out; repeated rows are scored each by itself; other columns are ignored.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import id_text, map_batches, slices
 from gleaner.llm.shingles import BLANK, mix, word_hashes
+from gleaner.session import cut, done_with
 
 WORDS = 64
 BINS = 32
@@ -63,7 +65,8 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     # bytes belong to the passage of the last word that began before them
     begun = np.zeros(len(b), np.int64)
     begun[start] = 1
-    piece = bag[np.maximum(np.cumsum(begun) - 1, 0)]
+    piece = np.concatenate([[0], bag])[np.cumsum(begun)]
+    piece = np.maximum(piece, np.repeat(bag_at[:-1], size))  # before a text's first word: its first passage
     long = np.maximum(np.bincount(piece, minlength=total), 1)
     x[:, :9] = np.bincount(piece * 9 + _CLASS[b], minlength=total * 9).reshape(total, 9) / long[:, None]
     x[:, 9] = np.log1p(count)
@@ -80,7 +83,9 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return np.stack([np.bincount(g[fresh], minlength=total) / some, top / some])
 
     x[:, 11:13] = distinct(hashes).T
-    pair = mix(hashes ^ np.roll(hashes, -1) * np.uint64(3))
+    follower = np.roll(hashes, -1)
+    follower[bounds[1:][n_words > 0] - 1] = 0  # a text's last word has none, whatever text comes next
+    pair = mix(hashes ^ follower * np.uint64(3))
     x[:, 13:15] = distinct(pair).T
     same = np.zeros(len(hashes))
     same[1:] = (hashes[1:] == hashes[:-1]) & (bag[1:] == bag[:-1])
@@ -152,31 +157,35 @@ def held_out(folds: int, remainder: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == remainder, F.lit(False))
 
 
-def _bags(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 2_000_000):
             x, owner = passages(part.column("text").to_pylist())
-            out = []
-            for i in range(part.num_rows):
-                own = x[owner == i]
-                if len(own) > most:
-                    own = own[np.sort(np.argsort(mix(np.arange(len(own), dtype=np.uint64)), kind="stable")[:most])]
-                out.append(own.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast("int64"), pa.array(out, "binary")], ["doc_id", "bag"])
+            at = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            out = [x[a:z].astype(np.float32).tobytes() for a, z in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast("int64"), part.column("version"), pa.array(np.diff(at), "int64"), pa.array(out, "binary")], ["doc_id", "version", "n", "bag"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs: int = 4000, most_passages: int = 64) -> Model | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs: int = 4000, most_passages: int = 200_000) -> Model | None:
     docs = id_text(docs)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(folds))
     sample = marked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    quality = {r.doc_id: r.quality for r in sample.toLocalIterator()}
+    quality = {r.doc_id: r.quality for r in sample.toLocalIterator()}  # most_docs rows at most, in the order of their hashes
     if not quality:
         return None
-    chosen = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in quality], "doc_id long")), "doc_id")  # most_docs rows at most
-    rows = map_batches(chosen.select("doc_id", "text"), "doc_id long, bag binary", lambda b: _bags(b, most_passages)).toArrow()
-    bags = sorted({(i, bag) for i, bag in zip(rows.column("doc_id").to_pylist(), rows.column("bag").to_pylist(), strict=True)})[: 2 * most_docs]
-    if not bags:
+    chosen = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in quality], "doc_id long")), "doc_id")
+    rows = map_batches(chosen.select("doc_id", "text").withColumn("version", F.xxhash64("text")), "doc_id long, version long, n long, bag binary", _bags)
+    one = cut(rows.groupBy("doc_id").agg(F.min_by(F.struct("n", "bag"), "version").alias("b")).select("doc_id", "b.n", "b.bag"), "quality-bags")
+    size, own, total = {r.doc_id: r.n for r in one.select("doc_id", "n").toLocalIterator()}, [], 0
+    for doc in quality:  # whole documents, as long as they fit
+        if 0 < size.get(doc, 0) <= most_passages - total:
+            own.append(doc)
+            total += size[doc]
+    if not own:
         return None
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in own], "doc_id long"))
+    bags = sorted((r.doc_id, bytes(r.bag)) for r in one.join(wanted, "doc_id").select("doc_id", "bag").toLocalIterator())
+    done_with(one)
     x = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, b in bags]
     model = Model()
     model.fit(np.concatenate(x).astype(np.float64), np.repeat(np.arange(len(x)), [len(v) for v in x]), np.array([float(quality[i] > 0) for i, _ in bags]))

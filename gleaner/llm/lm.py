@@ -3,11 +3,11 @@
 1. Token counts over all training documents: each task counts its own words, counts are summed by
    word. They grow with the corpus and stay distributed; to the driver go totals, per rare class and overall, and
    the words above a count that at most ``most_frequent`` words exceed (a histogram of at most some hundred bins finds it).
-2. The network (``recurrent.py``) is fitted by truncated backpropagation on all training documents: every task
-   carries one set of weights on over all texts of its partition, long ones from window to window with the state kept, and
-   the tasks' weights are averaged by their tokens. All tasks begin at one point, weights fitted on the driver on a
-   bounded sample (``most_docs`` with the least hash of doc_id, ``most_tokens`` tokens, the first ``most_bytes`` characters of a text), as
-   an average of weights asks for; the sample bounds only that start. Weights are of fixed size and are summed by block on executors.
+2. The network (``recurrent.py``) is fitted by truncated backpropagation on all training documents, each once, in rounds
+   that take a sixteenth, a quarter and all of them (by hash) less what came before. In a round every task carries the weights of the
+   last one on over its texts, long ones from window to window with the state kept, and the tasks' weights are averaged by their
+   tokens. Rounds of few tokens have few tasks (``least_tokens`` for each, if there are as many), as an average of hardly begun
+   networks says little. Weights are of fixed size and are summed by block on executors.
 3. One pass scores whole documents, the state being carried from window to window. Words above the
    count are looked up in the broadcast table; the others leave as (document, word, n), meet their counts in
    a join, and come back summed by document.
@@ -35,9 +35,10 @@ from gleaner.llm.common import id_text, map_batches, slices
 from gleaner.llm.quality import held_out
 from gleaner.llm.recurrent import RARE, Adam, Gru, rare_class
 from gleaner.llm.shingles import UPPER
-from gleaner.session import cut
+from gleaner.session import cut, done_with
 
 END = b"\n"  # no word holds a line feed
+ROUNDS = (4, 16, 64)  # how many of 64 parts of the documents are learned from after each round
 BLOCK = 8192  # weights that are summed together
 LONGEST = 64  # bytes of a word in the broadcast table
 SCORED = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, logs double, plain double, word binary, n long"
@@ -83,7 +84,7 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 class Table:
     """The broadcast tier: place, count and model id of frequent words, totals of all classes, the network."""
 
-    def __init__(self, frequent: list[tuple[bytes, int]], classes: dict[int, tuple[int, int]], n_words: int, total: int, distinct: int):
+    def __init__(self, frequent: list[tuple[bytes, int]], classes: dict[int, tuple[int, int]], n_words: int, hidden: int, total: int, distinct: int):
         end = [r for r in frequent if r[0] == END] or [(END, 0)]
         frequent = [r for r in frequent if r[0] != END]
         frequent.insert(min(n_words - 1, sum(c >= end[0][1] for _, c in frequent)), end[0])  # the end token always has an output vector
@@ -99,7 +100,7 @@ class Table:
                 self.size[rare_class(w)] -= c + 1
         self.id = np.array([i if i < self.n_words else self.n_words + rare_class(w) for i, w in enumerate(self.words)], np.int64)
         self.end = self.words.index(END)
-        self.model = Gru(self.n_words)
+        self.model = Gru(self.n_words, hidden)
 
     def places(self) -> dict[bytes, int]:
         class Places(dict):
@@ -112,41 +113,30 @@ class Table:
         return np.where(places >= 0, self.id[np.maximum(places, 0)], self.n_words - 1 - places)
 
 
-def fit_language_model(docs: DataFrame, counts: DataFrame, n_words: int, most_frequent: int, most_docs: int, most_tokens: int, most_bytes: int) -> Table:
+def fit_language_model(docs: DataFrame, counts: DataFrame, n_words: int, most_frequent: int, hidden: int, least_tokens: int) -> Table:
     """``docs``: the training documents (doc_id, text)."""
     totals = {r["class"]: (r.n, r.v) for r in counts.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    table = Table(frequent_words(counts, most_frequent), totals, n_words, sum(n for n, _ in totals.values()), sum(v for _, v in totals.values()))
-    chosen = [r.doc_id for r in docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).toLocalIterator()]
-    if chosen:
-        ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long"))  # most_docs rows at most
-        rows = docs.join(ids, "doc_id").select("doc_id", F.substring("text", 1, most_bytes).alias("text")).toArrow()
-        texts = sorted(zip(rows.column("doc_id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()], strict=True))
-        order = {d: i for i, d in enumerate(chosen)}
-        places, sample, total = table.places(), [], 0
-        for _, text in sorted(texts, key=lambda r: (order[r[0]], r[1])):
-            own = table_ids(table, places, text)[: most_tokens - total]
-            sample.append(own)
-            total += len(own)
-            if total >= most_tokens:
-                break
-        table.model.train(sample, table.end)
-    fit_further(docs, table)
+    table = Table(frequent_words(counts, most_frequent), totals, n_words, hidden, sum(n for n, _ in totals.values()), sum(v for _, v in totals.values()))
+    place, done = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1])), 0
+    for upto in ROUNDS:
+        tasks = -(-table.total * (upto - done) // (ROUNDS[-1] * least_tokens))
+        fit_further(docs.filter((place >= done) & (place < upto)), table, max(1, tasks))
+        done = upto
     return table
 
 
-def fit_further(docs: DataFrame, table: Table) -> None:
+def fit_further(docs: DataFrame, table: Table, most_tasks: int) -> None:
     """Carry the network on over all of ``docs``: each task by itself from the weights at hand, then the mean by tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, places = sent.value, sent.value.places()
-        model = Gru(own.n_words)
-        model.fill(own.model.flat())
+        model = own.model.copy()
         adam, total = Adam(model), 0
         for batch in batches:
             for part in slices(batch, "text", 8_000_000):
                 texts = [table_ids(own, places, t) for t in part.column("text").to_pylist()]
-                model.further(texts, own.end, adam)
+                model.learn(texts, own.end, adam)
                 total += sum(map(len, texts))
         if total:
             blocks = np.split(model.flat().astype(np.float64) * total, range(BLOCK, model.flat().size, BLOCK))
@@ -158,11 +148,12 @@ def fit_further(docs: DataFrame, table: Table) -> None:
         return pa.table({"block": pa.array([parts.column("block")[0].as_py()], "int32"), "w": pa.array([(w / n).tobytes()], "binary")})
 
     # written first: what reads a task's weights again must not train it again
-    parts = cut(map_batches(docs.select("text"), "block int, n long, w binary", learn), "lm-weights")
-    found = parts.groupBy("block").applyInArrow(add, "block int, w binary").collect()
+    parts = cut(map_batches(docs.select("text").coalesce(most_tasks), "block int, n long, w binary", learn), "lm-weights")
+    found = parts.groupBy("block").applyInArrow(add, "block int, w binary").collect()  # of fixed size
     if found:
         table.model.fill(np.concatenate([np.frombuffer(r.w, np.float64) for r in sorted(found, key=lambda r: r.block)]))
     sent.destroy()
+    done_with(parts)
 
 
 def table_ids(table: Table, places: dict[bytes, int], text: str | None) -> np.ndarray:
@@ -204,14 +195,16 @@ def _score(table: Table, places: dict[bytes, int], part: pa.RecordBatch) -> Iter
         yield batch(rows, [w for r in rare for w in r], [c for r in rare for c in r.values()])
 
 
-def language_scores(
-    docs: DataFrame, folds: int = 7, remainder: int = 2, n_words: int = 2048, most_frequent: int = 200_000, most_docs: int = 2000, most_tokens: int = 600_000, most_bytes: int = 65_536
-) -> DataFrame:
+def language_scores(docs: DataFrame, folds: int = 7, remainder: int = 2, n_words: int = 2048, most_frequent: int = 200_000, hidden: int = 16, least_tokens: int = 250_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
     docs = id_text(docs).withColumn("held_out", held_out(folds, remainder))
     training = docs.filter(~F.col("held_out"))
     counts = cut(word_counts(training), "lm-counts")
-    table = fit_language_model(training, counts, n_words, most_frequent, most_docs, most_tokens, most_bytes)
+    return score_documents(docs, counts, fit_language_model(training, counts, n_words, most_frequent, hidden, least_tokens))
+
+
+def score_documents(docs: DataFrame, counts: DataFrame, table: Table) -> DataFrame:
+    """``docs``: doc_id, text, held_out."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
     kept: list = []
 

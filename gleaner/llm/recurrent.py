@@ -21,12 +21,16 @@ def rare_class(word: bytes) -> int:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * 0.5) * 0.5 + 0.5
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _soft(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log probability of ``own`` in each row, exponentials in the place of ``x``, their sums)."""
+    x -= x.max(1, keepdims=True)
+    found = x[np.arange(len(own)), own]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    return found - np.log(total), x, total
 
 
 class Adam:
@@ -56,23 +60,26 @@ class Gru:
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.n, ids // PER_CLASS, ids - self.n + self.word_classes)
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        k, p = self.h, self.p
-        g, s = p["x"][x] + p["b"], h @ p["u"]
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return self.p["x"][x] + self.p["b"]
+
+    def step(self, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """The next state from inputs (``inputs`` of the tokens) and the state before; what the way back needs of it."""
+        k = self.h
+        s = h @ self.p["u"]
         zr = _sigmoid(g[:, : 2 * k] + s[:, : 2 * k])
         z, r = zr[:, :k], zr[:, k:]
         n = np.tanh(g[:, 2 * k :] + r * s[:, 2 * k :])
-        return n + z * (h - n), (x, h, z, r, n, s[:, 2 * k :])
+        return n + z * (h - n), (h, z, r, n, s[:, 2 * k :])
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each y (rare: of its class) after state h; with ``grad``, adds to it and returns dloss/dh."""
         p, c = self.p, self.class_of(y)
-        lp = _log_softmax(h @ p["wc"] + p["bc"])
-        at = np.arange(len(y))
-        out, dh = lp[at, c], None
+        out, d, total = _soft(h @ p["wc"] + p["bc"], c)
+        dh = None
         if grad is not None:
-            d = np.exp(lp)
-            d[at, c] -= 1
+            d /= total[:, None]
+            d[np.arange(len(y)), c] -= 1
             grad["wc"] += h.T @ d
             grad["bc"] += d.sum(0)
             dh = d @ p["wc"].T
@@ -81,34 +88,23 @@ class Gru:
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             rows = order[bounds[k] : bounds[k + 1]]
             a, z = k * PER_CLASS, min(self.n, (k + 1) * PER_CLASS)
-            lw = _log_softmax(h[rows] @ p["ww"][a:z].T + p["bw"][a:z])
-            own = y[rows] - a
-            out[rows] += lw[np.arange(len(rows)), own]
+            state, own = h[rows], y[rows] - a
+            lw, d, total = _soft(state @ p["ww"][a:z].T + p["bw"][a:z], own)
+            out[rows] += lw
             if grad is not None:
-                d = np.exp(lw)
+                d /= total[:, None]
                 d[np.arange(len(rows)), own] -= 1
-                grad["ww"][a:z] += d.T @ h[rows]
+                grad["ww"][a:z] += d.T @ state
                 grad["bw"][a:z] += d.sum(0)
                 dh[rows] += d @ p["ww"][a:z]
         return out, dh
 
-    def train(self, docs: list[np.ndarray], end: int, lanes: int = 64, window: int = 24, rate: float = 0.01, epochs: int = 2) -> None:
-        """Truncated backpropagation: each lane reads documents one after the other, ``window`` tokens at a time.
+    def learn(self, docs: list[np.ndarray], end: int, adam: Adam, rate: float = 0.02, lanes: int = 512, window: int = 24) -> None:
+        """Truncated backpropagation: each lane reads documents one after the other, ``window`` tokens at a time; every token counts once.
 
-        The state goes on into the next window; a document starts from the zero state, its first input being ``end``.
+        The state goes on into the next window; a document starts from the zero state, its first input being ``end``. Documents may
+        come in several calls; the rate rises over the first windows of all and falls with their number.
         """
-        adam, turn = Adam(self), 0
-        x, y, fresh = self.lanes_of(docs, end, lanes)
-        total = epochs * -(-y.shape[1] // window)
-        for _ in range(epochs):
-            h = np.zeros((len(y), self.h), np.float32)
-            for part in (slice(at, at + window) for at in range(0, y.shape[1], window)):
-                turn += 1
-                grad, h = self._gradients(x[:, part], y[:, part], fresh[:, part], h)
-                adam.step(grad, rate * min(1.0, 2 - 2 * turn / total))
-
-    def further(self, docs: list[np.ndarray], end: int, adam: Adam, lanes: int = 512, window: int = 24, rate: float = 0.004) -> None:
-        """One more epoch over documents that come in several calls, of unknown number; every token counts once."""
         x, y, fresh = self.lanes_of(docs, end, min(lanes, max(64, sum(map(len, docs)) // (64 * window))))
         h = np.zeros((len(y), self.h), np.float32)
         for part in (slice(at, at + window) for at in range(0, y.shape[1], window)):
@@ -130,9 +126,10 @@ class Gru:
     def _gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         k, p, steps = self.h, self.p, x.shape[1]
         grad = {name: np.zeros_like(w) for name, w in p.items()}
-        states, kept = [], []
+        states, kept, inputs = [], [], self.inputs(x.T)
+        stays = ~fresh.T[:, :, None]
         for t in range(steps):
-            h, s = self.step(x[:, t], np.where(fresh[:, t, None], np.float32(0), h))
+            h, s = self.step(inputs[t], h * stays[t])
             states.append(h)
             kept.append(s)
         target = y.T.ravel()
@@ -140,25 +137,33 @@ class Gru:
         dout = np.zeros((len(target), k), h.dtype)
         dout[live] = self.log_probs(np.concatenate(states)[live], target[live], grad)[1]
         dout = dout.reshape(steps, len(x), k)
-        back, dgs = np.zeros_like(h), []
+        back, dg, ds = np.zeros_like(h), np.empty((steps, len(x), 3 * k), h.dtype), np.empty((steps, len(x), 3 * k), h.dtype)
         for t in range(steps - 1, -1, -1):
-            _, before, z, r, n, s = kept[t]
+            before, z, r, n, s = kept[t]
             d = dout[t] + back
-            dn, dz = d * (1 - z) * (1 - n * n), d * (before - n) * z * (1 - z)
-            dr = dn * s * r * (1 - r)
-            dg = np.concatenate([dz, dr, dn], 1)
-            ds = np.concatenate([dz, dr, dn * r], 1)
-            dgs.append(dg)
-            grad["b"] += dg.sum(0)
-            grad["u"] += before.T @ ds
-            back = np.where(fresh[:, t, None], 0, d * z + ds @ p["u"].T)
-        own = x.T[::-1].ravel()
+            dn, dz = d * (1 - z), d * (before - n)
+            dn *= 1 - n * n
+            dz *= z * (1 - z)
+            dg[t, :, :k] = ds[t, :, :k] = dz
+            dg[t, :, k : 2 * k] = ds[t, :, k : 2 * k] = dn * s * (r * (1 - r))
+            dg[t, :, 2 * k :] = dn
+            ds[t, :, 2 * k :] = dn * r
+            back = (d * z + ds[t] @ p["u"].T) * stays[t]
+        dg, ds = dg.reshape(-1, 3 * k), ds.reshape(-1, 3 * k)
+        grad["b"] += dg.sum(0)
+        grad["u"] += np.concatenate([s[0] for s in kept]).T @ ds
+        own = x.T.ravel()
         order = np.argsort(own, kind="stable")
         first = np.flatnonzero(np.diff(own[order], prepend=-1))
-        grad["x"][own[order][first]] = np.add.reduceat(np.concatenate(dgs)[order], first)
+        grad["x"][own[order][first]] = np.add.reduceat(dg[order], first)
         size = np.float32(1 / max(1, len(live)))
         return {name: np.clip(g * size, -1, 1) for name, g in grad.items()}, h
 
+    def copy(self) -> Gru:
+        other = Gru(self.n, self.h)
+        other.p = {k: w.copy() for k, w in self.p.items()}
+        return other
+
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
 
@@ -189,13 +194,13 @@ class Gru:
                 y[i, : len(part)] = part
             states, shapes = [], []
             state = h[:live]
+            inputs = self.inputs(np.concatenate([last[:live, None], y[:, :-1]], 1).T)
             for t in range(span):
                 n = int(np.searchsorted(-size[own], -(at + t), "left"))
-                state, _ = self.step(last[:n], state[:n])
-                last[:n] = y[:n, t]
+                state, _ = self.step(inputs[t, :n], state[:n])
                 states.append(state)
                 shapes.append(n)
-            h[: len(state)] = state
+            h[: len(state)], last[: len(state)] = state, y[: len(state), -1]
             lp, _ = self.log_probs(np.concatenate(states), np.concatenate([y[:n, t] for t, n in enumerate(shapes)]))
             sums[own] += np.bincount(np.concatenate([np.arange(n) for n in shapes]), lp, minlength=live)
             at += span

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import id_text, map_batches, per_worker, sha256_hex
 from gleaner.llm.shingles import _BASE, _BYTE, _INVERSE, mix, powers
-from gleaner.session import cut, drop_path, free
+from gleaner.session import cut, done_with, free
 
 LENGTH, GRAM = 200, 64
 SPREAD = LENGTH - GRAM + 1  # 64-grams in a window, and the most windows in a run
@@ -347,14 +347,6 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return found
 
 
-def done_with(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more, and the shuffles of their making."""
-    spark = tables[0].sparkSession
-    for path in {p.rsplit("/", 1)[0] for t in tables for p in t.inputFiles()}:
-        drop_path(spark, path)
-    free(spark)
-
-
 def _on_rows(docs: DataFrame, more: DataFrame, how: str) -> DataFrame:
     more = more.withColumnsRenamed({"doc_id": "m_doc_id", "version": "m_version"})
     return docs.join(more, docs["doc_id"].eqNullSafe(more["m_doc_id"]) & (docs["version"] == more["m_version"]), how)

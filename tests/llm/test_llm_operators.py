@@ -139,12 +139,54 @@ def test_language_model_learns_from_long_texts(spark):
     assert rows and all(r.score > r.base_score / 4 for r in rows)  # the order is certain, the counts see none
 
 
-def test_language_model_learns_outside_the_first_sample(spark):
+def test_language_model_learns_from_short_texts(spark):
     docs = frame(spark, [" ".join(["ka", "lo", "mi", "nu"] * 250)] * 600)
-    rows = lm.language_scores(docs, most_docs=0).filter("held_out").collect()
+    rows = lm.language_scores(docs).filter("held_out").collect()
     assert rows and all(r.score > r.base_score for r in rows)
 
 
+def slow_score(table, counts, text):
+    """log10 probability of a text, token by token, from the weights and counts alone."""
+    p, n, h = table.model.p, table.n_words, np.zeros(table.model.h)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    number = {w: i for i, w in enumerate(table.words[:n])}
+    total, last = 0.0, number[b"\n"]
+    size = Counter()
+    for w, c in counts.items():
+        if w not in number:
+            size[rare_class(w)] += c + 1
+    for w in [*re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split(), b"\n"]:
+        k = len(h)
+        g, s = p["x"][last] + p["b"], h @ p["u"]
+        z, r = sig(g[:k] + s[:k]), sig(g[k : 2 * k] + s[k : 2 * k])
+        h = (1 - z) * np.tanh(g[2 * k :] + r * s[2 * k :]) + z * h
+        e = np.exp((h @ p["wc"] + p["bc"]).astype(np.float64))
+        i = number.get(w)
+        if i is None:
+            last = n + rare_class(w)
+            share = e[rare_class(w) + table.model.word_classes] / e.sum() * (counts.get(w, 0) + 1) / (size[rare_class(w)] + 1)
+        else:
+            last, c = i, i // 64
+            own = np.exp((h @ p["ww"][c * 64 : c * 64 + 64].T + p["bw"][c * 64 : c * 64 + 64]).astype(np.float64))
+            share = e[c] / e.sum() * own[i - c * 64] / own.sum()
+        total += np.log10(share)
+    return total
+
+
+def test_scores_are_brute_force(spark, texts):
+    """Every score from the fitted weights by a plain loop; no ids, one id, repeated rows and a text of 1 MB among the rows."""
+    texts = [*ODD, *texts[:40], "long words of some kind " * 45_000, *texts[:3]]
+    rows = [(None if i % 3 == 0 else i % 5, t, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out string").repartition(3)
+    docs = docs.select("doc_id", "text", F.lit(False).alias("held_out"))
+    counted = lm.word_counts(docs).cache()
+    table = lm.fit_language_model(docs, counted, 100, 300, 16, 250_000)
+    counts = {bytes(r.word): r.c for r in counted.collect()}
+    got = sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 2)) for r in lm.score_documents(docs, counted, table).collect())
+    want = sorted((i if i is not None else -1, round(slow_score(table, counts, t), 2)) for i, t, _ in rows)
+    assert len(got) == len(want) and all(a[0] == b[0] and a[1] == pytest.approx(b[1], rel=2e-4, abs=0.02) for a, b in zip(got, want, strict=True))
+
+
 def test_every_training_token_counts_once():
     g = Gru(128, hidden=4)
     docs = [np.arange(n) % 140 for n in (5, 0, 1, 9, 300)]
@@ -165,7 +207,7 @@ def test_recurrent_gradients_and_probabilities():
     def loss():
         h, states = np.zeros((3, 4)), []
         for t in range(5):
-            h, _ = g.step(x[:, t], np.where(fresh[:, t, None], 0, h))
+            h, _ = g.step(g.inputs(x[:, t]), np.where(fresh[:, t, None], 0, h))
             states.append(h)
         return -g.log_probs(np.concatenate(states), y.T.ravel())[0].mean()
 
@@ -208,6 +250,31 @@ def test_quality_cases(spark):
     assert quality.quality_classifier(empty(spark), labels).count() == 0
 
 
+def test_quality_of_every_passage(spark, texts):
+    """Scores by a plain loop over each document's passages; a text of 1 MB, no ids, one id and repeated rows among them."""
+    texts = [*ODD, *texts[:60], "some long text, with 12 numbers! " * 32_000, texts[0], texts[0]]
+    rows = [(None if i % 3 == 0 else i % 40, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    want = []
+    for i, t in rows:
+        x, owner = quality.passages([t])
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        assert len(x) == max(1, -(-len(words) // quality.WORDS)) and not owner.any()  # every passage of the whole text
+        h = [np.tanh(np.clip((v - model.mean) / model.scale, -8, 8) @ model.p["w1"] + model.p["b1"]) for v in x.astype(np.float64)]
+        e = np.array([(np.tanh(v @ model.p["v"]) / (1 + np.exp(-v @ model.p["u"]))) @ model.p["a"] for v in h])
+        a = np.exp(e - e.max())
+        z = sum(w * v for w, v in zip(a / a.sum(), h, strict=True))
+        want.append((i if i is not None else -1, 1 / (1 + np.exp(-(z @ model.p["w2"] + model.p["b2"][0])))))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in quality.quality_scores(docs, model).collect())
+    assert np.allclose(np.array(got), np.array(sorted(want)), atol=1e-6)
+    tied = quality.quality_scores(docs, model, threshold=got[0][1]).collect()
+    assert all(r.predicted == (r.score >= got[0][1]) for r in tied) and any(r.score == got[0][1] for r in tied)
+    assert quality.fit_quality(docs, labels.withColumn("quality", F.lit(None).cast("int"))) is None
+    assert quality.fit_quality(docs, labels, most_passages=0) is None
+
+
 # 5
 
 

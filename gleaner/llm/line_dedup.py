@@ -1,10 +1,12 @@
 """Line dedup on levelled sorted runs of line hashes, with DataFrame operations only.
 
-A store of *runs* holds what is known about lines: rows (h1, h2, n_docs, max_doc), sorted by hash,
-in Parquet under the shared folder. A batch of documents is reduced to one row per line key; its
-rows are merge-anti-joined with the runs (both sides sorted by hash) to tell first sightings from
-known lines, and become a new run of level 0. When a level holds ``fanout`` runs they are merged
-into one run of the next level, so a store of n batches has about fanout * log(n) runs.
+A store of *runs* holds every line key once: rows (h1, h2, n_docs, max_doc), bucketed and sorted by hash, in tables of one
+file a bucket under the shared folder. A batch of documents is reduced to one row per line key, in the same buckets and order.
+The merge-anti-join with the runs, bucket by bucket without an exchange, decides what is new: those rows are the batch's own
+run, of level 0. What the anti-join turns away is known already and goes to the *tallies*, which say how many documents more
+hold a key and which is the largest. When a level holds ``fanout`` runs they are merged into one run of the next level;
+their keys are disjoint, so nothing is added up, and a store of n batches has about fanout * log(n) runs.
+A batch has about ``most_lines`` lines, so that their number and not their size grows with the corpus.
 
 The main path is native: ``split``, ``xxhash64``, joins and aggregates, no Python on executors.
 A line key is held as two 64-bit hashes with different seeds. A line that a third of all documents
@@ -18,6 +20,9 @@ lines; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,74 +54,117 @@ def hashed_lines(docs: DataFrame, least_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """A levelled store of sorted runs. ``levels[i]`` are the paths of level i's runs."""
+    """A levelled store of sorted runs. ``levels[i]`` names level i's tables; no key is in two of them."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.tallies: list[str] = []
+        self.paths: dict[str, str] = {}
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+    def write(self, rows: DataFrame, deal: bool = False) -> str:
+        """A table of ``rows`` in buckets, one sorted file each.
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = work_path(self.spark, f"line-run-{level}")
-        rows.select(*KEY, "n_docs", "max_doc").sortWithinPartitions(*KEY).write.option("compression", "zstd").parquet(path)
-        self.levels[level].append(path)
+        ``deal`` brings the rows of a bucket together first; what an aggregate by key or a join of buckets made lies together already.
+        """
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = work_path(self.spark, "line-run")
+        rows = rows.select(*KEY, "n_docs", "max_doc")
+        if deal:
+            rows = rows.repartition(self.buckets, F.pmod(F.hash(*KEY), F.lit(self.buckets)))
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self.paths[name]).option("compression", "zstd").saveAsTable(name)
+        return name
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_path(self.spark, self.paths.pop(name))
 
     def rows(self) -> DataFrame:
-        """All runs' rows; a key has as many rows as runs hold it."""
-        return self._read([p for level in self.levels for p in level])
-
-    def totals(self) -> DataFrame:
-        return self.rows().groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        """All runs' rows."""
+        parts = [self.spark.table(run) for level in self.levels for run in level]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], RUN)
 
     def fresh(self, batch: DataFrame) -> DataFrame:
-        """The rows of ``batch`` whose key no run holds: a merge anti-join on sorted hashes."""
-        return batch.join(self.rows().select(*KEY).hint("merge"), KEY, "left_anti")
+        """The rows of ``batch`` whose key no run holds: merge-anti-joins in the order of the hashes."""
+        for run in (run for level in self.levels for run in level):
+            batch = batch.join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti")
+        return batch
 
     def add(self, batch: DataFrame) -> None:
-        """Take a batch of rows (h1, h2, doc_id) of documents that no earlier batch held.
-
-        First sightings come out of the anti-join as they are; known keys add what they bring.
-        Both are the batch's own run.
-        """
-        own = batch.select(*KEY, "doc_id").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        if any(self.levels):
-            known = own.join(self.rows().select(*KEY).distinct().hint("merge"), KEY, "left_semi")
-            own = self.fresh(own).unionByName(known)
-        self._write(own, 0)
+        """Take a batch of rows (h1, h2, doc_id) of documents that no earlier batch held."""
+        own = self.write(batch.select(*KEY, "doc_id").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc")))
+        if not any(self.levels):
+            self.levels[0].append(own)
+            return
+        with in_order(self.spark):
+            new = self.write(self.fresh(self.spark.table(own)))
+            known = self.spark.table(own).join(self.spark.table(new).select(*KEY).hint("merge"), KEY, "left_anti")
+            self.tallies.append(self.write(known))
+        self.levels[0].append(new)
+        self.drop(own)
         self._compact()
 
+    def totals(self, least_docs: int = 1) -> DataFrame:
+        """(h1, h2, n_docs, max_doc) of the keys that ``least_docs`` documents or more hold: every run's rows meet the tallies in their buckets."""
+        if not self.tallies:
+            return self.rows().filter(F.col("n_docs") >= least_docs)
+        more = reduce(DataFrame.unionByName, [self.spark.table(t) for t in self.tallies]).groupBy(*KEY).agg(F.sum("n_docs").alias("more"), F.max("max_doc").alias("later"))
+        n, top = (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "later").alias("max_doc")
+        parts = [self.spark.table(run).join(more.hint("merge"), KEY, "left").select(*KEY, n, top).filter(F.col("n_docs") >= least_docs) for level in self.levels for run in level]
+        return reduce(DataFrame.unionByName, parts)
+
     def _compact(self) -> None:
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            paths = self.levels[level]
+            runs = self.levels[level]
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self._write(self._read(paths).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")), level + 1)
+            self.levels[level + 1].append(self.write(reduce(DataFrame.unionByName, [self.spark.table(run) for run in runs]), deal=True))
             self.levels[level] = []
-            for path in paths:
-                drop_path(self.spark, path)
+            self.drop(*runs)
             level += 1
 
+    def close(self) -> None:
+        self.drop(*list(self.paths))
+
+
+@contextmanager
+def in_order(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside rely on the order of bucketed files (there is one a bucket), and on their buckets."""
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
-def repeated_lines(docs: DataFrame, least_chars: int, least_docs: int, batches: int = 3, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, least_chars: int, least_docs: int, least_batches: int = 3, most_lines: int = 100_000_000, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
     """(the hashed lines, the repeated keys with the doc_id that keeps them)."""
     lines = cut(hashed_lines(docs, least_chars), "line-hashes")
+    batches = max(least_batches, -(-lines.count() // most_lines))
     runs = LineRuns(docs.sparkSession, fanout)
     for i in range(batches):
         runs.add(lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
     # written, so that the join with the lines reads two plain shuffles, of which Spark can split a hot line
-    return lines, cut(runs.totals().filter(F.col("n_docs") >= least_docs).select(*KEY, "max_doc"), "line-repeated")
+    repeated = cut(runs.totals(least_docs).select(*KEY, "max_doc"), "line-repeated")
+    runs.close()
+    return lines, repeated
 
 
-def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, least_batches: int = 3, most_lines: int = 100_000_000, fanout: int = 2) -> DataFrame:
     """doc_id, n_lines, n_dropped, ``kept_text`` (each text without its repeated lines) and ``rest``, a struct of all columns.
 
     A key of at least ``least_chars`` code points in at least ``least_docs`` documents loses its
     lines everywhere but in the largest doc_id that holds it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
-    lines, repeated = repeated_lines(docs, least_chars, least_docs, batches, fanout)
+    lines, repeated = repeated_lines(docs, least_chars, least_docs, least_batches, most_lines, fanout)
     drops = (
         lines.join(repeated, KEY)
         .filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))

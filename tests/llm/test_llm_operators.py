@@ -556,8 +556,8 @@ def test_line_dedup_is_brute_force(spark):
         for s in (t or "").split("\n"):
             holders.setdefault(key(s), set()).add(i)
     hot = {k: max(v) for k, v in holders.items() if len(k) >= 40 and len(v) >= 5}
-    for batches, fanout in ((1, 2), (5, 2)):
-        got = by_id(line_dedup.line_digests(frame(spark, texts), batches=batches, fanout=fanout))
+    for batches, most, fanout in ((1, 10**8, 2), (5, 10**8, 2), (1, 20, 3)):
+        got = by_id(line_dedup.line_digests(frame(spark, texts), least_batches=batches, most_lines=most, fanout=fanout))
         for i, t in enumerate(texts):
             all_ = (t or "").split("\n")
             kept = [s for s in all_ if hot.get(key(s), i) == i]
@@ -575,8 +575,18 @@ def test_line_runs_compact(spark):
         batch = spark.createDataFrame([(k, k, i) for k in range(i, i + 3)], "h1 long, h2 long, doc_id long")
         assert runs.fresh(batch).count() == (3 if not i else 1)
         runs.add(batch)
+        # what the anti-join lets through is the run, and only that: a key is in one run
+        keys = [r.h1 for r in runs.rows().collect()]
+        assert sorted(keys) == list(range(i + 3))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert {(r.h1, r.n_docs, r.max_doc) for r in runs.totals().collect()} == {(0, 1, 0), (1, 2, 1), (2, 3, 2), (3, 3, 3), (4, 3, 4), (5, 2, 4), (6, 1, 4)}
+    assert {r.h1 for r in runs.totals(3).collect()} == {2, 3, 4}
+    own = runs.write(spark.createDataFrame([(k, k, 1, 9) for k in range(50)], line_dedup.RUN), deal=True)
+    with line_dedup.in_order(spark):
+        plan = runs.fresh(spark.table(own))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and "Sort [" not in plan  # buckets meet in their order
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
 # the pipeline

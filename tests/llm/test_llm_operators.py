@@ -482,15 +482,27 @@ def test_components_either_way(spark):
 
 
 def test_token_counts_are_the_library(spark, texts):
-    texts = [*ODD, *texts[:80]]
+    odd = ["“Curly” — quotes… it’s ‘so’", "Привет, МИР! 12 раз", "ΟΔΥΣΣΕΥΣ ΑΣ σας", "e\u0301te\u0301 A\u030a", "x\u200dy１２ﬁ½²", "a\u00a0b\u2003c\u2028d\x85e", "<|endoftext|>hi <|startoftext|><|endoftext|>x", "カタカナ 한국어 漢字", "\x00\x1f\x7f", "it'S 'RE we'Ll"]
+    texts = [*ODD, *odd, *texts[:80], " “long” слово, 12's " * 60_000, "z" * 1_000_000, None]
     tok = token_counts.tokenizer_of(open(WORDS, "rb").read())
-    got = by_id(token_counts.token_counts(frame(spark, texts), WORDS, limit=50, most_cached=100))
-    for i, t in enumerate(texts):
+    want = Counter()
+    rows = [(None if i % 4 == 0 else i // 2, t, "clash") for i, t in enumerate(texts)]
+    for i, t, _ in rows:
         n = len(tok.encode(t or "", add_special_tokens=False).ids)
-        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 50)
+        want[i, len((t or "").encode()), n, n > 50] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(3)
+    for cached, docs_, frequent in ((100, 4096, 50), (10**6, 0, 10)):
+        got = token_counts.token_counts(docs, WORDS, limit=50, most_cached=cached, most_docs=docs_, most_frequent=frequent)
+        assert Counter(tuple(r) for r in got.collect()) == want
     assert token_counts.token_counts(empty(spark), WORDS).count() == 0
 
 
+def test_frequent_pre_tokens_come_from_the_texts(spark):
+    docs = spark.createDataFrame([(i, "zorble zorble and “quoted”") for i in range(50)] + [(99, "rare")], "doc_id long, text string")
+    found = token_counts.frequent_lengths(docs, open(WORDS, "rb").read(), 4096, 3).table()
+    assert list(found) == ["zorble", "and", "“"] and found["zorble"] > 1 and found["and"] == 1
+
+
 # 9
 
 

@@ -1,19 +1,20 @@
 """A gated recurrent word model with a class-factored output, in numpy.
 
-P(token | past) = P(class | state) * P(token | class, state). Frequent words fall into classes of
-``PER_CLASS`` neighbours in frequency and have their own output vectors. The other words are spread over
+P(token | past) = P(class | state) * P(token | class, state). Frequent words fall into classes of neighbours in
+frequency, small ones (SIZES) where words are most frequent, and have their own output vectors. The other words are spread over
 ``RARE`` classes by their last bytes (endings tell languages and word kinds apart); within such a class
 a word has its smoothed share of the class's training tokens, whatever the state.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
 
 RARE = 16
-PER_CLASS = 64
+SIZES = (16,) * 8 + (32,) * 8 + (64,) * 10  # words of the first classes; later ones have 128
 
 
 def rare_class(word: bytes) -> int:
@@ -25,11 +26,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _soft(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log probability of ``own`` in each row, exponentials in the place of ``x``, their sums)."""
-    x -= x.max(1, keepdims=True)
-    found = x[np.arange(len(own)), own]
+    """(log probability of ``own`` in each column, exponentials in the place of ``x``, their sums)."""
+    x -= x.max(0)
+    found = x[own, np.arange(len(own))]
     np.exp(x, out=x)
-    total = x.sum(1)
+    total = x.sum(0)
     return found - np.log(total), x, total
 
 
@@ -52,51 +53,63 @@ class Gru:
     def __init__(self, n_words: int, hidden: int = 16, seed: int = 5):
         r = np.random.default_rng(seed)
         self.n, self.h = n_words, hidden
-        self.word_classes = -(-n_words // PER_CLASS)
+        sizes = [*SIZES, *[128] * (max(0, n_words - sum(SIZES)) // 128 + 1)]
+        self.edge = np.minimum(np.cumsum([0, *sizes]), n_words)
+        self.edge = self.edge[: int(np.searchsorted(self.edge, n_words)) + 1]  # class k has words edge[k] to edge[k + 1] - 1
+        self.word_classes = len(self.edge) - 1
+        self.classes = np.concatenate([np.repeat(np.arange(self.word_classes), np.diff(self.edge)), self.word_classes + np.arange(RARE)])
         c = self.word_classes + RARE
         shape = {"x": (n_words + RARE, 3 * hidden), "u": (hidden, 3 * hidden), "b": (3 * hidden,), "wc": (hidden, c), "bc": (c,), "ww": (n_words, hidden), "bw": (n_words,)}
         self.p = {k: (r.normal(0, 0.3 if k in "xu" else 0.1, s) if k not in ("b", "bc", "bw") else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
 
     def class_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.n, ids // PER_CLASS, ids - self.n + self.word_classes)
+        return self.classes[ids]
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        return self.p["x"][x] + self.p["b"]
+        """What tokens (steps, lanes) bring to each step: (steps, 3 * hidden, lanes)."""
+        return np.ascontiguousarray((self.p["x"][x] + self.p["b"]).transpose(0, 2, 1))
 
     def step(self, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """The next state from inputs (``inputs`` of the tokens) and the state before; what the way back needs of it."""
+        """The next state (hidden, lanes) from a step's inputs and the state before; what the way back needs of it.
+
+        Lanes are the columns, so that gates are whole rows and each operation runs over contiguous numbers.
+        """
         k = self.h
-        s = h @ self.p["u"]
-        zr = _sigmoid(g[:, : 2 * k] + s[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(g[:, 2 * k :] + r * s[:, 2 * k :])
-        return n + z * (h - n), (h, z, r, n, s[:, 2 * k :])
+        s = self.p["u"].T @ h
+        zr = _sigmoid(g[: 2 * k] + s[: 2 * k])
+        z, r = zr[:k], zr[k:]
+        n = np.tanh(g[2 * k :] + r * s[2 * k :])
+        return n + z * (h - n), (h, z, r, n, s[2 * k :])
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each y (rare: of its class) after state h; with ``grad``, adds to it and returns dloss/dh."""
+        """Natural log probability of each y (rare: of its class) after the state in its column of h; with ``grad``, adds to it and returns dloss/dh."""
         p, c = self.p, self.class_of(y)
-        out, d, total = _soft(h @ p["wc"] + p["bc"], c)
+        out, d, total = _soft(p["wc"].T @ h + p["bc"][:, None], c)
         dh = None
         if grad is not None:
-            d /= total[:, None]
-            d[np.arange(len(y)), c] -= 1
-            grad["wc"] += h.T @ d
-            grad["bc"] += d.sum(0)
-            dh = d @ p["wc"].T
+            d /= total
+            d[c, np.arange(len(y))] -= 1
+            grad["wc"] += h @ d.T
+            grad["bc"] += d.sum(1)
+            dh = p["wc"] @ d
         order = np.argsort(c, kind="stable")
         bounds = np.searchsorted(c[order], np.arange(self.word_classes + 1))
+        order = order[: bounds[-1]]  # words with an output vector
+        states, words = h[:, order], y[order]
+        more, back = np.zeros(len(order), out.dtype), np.zeros_like(states)
         for k in np.flatnonzero(np.diff(bounds)).tolist():
-            rows = order[bounds[k] : bounds[k + 1]]
-            a, z = k * PER_CLASS, min(self.n, (k + 1) * PER_CLASS)
-            state, own = h[rows], y[rows] - a
-            lw, d, total = _soft(state @ p["ww"][a:z].T + p["bw"][a:z], own)
-            out[rows] += lw
+            lo, hi, a, z = bounds[k], bounds[k + 1], self.edge[k], self.edge[k + 1]
+            state, own = states[:, lo:hi], words[lo:hi] - a
+            more[lo:hi], d, total = _soft(p["ww"][a:z] @ state + p["bw"][a:z, None], own)
             if grad is not None:
-                d /= total[:, None]
-                d[np.arange(len(rows)), own] -= 1
-                grad["ww"][a:z] += d.T @ state
-                grad["bw"][a:z] += d.sum(0)
-                dh[rows] += d @ p["ww"][a:z]
+                d /= total
+                d[own, np.arange(hi - lo)] -= 1
+                grad["ww"][a:z] += d @ state.T
+                grad["bw"][a:z] += d.sum(1)
+                back[:, lo:hi] = p["ww"][a:z].T @ d
+        out[order] += more
+        if dh is not None:
+            dh[:, order] += back
         return out, dh
 
     def learn(self, docs: list[np.ndarray], end: int, adam: Adam, rate: float = 0.02, lanes: int = 512, window: int = 24) -> None:
@@ -106,7 +119,7 @@ class Gru:
         come in several calls; the rate rises over the first windows of all and falls with their number.
         """
         x, y, fresh = self.lanes_of(docs, end, min(lanes, max(64, sum(map(len, docs)) // (64 * window))))
-        h = np.zeros((len(y), self.h), np.float32)
+        h = np.zeros((self.h, len(y)), np.float32)
         for part in (slice(at, at + window) for at in range(0, y.shape[1], window)):
             grad, h = self._gradients(x[:, part], y[:, part], fresh[:, part], h)
             adam.step(grad, rate * min(1.0, (adam.turn + 1) / 20) / (1 + adam.turn / 100) ** 0.5)
@@ -127,35 +140,34 @@ class Gru:
         k, p, steps = self.h, self.p, x.shape[1]
         grad = {name: np.zeros_like(w) for name, w in p.items()}
         states, kept, inputs = [], [], self.inputs(x.T)
-        stays = ~fresh.T[:, :, None]
+        stays = ~fresh.T
         for t in range(steps):
             h, s = self.step(inputs[t], h * stays[t])
             states.append(h)
             kept.append(s)
         target = y.T.ravel()
         live = np.flatnonzero(target >= 0)
-        dout = np.zeros((len(target), k), h.dtype)
-        dout[live] = self.log_probs(np.concatenate(states)[live], target[live], grad)[1]
-        dout = dout.reshape(steps, len(x), k)
-        back, dg, ds = np.zeros_like(h), np.empty((steps, len(x), 3 * k), h.dtype), np.empty((steps, len(x), 3 * k), h.dtype)
+        dout = np.zeros((k, len(target)), h.dtype)
+        dout[:, live] = self.log_probs(np.concatenate(states, 1)[:, live], target[live], grad)[1]
+        dout = np.split(dout, steps, 1)
+        back, dgs, dss = np.zeros_like(h), [], []
         for t in range(steps - 1, -1, -1):
             before, z, r, n, s = kept[t]
             d = dout[t] + back
             dn, dz = d * (1 - z), d * (before - n)
             dn *= 1 - n * n
             dz *= z * (1 - z)
-            dg[t, :, :k] = ds[t, :, :k] = dz
-            dg[t, :, k : 2 * k] = ds[t, :, k : 2 * k] = dn * s * (r * (1 - r))
-            dg[t, :, 2 * k :] = dn
-            ds[t, :, 2 * k :] = dn * r
-            back = (d * z + ds[t] @ p["u"].T) * stays[t]
-        dg, ds = dg.reshape(-1, 3 * k), ds.reshape(-1, 3 * k)
-        grad["b"] += dg.sum(0)
-        grad["u"] += np.concatenate([s[0] for s in kept]).T @ ds
+            dr = dn * s * (r * (1 - r))
+            dgs.append(np.concatenate([dz, dr, dn]))
+            dss.append(np.concatenate([dz, dr, dn * r]))
+            back = (d * z + p["u"] @ dss[-1]) * stays[t]
+        dg = np.concatenate(dgs[::-1], 1)
+        grad["b"] += dg.sum(1)
+        grad["u"] += np.concatenate([s[0] for s in kept], 1) @ np.concatenate(dss[::-1], 1).T
         own = x.T.ravel()
         order = np.argsort(own, kind="stable")
         first = np.flatnonzero(np.diff(own[order], prepend=-1))
-        grad["x"][own[order][first]] = np.add.reduceat(dg[order], first)
+        grad["x"][own[order][first]] = np.add.reduceat(np.ascontiguousarray(dg.T)[order], first)
         size = np.float32(1 / max(1, len(live)))
         return {name: np.clip(g * size, -1, 1) for name, g in grad.items()}, h
 
@@ -174,34 +186,40 @@ class Gru:
             self.p[k] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
             at += w.size
 
-    def score(self, docs: list[np.ndarray], end: int, window: int = 32) -> np.ndarray:
-        """Natural log probability of each document's ids; states are carried from window to window."""
-        size = np.array([len(d) for d in docs])
-        order = np.argsort(-size, kind="stable")
-        sums, h = np.zeros(len(docs)), np.zeros((len(docs), self.h), np.float32)
-        last = np.full(len(docs), end)
-        live = int((size > 0).sum())
-        at = 0
-        while live:
-            live = int(np.searchsorted(-size[order], -at, "left"))  # documents longer than ``at``
-            if not live:
-                break
-            own = order[:live]
-            span = int(min(window, size[own[0]] - at))
-            y = np.full((live, span), -1)
-            for i, d in enumerate(own.tolist()):
-                part = docs[d][at : at + span]
-                y[i, : len(part)] = part
-            states, shapes = [], []
-            state = h[:live]
-            inputs = self.inputs(np.concatenate([last[:live, None], y[:, :-1]], 1).T)
-            for t in range(span):
-                n = int(np.searchsorted(-size[own], -(at + t), "left"))
-                state, _ = self.step(inputs[t, :n], state[:n])
-                states.append(state)
-                shapes.append(n)
-            h[: len(state)], last[: len(state)] = state, y[: len(state), -1]
-            lp, _ = self.log_probs(np.concatenate(states), np.concatenate([y[:n, t] for t, n in enumerate(shapes)]))
-            sums[own] += np.bincount(np.concatenate([np.arange(n) for n in shapes]), lp, minlength=live)
-            at += span
-        return sums
+    def score(self, docs: list[np.ndarray], end: int, lanes: int = 1024, window: int = 32) -> np.ndarray:
+        """Natural log probability of each document's ids.
+
+        Lanes read whole documents one after the other, each from the zero state on; states are carried from window to window.
+        """
+        size = np.array([len(d) for d in docs], np.int64)
+        out = np.zeros(len(docs))
+        if not size.sum():
+            return out
+        loads = [(0, lane) for lane in range(int(max(1, min(lanes, (size > 0).sum()))))]
+        own: list[list[int]] = [[] for _ in loads]
+        for i in np.argsort(-size, kind="stable").tolist():  # the next longest document to the lane that has least
+            if size[i]:
+                load, lane = loads[0]
+                own[lane].append(i)
+                heapq.heapreplace(loads, (load + int(size[i]), lane))
+        own.sort(key=lambda lane: -size[lane].sum())
+        load = np.array([size[lane].sum() for lane in own])
+        y, fresh = np.zeros((len(own), load[0]), np.int32), np.zeros((len(own), load[0]), bool)
+        for k, lane in enumerate(own):
+            y[k, : load[k]] = np.concatenate([docs[i] for i in lane])
+            fresh[k, np.cumsum(size[lane]) - size[lane]] = True
+        x = np.where(fresh, end, np.roll(y, 1, 1))
+        found, h = np.zeros(y.shape), np.zeros((self.h, len(own)), np.float32)
+        for at in range(0, y.shape[1], window):
+            live = [int(np.searchsorted(-load, -t, "left")) for t in range(at, min(at + window, y.shape[1]))]  # lanes that reach so far
+            inputs, stays = self.inputs(x[: live[0], at : at + window].T), ~fresh[: live[0], at : at + window].T
+            states = []
+            for t, n in enumerate(live):
+                h, _ = self.step(inputs[t][:, :n], h[:, :n] * stays[t, :n])
+                states.append(h)
+            lp, _ = self.log_probs(np.concatenate(states, 1), np.concatenate([y[:n, at + t] for t, n in enumerate(live)]))
+            for t, (n, part) in enumerate(zip(live, np.split(lp, np.cumsum(live)[:-1]), strict=True)):
+                found[:n, at + t] = part
+        for k, lane in enumerate(own):
+            out[lane] = np.add.reduceat(found[k, : load[k]], np.cumsum(size[lane]) - size[lane])
+        return out

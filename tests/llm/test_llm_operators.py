@@ -166,9 +166,10 @@ def slow_score(table, counts, text):
             last = n + rare_class(w)
             share = e[rare_class(w) + table.model.word_classes] / e.sum() * (counts.get(w, 0) + 1) / (size[rare_class(w)] + 1)
         else:
-            last, c = i, i // 64
-            own = np.exp((h @ p["ww"][c * 64 : c * 64 + 64].T + p["bw"][c * 64 : c * 64 + 64]).astype(np.float64))
-            share = e[c] / e.sum() * own[i - c * 64] / own.sum()
+            last, c = i, sum(table.model.edge[1:] <= i)
+            a, z = table.model.edge[c : c + 2]
+            own = np.exp((h @ p["ww"][a:z].T + p["bw"][a:z]).astype(np.float64))
+            share = e[c] / e.sum() * own[i - a] / own.sum()
         total += np.log10(share)
     return total
 
@@ -205,13 +206,13 @@ def test_recurrent_gradients_and_probabilities():
     x, y, fresh = rng.integers(0, 140, (3, 5)), rng.integers(0, 140, (3, 5)), rng.random((3, 5)) < 0.2
 
     def loss():
-        h, states = np.zeros((3, 4)), []
+        h, states = np.zeros((4, 3)), []
         for t in range(5):
-            h, _ = g.step(g.inputs(x[:, t]), np.where(fresh[:, t, None], 0, h))
+            h, _ = g.step(g.inputs(x.T)[t], np.where(fresh[:, t], 0, h))
             states.append(h)
-        return -g.log_probs(np.concatenate(states), y.T.ravel())[0].mean()
+        return -g.log_probs(np.concatenate(states, 1), y.T.ravel())[0].mean()
 
-    grad, _ = g._gradients(x, y, fresh, np.zeros((3, 4)))
+    grad, _ = g._gradients(x, y, fresh, np.zeros((4, 3)))
     for k, w in g.p.items():
         flat, j = w.reshape(-1), int(np.abs(grad[k]).argmax())
         old = flat[j]
@@ -221,7 +222,7 @@ def test_recurrent_gradients_and_probabilities():
         down = loss()
         flat[j] = old
         assert (up - down) / 2e-5 == pytest.approx(grad[k].reshape(-1)[j], rel=1e-4)
-    every, _ = g.log_probs(np.repeat(rng.normal(size=(1, 4)), 144, 0), np.arange(144))
+    every, _ = g.log_probs(np.repeat(rng.normal(size=(4, 1)), 144, 1), np.arange(144))
     assert np.exp(every).sum() == pytest.approx(1)
     docs = [rng.integers(0, 144, n) for n in (0, 1, 7, 70, 33)]
     whole, alone = g.score(docs, 0, window=16), [g.score([d], 0, window=1000)[0] for d in docs]

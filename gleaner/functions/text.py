@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +19,13 @@ from pyspark.sql.types import StringType
 #: A character outside what the built-in path handles exactly.
 UNUSUAL = r"[^\x00-\x7F\xC0-\xFF]"
 CJK = r"\x{3400}-\x{9FFF}"
-#: Search tokens: ASCII words with inner joiners, or runs of CJK. The dotless i belongs to case-insensitive a-z.
+#: Characters without width that cleaning takes out (fixed values of the corpus format).
+INVISIBLE = r"[\xAD\x{FEFF}\x{200B}-\x{200F}\x{2060}]"
+#: Blanks between two CJK characters.
+BETWEEN = rf"(?<=[{CJK}])[ \t]+(?=[{CJK}])"
+#: What closes a sentence or a clause, and so no heading.
+CLOSING = "。！？.!?；;，,"
+#: Search tokens (fixed values of the token format): ASCII words with inner joiners, or runs of CJK. The dotless i belongs to case-insensitive a-z.
 TOKEN = r"[a-z0-9\x{131}]+(?:[._/+\-][a-z0-9\x{131}]+)*|[\x{3400}-\x{9FFF}]+"
 SPACES = r"(?U)\s+"
 EDGES = r"(?U)^\s+|\s+$"
@@ -78,20 +85,23 @@ def binding_form(text: Column, exact: bool = True) -> Column:
 
 
 def clean_inline(text: Column, exact: bool = True) -> Column:
-    bare = F.regexp_replace(nfkc(text, exact), r"[\xAD\x{FEFF}\x{200B}-\x{200F}\x{2060}]", "")
+    bare = F.regexp_replace(nfkc(text, exact), INVISIBLE, "")
     blanks = F.regexp_replace(F.regexp_replace(bare, r"\xA0", " "), r"[ \t\f\x0B]+", " ")
     return stripped(F.regexp_replace(blanks, r"(?U)\s*\n\s*", "\n"))
 
 
 def clean_block(text: Column, exact: bool = True) -> Column:
-    return F.regexp_replace(squeezed(clean_inline(text, exact)), rf"(?<=[{CJK}])[ \t]+(?=[{CJK}])", "")
+    return F.regexp_replace(squeezed(clean_inline(text, exact)), BETWEEN, "")
+
+
+#: What Markdown puts around words, in the order in which it goes: (pattern, the group that stays or 0 for none). Images, links, a leading
+#: quotation mark, emphasis (fixed values of the corpus format).
+MARKUP = ((r"!\[([^\]]*)\]\([^)]*\)", 1), (r"\[([^\]]+)\]\([^)]*\)", 1), (r"(?U)^\s*>\s?", 0), (r"(?<!\\)[*_~]{1,3}", 0))
 
 
 def strip_markdown(text: Column, exact: bool = True) -> Column:
-    plain = F.regexp_replace(text, r"!\[([^\]]*)\]\([^)]*\)", "$1")
-    plain = F.regexp_replace(plain, r"\[([^\]]+)\]\([^)]*\)", "$1")
-    plain = F.regexp_replace(plain, r"(?U)^\s*>\s?", "")
-    return clean_block(F.regexp_replace(plain, r"(?<!\\)[*_~]{1,3}", ""), exact)
+    bare = reduce(lambda t, rule: F.regexp_replace(t, rule[0], f"${rule[1]}" if rule[1] else ""), MARKUP, text)
+    return clean_block(bare, exact)
 
 
 def _pairs(run: Column) -> Column:
@@ -125,7 +135,7 @@ def is_heading(line: Column) -> Column:
     opens = F.lit(False)
     for pattern in HEADINGS:
         opens = opens | line.rlike(pattern)
-    return (F.length(line) > 0) & (F.length(line) <= 100) & ~F.right(line, F.lit(1)).isin(*"。！？.!?；;，,") & opens
+    return (F.length(line) > 0) & (F.length(line) <= 100) & ~F.right(line, F.lit(1)).isin(*CLOSING) & opens
 
 
 def heading_level(line: Column) -> Column:

@@ -1,51 +1,48 @@
-"""Markdown and plain text as blocks."""
+"""Markdown and plain text as blocks: every line has a class, and neighbours of one class make a block."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 from pyspark.sql import DataFrame
 
-from gleaner.functions import pytext
-from gleaner.sources.html import _exploded
+from gleaner.functions.pytext import clean_block, strip_markdown
+from gleaner.sources.blocks import Item, exploded, heading, rows
 
-_TITLE = re.compile(r"^\s*(#{1,6})\s+(.+?)\s*#*\s*$")
+#: Number signs, title, and number signs that close it (fixed values of the format, as is the fence).
+TITLE = re.compile(r"^\s*(#{1,6})\s+(.+?)\s*#*\s*$")
+FENCE = "```"
+
+
+def _classes(lines: list[str]) -> list[str]:
+    """Of each line: a fence, code between fences (or behind the last), a title, blank, or words."""
+    fences = [line.lstrip().startswith(FENCE) for line in lines]
+    inside = accumulate(fences, lambda open_, fence: open_ != fence, initial=False)
+
+    def of(line: str, fence: bool, code: bool) -> str:
+        return "fence" if fence else "code" if code else "title" if TITLE.match(line) else "words" if line else "blank"
+
+    return [of(*at) for at in zip(lines, fences, inside, strict=False)]
+
+
+def items_of(text: str) -> Iterator[Item]:
+    lines = [line.rstrip() for line in text.splitlines()]
+    for kind, group in groupby(zip(_classes(lines), lines, strict=True), key=lambda pair: pair[0]):
+        own = [line for _, line in group]
+        if kind == "title":
+            yield from (heading(strip_markdown(m[2]), len(m[1])) for m in map(TITLE.match, own) if m)
+        elif kind == "code":
+            yield Item("code", clean_block("\n".join(own)))
+        elif kind == "words":
+            yield Item("paragraph", strip_markdown(" ".join(own)))
 
 
 def blocks_of(text: str) -> list[dict]:
-    """Paragraphs end at empty lines, headings and fences; an open fence at the end closes there."""
-    out: list[dict] = []
-    path: list[str] = []
-    held: list[str] = []
-    fenced = False
-
-    def close() -> None:
-        if held:
-            body = pytext.clean_block("\n".join(held)) if fenced else pytext.strip_markdown(" ".join(held))
-            if body:
-                out.append({"pos": len(out), "kind": "code" if fenced else "paragraph", "page": None, "section_path": path, "text": body})
-            held.clear()
-
-    for line in text.splitlines():
-        line = line.rstrip()
-        if line.lstrip().startswith("```"):
-            close()
-            fenced = not fenced
-        elif fenced:
-            held.append(line)
-        elif title := _TITLE.match(line):
-            close()
-            heading = pytext.strip_markdown(title[2])
-            path = pytext.below(path, heading, len(title[1]))
-            out.append({"pos": len(out), "kind": "heading", "page": None, "section_path": path, "text": heading})
-        elif line:
-            held.append(line)
-        else:
-            close()
-    close()
-    return out
+    return rows(items_of(text))
 
 
 def text_blocks(documents: DataFrame, id_col: str = "document_id", text: str = "text") -> DataFrame:
     """(id, pos, kind, page, section_path, text) of every block."""
-    return _exploded(documents, id_col, [text], lambda t: blocks_of(t or ""), "block")
+    return exploded(documents, id_col, [text], lambda t: blocks_of(t or ""))

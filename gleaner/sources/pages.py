@@ -6,6 +6,7 @@ Reading the pages of a file is a plug-in (``PageReader``); all from lines on is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Protocol
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import pytext
 from gleaner.functions.text import is_page_number
 from gleaner.session import ship
+from gleaner.sources.blocks import Item, exploded, heading, rows
 
 
 class PageReader(Protocol):
@@ -44,44 +46,69 @@ def page_statistics(pages: DataFrame) -> DataFrame:
     return grouped.withColumn("ocr_recommended", (F.col("sparse_pages") / F.col("pages") >= 0.4) | (F.col("mean_chars") < 80))
 
 
-def blocks_of(pages: list[list[str]], repeated: set[str]) -> list[dict]:
-    """Blocks of a document; its section path goes on over pages, paragraphs end with their page."""
-    out: list[dict] = []
-    path: list[str] = []
+FULL, ENDS = 240, "。！？.!?；;：:"  # a paragraph of so many characters ends with the line that closes a sentence (fixed values)
+
+
+def _numbered(lines: list[str]) -> Iterator[tuple[int, str]]:
+    """Each line with the number of its block: headings stand alone, full paragraphs end."""
+    number, size, ended = 0, 0, True
+    for line in lines:
+        alone = pytext.is_heading(line)
+        if ended or alone:
+            number, size = number + 1, 0
+        size += len(line) + 1  # with the blank that joins it to the next
+        ended = alone or (size > FULL and line[-1] in ENDS)
+        yield number, line
 
-    def add(kind: str, page: int, text: str) -> None:
-        if text:
-            out.append({"pos": len(out), "kind": kind, "page": page, "section_path": path, "text": text})
 
+def items_of(pages: list[list[str]], repeated: set[str]) -> Iterator[Item]:
+    """Paragraphs end with their page; the section path goes on over pages."""
     for page, raw in enumerate(pages, 1):
-        held: list[str] = []
-        for line in map(pytext.clean_block, raw):
-            if not line or line in repeated or pytext.is_page_number(line):
-                continue
-            if pytext.is_heading(line):
-                add("paragraph", page, pytext.clean_block(" ".join(held)))
-                held = []
-                path = pytext.below(path, line)
-                add("heading", page, line)
-                continue
-            held.append(line)
-            if sum(map(len, held)) + len(held) - 1 >= 240 and line[-1] in "。！？.!?；;：:":
-                add("paragraph", page, pytext.clean_block(" ".join(held)))
-                held = []
-        add("paragraph", page, pytext.clean_block(" ".join(held)))
-    return out
+        lines = [line for line in map(pytext.clean_block, raw) if line and line not in repeated and not pytext.is_page_number(line)]
+        for _, group in groupby(_numbered(lines), key=lambda pair: pair[0]):
+            own = [line for _, line in group]
+            yield heading(own[0], page=page) if pytext.is_heading(own[0]) else Item("paragraph", pytext.clean_block(" ".join(own)), page=page)
+
+
+def blocks_of(pages: list[list[str]], repeated: set[str]) -> list[dict]:
+    return rows(items_of(pages, repeated))
 
 
 def page_blocks(documents: DataFrame) -> DataFrame:
     """(document_id, pos, kind, page, section_path, text) from rows (document_id, pages, repeated): one document a row."""
-    ship(documents.sparkSession)
-    kind = dict(documents.dtypes)["document_id"]
-    struct = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("page", pa.int32()), ("section_path", pa.list_(pa.string())), ("text", pa.string())])
+    return exploded(documents, "document_id", ["pages", "repeated"], lambda p, r: blocks_of(p or [], set(r or [])))
+
+
+def read_pages(files: DataFrame, reader: PageReader, id_col: str = "document_id") -> DataFrame:
+    """(id, pages, error) of files (id, content): the reader's lines of every page, cleaned, or why there are none."""
+    ship(files.sparkSession)
+    kind = dict(files.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [blocks_of(p or [], set(r or [])) for p, r in zip(batch.column("pages").to_pylist(), batch.column("repeated").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("document_id"), pa.array(rows, pa.list_(struct))], ["document_id", "found"])
-
-    made = documents.select("document_id", "pages", "repeated").mapInArrow(work, f"document_id {kind}, found array<struct<pos:int,kind:string,page:int,section_path:array<string>,text:string>>")
-    return made.select("document_id", F.inline("found"))
+            found: list[list[list[str]] | None] = []
+            errors: list[str | None] = []
+            for body in batch.column("content").to_pylist():
+                try:
+                    found.append([[pytext.clean_block(line) for line in page] for page in reader.pages(body or b"")])
+                    errors.append(None)
+                except Exception as e:  # whatever a plug-in raises is that file's error
+                    found.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(found, pa.list_(pa.list_(pa.string()))), pa.array(errors, "string")], [id_col, "pages", "error"])
+
+    return files.select(id_col, "content").mapInArrow(work, f"{id_col} {kind}, pages array<array<string>>, error string")
+
+
+def paged_documents(read: DataFrame) -> DataFrame:
+    """``page_blocks`` of rows (document_id, pages), lines that repeat at the edges of a document's pages left out."""
+    pages = read.select("document_id", F.posexplode("pages").alias("page", "raw"))
+    edges = repeated_edge_lines(pages.select("document_id", "page", F.filter("raw", lambda x: F.length(x) > 0).alias("lines")))
+    found = edges.groupBy("document_id").agg(F.collect_set("line").alias("repeated"))
+    return page_blocks(read.select("document_id", "pages").join(found, "document_id", "left"))
+
+
+def page_sizes(read: DataFrame) -> DataFrame:
+    """(document_id, page, chars) of rows (document_id, pages)."""
+    size = F.aggregate(F.col("raw"), F.lit(0), lambda n, line: n + F.length(line))
+    return read.select("document_id", F.posexplode("pages").alias("page", "raw")).select("document_id", "page", size.alias("chars"))

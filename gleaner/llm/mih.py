@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by multi-index hashing (Norouzi et al., 2014) on learned codes.
 
-Codes: unit vectors are centred, rotated by PCA and then by a rotation learned with ITQ (Gong and
-Lazebnik, 2011) on a bounded sample (``most_sample`` rows, those with the least hash of vec_id), and
-the signs are the bits. Each code is split into substrings of 16 bits, and every block of rows
-keeps one table per substring.
+Codes: unit vectors are centred, rotated by PCA and then by rotations learned with ITQ (Gong and
+Lazebnik, 2011; from several random beginnings) on a bounded sample (``most_sample`` rows, those with the least hash of vec_id), and
+the signs are the bits. The first rotation's code is split into substrings of 16 bits, and every block of rows
+keeps one table per substring; all rotations together make a long code that tells distances more finely.
 
 Search: by the pigeonhole principle a code within Hamming radius s * (a + 1) - 1 of the query has at
 least one of its s substrings within a of the query's. Probing the tables with a = 0, 1, 2, ... hence
-retrieves every code within that radius; the search stops at the first radius with ``enough``
-codes, and those are reranked by cosine in double precision on the original vectors.
+retrieves every code within that radius; the search stops at the first radius that holds ``share`` of the block's codes. Of
+those the ``enough`` nearest by long code, and all that are as near as the last, are reranked by cosine in double
+precision on the original vectors.
 
 Distribution: every row is indexed, in the block where it is read; queries are broadcast in blocks
 of ``most_queries`` rows (their number is counted first), each block of queries in its own pass.
@@ -43,27 +44,34 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """The learned map from vectors to codes of ``bits`` bits, as 16-bit substrings."""
+    """The learned maps from vectors to codes: of the first rotation as 16-bit substrings, of all as 64-bit words."""
 
-    def __init__(self, sample: np.ndarray, rounds: int = 40, seed: int = 3):
+    def __init__(self, sample: np.ndarray, rounds: int = 40, seed: int = 3, rotations: int = 4):
         x = unit(sample)
         d = x.shape[1]
         self.mean = x.mean(0)
         x = x - self.mean
         _, axes = np.linalg.eigh(x.T @ x)
         axes = axes[:, ::-1]
-        r, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))
-        v = x @ axes
-        for _ in range(rounds):  # the rotation that brings the projections closest to their signs
-            left, _, right = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-            r = (left @ right).T
-        self.axes, self.bits = axes @ r, d
+        rng, v, self.axes = np.random.default_rng(seed), x @ axes, []
+        for _ in range(rotations):
+            r, _ = np.linalg.qr(rng.normal(size=(d, d)))
+            for _ in range(rounds):  # the rotation that brings the projections closest to their signs
+                left, _, right = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+                r = (left @ right).T
+            self.axes.append(axes @ r)
 
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        on = (unit(x) - self.mean) @ self.axes >= 0
-        wide = np.zeros((len(x), -(-self.bits // SUB) * SUB), bool)
-        wide[:, : self.bits] = on
-        return np.packbits(wide, 1).view(np.uint16)
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = unit(x) - self.mean
+        bits = [x @ a >= 0 for a in self.axes]
+        return _packed(bits[0], SUB).view(np.uint16), _packed(np.concatenate(bits, 1), 64).view(np.uint64)
+
+
+def _packed(on: np.ndarray, unit_: int) -> np.ndarray:
+    """Rows of bits as bytes, filled up to whole units."""
+    wide = np.zeros((len(on), -(-on.shape[1] // unit_) * unit_), bool)
+    wide[:, : on.shape[1]] = on
+    return np.packbits(wide, 1)
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -77,7 +85,7 @@ class Block:
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: Codes):
         self.ids, self.x = ids, x.astype(np.float64)
         self.norm = np.sqrt((self.x * self.x).sum(1))
-        self.code = codes.encode(x)
+        self.code, self.long = codes.encode(x)
         self.tables = []
         for j in range(self.code.shape[1]):
             order = np.argsort(self.code[:, j], kind="stable")
@@ -102,10 +110,15 @@ class Block:
                 return near
         return np.flatnonzero(seen)
 
-    def search(self, query_id: int, q: np.ndarray, code: np.ndarray, k: int, enough: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.within(code, enough, 1)
+    def search(self, query_id: int, q: np.ndarray, code: np.ndarray, long: np.ndarray, k: int, share: float, enough: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.within(code, max(enough, int(share * len(self.ids))), 1)
         rows = rows[self.ids[rows] != query_id]
-        q = q.astype(np.float64)
+        if len(rows) > enough:
+            far = np.bitwise_count(self.long[rows] ^ long).sum(1, dtype=np.int64)
+            rows = rows[far <= np.partition(far, enough - 1)[enough - 1]]
+        score = self.x[rows] @ q / (self.norm[rows] * np.sqrt(q @ q))
+        edge = np.partition(score, -k)[-k] - 1e-9 if len(rows) > k else -np.inf
+        rows = rows[score >= edge]
         score = (self.x[rows] * q).sum(1) / (self.norm[rows] * np.sqrt((q * q).sum()))
         best = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows[best]], score[best]
@@ -117,10 +130,11 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.array(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1)
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, enough: int = 400, most_sample: int = 8192, most_queries: int = 16_384, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, share: float = 0.1, enough: int = 400, most_sample: int = 8192, most_queries: int = 16_384, block: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest of every row whose vec_id ``every`` divides."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id IS NOT NULL").filter(usable(F.col("v")))
@@ -142,23 +156,23 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, enough: int = 400,
         if not own.num_rows:
             continue
         ids, first = np.unique(np.asarray(own.column("vec_id")), return_index=True)
-        got = map_batches(rows, FOUND, _searcher(spark, ids, _matrix(own.column("v"))[first], codes, k, enough, block))
+        got = map_batches(rows, FOUND, _searcher(spark, ids, _matrix(own.column("v"))[first], codes, k, share, enough, block))
         found = got if found is None else found.unionByName(got)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(spark, ids: np.ndarray, queries: np.ndarray, codes: Codes, k: int, enough: int, block: int):
+def _searcher(spark, ids: np.ndarray, queries: np.ndarray, codes: Codes, k: int, share: float, enough: int, block: int):
     sent = spark.sparkContext.broadcast((ids, queries, codes, codes.encode(queries)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, codes, asked = sent.value
+        ids, queries, codes, (asked, asked_long) = sent.value
         best_id, best = np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)
 
         def take(index: Block) -> None:
             for i in range(len(ids)):
-                near, score = index.search(int(ids[i]), queries[i], asked[i], k, enough)
+                near, score = index.search(int(ids[i]), queries[i], asked[i], asked_long[i], k, share, enough)
                 near, score = np.concatenate([best_id[i], near]), np.concatenate([best[i], score])
                 order = np.lexsort((near, -score))
                 _, once = np.unique(near[order], return_index=True)  # repeated rows of one vec_id count once

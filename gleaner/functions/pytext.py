@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from gleaner.functions import text as columns
@@ -19,6 +20,20 @@ _HEADING = _compiled("|".join(f"(?:{p})" for p in columns.HEADINGS))
 _MARKUP = [(_compiled(pattern), rf"\{group}" if group else "") for pattern, group in columns.MARKUP]
 
 
+_TOKEN = _compiled(columns.TOKEN)
+
+
+def pairs(run: str) -> list[str]:
+    """A run of CJK characters as overlapping pairs: the stand-in for segmentation by a dictionary."""
+    return [run[i : i + 2] for i in range(max(1, len(run) - 1))]
+
+
+def tokens(text: str, segment: Callable[[str], list[str]] = pairs) -> list[str]:
+    """Search tokens of a text, in order."""
+    found = _TOKEN.findall(unicodedata.normalize("NFKC", text).casefold())
+    return found if text.isascii() else [t for unit in found for t in (segment(unit) if unit[0] >= "\u3400" else (unit,))]
+
+
 def clean_block(text: str) -> str:
     seen = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     return _BETWEEN.sub("", " ".join(seen.split()))

@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gleaner.session import arrow_udf
+
 #: A character outside what the built-in path handles exactly.
 UNUSUAL = r"[^\x00-\x7F\xC0-\xFF]"
 CJK = r"\x{3400}-\x{9FFF}"
@@ -44,7 +46,7 @@ def _casefold(s: pd.Series) -> pd.Series:
 
 
 def _arrow(f: Callable[[pd.Series], pd.Series], text: Column) -> Column:
-    return F.pandas_udf(f, StringType())(_unusual(text))
+    return arrow_udf(f, StringType())(_unusual(text))
 
 
 def _unusual(text: Column) -> Column:
@@ -111,8 +113,10 @@ def _pairs(run: Column) -> Column:
 
 def tokens(text: Column, exact: bool = True) -> Column:
     """Search tokens of a text, in order."""
-    units = F.regexp_extract_all(normalize_text(text, exact), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(units, lambda u: F.when(u.rlike(f"^[{CJK}]"), _pairs(u)).otherwise(F.array(u))))
+    normal = normalize_text(text, exact)
+    units = F.regexp_extract_all(normal, F.lit(TOKEN), F.lit(0))
+    parted = F.flatten(F.transform(units, lambda u: F.when(u.rlike(f"^[{CJK}]"), _pairs(u)).otherwise(F.array(u))))
+    return F.when(normal.rlike(f"[{CJK}]"), parted).otherwise(units)
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

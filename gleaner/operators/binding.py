@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import binding_form
+from gleaner.session import ship
 
 
 def page_distance(page_start: Column, page_end: Column, hint: Column) -> Column:
@@ -14,19 +20,61 @@ def page_distance(page_start: Column, page_end: Column, hint: Column) -> Column:
     return F.when(hint.isNull() | page_start.isNull() | hint.between(page_start, end), 0).otherwise(apart)
 
 
+def _asked(questions: DataFrame, exact: bool) -> DataFrame:
+    """id, term: every distinct term of every question in its binding form, empty ones left out."""
+    rows = questions.select("id", F.explode("evidence_terms").alias("t"))
+    return rows.select("id", binding_form(F.col("t"), exact).alias("term")).filter(F.length("term") > 0).distinct()
+
+
+def holding(chunks: DataFrame, terms: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """(chunk_id, source_id, term): which of the terms (term) each chunk's ``form`` holds.
+
+    Terms are broadcast in blocks of ``most_bytes`` (their size is summed first) as an automaton; each form is read once for each block.
+    """
+    spark = chunks.sparkSession
+    ship(spark)
+    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    blocks, found = max(1, -(-size // most_bytes)), None
+    kinds = dict(chunks.dtypes)
+    for block in range(blocks):
+        own = sorted(r.term for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).toLocalIterator())
+        part = chunks.select("chunk_id", "source_id", "form").mapInArrow(_held(spark.sparkContext.broadcast(own)), f"chunk_id {kinds['chunk_id']}, source_id {kinds['source_id']}, term string")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _held(sent: Broadcast):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = sent.value
+        seeker = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            seeker.add_word(term, i)
+        if terms:
+            seeker.make_automaton()
+        for batch in batches:
+            found = [sorted({i for _, i in seeker.iter(f)}) if f and terms else [] for f in batch.column("form").to_pylist()]
+            row = pa.array([r for r, own in enumerate(found) for _ in own], "int64")
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(row), batch.column("source_id").take(row), pa.array([terms[i] for own in found for i in own], "string")], ["chunk_id", "source_id", "term"])
+
+    return work
+
+
 def candidates(questions: DataFrame, chunks: DataFrame, exact: bool = True) -> DataFrame:
     """(id, chunk_id, place, ...) of the chunks of a question's source that hold all its terms, the nearest page first.
 
-    The source is the join key; the terms are tested on the joined rows.
+    Chunks are read once for all terms; what is joined are the terms that a chunk holds, not questions and chunks. A question without terms
+    has every chunk of its source.
     """
-    asked = questions.withColumn("terms", F.transform("evidence_terms", lambda t: binding_form(t, exact=False))) if not exact else questions.join(
-        questions.select("id", F.posexplode("evidence_terms").alias("n", "t")).withColumn("t", binding_form(F.col("t"))).groupBy("id").agg(F.collect_list("t").alias("terms")), "id"
-    )
-    hints = asked if "page_hint" in questions.columns else asked.withColumn("page_hint", F.lit(None).cast("int"))
-    form = chunks.withColumn("form", binding_form(F.col("text"), exact))
-    met = hints.select("id", "source_id", "terms", "page_hint").join(form, "source_id").filter(F.forall("terms", lambda t: F.contains(F.col("form"), t)))
+    hints = questions if "page_hint" in questions.columns else questions.withColumn("page_hint", F.lit(None).cast("int"))
+    asked = _asked(questions, exact)
+    wanted = hints.select("id", "source_id", "page_hint").join(asked.groupBy("id").agg(F.count(F.lit(1)).alias("terms")), "id", "left")
+    forms = chunks.select("chunk_id", "source_id", binding_form(F.col("text"), exact).alias("form"))
+    met = holding(forms, asked.select("term").distinct()).join(asked, "term").groupBy("id", "chunk_id", "source_id").agg(F.count(F.lit(1)).alias("held"))
+    whole = met.join(wanted.filter("terms > 0"), ["id", "source_id"]).filter("held = terms").select("id", "source_id", "page_hint", "chunk_id")
+    any_ = wanted.filter("terms IS NULL").join(chunks.select("source_id", "chunk_id"), "source_id").select("id", "source_id", "page_hint", "chunk_id")
+    rows = whole.unionByName(any_).join(chunks.drop("text"), ["source_id", "chunk_id"])
     order = Window.partitionBy("id").orderBy(page_distance(F.col("page_start"), F.col("page_end"), F.col("page_hint")), "character_count", "chunk_index", "chunk_id")
-    return met.withColumn("place", F.row_number().over(order)).filter("place <= 4").drop("form", "terms")
+    return rows.withColumn("place", F.row_number().over(order)).filter("place <= 4")
 
 
 def bind(questions: DataFrame, chunks: DataFrame, exact: bool = True) -> DataFrame:

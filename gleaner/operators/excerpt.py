@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from gleaner.functions.text import tokens
+from gleaner.session import arrow_udf
 
 
 def terms_of(query: Column, exact: bool = True) -> Column:
@@ -13,22 +16,42 @@ def terms_of(query: Column, exact: bool = True) -> Column:
     return F.filter(F.array_distinct(tokens(query, exact)), lambda t: F.length(t) >= 2)
 
 
-def weight_of(terms: Column, text: Column) -> Column:
+def weight(terms: list[str], text: str) -> int:
     """Occurrences of the terms in the lower-cased text, each weighing its length squared."""
-    low = F.lower(text)
-    return F.aggregate(terms, F.lit(0).cast("long"), lambda s, t: s + F.length(t) * (F.length(low) - F.length(F.replace(low, t, F.lit("")))))
+    low = text.lower()
+    return sum(low.count(t) * len(t) ** 2 for t in terms)
+
+
+def weight_of(terms: Column, text: Column) -> Column:
+    """``weight`` of columns; like ``excerpt`` no part of a lambda function."""
+
+    def weights(terms: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or w is None else weight(list(w), x) for w, x in zip(terms, texts, strict=True)], dtype="Int64")
 
+    return arrow_udf(weights, LongType())(terms, text)
 
-def starts_of(text: Column, size: int) -> Column:
+
+def starts_of(length: int, size: int) -> list[int]:
     """Where windows of ``size`` characters begin: at a stride of half a window (120 at least), and so that the last ends with the text."""
-    stride, last = max(120, size // 2), F.length(text) - size
-    return F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), F.array(F.greatest(last, F.lit(0)))))
+    last = max(length - size, 0)
+    return sorted({*range(0, last + 1, max(120, size // 2)), last})
+
+
+def best_window(terms: list[str], text: str, size: int) -> str:
+    """The earliest window of greatest weight, or the text itself if it is no longer than a window."""
+    if len(text) <= size:
+        return text
+    low = text.lower()
+    there = [t for t in terms if t in low] if len(low) == len(text) and "Σ" not in text else terms
+    start = max(starts_of(len(text), size), key=lambda s: (weight(there, text[s : s + size]), -s)) if there else 0
+    return text[start : start + size]
 
 
 def excerpt(terms: Column, text: Column, size: int = 420) -> Column:
-    """The earliest window of greatest weight, or the text itself if it is no longer than a window.
+    """``best_window`` for a column that holds ``terms_of`` the query; texts no longer than a window don't leave the JVM."""
+
+    def windows(terms: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or w is None else best_window(list(w), x, size) for w, x in zip(terms, texts, strict=True)], dtype=object)
 
-    ``terms`` is a column that holds ``terms_of`` the query: an Arrow function can't stand inside a lambda.
-    """
-    scored = F.transform(starts_of(text, size), lambda s: F.struct(weight_of(terms, F.substring(text, s + 1, F.lit(size))).alias("weight"), (-s).alias("before")))
-    return F.when(F.length(text) <= size, text).otherwise(F.substring(text, 1 - F.array_max(scored)["before"], F.lit(size)))
+    long = F.length(text) > size
+    return F.coalesce(arrow_udf(windows, StringType())(F.when(long, terms), F.when(long, text)), text)

@@ -1,93 +1,147 @@
 """BM25 over chunks, for whole tables of queries.
 
-The index is three tables: postings (chunk_id, token, tf), lengths (chunk_id, dl) and vocabulary
-(token, df, idf). A search joins the queries' tokens with the vocabulary and the postings on the
-token, so only postings of query tokens are read into the aggregate; Spark broadcasts the query
-side when it is small and shuffles both by token when it isn't.
+The index is a written table with a row for each chunk (chunk_id, dl, its distinct tokens and how often it holds each), made in one pass without
+a shuffle, and a written vocabulary (token, df, idf). A search broadcasts the queries' tokens with their weights, in blocks of counted
+size, and scores each part of the index where it lies; a task sends on its k best chunks per query, so what is shuffled is k rows
+per query and task, however many chunks hold a token.
 
 idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one is replaced by epsilon times the mean idf.
-Every chunk is ranked, those without a query token with score 0: a query with fewer than k matches
-is filled up with the smallest chunk ids, for which 2k candidates suffice.
+Every chunk is ranked, those without a query token with score 0, ties to the smaller chunk id.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.config import Bm25Config
-from gleaner.functions.text import tokens
+from gleaner.functions import pytext
 from gleaner.operators.topk import top_k
-from gleaner.session import cut
+from gleaner.session import cut, ship
+
+#: How a run of CJK characters becomes tokens; a segmenter with a dictionary can take the place of the default.
+Segmenter = Callable[[str], list[str]]
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    postings: DataFrame
-    lengths: DataFrame
-    vocabulary: DataFrame
-    stats: DataFrame
+    rows: DataFrame  # chunk_id, dl, tokens, tfs
+    vocabulary: DataFrame  # token, df, idf
+    n: int
+    avgdl: float
+    avg_idf: float
+    n_terms: int
     config: Bm25Config
+    segment: Segmenter
 
-    def persist(self) -> Bm25Index:
-        for table in (self.postings, self.lengths, self.vocabulary, self.stats):
-            table.persist()
-        return self
+    @property
+    def stats(self) -> DataFrame:
+        return self.rows.sparkSession.createDataFrame([(self.n, self.avgdl, self.avg_idf, self.n_terms)], "n long, avgdl double, avg_idf double, n_terms long")
 
 
 def titled(chunks: DataFrame) -> Column:
     return F.concat_ws(" ", "title", "text")
 
 
-def build_index(chunks: DataFrame, text: Column | None = None, config: Bm25Config = Bm25Config(), exact: bool = True, written: bool = False) -> Bm25Index:
-    """Index the ``chunk_id`` and text of ``chunks`` (by default title and text).
+def counted_tokens(texts: DataFrame, id_col: str, text: Column, segment: Segmenter) -> DataFrame:
+    """(id, dl, tokens, tfs) of each row's text: how many tokens, the distinct ones, and how often each occurs."""
+    ship(texts.sparkSession)
+    kind = dict(texts.dtypes)[id_col]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(pytext.tokens(t or "", segment)) for t in batch.column(1).to_pylist()]
+            at = pa.array(np.cumsum([0, *map(len, found)]), "int32")
+            tokens = pa.ListArray.from_arrays(at, pa.array([t for c in found for t in c], "string"))
+            tfs = pa.ListArray.from_arrays(at, pa.array([n for c in found for n in c.values()], "int32"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.total() for c in found], "int64"), tokens, tfs], [id_col, "dl", "tokens", "tfs"])
+
+    return texts.select(id_col, text.alias("text")).mapInArrow(work, f"{id_col} {kind}, dl long, tokens array<string>, tfs array<int>")
+
+
+def build_index(chunks: DataFrame, text: Column | None = None, config: Bm25Config = Bm25Config(), segment: Segmenter = pytext.pairs) -> Bm25Index:
+    """Index the ``chunk_id`` and text of ``chunks`` (by default title and text); texts are read once."""
+    rows = cut(counted_tokens(chunks, "chunk_id", titled(chunks) if text is None else text, segment), "lexical-index")
+    df = cut(rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "lexical-vocabulary")
+    n, avgdl = rows.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    avg_idf, n_terms = df.agg(F.avg(raw), F.count(F.lit(1))).first()
+    idf = F.when(raw < 0, F.lit(config.epsilon * (avg_idf or 0.0))).otherwise(raw)
+    return Bm25Index(rows, df.select("token", "df", idf.alias("idf")), n, avgdl, avg_idf, n_terms, config, segment)
+
+
+def bm25_search(index: Bm25Index, queries: DataFrame, k: int, most_weights: int = 1_000_000, most_queries: int = 4096) -> DataFrame:
+    """query_id, chunk_id, score, rank, stage of the ``k`` best chunks of each query (query_id, query).
 
-    ``written`` puts postings and lengths into work tables, so that texts are read and split into tokens once
-    however often the index is used; a chunk's postings are made in the task that reads it, without a shuffle.
+    Queries are dealt to blocks of about ``most_weights`` (query, token) pairs and ``most_queries`` queries (counted first).
     """
-    words = chunks.select("chunk_id", tokens(titled(chunks) if text is None else text, exact).alias("tokens"))
-    sorted_ = F.array_sort("tokens")
-    edges = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    if written:
-        counted = words.select("chunk_id", F.size("tokens").cast("long").alias("dl"), sorted_.alias("s")).withColumn("e", F.when(F.size("s") > 0, edges).otherwise(F.array().cast("array<int>")))
-        runs = F.transform("e", lambda i, n: F.struct(F.get("s", i).alias("token"), (F.coalesce(F.get("e", n + 1), F.size("s")) - i).cast("long").alias("tf")))
-        words = cut(counted.select("chunk_id", "dl", runs.alias("terms")), "lexical-index")
-        lengths, postings = words.select("chunk_id", "dl"), words.select("chunk_id", F.inline("terms"))
-    else:
-        lengths = words.select("chunk_id", F.size("tokens").cast("long").alias("dl"))
-        postings = words.select("chunk_id", F.explode("tokens").alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    raw = df.crossJoin(corpus.select("n")).select("token", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row on the right
-    stats = corpus.crossJoin(raw.agg(F.avg("raw").alias("avg_idf"), F.count(F.lit(1)).alias("n_terms")))
-    vocabulary = raw.crossJoin(stats.select("avg_idf")).select("token", "df", F.when(F.col("raw") < 0, config.epsilon * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, lengths, vocabulary, stats, config)
-
-
-def query_tokens(queries: DataFrame, exact: bool = True) -> DataFrame:
-    """query_id, token, qtf."""
-    return queries.select("query_id", F.explode(tokens(F.col("query"), exact)).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-
-
-def bm25_scores(index: Bm25Index, queries: DataFrame, exact: bool = True) -> DataFrame:
-    """(query_id, chunk_id, score) of chunks that hold a query token; the score has single precision."""
-    c = index.config
-    asked = query_tokens(queries, exact).join(index.vocabulary, "token")
-    norm = c.k1 * (1 - c.b + c.b * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (c.k1 + 1) / (F.col("tf") + norm)
-    hits = asked.join(index.postings, "token").join(index.lengths, "chunk_id").crossJoin(index.stats.select("avgdl"))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).cast("float").alias("score"))
-
-
-def bm25_search(index: Bm25Index, queries: DataFrame, k: int, exact: bool = True) -> DataFrame:
-    """query_id, chunk_id, score, rank, stage of the ``k`` best chunks of each query."""
-    scored = bm25_scores(index, queries, exact)
-    best = top_k(scored, k)
-    # a matched chunk with score 0 ranks among the unmatched by its id, so unmatched ones may be needed up to k
-    spare = index.lengths.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-    short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")), "query_id", "left").filter("n IS NULL OR n < %d OR least <= 0" % k).select("query_id")
-    padding = short.crossJoin(spare).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0).cast("float"))  # 2k rows a query
-    ranked = top_k(best.select("query_id", "chunk_id", "score").unionByName(padding), k)
-    return ranked.select("query_id", "chunk_id", F.col("score").cast("double").alias("score"), "rank", F.lit("bm25").alias("stage"))
+    spark = queries.sparkSession
+    asked = counted_tokens(queries, "query_id", F.col("query"), index.segment)
+    pairs = asked.select("query_id", F.explode_outer(F.arrays_zip("tokens", "tfs")).alias("t")).groupBy("query_id", F.col("t.tokens").alias("token")).agg(F.sum("t.tfs").alias("qtf"))
+    weights = cut(pairs.join(index.vocabulary, "token", "left").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight")), "lexical-queries")
+    n_pairs, n_queries = weights.agg(F.count(F.lit(1)), F.approx_count_distinct("query_id")).first()
+    blocks = max(1, -(-n_pairs // most_weights), -(-n_queries // most_queries))
+    kinds = dict(index.rows.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
+    found = None
+    for block in range(blocks):
+        own = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        part = index.rows.mapInArrow(_best(spark.sparkContext.broadcast(_weighted(own, index.config)), index, k, kinds), f"query_id {kinds[1]}, chunk_id {kinds[0]}, score float")
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k).select("query_id", "chunk_id", F.col("score").cast("double").alias("score"), "rank", F.lit("bm25").alias("stage"))
+
+
+def _weighted(own: pa.Table, config: Bm25Config) -> tuple[list, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, known tokens, where each token's queries begin, their places, their weights)."""
+    ids = own.column("query_id").unique()
+    known = own.filter(pc.is_valid(own.column("weight")))
+    tokens = known.column("token").unique()
+    token, query = (np.asarray(pc.index_in(known.column(c), v)).astype(np.int64) for c, v in (("token", tokens), ("query_id", ids)))
+    order = np.lexsort((query, token))
+    start = np.searchsorted(token[order], np.arange(len(tokens) + 1))
+    return ids.to_pylist(), tokens, start, query[order], np.asarray(known.column("weight"), np.float64)[order] * (config.k1 + 1)
+
+
+def _best(sent: Broadcast, index: Bm25Index, k: int, kinds: tuple[str, str]):
+    c, avgdl = index.config, index.avgdl or 1.0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tokens, start, query, weight = sent.value
+        best: list[list[tuple[float, object]]] = [[] for _ in ids]
+        step = max(1, 2_000_000 // max(1, len(ids)))
+        for whole in batches:
+            whole = whole.take(pc.sort_indices(whole.column("chunk_id")))  # so that places are in the order of ties
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                names, scores = batch.column("chunk_id").to_pylist(), _scores(batch, tokens, start, query, weight, len(ids), c, avgdl)
+                for q, row in enumerate(scores):
+                    edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    near = np.flatnonzero(row > edge) if len(row) > k else np.arange(len(row))
+                    near = np.concatenate([near, np.flatnonzero(row == edge)[: k - len(near)]])
+                    best[q] = sorted(best[q] + [(-float(row[j]), names[j]) for j in near.tolist()])[:k]
+        rows = [(ids[q], name, -s) for q, own in enumerate(best) for s, name in own]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], ARROW[kinds[1]]), pa.array([r[1] for r in rows], ARROW[kinds[0]]), pa.array([r[2] for r in rows], "float32")], ["query_id", "chunk_id", "score"])
+
+    return work
+
+
+def _scores(batch: pa.RecordBatch, tokens: pa.Array, start: np.ndarray, query: np.ndarray, weight: np.ndarray, n_queries: int, c: Bm25Config, avgdl: float) -> np.ndarray:
+    """(queries, rows) of single precision."""
+    n, lists = batch.num_rows, batch.column("tokens")
+    token = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), tokens), -1))
+    row = np.repeat(np.arange(n), np.asarray(pc.list_value_length(lists)))
+    hit = np.flatnonzero(token >= 0)
+    token, row, tf = token[hit], row[hit], np.asarray(batch.column("tfs").flatten())[hit]
+    norm = c.k1 * (1 - c.b + c.b * np.asarray(batch.column("dl")) / avgdl)
+    part = tf / (tf + norm[row])
+    times = start[token + 1] - start[token]
+    at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[token], times)
+    cell = query[at] * n + np.repeat(row, times)
+    return np.bincount(cell, weight[at] * np.repeat(part, times), minlength=n_queries * n).reshape(n_queries, n).astype(np.float32)

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from gleaner.config import ChunkConfig
 from gleaner.functions.text import stable_id
 from gleaner.operators.chunking import assemble, chunk_documents, substantial
+from gleaner.session import arrow_udf
 from gleaner.sources import html, markdown
 from gleaner.sources.files import zip_members
 
@@ -42,7 +43,7 @@ def _decoded(bodies: pd.Series) -> pd.Series:
 
 
 def html_text(body: str) -> Column:
-    return F.pandas_udf(_decoded, StringType())(body)
+    return arrow_udf(_decoded, StringType())(body)
 
 
 def build(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:

@@ -14,6 +14,7 @@ from gleaner.operators.dense import Encoder, HashingEncoder, dense_search, encod
 from gleaner.operators.fusion import PairScorer, fuse, rerank
 from gleaner.operators.lexical import Bm25Index, bm25_search, build_index
 from gleaner.operators.topk import with_payload
+from gleaner.session import cut
 
 MODES = ("bm25", "dense", "hybrid", "rerank")
 
@@ -32,7 +33,7 @@ def repeated_ids(chunks: DataFrame) -> DataFrame:
 
 
 class Retriever:
-    """Indexes are plans until first used; ``prepare`` keeps them."""
+    """The lexical index is written when first used, embeddings are a plan until ``prepare`` keeps them."""
 
     def __init__(self, chunks: DataFrame, config: Config = Config(), encoder: Encoder | None = None, scorer: PairScorer | None = None, embeddings: DataFrame | None = None):
         self.chunks, self.config, self.encoder, self.scorer, self._given = chunks, config, encoder or HashingEncoder(), scorer, embeddings
@@ -46,12 +47,13 @@ class Retriever:
         return self._given if self._given is not None else encode(passage(self.chunks), self.encoder, "chunk_id", "passage", self.encoder.passage_prefix)
 
     def prepare(self, mode: str) -> float:
-        """Persist what a mode needs; seconds taken to plan it."""
+        """Make what a mode needs; seconds taken. What an earlier mode made is there already."""
         began = time.perf_counter()
-        if mode in ("bm25", "hybrid", "rerank"):
-            self.lexical.persist()
-        if mode in ("dense", "hybrid", "rerank"):
-            self.embeddings.persist()
+        if mode != "dense":
+            _ = self.lexical
+        if mode != "bm25" and self._given is None:
+            self._given = cut(self.embeddings, "dense-index")
+            self.__dict__.pop("embeddings", None)
         return time.perf_counter() - began
 
     def rank(self, queries: DataFrame, mode: str = "hybrid", k: int | None = None) -> DataFrame:

@@ -7,9 +7,12 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 _shipped: set[str] = set()
 
@@ -80,6 +83,13 @@ def done_with(*tables: DataFrame) -> None:
     free(spark)
 
 
+def arrow_udf(f: Callable, kind: DataType) -> Callable[..., Column]:
+    """A pandas function of this package as a column function; the package goes to the executors with it."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+    return F.pandas_udf(f, kind)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it."""
     app = spark.sparkContext.applicationId

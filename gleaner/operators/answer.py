@@ -63,9 +63,9 @@ def prompts(queries: DataFrame, found: DataFrame) -> DataFrame:
     return queries.select("query_id", "query").join(parts, "query_id", "left").select("query_id", F.concat(F.lit("问题："), F.col("query"), F.lit("\n\n证据：\n"), context).alias("prompt"))
 
 
-def sources(queries: DataFrame, found: DataFrame, config: AnswerConfig = AnswerConfig(), exact: bool = True) -> DataFrame:
+def sources(queries: DataFrame, found: DataFrame, config: AnswerConfig = AnswerConfig()) -> DataFrame:
     """One row per citation: where it is from, and the excerpt nearest to the query."""
-    rows = found.join(queries.select("query_id", terms_of(F.col("query"), exact).alias("terms")), "query_id")
+    rows = found.join(queries.select("query_id", terms_of(F.col("query")).alias("terms")), "query_id")
     return rows.select("query_id", "citation", "title", "source_id", "chunk_id", locator(F.col("page_start"), F.col("page_end"), F.col("section_path")).alias("locator"), "page_start", "page_end", "section_path", "source_page", excerpt(F.col("terms"), F.col("text"), config.excerpt_characters).alias("evidence"))
 
 

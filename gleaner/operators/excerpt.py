@@ -7,13 +7,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from gleaner.functions.text import tokens
+from gleaner.functions import pytext
 from gleaner.session import arrow_udf
 
 
-def terms_of(query: Column, exact: bool = True) -> Column:
-    """The query's distinct tokens of two characters or more."""
-    return F.filter(F.array_distinct(tokens(query, exact)), lambda t: F.length(t) >= 2)
+def terms_of(query: Column) -> Column:
+    """What ``excerpt`` looks for, as an array of texts. Their tokens are made where the excerpt is: an Arrow function inside another is not always planned."""
+    return F.array(query)
+
+
+def distinct_terms(texts: list[str | None]) -> list[str]:
+    """The distinct tokens of two characters or more, in order; none of a null."""
+    return [t for t in dict.fromkeys(t for text in texts if text is not None for t in pytext.tokens(text)) if len(t) >= 2]
 
 
 def weight(terms: list[str], text: str) -> int:
@@ -22,15 +27,6 @@ def weight(terms: list[str], text: str) -> int:
     return sum(low.count(t) * len(t) ** 2 for t in terms)
 
 
-def weight_of(terms: Column, text: Column) -> Column:
-    """``weight`` of columns; like ``excerpt`` no part of a lambda function."""
-
-    def weights(terms: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or w is None else weight(list(w), x) for w, x in zip(terms, texts, strict=True)], dtype="Int64")
-
-    return arrow_udf(weights, LongType())(terms, text)
-
-
 def starts_of(length: int, size: int) -> list[int]:
     """Where windows of ``size`` characters begin: at a stride of half a window (120 at least), and so that the last ends with the text."""
     last = max(length - size, 0)
@@ -51,7 +47,17 @@ def excerpt(terms: Column, text: Column, size: int = 420) -> Column:
     """``best_window`` for a column that holds ``terms_of`` the query; texts no longer than a window don't leave the JVM."""
 
     def windows(terms: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or w is None else best_window(list(w), x, size) for w, x in zip(terms, texts, strict=True)], dtype=object)
+        return pd.Series([None if x is None or w is None else best_window(distinct_terms(w), x, size) for w, x in zip(terms, texts, strict=True)], dtype=object)
 
     long = F.length(text) > size
     return F.coalesce(arrow_udf(windows, StringType())(F.when(long, terms), F.when(long, text)), text)
+
+
+def excerpt_weight(terms: Column, text: Column, size: int = 420) -> Column:
+    """``weight`` of what ``excerpt`` gives, in one crossing."""
+
+    def weights(terms: pd.Series, texts: pd.Series) -> pd.Series:
+        rows = ((None, x) if w is None else (distinct_terms(w), x) for w, x in zip(terms, texts, strict=True))
+        return pd.Series([None if x is None or own is None else weight(own, best_window(own, x, size)) for own, x in rows], dtype="Int64")
+
+    return arrow_udf(weights, LongType())(terms, text)

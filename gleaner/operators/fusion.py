@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.excerpt import excerpt, terms_of, weight_of
+from gleaner.operators.excerpt import excerpt, excerpt_weight, terms_of
 from gleaner.operators.topk import top_k
 from gleaner.session import ship
 
@@ -40,12 +40,12 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int,
     weight stands in (stage rerank, model ``lexical-standin``).
     """
     pairs = candidates.select("query_id", "chunk_id", F.col("rank").alias("pre_rerank_rank")).join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "title", "text"), "chunk_id")
-    pairs = pairs.withColumn("terms", terms_of(F.col("query"))).withColumn("shown", excerpt(F.col("terms"), F.col("text")))
+    terms = terms_of(F.col("query"))
     if scorer is None:
-        scored = pairs.withColumn("score", weight_of(F.col("terms"), F.col("shown")).cast("double"))
+        scored = pairs.withColumn("score", excerpt_weight(terms, F.col("text")).cast("double"))
     else:
         ship(candidates.sparkSession)
-        scored = _scored(pairs.withColumn("passage", F.concat_ws("\n", "title", "shown")), scorer)
+        scored = _scored(pairs.withColumn("passage", F.concat_ws("\n", "title", excerpt(terms, F.col("text")))), scorer)
     return top_k(scored.select("query_id", "chunk_id", "score", "pre_rerank_rank"), k).withColumn("stage", F.lit("rerank"))
 
 

@@ -177,9 +177,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, sha
     """
     items = id_text(benchmark, "item_id").withColumnRenamed("doc_id", "item_id")
     if _shards(items, most_bytes) > 1:
-        keyed = docs.withColumn("_version", F.xxhash64(F.col("text").cast("string")))
-        bad = judge_rows(contamination(docs, benchmark, window, most_bytes), share).select(F.col("doc_id").alias("_bad"), F.col("version").alias("_bad_version")).distinct()
-        return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_bad"]) & (keyed["_version"] == bad["_bad_version"]), "left_anti").drop("_version")
+        rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("version"))
+        bad = judge_rows(contamination(docs, benchmark, window, most_bytes), share).select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct()
+        return rows.join(bad, rows["id"].eqNullSafe(bad["bad_id"]) & (rows["version"] == bad["bad_version"]), "left_anti").select("row.*")
     texts = [t for (t,) in items.select("text").toLocalIterator() if t]
     sent = docs.sparkSession.sparkContext.broadcast(texts)
     kept: list = []

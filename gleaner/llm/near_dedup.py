@@ -273,11 +273,11 @@ def first_of_each(docs: DataFrame, **parameters: int) -> DataFrame:
     if again:
         others = signed.filter(TAKES_PART).join(repeated, ["doc_id", *SAME]).filter(F.col("version") != F.col("first"))
         gone = gone.unionByName(others.select("doc_id", "version"))
-    gone = gone.distinct().select(F.col("doc_id").alias("_gone"), F.col("version").alias("_gone_version"))
-    rows = docs.withColumn("_version", F.xxhash64(F.col("text").cast("string")))
-    left = rows.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_version") == F.col("_gone_version")), "left_anti")
+    gone = gone.distinct().select(F.col("doc_id").alias("id"), "version")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("version"))
+    left = rows.join(gone, ["id", "version"], "left_anti")
     if again:
-        keys = repeated.select("doc_id", F.col("first").alias("_version"))
-        once = left.join(keys, ["doc_id", "_version"], "left_semi").dropDuplicates(["doc_id", "_version"])
-        left = left.join(keys, ["doc_id", "_version"], "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+        keys = repeated.select(F.col("doc_id").alias("id"), F.col("first").alias("version"))
+        once = left.join(keys, ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
+        left = left.join(keys, ["id", "version"], "left_anti").unionByName(once)
+    return left.select("row.*")

@@ -627,3 +627,31 @@ def test_pipeline_stages(spark):
     before, after = seen["byte-level BPE"]
     assert {(r.doc_id, r.decoded_sha256) for r in after.collect()} == {(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in before.collect()}
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(now.collect())
+
+
+CLASHING = ("_version", "version", "row", "id", "score", "key", "line", "kept", "component_id", "words", "n", "bad_id", "h", "pos")
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from pyspark.sql import functions as F
+
+    prose = "the quick report of the harbour council lists every ship that came in before noon and left again\n"
+    texts = [None, "", " \n ", prose, prose, prose * 3, "short", prose + "x" * 1_000_000, *(prose + f"note {i}" for i in range(6))]
+    rows = [(i, t, "en", "s", len(t) if t else None) for i, t in enumerate(texts)] + [(None, prose, None, None, None), (None, None, None, None, None)]
+    rows += [rows[3], rows[-1]]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = plain.withColumns({c: F.lit(c) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, odd, SF)
+        assert after.columns == odd.columns, name
+        found = after.collect()
+        assert len(found) <= len(rows) and all(r[c] == c for r in found for c in CLASHING), name
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+    near = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd, SF).collect()}
+    assert {0, 1, 2, 3, 6} <= near and 4 not in near
+    assert len(corpus_pipeline.lines(spark, odd, SF).collect()) == len(rows)
+    assert len(corpus_pipeline.tokens(spark, odd, SF).collect()) == len(rows) and corpus_pipeline.tokens(spark, odd.limit(0), SF).count() == 0
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    several = decontaminate.clean_documents(odd, bench, most_bytes=200)
+    assert several.columns == odd.columns and sorted(map(str, several.collect())) == sorted(map(str, decontaminate.clean_documents(odd, bench).collect()))

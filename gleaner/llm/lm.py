@@ -23,11 +23,11 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import secrets
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +41,7 @@ END = b"\n"  # no word holds a line feed
 ROUNDS = (4, 16, 64)  # how many of 64 parts of the documents are learned from after each round
 BLOCK = 8192  # weights that are summed together
 LONGEST = 64  # bytes of a word in the broadcast table
+NAMES = ["doc_id", "rid", "held_out", "n_tokens", "n_known", "logs", "plain", "word", "n"]
 SCORED = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, logs double, plain double, word binary, n long"
 
 
@@ -50,13 +51,34 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
+def parted(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """(the tokens of all texts, how many each text has)."""
+    own = [pa.array(tokens_of(t), "binary") for t in texts]
+    return pa.concat_arrays(own), np.fromiter(map(len, own), np.int64, len(own))
+
+
+#: The class of a word by its last two bytes, or by its only one.
+CLASS_OF_TWO = np.array([rare_class(bytes(divmod(i, 256))) for i in range(1 << 16)], np.int32)
+CLASS_OF_ONE = np.array([rare_class(bytes([i])) for i in range(1 << 8)], np.int32)
+
+
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """``rare_class`` of each word (none is empty)."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    letters = np.frombuffer(words.buffers()[2], np.uint8)
+    last, before = letters[at[1:] - 1].astype(np.int64), letters[np.maximum(at[1:] - 2, 0)].astype(np.int64)
+    return np.where(np.diff(at) > 1, CLASS_OF_TWO[before * 256 + last], CLASS_OF_ONE[last])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 16_000_000):
-            found: Counter[bytes] = Counter()
-            for text in part.column("text").to_pylist():
-                found.update(tokens_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), "binary"), pa.array(list(map(rare_class, found)), "int32"), pa.array(list(found.values()), "int64")], ["word", "class", "c"])
+            if part.num_rows:
+                found = parted(part.column("text").to_pylist())[0].value_counts()
+                words = found.field("values")
+                yield pa.RecordBatch.from_arrays([words, pa.array(rare_classes(words), "int32"), found.field("counts")], ["word", "class", "c"])
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -89,6 +111,7 @@ class Table:
         frequent = [r for r in frequent if r[0] != END]
         frequent.insert(min(n_words - 1, sum(c >= end[0][1] for _, c in frequent)), end[0])  # the end token always has an output vector
         self.words = [w for w, _ in frequent]
+        self.dictionary = pa.array(self.words, "binary")
         self.count = np.array([c for _, c in frequent], np.int64)
         self.total, self.distinct = total, distinct
         self.n_words = min(n_words, len(frequent))
@@ -102,12 +125,12 @@ class Table:
         self.end = self.words.index(END)
         self.model = Gru(self.n_words, hidden)
 
-    def places(self) -> dict[bytes, int]:
-        class Places(dict):
-            def __missing__(self, word: bytes) -> int:
-                return -1 - rare_class(word)
-
-        return Places((w, i) for i, w in enumerate(self.words))
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each word is in the table; -1 less its class if it isn't there."""
+        found = pc.fill_null(pc.index_in(words, value_set=self.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missed = np.flatnonzero(found < 0)
+        found[missed] = -1 - rare_classes(words.take(pa.array(missed)))
+        return found
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         return np.where(places >= 0, self.id[np.maximum(places, 0)], self.n_words - 1 - places)
@@ -130,14 +153,15 @@ def fit_further(docs: DataFrame, table: Table, most_tasks: int) -> None:
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, places = sent.value, sent.value.places()
+        own = sent.value
         model = own.model.copy()
         adam, total = Adam(model), 0
         for batch in batches:
             for part in slices(batch, "text", 8_000_000):
-                texts = [table_ids(own, places, t) for t in part.column("text").to_pylist()]
-                model.learn(texts, own.end, adam)
-                total += sum(map(len, texts))
+                if part.num_rows:
+                    words, size = parted(part.column("text").to_pylist())
+                    model.learn(np.split(own.ids(own.places(words)), np.cumsum(size)[:-1]), own.end, adam)
+                    total += len(words)
         if total:
             blocks = np.split(model.flat().astype(np.float64) * total, range(BLOCK, model.flat().size, BLOCK))
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), "int32"), pa.array([total] * len(blocks), "int64"), pa.array([b.tobytes() for b in blocks], "binary")], ["block", "n", "w"])
@@ -156,43 +180,27 @@ def fit_further(docs: DataFrame, table: Table, most_tasks: int) -> None:
     done_with(parts)
 
 
-def table_ids(table: Table, places: dict[bytes, int], text: str | None) -> np.ndarray:
-    words = tokens_of(text)
-    return table.ids(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
-
-
-def _score(table: Table, places: dict[bytes, int], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _score(table: Table, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     n_rows = part.num_rows
-    ids, rare = [], []
-    n, known, logs, plain = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), np.zeros(n_rows), np.zeros(n_rows)
-    log_count, log_size = np.log10(table.count + 1.0), np.log10(table.size + 1.0)
-    for i, text in enumerate(part.column("text").to_pylist()):
-        words = tokens_of(text)
-        own = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-        seen = own >= 0
-        held = own[seen]
-        id_ = table.ids(own)
-        ids.append(id_)
-        n[i], known[i], logs[i] = len(own), int((table.count[held] > 0).sum()), log_count[held].sum()
-        without = id_ >= table.n_words  # words without an output vector: their share within the class
-        plain[i] = log_count[held[held >= table.n_words]].sum() - log_size[id_[without] - table.n_words].sum()
-        rare.append(Counter([words[k] for k in np.flatnonzero(~seen).tolist()]))
-    plain += table.model.score(ids, table.end) / np.log(10)
+    words, n = parted(part.column("text").to_pylist())
+    first = np.cumsum(n) - n  # every text has its end token
+    own = table.places(words)
+    seen, held, ids = own >= 0, np.maximum(own, 0), table.ids(own)
+    log_count = np.where(seen, np.log10(table.count + 1.0)[held], 0.0)
+    known, logs = np.add.reduceat((seen & (table.count[held] > 0)).astype(np.int64), first), np.add.reduceat(log_count, first)
+    without = ids >= table.n_words  # words without an output vector: their share within the class
+    share = np.where(without, log_count - np.log10(table.size + 1.0)[np.maximum(ids - table.n_words, 0)], 0.0)
+    plain = np.add.reduceat(share, first) + table.model.score(np.split(ids, first[1:]), table.end) / np.log(10)
+    missed = np.flatnonzero(~seen)
+    rare = pa.table({"row": np.repeat(np.arange(n_rows), n)[missed], "word": words.take(pa.array(missed))}).group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
     rid = np.frombuffer(secrets.token_bytes(8 * n_rows), np.int64)
     doc_id, held_out_ = part.column("doc_id").cast("int64"), part.column("held_out")
 
-    def batch(rows: np.ndarray | None, words: list[bytes] | None, times: list[int] | None) -> pa.RecordBatch:
-        if rows is None:
-            cols = [doc_id, pa.array(rid), held_out_, pa.array(n), pa.array(known), pa.array(logs), pa.array(plain), pa.nulls(n_rows, "binary"), pa.nulls(n_rows, "int64")]
-        else:
-            k = len(rows)
-            cols = [doc_id.take(pa.array(rows)), pa.array(rid[rows]), *(pa.nulls(k, t) for t in ("bool", "int64", "int64", "float64", "float64")), pa.array(words, "binary"), pa.array(times, "int64")]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "held_out", "n_tokens", "n_known", "logs", "plain", "word", "n"])
-
-    yield batch(None, None, None)
-    rows = np.repeat(np.arange(n_rows), [len(r) for r in rare])
-    if len(rows):
-        yield batch(rows, [w for r in rare for w in r], [c for r in rare for c in r.values()])
+    yield pa.RecordBatch.from_arrays([doc_id, pa.array(rid), held_out_, *map(pa.array, (n, known, logs, plain)), pa.nulls(n_rows, "binary"), pa.nulls(n_rows, "int64")], NAMES)
+    if k := rare.num_rows:
+        row, word, times = (rare.column(c).combine_chunks() for c in ("row", "word", "count_all"))
+        nulls = (pa.nulls(k, t) for t in ("bool", "int64", "int64", "float64", "float64"))
+        yield pa.RecordBatch.from_arrays([doc_id.take(row), pa.array(rid).take(row), *nulls, word, times], NAMES)
 
 
 def language_scores(docs: DataFrame, folds: int = 7, remainder: int = 2, n_words: int = 2048, most_frequent: int = 200_000, hidden: int = 16, least_tokens: int = 250_000) -> DataFrame:
@@ -206,15 +214,12 @@ def language_scores(docs: DataFrame, folds: int = 7, remainder: int = 2, n_words
 def score_documents(docs: DataFrame, counts: DataFrame, table: Table) -> DataFrame:
     """``docs``: doc_id, text, held_out."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    kept: list = []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            kept.append(sent.value.places())
         for batch in batches:
             for part in slices(batch, "text", 8_000_000):
                 if part.num_rows:
-                    yield from _score(sent.value, kept[0], part)
+                    yield from _score(sent.value, part)
 
     # row ids are drawn at random, so this must be written before it is read twice
     scored = cut(map_batches(docs, SCORED, work), "lm-scored")

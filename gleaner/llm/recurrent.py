@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 
 RARE = 16
+PART = 4096  # columns whose class probabilities are worked out together, so that they stay in a core's cache
 SIZES = (16,) * 8 + (32,) * 8 + (64,) * 10  # words of the first classes; later ones have 128
 
 
@@ -22,7 +23,12 @@ def rare_class(word: bytes) -> int:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * 0.5) * 0.5 + 0.5
+    """In the place of ``x``."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def _soft(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,6 +40,13 @@ def _soft(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return found - np.log(total), x, total
 
 
+def _back(e: np.ndarray, total: np.ndarray, own: np.ndarray, weights: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dloss/dweights, dloss/dbias, dloss/dstate) of ``_soft``; what is divided by the sums are the few rows of the state."""
+    e[own, np.arange(len(own))] -= total
+    share = 1 / total
+    return e @ (state * share).T, e @ share, (weights.T @ e) * share
+
+
 class Adam:
     def __init__(self, model: Gru):
         self.model, self.turn = model, 0
@@ -57,7 +70,7 @@ class Gru:
         self.edge = np.minimum(np.cumsum([0, *sizes]), n_words)
         self.edge = self.edge[: int(np.searchsorted(self.edge, n_words)) + 1]  # class k has words edge[k] to edge[k + 1] - 1
         self.word_classes = len(self.edge) - 1
-        self.classes = np.concatenate([np.repeat(np.arange(self.word_classes), np.diff(self.edge)), self.word_classes + np.arange(RARE)])
+        self.classes = np.concatenate([np.repeat(np.arange(self.word_classes), np.diff(self.edge)), self.word_classes + np.arange(RARE)]).astype(np.int16)
         c = self.word_classes + RARE
         shape = {"x": (n_words + RARE, 3 * hidden), "u": (hidden, 3 * hidden), "b": (3 * hidden,), "wc": (hidden, c), "bc": (c,), "ww": (n_words, hidden), "bw": (n_words,)}
         self.p = {k: (r.normal(0, 0.3 if k in "xu" else 0.1, s) if k not in ("b", "bc", "bw") else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
@@ -67,7 +80,8 @@ class Gru:
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
         """What tokens (steps, lanes) bring to each step: (steps, 3 * hidden, lanes)."""
-        return np.ascontiguousarray((self.p["x"][x] + self.p["b"]).transpose(0, 2, 1))
+        brought = np.take(np.ascontiguousarray((self.p["x"] + self.p["b"]).T), x.ravel(), 1)
+        return brought.reshape(-1, *x.shape).transpose(1, 0, 2)
 
     def step(self, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         """The next state (hidden, lanes) from a step's inputs and the state before; what the way back needs of it.
@@ -78,20 +92,25 @@ class Gru:
         s = self.p["u"].T @ h
         zr = _sigmoid(g[: 2 * k] + s[: 2 * k])
         z, r = zr[:k], zr[k:]
-        n = np.tanh(g[2 * k :] + r * s[2 * k :])
-        return n + z * (h - n), (h, z, r, n, s[2 * k :])
+        n = r * s[2 * k :]
+        n += g[2 * k :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, (h, z, r, n, s[2 * k :])
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each y (rare: of its class) after the state in its column of h; with ``grad``, adds to it and returns dloss/dh."""
         p, c = self.p, self.class_of(y)
-        out, d, total = _soft(p["wc"].T @ h + p["bc"][:, None], c)
-        dh = None
-        if grad is not None:
-            d /= total
-            d[c, np.arange(len(y))] -= 1
-            grad["wc"] += h @ d.T
-            grad["bc"] += d.sum(1)
-            dh = p["wc"] @ d
+        out, dh = np.empty(len(y), h.dtype), None if grad is None else np.empty_like(h)
+        for part in (slice(at, at + PART) for at in range(0, len(y), PART)):
+            state, own = h[:, part], c[part]
+            out[part], d, total = _soft(p["wc"].T @ state + p["bc"][:, None], own)
+            if grad is not None:
+                dw, db, dh[:, part] = _back(d, total, own, p["wc"].T, state)
+                grad["wc"] += dw.T
+                grad["bc"] += db
         order = np.argsort(c, kind="stable")
         bounds = np.searchsorted(c[order], np.arange(self.word_classes + 1))
         order = order[: bounds[-1]]  # words with an output vector
@@ -102,11 +121,9 @@ class Gru:
             state, own = states[:, lo:hi], words[lo:hi] - a
             more[lo:hi], d, total = _soft(p["ww"][a:z] @ state + p["bw"][a:z, None], own)
             if grad is not None:
-                d /= total
-                d[own, np.arange(hi - lo)] -= 1
-                grad["ww"][a:z] += d @ state.T
-                grad["bw"][a:z] += d.sum(1)
-                back[:, lo:hi] = p["ww"][a:z].T @ d
+                dw, db, back[:, lo:hi] = _back(d, total, own, p["ww"][a:z], state)
+                grad["ww"][a:z] += dw
+                grad["bw"][a:z] += db
         out[order] += more
         if dh is not None:
             dh[:, order] += back
@@ -137,37 +154,39 @@ class Gru:
         return tuple(np.concatenate([v, np.full(short, fill, v.dtype)]).reshape(lanes, length) for v, fill in filled)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        k, p, steps = self.h, self.p, x.shape[1]
+        k, p, (lanes, steps) = self.h, self.p, x.shape
         grad = {name: np.zeros_like(w) for name, w in p.items()}
-        states, kept, inputs = [], [], self.inputs(x.T)
+        states, kept, inputs = np.empty((k, steps, lanes), h.dtype), [], self.inputs(x.T)
         stays = ~fresh.T
         for t in range(steps):
             h, s = self.step(inputs[t], h * stays[t])
-            states.append(h)
+            states[:, t] = h
             kept.append(s)
-        target = y.T.ravel()
+        target, states = y.T.ravel(), states.reshape(k, -1)
         live = np.flatnonzero(target >= 0)
-        dout = np.zeros((k, len(target)), h.dtype)
-        dout[:, live] = self.log_probs(np.concatenate(states, 1)[:, live], target[live], grad)[1]
-        dout = np.split(dout, steps, 1)
-        back, dgs, dss = np.zeros_like(h), [], []
+        if len(live) == len(target):
+            dout = self.log_probs(states, target, grad)[1]
+        else:
+            dout = np.zeros_like(states)
+            dout[:, live] = self.log_probs(states[:, live], target[live], grad)[1]
+        dout = dout.reshape(k, steps, lanes)
+        back, dg, ds = np.zeros_like(h), np.empty((3 * k, steps, lanes), h.dtype), np.empty((3 * k, lanes), h.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, n, s = kept[t]
-            d = dout[t] + back
-            dn, dz = d * (1 - z), d * (before - n)
+            d = dout[:, t] + back
+            dn = d * (1 - z)
             dn *= 1 - n * n
+            dz = d * (before - n)
             dz *= z * (1 - z)
-            dr = dn * s * (r * (1 - r))
-            dgs.append(np.concatenate([dz, dr, dn]))
-            dss.append(np.concatenate([dz, dr, dn * r]))
-            back = (d * z + p["u"] @ dss[-1]) * stays[t]
-        dg = np.concatenate(dgs[::-1], 1)
+            ds[:k] = dz
+            np.multiply(dn * s, r * (1 - r), out=ds[k : 2 * k])
+            np.multiply(dn, r, out=ds[2 * k :])
+            dg[: 2 * k, t], dg[2 * k :, t] = ds[: 2 * k], dn
+            grad["u"] += before @ ds.T
+            back = (d * z + p["u"] @ ds) * stays[t]
+        dg, own = dg.reshape(3 * k, -1), x.T.ravel()
         grad["b"] += dg.sum(1)
-        grad["u"] += np.concatenate([s[0] for s in kept], 1) @ np.concatenate(dss[::-1], 1).T
-        own = x.T.ravel()
-        order = np.argsort(own, kind="stable")
-        first = np.flatnonzero(np.diff(own[order], prepend=-1))
-        grad["x"][own[order][first]] = np.add.reduceat(np.ascontiguousarray(dg.T)[order], first)
+        grad["x"] = np.stack([np.bincount(own, row, len(p["x"])) for row in dg], 1).astype(h.dtype)
         size = np.float32(1 / max(1, len(live)))
         return {name: np.clip(g * size, -1, 1) for name, g in grad.items()}, h
 

@@ -217,7 +217,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, table: Table) -> DataFra
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
+            for part in slices(batch, "text", 4_000_000):
                 if part.num_rows:
                     yield from _score(sent.value, part)
 

@@ -70,6 +70,33 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+STOPS = """
+  'the', 'and', 'of', 'to', 'in', 'is', 'that', 'it', 'was', 'for', 'on', 'are', 'as', 'with', 'be', 'this', 'from', 'by', 'at', 'or', 'an', 'not',
+  'der', 'die', 'und', 'das', 'den', 'von', 'zu', 'mit', 'sich', 'des', 'auf', 'für', 'ist', 'im', 'nicht', 'dem', 'ein', 'eine', 'als',
+  'de', 'la', 'le', 'et', 'les', 'du', 'un', 'une', 'que', 'est', 'pour', 'qui', 'dans', 'par', 'sur', 'pas', 'au', 'avec',
+  'el', 'los', 'las', 'del', 'se', 'y', 'por', 'con', 'una', 'su', 'para', 'es', 'al', 'lo', 'no', 'en'"""
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+t AS (SELECT r, i, w[i : i + 2] AS win FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+p AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM t) WHERE n > 1),
+m AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS pos FROM p) GROUP BY r),
+f AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+    CAST(len(list_filter(w, lambda x: x IN ({STOPS}))) AS BIGINT) AS n_stop_words
+  FROM d LEFT JOIN l ON l.r = d.r LEFT JOIN m ON m.r = d.r
+),
+b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    concat_ws(',', CASE WHEN 1000 * word_chars NOT BETWEEN 2000 * n_words AND 12000 * n_words THEN 'word length' END, CASE WHEN 1000 * n_symbols > 100 * n_words THEN 'symbols' END,
+      CASE WHEN 1000 * n_stop_words < 10 * n_words THEN 'stop words' END, CASE WHEN 1000 * n_dup_lines > 500 * n_lines THEN 'repeated lines' END, CASE WHEN 1000 * n_words < 1500 * n_lines THEN 'words a line' END) AS broken_rules
+  FROM f
+)
+SELECT *, NOT base_failed AND broken_rules = '' AS kept FROM b
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op7_near_dedup": OP7, "op9_substring_dedup": OP9, "op10_line_dedup": OP10}
+    return {"op1_decontaminate": OP1, "op7_near_dedup": OP7, "op9_substring_dedup": OP9, "op10_line_dedup": OP10, "op12_quality_rules": OP12}

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.bpe import bpe_round_trip
 from gleaner.llm.common import documents, table
+from gleaner.llm.conversations import damage, repair_digests
 from gleaner.llm.decontaminate import contamination, judge
 from gleaner.llm.line_dedup import line_digests
 from gleaner.llm.lm import language_scores
 from gleaner.llm.mih import nearest
 from gleaner.llm.near_dedup import near_components
 from gleaner.llm.quality import quality_classifier
+from gleaner.llm.quality_rules import quality_rules
 from gleaner.llm.substring_dedup import substring_dedup
 from gleaner.llm.surrogates import with_surrogates
 from gleaner.llm.token_counts import token_counts
@@ -63,5 +65,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_lm_score, op4_quality, op5_surrogates, op6_nearest, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_lm_score, op4_quality, op5_surrogates, op6_nearest, op7_near_dedup, op8_token_counts, op9_substring_dedup, op10_line_dedup, op11_conversation_repair, op12_quality_rules)}

@@ -2,7 +2,7 @@
 
 1. One pass over the texts makes, per document, the size and a 128-bit digest of its shingle set and
    the hashes of its signature's bands. Documents with equal sets collapse to one representative,
-   their smallest doc_id (an aggregate with map-side combination, however many copies there are).
+   a numbered class with its smallest doc_id (an aggregate with map-side combination, however many copies there are).
 2. Representatives meet in buckets of equal band hash. With 60 bands of 6 slots a pair at the
    threshold shares none with probability 8e-6, at a similarity of 0.8 with 1e-8.
 3. Pairs are never made within a whole bucket. In a *star round* each document is paired with a
@@ -20,7 +20,7 @@ Components (``components.py``) and all tables stay distributed; each round ends
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing;
 rows with a null doc_id link with nothing and are kept; repeated rows have equal sets and so one
-component; an empty table gives an empty result; other columns are ignored.
+component; rows of one doc_id with different texts are judged each by itself, and may lie in different components; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from gleaner.llm.common import id_text, map_batches, slices
 from gleaner.llm.components import components
 from gleaner.llm.shingles import mix, shingle_sets
 from gleaner.llm.superminhash import signatures
-from gleaner.session import cut
+from gleaner.session import cut, done_with
 
 SIGNED = "doc_id long, version long, n_shingles long, d1 long, d2 long, bands array<long>"
 
@@ -203,81 +203,92 @@ def _of(texts: DataFrame, live: DataFrame) -> DataFrame:
     return texts.join(live.select("id").distinct(), "id", "left_semi")
 
 
-def near_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, star_rounds: tuple[int, ...]) -> DataFrame | None:
-    """(node, root) of the representatives that link, or None if none do.
+def near_links(docs: DataFrame, classes: DataFrame, reps: DataFrame, words: int, percent: int, star_rounds: tuple[int, ...]) -> DataFrame | None:
+    """(node, root) of the classes that link, or None if none do.
 
-    ``reps``: doc_id, n_shingles, bands of one document for each distinct non-empty set.
+    ``classes``: node, first (doc_id, version) of each distinct non-empty set; ``reps``: node, n_shingles, bands of each.
     """
-    rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"))
+    rows = reps.select(F.explode("bands").alias("key"), F.col("node").alias("id"), F.col("n_shingles").alias("size"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    live = cut(rows.join(shared, "key", "left_semi"), "near-live")
-    texts = cut(_of(docs.select(F.col("doc_id").alias("id"), "text"), live).dropDuplicates(["id", "text"]), "near-texts")
-    live = cut(_several(_with_components(_with_common(live, texts, words, percent), None)), "near-live")
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(cut(df, name))
+        return made[-1]
+
+    live = kept(rows.join(shared, "key", "left_semi"), "near-live")
+    wanted = _of(classes.select(F.col("node").alias("id"), "first.doc_id", "first.version"), live)
+    # the rows of a document and text are equal, so one of them is enough
+    texts = kept(docs.withColumn("version", F.xxhash64("text")).join(wanted, ["doc_id", "version"]).distinct().select("id", "text"), "near-texts")
+    live = kept(_several(_with_components(_with_common(live, texts, words, percent), None)), "near-live")
     meets = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    live = cut(live.join(live.join(meets, "key").groupBy("id").agg(F.sum("n").alias("met")), "id"), "near-live")
+    live = kept(live.join(live.join(meets, "key").groupBy("id").agg(F.sum("n").alias("met")), "id"), "near-live")
     comp, links = None, None
     for turn, most in enumerate(star_rounds):
         if comp is not None:
-            live = cut(_several(_with_components(live, comp)), "near-live")
-            texts = cut(_of(texts, live), "near-texts")
+            live = kept(_several(_with_components(live, comp)), "near-live")
+            texts = kept(_of(texts, live), "near-texts")
         pairs = _pairs_of_centres(live, turn, most, percent)
         loaded = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        found = cut(map_batches(loaded.select("a", "b", "text_a", "text_b"), "a long, b long", _verify(words, percent)), "near-links")
+        found = kept(map_batches(loaded.select("a", "b", "text_a", "text_b"), "a long, b long", _verify(words, percent)), "near-links")
         links = found if links is None else links.unionByName(found)
         comp = components(links, "near-components")
-    live = cut(_several(_with_components(live, comp)), "near-live")
+    live = kept(_several(_with_components(live, comp)), "near-live")
     texts = _of(texts, live)
     left, right = _blocks_left(live, percent)
-    left = cut(left.join(texts.select(F.col("id").alias("a"), "text"), "a"), "near-left")
-    right = cut(right.join(texts, "id"), "near-right")
+    left = kept(left.join(texts.select(F.col("id").alias("a"), "text"), "a"), "near-left")
+    right = kept(right.join(texts, "id"), "near-right")
     place = ["comp", "part", "chunk"]
-    found = cut(left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(_verify_blocks(words, percent), "a long, b long"), "near-links")
-    return components(links.unionByName(found), "near-components")
+    found = kept(left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(_verify_blocks(words, percent), "a long, b long"), "near-links")
+    comp = components(links.unionByName(found), "near-components")
+    done_with(*made)
+    return comp
 
 
 SAME = ["n_shingles", "d1", "d2"]
 TAKES_PART = "doc_id IS NOT NULL AND n_shingles > 0"
 
 
-def _members(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 60, rows: int = 6, star_rounds: tuple[int, ...] = (1, 3)) -> tuple[DataFrame, DataFrame]:
-    """(rows with their component and whether they are kept, rows as signed); version is the hash of a row's text."""
-    docs = id_text(docs)
+def _members(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 60, rows: int = 6, star_rounds: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """doc_id, version (the hash of a row's text), n_shingles, and head: the least (doc_id, version) of the row's component, null if it takes no part.
+
+    What links are classes of rows with equal sets, numbered when they are written, so rows of one doc_id with different texts stay apart.
+    """
+    docs = id_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = cut(map_batches(docs.withColumn("version", F.xxhash64("text")), SIGNED, _signed(words, bands, rows)), "near-signed")
-    takes_part = F.expr(TAKES_PART)
-    classes = signed.filter(takes_part).groupBy(*SAME).agg(F.min("doc_id").alias("rep"))
-    reps = signed.drop("version").filter(takes_part).join(classes.select(*SAME, F.col("rep").alias("doc_id")), [*SAME, "doc_id"], "left_semi").dropDuplicates(["doc_id", *SAME])
-    comp = near_links(docs, reps, words, percent, star_rounds)
-    members = signed.select("doc_id", "version", *SAME).join(classes, SAME, "left").withColumn("rep", F.when(takes_part, F.col("rep")))
+    takes_part = signed.filter(TAKES_PART)
+    classes = cut(takes_part.groupBy(*SAME).agg(F.min(F.struct("doc_id", "version")).alias("first")).withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    firsts = classes.select("node", *SAME, "first.doc_id", "first.version")
+    reps = takes_part.join(firsts, [*SAME, "doc_id", "version"]).dropDuplicates(["doc_id", "version", *SAME]).select("node", "n_shingles", "bands")
+    comp = near_links(docs, classes, reps, words, percent, star_rounds)
     if comp is None:
-        members = members.withColumn("component_id", F.coalesce("rep", "doc_id"))
+        heads = classes.withColumn("head", F.col("first"))
     else:
-        members = members.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
-    return members.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), signed
+        rooted = classes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        heads = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("head")), "root")
+    members = signed.drop("bands").join(heads.select(*SAME, "head"), SAME, "left")
+    return members.select("doc_id", "version", "n_shingles", F.when(F.expr(TAKES_PART), F.col("head")).alias("head"))
 
 
 def near_components(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
-    return _members(docs, **parameters)[0].select("doc_id", "n_shingles", "component_id", "kept")
+    component = F.coalesce("head.doc_id", "doc_id")
+    return _members(docs, **parameters).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, **parameters: int) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept: one document of each group, the smallest doc_id.
+    """The rows of ``docs``, all columns, that are kept: one row of each group, that of the smallest doc_id (then of the smallest hash of its text).
 
-    The verdict is on a row's doc_id and text. Of rows with one doc_id and equal sets one stays; rows with one
-    doc_id and different sets are versions of one document, which are judged each by itself.
+    Rows with one doc_id and different texts are judged each by itself: each may be the one that its group keeps. Of equal
+    rows one stays; rows that take no part (no words, or a null doc_id) all stay.
     """
-    members, signed = _members(docs, **parameters)
-    gone = members.filter(~F.col("kept")).select("doc_id", "version")
-    repeated = cut(signed.filter(TAKES_PART).groupBy("doc_id", *SAME).agg(F.count(F.lit(1)).alias("n"), F.min("version").alias("first")).filter("n > 1"), "near-repeated")
-    again = not repeated.isEmpty()
-    if again:
-        others = signed.filter(TAKES_PART).join(repeated, ["doc_id", *SAME]).filter(F.col("version") != F.col("first"))
-        gone = gone.unionByName(others.select("doc_id", "version"))
-    gone = gone.distinct().select(F.col("doc_id").alias("id"), "version")
+    members = cut(_members(docs, **parameters).filter("head IS NOT NULL"), "near-members")
+    its_own = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("version") == F.col("head.version"))
+    gone = members.filter(~its_own).select(F.col("doc_id").alias("id"), "version").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("version"))
     left = rows.join(gone, ["id", "version"], "left_anti")
-    if again:
-        keys = repeated.select(F.col("doc_id").alias("id"), F.col("first").alias("version"))
-        once = left.join(keys, ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
-        left = left.join(keys, ["id", "version"], "left_anti").unionByName(once)
+    repeated = cut(members.filter(its_own).groupBy(F.col("doc_id").alias("id"), "version").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "near-repeated")
+    if not repeated.isEmpty():
+        once = left.join(repeated, ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
+        left = left.join(repeated, ["id", "version"], "left_anti").unionByName(once)
     return left.select("row.*")

@@ -438,6 +438,44 @@ def test_near_dedup_tells_rows_of_one_doc_id_apart(spark):
     assert sorted((r.doc_id, r.text or "") for r in got) == [(3, b), (5, a), (7, c), (8, ""), (8, "")]
 
 
+def test_near_dedup_keeps_one_of_each_family(spark):
+    """One doc_id in two families must not join them."""
+    a, b = ([f"{w}{i}" for i in range(60)] for w in ("red", "sea"))
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, near(a)), (3, near(b))]
+    got = near_dedup.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(3, near(b)), (5, " ".join(a))])
+    parts = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in parts) == [(3, 3), (5, 3), (5, 5), (9, 5)]
+
+
+def test_first_of_each_is_brute_force_with_repeated_doc_ids(spark):
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"v{rnd.randrange(400)}" for _ in range(80)]
+        texts += [edited(rnd, base, rnd.randrange(3)) for _ in range(4)]
+    rows = [(rnd.randrange(15), t) for t in texts]
+    rows += rows[:5] + [(None, texts[0]), (2, None), (2, "")]
+    sets = sets_of([t for _, t in rows])
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and rows[i][0] is not None and rows[j][0] is not None and 100 * len(x & sets[j]) >= 75 * len(x | sets[j]):
+                root[find(i)] = find(j)
+    family = {}
+    for i, row in enumerate(rows):
+        if sets[i] and row[0] is not None:
+            family.setdefault(find(i), []).append(row)
+    got = Counter((r.doc_id, r.text) for r in near_dedup.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert all(got.pop(row) == 1 for row in [(None, texts[0]), (2, None), (2, "")])
+    assert len(family) == sum(got.values()) == len(got)
+    for members in family.values():
+        kept = [row for row in set(members) if row in got]
+        assert len(kept) == 1 and kept[0][0] == min(d for d, _ in members)
+
+
 def test_near_dedup_cases(spark):
     assert near_dedup.near_components(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (7, "a b c"), (3, "a b c"), (None, None)], "doc_id long, text string")

@@ -22,7 +22,7 @@ texts and pre-tokens take time in proportion and memory of some 30 bytes a byte.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,7 +35,7 @@ from gleaner.llm.common import id_text, map_batches, per_worker, sha256_hex, sli
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NONE = np.int32(2**31 - 1)
 LINE = 256
-MOST, SLICE = 400_000, 2_000_000
+MOST, MOST_BYTES, SLICE = 400_000, 32 << 20, 1_000_000
 #: White_Space of Unicode, as the library's engine reads ``\s``.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -217,23 +217,28 @@ class Bpe:
         return self.tokens.gather(ids)[0].tobytes()
 
 
+def _held(pieces: Collection[str]) -> int:
+    """About how many bytes pre-tokens take as keys: their characters, and what a string and an entry need besides."""
+    return 160 * len(pieces) + 2 * sum(map(len, pieces))
+
+
 class CachedBpe:
-    """Encodes texts; ids of pre-tokens are kept, about ``most`` of them."""
+    """Encodes texts; ids of pre-tokens are kept, about ``most`` of them and about ``most_bytes`` of memory."""
 
-    def __init__(self, blob: bytes, pattern: str, most: int):
-        self.bpe, self.most = Bpe(blob, pattern), most
+    def __init__(self, blob: bytes, pattern: str, most: int, most_bytes: int = MOST_BYTES):
+        self.bpe, self.most, self.most_bytes = Bpe(blob, pattern), most, most_bytes
         self._keep([], np.zeros(0, np.int32), np.zeros(0, np.int64))
 
     def _keep(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         self.place = dict(zip(pieces, range(len(pieces)), strict=True))
+        self.size = _held(pieces) + 4 * len(ids)
         self.ids, self.n, self.start, self.used = ids, n, np.cumsum(n) - n, np.zeros(len(n), bool)
 
     def _turn(self) -> None:
         """The pre-tokens used since the last turn stay (none, if that is nearly all)."""
-        stay = np.flatnonzero(self.used)
-        if 4 * len(stay) > 3 * self.most:
+        stay, names = np.flatnonzero(self.used), list(self.place)
+        if 4 * len(stay) > 3 * self.most or 4 * _held([names[i] for i in stay.tolist()]) > 3 * self.most_bytes:
             stay = stay[:0]
-        names = list(self.place)
         self._keep([names[i] for i in stay.tolist()], self.ids[_places(self.start[stay], self.n[stay])], self.n[stay])
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -241,13 +246,14 @@ class CachedBpe:
         pieces = [self.bpe.split(t) for t in texts]
         every = list(chain.from_iterable(pieces))
         new = set(every).difference(self.place)
-        if len(self.place) + len(new) > self.most and self.place:
+        if (len(self.place) + len(new) > self.most or self.size + _held(new) > self.most_bytes) and self.place:
             self._turn()
             new = set(every).difference(self.place)
         if new:
             names = list(new)
             ids, n = self.bpe.encode_pieces([p.encode() for p in names])
             self.place.update(zip(names, range(len(self.n), len(self.n) + len(names)), strict=True))
+            self.size += _held(names) + 4 * len(ids)
             self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
             self.start, self.used = np.cumsum(self.n) - self.n, np.concatenate([self.used, np.zeros(len(names), bool)])
         at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))

@@ -21,7 +21,7 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import chain
 
 import numpy as np
@@ -80,27 +80,34 @@ class Frequent:
         return dict(zip(self.words.decode().split(" "), self.n.tolist(), strict=True)) if len(self.n) else {}
 
 
+def _held(units: Collection[str]) -> int:
+    """About how many bytes units take in a table and a set: their characters, and what a string and two entries need besides."""
+    return 240 * len(units) + 2 * sum(map(len, units))
+
+
 class Counts:
-    """Counts tokens of texts; lengths of at most ``most_cached`` units are kept beside the frequent ones."""
+    """Counts tokens of texts; lengths of about ``most_cached`` units are kept beside the frequent ones, and about ``most_bytes`` of units."""
 
-    def __init__(self, blob: bytes, frequent: Frequent, most_cached: int):
+    def __init__(self, blob: bytes, frequent: Frequent, most_cached: int, most_bytes: int = 32 << 20):
         self.tok, self.frequent = tokenizer_of(blob), frequent.table()
         self.split, self.most = Splitter(self.tok), most_cached
-        self.n, self.used = dict(self.frequent), set()
+        self.n, self.used, self.most_bytes, self.size = dict(self.frequent), set(), most_bytes, 0
 
     def _turn(self) -> None:
         """The units used since the last turn stay (none, if that is nearly all)."""
-        stay = {u: self.n[u] for u in self.used} if 4 * len(self.used) <= 3 * self.most else {}
-        self.n, self.used = self.frequent | stay, set()
+        few = 4 * len(self.used) <= 3 * self.most and 4 * _held(self.used) <= 3 * self.most_bytes
+        stay = {u: self.n[u] for u in self.used} if few else {}
+        self.n, self.used, self.size = self.frequent | stay, set(), _held(stay)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         units = [self.split(t) for t in texts]
         every = list(chain.from_iterable(units))
         rare = set(every).difference(self.frequent)
-        if len(self.n) - len(self.frequent) + len(rare) > self.most:
+        if len(self.n) - len(self.frequent) + len(rare) > self.most or self.size + _held(rare.difference(self.n)) > self.most_bytes:
             self._turn()
         self.used |= rare
         new = list(rare.difference(self.n))
+        self.size += _held(new)
         self.n.update(zip(new, (len(e) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         upto = np.concatenate([[0], np.cumsum(np.fromiter(map(self.n.__getitem__, every), np.int64, len(every)))])
         return np.diff(upto[np.cumsum([0, *map(len, units)])])

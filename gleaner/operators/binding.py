@@ -1,17 +1,22 @@
-"""Ground truth: questions bound to the chunks that hold all their evidence terms."""
+"""Ground truth: questions bound to the chunks that hold all their evidence terms.
 
-from __future__ import annotations
+Terms are sought by a positional q-gram index, in column expressions. A text is cut into pieces of q characters; wherever a term of
+2q - 1 characters or more occurs, one of the q pieces that begin in its first q places (in fact in any window of it) is
+such a piece of the text. Of each term the window whose pieces are rarest in the corpus is the key of a join with the pieces of
+the texts; how far apart term and text lie gives the place where the term must begin, and only that place is compared. q follows from a
+term's length, 16 at most.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import ahocorasick
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import binding_form
-from gleaner.session import ship
+from gleaner.session import cut, union_all
+
+#: Piece lengths, for terms of 2q - 1 characters or more.
+GRAMS = (16, 8, 4, 2, 1)
 
 
 def page_distance(page_start: Column, page_end: Column, hint: Column) -> Column:
@@ -26,61 +31,70 @@ def _asked(questions: DataFrame, exact: bool) -> DataFrame:
     return rows.select("id", binding_form(F.col("t"), exact).alias("term")).filter(F.length("term") > 0).distinct()
 
 
-def holding(chunks: DataFrame, terms: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
-    """(chunk_id, source_id, term): which of the terms (term) each chunk's ``form`` holds.
-
-    Terms are broadcast in blocks of ``most_bytes`` (their size is summed first) as an automaton; each form is read once for each block.
-    """
-    spark = chunks.sparkSession
-    ship(spark)
-    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    blocks, found = max(1, -(-size // most_bytes)), None
-    kinds = dict(chunks.dtypes)
-    for block in range(blocks):
-        own = sorted(r.term for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).toLocalIterator())
-        part = chunks.select("chunk_id", "source_id", "form").mapInArrow(_held(spark.sparkContext.broadcast(own)), f"chunk_id {kinds['chunk_id']}, source_id {kinds['source_id']}, term string")
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _held(sent: Broadcast):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = sent.value
-        seeker = ahocorasick.Automaton()
-        for i, term in enumerate(terms):
-            seeker.add_word(term, i)
-        if terms:
-            seeker.make_automaton()
-        for batch in batches:
-            found = [sorted({i for _, i in seeker.iter(f)}) if f and terms else [] for f in batch.column("form").to_pylist()]
-            row = pa.array([r for r, own in enumerate(found) for _ in own], "int64")
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(row), batch.column("source_id").take(row), pa.array([terms[i] for own in found for i in own], "string")], ["chunk_id", "source_id", "term"])
-
-    return work
+def term_grams(terms: DataFrame) -> DataFrame:
+    """term, size, q, window, at, h: the pieces at every place of every whole window of the terms (term, none empty)."""
+    size = F.length("term")
+    q = F.lit(1)
+    for n in reversed(GRAMS):
+        q = F.when(size >= 2 * n - 1, n).otherwise(q)
+    sized = terms.select("term", size.alias("size"), q.alias("q")).withColumn("windows", F.expr("(size - (2 * q - 1)) div q + 1"))
+    placed = sized.select("term", "size", "q", F.explode(F.sequence(F.lit(0), (F.col("windows") * F.col("q") - 1).cast("int"))).alias("at"))
+    return placed.select("term", "size", "q", F.expr("at div q").alias("window"), "at", F.xxhash64("q", F.expr("substring(term, at + 1, q)")).alias("h"))
+
+
+def text_grams(chunks: DataFrame, q: int) -> DataFrame:
+    """chunk_id, at, h: the pieces of q characters that a form (chunk_id, form) is cut into."""
+    pieces = F.regexp_extract_all("form", F.lit(f"(?s).{{{q}}}"), F.lit(0))
+    if q == 1:  # single characters come again and again, and their places say little
+        return chunks.select("chunk_id", F.explode(F.array_distinct(pieces)).alias("piece")).select("chunk_id", F.lit(None).cast("int").alias("at"), F.xxhash64(F.lit(q), "piece").alias("h"))
+    return chunks.select("chunk_id", F.posexplode(pieces).alias("i", "piece")).select("chunk_id", (F.col("i") * q).alias("at"), F.xxhash64(F.lit(q), "piece").alias("h"))
+
+
+def holding(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, source_id, term): which of the terms (term) each chunk's ``form`` holds. chunk_id is a key."""
+    grams = cut(term_grams(terms), "binding-terms")
+    lengths = [r.q for r in grams.select("q").distinct().collect()]  # five at most
+    if not lengths:
+        return chunks.select("chunk_id", "source_id", F.lit(None).cast("string").alias("term")).filter(F.lit(False))
+    pieces = union_all([text_grams(chunks, q) for q in lengths])
+    met = cut(pieces.join(grams.select("h").distinct(), "h", "left_semi"), "binding-pieces")
+    often = met.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    windows = grams.join(often, "h", "left").groupBy("term", "window").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rarest = windows.groupBy("term").agg(F.min(F.struct("n", "window")).alias("best")).select("term", F.col("best.window").alias("window"))
+    keys = grams.join(rarest, ["term", "window"]).select("h", "term", "size", F.col("at").alias("term_at"))
+    begin = F.col("at") - F.col("term_at")
+    # written, so that Spark knows how few they are before it brings texts to them
+    spots = cut(met.join(keys, "h").withColumn("begin", begin).filter("begin IS NULL OR begin >= 0").select("chunk_id", "term", "size", "begin").distinct(), "binding-spots")
+    there = F.when(F.col("begin").isNull(), F.contains("form", "term")).otherwise(F.expr("substring(form, begin + 1, size)") == F.col("term"))
+    return chunks.select("chunk_id", "source_id", "form").join(spots, "chunk_id").filter(there).select("chunk_id", "source_id", "term").distinct()
 
 
 def candidates(questions: DataFrame, chunks: DataFrame, exact: bool = True) -> DataFrame:
     """(id, chunk_id, place, ...) of the chunks of a question's source that hold all its terms, the nearest page first.
 
-    Chunks are read once for all terms; what is joined are the terms that a chunk holds, not questions and chunks. A question without terms
-    has every chunk of its source.
+    Questions without a column source_id are asked of every source, each for itself. What is joined are the terms that a chunk holds, not
+    questions and chunks. A question without terms has every chunk of its source, or
+    none if it names no source.
     """
     hints = questions if "page_hint" in questions.columns else questions.withColumn("page_hint", F.lit(None).cast("int"))
+    at_home = "source_id" in questions.columns
     asked = _asked(questions, exact)
-    wanted = hints.select("id", "source_id", "page_hint").join(asked.groupBy("id").agg(F.count(F.lit(1)).alias("terms")), "id", "left")
+    wanted = hints.select("id", *["source_id"] * at_home, "page_hint").join(asked.groupBy("id").agg(F.count(F.lit(1)).alias("terms")), "id", "left")
     forms = chunks.select("chunk_id", "source_id", binding_form(F.col("text"), exact).alias("form"))
     met = holding(forms, asked.select("term").distinct()).join(asked, "term").groupBy("id", "chunk_id", "source_id").agg(F.count(F.lit(1)).alias("held"))
-    whole = met.join(wanted.filter("terms > 0"), ["id", "source_id"]).filter("held = terms").select("id", "source_id", "page_hint", "chunk_id")
-    any_ = wanted.filter("terms IS NULL").join(chunks.select("source_id", "chunk_id"), "source_id").select("id", "source_id", "page_hint", "chunk_id")
-    rows = whole.unionByName(any_).join(chunks.drop("text"), ["source_id", "chunk_id"])
-    order = Window.partitionBy("id").orderBy(page_distance(F.col("page_start"), F.col("page_end"), F.col("page_hint")), "character_count", "chunk_index", "chunk_id")
+    columns = ["id", "source_id", "page_hint", "chunk_id"]
+    rows = met.join(wanted.filter("terms > 0"), ["id", *["source_id"] * at_home]).filter("held = terms").select(*columns)
+    if at_home:
+        rows = rows.unionByName(wanted.filter("terms IS NULL").join(chunks.select("source_id", "chunk_id"), "source_id").select(*columns))
+    rows = rows.join(chunks.drop("text"), ["source_id", "chunk_id"])
+    order = Window.partitionBy("id", *[] if at_home else ["source_id"]).orderBy(page_distance(F.col("page_start"), F.col("page_end"), F.col("page_hint")), "character_count", "chunk_index", "chunk_id")
     return rows.withColumn("place", F.row_number().over(order)).filter("place <= 4")
 
 
 def bind(questions: DataFrame, chunks: DataFrame, exact: bool = True) -> DataFrame:
-    """query_id, relevant_chunk_ids (four at most, best first), primary_chunk_id, relevant_document_ids, source_locator."""
+    """query_id (and source_id), relevant_chunk_ids (four at most, best first), primary_chunk_id, relevant_document_ids, source_locator."""
     rows = candidates(questions, chunks, exact)
-    grouped = rows.groupBy(F.col("id").alias("query_id")).agg(
+    grouped = rows.groupBy(F.col("id").alias("query_id"), "source_id").agg(
         F.array_sort(F.collect_list(F.struct("place", "chunk_id"))).alias("best"),
         F.array_sort(F.collect_set("document_id")).alias("relevant_document_ids"),
         F.min_by(F.struct("page_start", "page_end", "section_path"), "place").alias("at"),
@@ -88,7 +102,7 @@ def bind(questions: DataFrame, chunks: DataFrame, exact: bool = True) -> DataFra
     ids = F.transform("best", lambda b: b["chunk_id"])
     paged = F.col("at.page_start").isNotNull()
     place = F.struct(F.when(paged, "pdf_page").otherwise("web_section").alias("type"), F.col("at.page_start").alias("page_start"), F.col("at.page_end").alias("page_end"), F.when(~paged, F.coalesce("at.section_path", F.array().cast("array<string>"))).alias("section_path"))
-    return grouped.select("query_id", ids.alias("relevant_chunk_ids"), ids[0].alias("primary_chunk_id"), "relevant_document_ids", place.alias("source_locator"))
+    return grouped.select("query_id", "source_id", ids.alias("relevant_chunk_ids"), ids[0].alias("primary_chunk_id"), "relevant_document_ids", place.alias("source_locator"))
 
 
 def bind_all(questions: DataFrame, chunks: DataFrame, exact: bool = True) -> DataFrame:

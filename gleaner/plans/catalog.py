@@ -335,7 +335,7 @@ def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(build_index(_chunks(spark, d)).vocabulary, "idf", digits=6)
+    return _rounded(build_index(_chunks(spark, d)).vocabulary.select("token", "df", "idf"), "idf", digits=6)
 
 
 @query
@@ -456,11 +456,11 @@ def query_id_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bind_questions(spark: SparkSession, d: str) -> DataFrame:
-    """Every benchmark text asked of every source (there are few): the documents that hold it."""
-    asked = _t(spark, d, "benchmark").crossJoin(F.broadcast(_t(spark, d, "documents").select(F.col("source").alias("source_id")).distinct()))
-    specs = asked.select(F.concat_ws(":", "item_id", "source_id").alias("id"), "source_id", F.array("text").alias("evidence_terms"))
+    """Every benchmark text asked of every source: the documents that hold it."""
+    specs = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array("text").alias("evidence_terms"))
     bound = binding.bind(specs, _chunks(spark, d))
-    return bound.select("query_id", F.array_join(F.transform("relevant_chunk_ids", lambda c: c.cast("string")), ",").alias("relevant"), "primary_chunk_id", F.col("source_locator.type").alias("locator_type"))
+    ids = F.array_join(F.transform("relevant_chunk_ids", lambda c: c.cast("string")), ",")
+    return bound.select(F.concat_ws(":", "query_id", "source_id").alias("query_id"), ids.alias("relevant"), "primary_chunk_id", F.col("source_locator.type").alias("locator_type"))
 
 
 @query

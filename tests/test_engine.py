@@ -147,9 +147,9 @@ def test_chunk_config_is_checked():
             ChunkConfig(*bad)
 
 
-def test_html_blocks_links_and_main_node():
+def test_html_blocks_links_and_main_node(spark):
     page = f"<html><body><nav><a href='/n'>n</a></nav><div class='content'><h1>Top</h1><p>{'word ' * 60}</p><h3>Sub</h3><table><tr><td>a</td><td>b</td></tr></table><pre>x  y</pre><p>打印</p></div><footer>f</footer></body></html>"
-    found = html.blocks_of(page)
+    found = html.page_blocks(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("pos").collect()
     assert [(b["kind"], b["section_path"]) for b in found] == [("heading", ["Top"]), ("paragraph", ["Top"]), ("heading", ["Top", "Sub"]), ("paragraph", ["Top", "Sub"]), ("code", ["Top", "Sub"])]
     assert found[3]["text"] == "a | b"
     assert html.links_of(page, "https://h.example/x/y") == [{"pos": 0, "href": "https://h.example/n", "text": "n"}]

@@ -51,7 +51,7 @@ stats AS (SELECT n, avgdl, (SELECT avg(raw) FROM raw) AS avg_idf, (SELECT count(
 vocab AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * avg_idf ELSE raw END AS idf FROM raw, stats)"""
 
 
-def bm25(questions: str, k: int, name: str = "lexical") -> str:
+def bm25(questions: str, k: int, name: str = "lexical", tie: str = "chunk_id") -> str:
     return f"""{BM25},
 asked AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({tokens("query")}) AS token FROM {questions}) GROUP BY ALL),
 hits AS (
@@ -59,7 +59,7 @@ hits AS (
   FROM asked JOIN vocab USING (token) JOIN post USING (token) JOIN len USING (chunk_id), stats GROUP BY query_id, chunk_id
 ),
 every AS (SELECT q.query_id, d.doc_id AS chunk_id, coalesce(h.score, 0) AS score FROM {questions} q CROSS JOIN documents d LEFT JOIN hits h ON h.query_id = q.query_id AND h.chunk_id = d.doc_id),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM every) WHERE rank <= {k})"""
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {tie}) AS rank FROM every) WHERE rank <= {k})"""
 
 
 QUESTIONS = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
@@ -98,15 +98,21 @@ EVIDENCE = """near AS (SELECT item_id AS query_id, b.text AS query, i + 1 AS ran
 spend AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM near),
 evidence AS (SELECT query_id, query, rank, chunk_id, title, lang, 'S' || place AS citation, substr(text, 1, CAST(6500 - spent AS BIGINT)) AS text FROM spend WHERE place <= 5 AND spent < 6500)"""
 
-METRICS = f"""{dense(20)},
-rel AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
-n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id),
-j AS (SELECT d.query_id, d.rank, r.chunk_id IS NOT NULL AS hit, coalesce(n.n, 0) AS n FROM dense d LEFT JOIN rel r ON r.query_id = d.query_id AND r.chunk_id = d.chunk_id LEFT JOIN n ON n.query_id = d.query_id),
+def measured(ranking: str, keys: str = "query_id") -> str:
+    """``per``: the metrics of each of ``keys`` (columns of the ranking: query_id, chunk_id, rank) against ``rel`` (query_id, chunk_id)."""
+    own = ", ".join(f"d.{k}" for k in keys.split(", "))
+    return f"""n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id),
+j AS (SELECT {own}, d.rank, r.chunk_id IS NOT NULL AS hit, coalesce(n.n, 0) AS n FROM {ranking} d LEFT JOIN rel r ON r.query_id = d.query_id AND r.chunk_id = d.chunk_id LEFT JOIN n ON n.query_id = d.query_id),
 per AS (
-  SELECT query_id, {", ".join(f"CASE WHEN max(n) > 0 THEN count(*) FILTER (WHERE hit AND rank <= {k}) / max(n)::DOUBLE ELSE 0 END AS recall_at_{k}, CASE WHEN count(*) FILTER (WHERE hit AND rank <= {k}) > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_at_{k}" for k in (5, 10, 20))},
+  SELECT {keys}, {", ".join(f"CASE WHEN max(n) > 0 THEN count(*) FILTER (WHERE hit AND rank <= {k}) / max(n)::DOUBLE ELSE 0 END AS recall_at_{k}, CASE WHEN count(*) FILTER (WHERE hit AND rank <= {k}) > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_at_{k}" for k in (5, 10, 20))},
     coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE hit AND rank <= 10), 0) AS mrr_at_10,
     CASE WHEN max(n) > 0 THEN coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (WHERE hit AND rank <= 10), 0) / (SELECT sum(1.0::DOUBLE / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= max(j.n)) ELSE 0 END AS ndcg_at_10
-  FROM j GROUP BY query_id)"""
+  FROM j GROUP BY {keys})"""
+
+
+METRICS = f"""{dense(20)},
+rel AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+{measured("dense")}"""
 NAMES = [*(f"recall_at_{k}" for k in (5, 10, 20)), *(f"hit_at_{k}" for k in (5, 10, 20)), "mrr_at_10", "ndcg_at_10"]
 STOPS = ["chr(10) || chr(10)", "'。'", "'！'", "'？'", "'. '", "'! '", "'? '", "'；'", "'; '"]
 
@@ -121,7 +127,9 @@ def _end(start: str) -> str:
     return f"CASE WHEN {start} + 900 >= length(s) THEN length(s) ELSE coalesce({_last_stop(f'({start} + 540)', f'({start} + 900)')}, {start} + 900) END"
 
 
-CHUNKS = f"""docs AS (SELECT doc_id, {squeezed("text")} AS s FROM documents),
+def chunks_of(text: str) -> str:
+    """``pieces``: the chunks of an expression over each document."""
+    return f"""docs AS (SELECT doc_id, {text} AS s FROM documents),
 RECURSIVE_STEP AS (
   SELECT doc_id, s, 0 AS i, 0 AS a, {_end("0")} AS z FROM docs WHERE length(s) > 0
   UNION ALL
@@ -134,6 +142,9 @@ pieces AS (
   FROM (SELECT *, substr(s, a + 1, z - a) AS raw FROM RECURSIVE_STEP)
 )""".replace("RECURSIVE_STEP", "step")
 
+
+CHUNKS = chunks_of(squeezed("text"))
+
 HEADING = r"length(line) BETWEEN 1 AND 100 AND right(line, 1) NOT IN ('。', '！', '？', '.', '!', '?', '；', ';', '，', ',') AND (regexp_matches(line, '^第[一二三四五六七八九十百零〇0-9]+(?:章|节|部分|篇)') OR regexp_matches(line, '^[一二三四五六七八九十]+[、.]\s*\S+') OR regexp_matches(line, '^\(?[0-9]{1,2}\)?[、.]\s*\S+') OR regexp_matches(line, '^(?i:chapter|section|part|appendix)\s+(?i:[A-Z0-9IVX]+)') OR regexp_matches(line, '^[A-Z][A-Z0-9 /&(),.-]{5,80}$'))"
 MARKDOWN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '^\s*>\s?', ''), '[*_~]{1,3}', '', 'g')"
 _SRC = _values([(i, s, p, e, k, u, h, m) for i, (s, p, e, k, u, h, m) in enumerate(SOURCES)], "pos", "id", "policy", "enabled", "kind", "url", "hosts", "mb")
@@ -143,6 +154,33 @@ _HOSTS = "('thther.example.org', 'm.therou.example.com', 'therin.example.net')"
 _FIRST = "CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 + 1 END"
 _LAST = f"CASE WHEN doc_id % 5 > 0 THEN {_FIRST} + (doc_id % 3 - 1) END"
 
+_TIE = "CAST(chunk_id AS VARCHAR)"
+_BARE = r"replace(lower(regexp_replace(text, '\s+', '', 'g')), 'ß', 'ss')"
+_ROUNDED = ", ".join(f"round({n}, 9) AS {n}" for n in NAMES)
+_MEANS = ", ".join(f"round(avg({n}), 9) AS {n}" for n in NAMES)
+
+#: The evaluation job: benchmark texts bound to the documents that hold them, ranked by BM25 and reranked, with metrics and their means.
+EVALUATED = f"""
+WITH forms AS (SELECT doc_id, length(text) AS size, {_BARE} AS f FROM documents),
+wanted AS (SELECT item_id, text, {_BARE} AS f FROM benchmark),
+near AS (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY size, CAST(doc_id AS VARCHAR)) AS place FROM wanted w JOIN forms d ON contains(d.f, w.f)),
+rel AS (SELECT * FROM near WHERE place <= 4),
+bound AS (SELECT b.item_id AS query_id, b.text AS query, d.lang AS language FROM benchmark b JOIN rel ON rel.query_id = b.item_id AND place = 1 JOIN documents d ON d.doc_id = rel.chunk_id),
+{bm25("bound", 30, tie=_TIE)},
+pair AS (SELECT l.query_id || '/' || l.chunk_id AS pid, l.query_id, l.chunk_id, b.query, d.text FROM lexical l JOIN bound b ON b.query_id = l.query_id JOIN documents d ON d.doc_id = l.chunk_id),
+{excerpts("pair", 420)},
+weighed AS (SELECT s.pid, CAST(coalesce(sum(length(term) * (length(lower(excerpt)) - length(replace(lower(excerpt), term, '')))), 0) AS DOUBLE) AS score FROM shown s LEFT JOIN terms t ON t.pid = s.pid GROUP BY s.pid),
+ranked AS (
+  SELECT 'bm25' AS mode, query_id, chunk_id, rank FROM lexical WHERE rank <= 20
+  UNION ALL SELECT 'rerank', query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {_TIE}) AS rank FROM pair JOIN weighed USING (pid)) WHERE rank <= 20),
+{measured("ranked", "mode, query_id")},
+lists AS (SELECT mode, query_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS retrieved, min_by(source, rank) AS first_source FROM ranked JOIN documents ON doc_id = chunk_id GROUP BY mode, query_id),
+own AS (SELECT query_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY place) AS relevant FROM rel GROUP BY query_id),
+rows AS (SELECT * FROM per JOIN lists USING (mode, query_id) JOIN own USING (query_id) JOIN bound USING (query_id))
+SELECT mode, language, CAST(query_id AS VARCHAR) AS query_id, 1 AS query_count, relevant AS relevant_chunk_ids, retrieved AS retrieved_chunk_ids, first_source AS first_result_source_id, {_ROUNDED} FROM rows
+UNION ALL SELECT mode, language, NULL, count(*), NULL, NULL, NULL, {_MEANS} FROM rows GROUP BY GROUPING SETS ((mode), (mode, language))
+"""
+
 SQL: dict[str, str] = {
     "zip_member_filter": f"""
 WITH r AS (SELECT name, globs FROM {_values([(n,) for n in MEMBERS], "name")} a, {_values([(g,) for g in GLOBS], "globs")} b)

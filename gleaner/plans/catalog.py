@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.config import AnswerConfig, Config
@@ -14,7 +14,7 @@ from gleaner.operators import answer, binding, chunking, fusion, metrics, topk
 from gleaner.operators.dense import dense_search
 from gleaner.operators.excerpt import excerpt, terms_of
 from gleaner.operators.lexical import bm25_search, build_index
-from gleaner.plans import oracles
+from gleaner.plans import build, oracles
 from gleaner.plans.retrieval import repeated_ids
 from gleaner.sinks import package
 from gleaner.sources import html, manifest, markdown, pages
@@ -81,18 +81,12 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse([_bm25(spark, d, r.candidate_k), _dense(spark, d, r.candidate_k)], r.hybrid_top_k, r.rrf_k)
 
 
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """For each question the documents with its number and the four next, as a ranking."""
-    near = _questions(spark, d).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("query_id", (F.col("query_id") + F.col("i")).alias("chunk_id"), (F.col("i") + 1).alias("rank"))
-    return answer.evidence(topk.with_payload(near, _chunks(spark, d)), AnswerConfig())
-
-
 def _retrieved(spark: SparkSession, d: str) -> DataFrame:
     """For each question the documents that rank best among all, with their texts."""
     return topk.with_payload(_bm25(spark, d, AnswerConfig().max_evidence_chunks), _chunks(spark, d))
 
 
-def _retrieved_evidence(spark: SparkSession, d: str) -> DataFrame:
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
     return answer.evidence(_retrieved(spark, d), AnswerConfig())
 
 
@@ -126,8 +120,11 @@ def _rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
 
 @query
 def zip_member_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, g) for n in oracles.MEMBERS for g in oracles.GLOBS], "name string, globs string")
-    return rows.select("name", "globs", urls.member_allowed(F.col("name"), F.filter(F.split("globs", ","), lambda g: g != "")).alias("allowed"))
+    """Member names that carry the pages' numbers, under every list of patterns."""
+    names = F.array(*map(F.lit, oracles.MEMBERS))
+    own = F.replace(F.get(names, (F.col("page_id") % len(oracles.MEMBERS)).cast("int")), F.lit("a"), F.concat(F.lit("p"), F.col("page_id").cast("string")))
+    rows = _t(spark, d, "pages").select("page_id", own.alias("name"), F.explode(F.array(*map(F.lit, oracles.GLOBS))).alias("globs"))
+    return rows.select("page_id", "name", "globs", urls.member_allowed(F.col("name"), F.filter(F.split("globs", ","), lambda g: g != "")).alias("allowed"))
 
 
 @query
@@ -161,28 +158,38 @@ def url_guard(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", urls.url_allowed(F.col("url"), hosts).alias("https_only"), urls.url_allowed(F.col("url"), hosts, https_only=False).alias("any_scheme"))
 
 
-def _manifest(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([{"pos": i, "id": s, "repository_policy": p, "fetch": {"enabled": e, "kind": k, "url": u, "allowed_hosts": h.split(",") if h else [], "max_file_size_mb": m}} for i, (s, p, e, k, u, h, m) in enumerate(oracles.SOURCES)], manifest.SOURCE)
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A source for every page; some break a rule."""
+    n = F.col("page_id")
+    id_ = F.when(n % 11 == 0, F.concat(F.lit("Bad Id "), n)).when(n % 11 == 5, F.concat(F.lit("twice_"), F.floor(n / 22))).otherwise(F.concat(F.lit("src_"), n))
+    policy = F.when(n % 7 == 0, "unknown").otherwise(F.get(F.array(*map(F.lit, oracles.POLICIES)), (n % 4).cast("int")))
+    kind = F.when(n % 13 == 0, "ftp").when(n % 2 == 0, "file").otherwise("webpage")
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    fetch = F.struct(
+        (n % 3 != 0).alias("enabled"), kind.alias("kind"), F.when(n % 17 != 0, F.col("url")).alias("url"), F.lit(None).cast("array<string>").alias("urls"),
+        F.when(n % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(host)).alias("allowed_hosts"), F.when(n % 5 == 0, n % 20 + 0.5).cast("double").alias("max_file_size_mb"),
+    )
+    return _t(spark, d, "pages").select(n.cast("int").alias("pos"), id_.alias("id"), policy.alias("repository_policy"), fetch.alias("fetch"))
 
 
 @query
 def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
-    return manifest.violations(_manifest(spark))
+    return manifest.violations(_manifest(spark, d))
 
 
 @query
 def source_selection(spark: SparkSession, d: str) -> DataFrame:
-    return manifest.select(_manifest(spark), open_only=True).select("pos", "id")
+    return manifest.select(_manifest(spark, d), open_only=True).select("pos", "id")
 
 
 @query
 def policy_group(spark: SparkSession, d: str) -> DataFrame:
-    return _manifest(spark).select("pos", manifest.group(F.col("repository_policy")).alias("output_group"))
+    return _manifest(spark, d).select("pos", manifest.group(F.col("repository_policy")).alias("output_group"))
 
 
 @query
 def effective_settings(spark: SparkSession, d: str) -> DataFrame:
-    return manifest.effective(_manifest(spark).dropDuplicates(["id"]), {"retries": 5}).select("id", "max_file_size_bytes", "timeout_seconds", "retries")
+    return manifest.effective(_manifest(spark, d), {"retries": 5}).select("id", "max_file_size_bytes", "timeout_seconds", "retries")
 
 
 # -- text
@@ -219,25 +226,35 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", tx.stable_id("doc", F.concat_ws("::", "source", "doc_id")).alias("document_id"), tx.stable_id("chk", F.col("source"), F.col("doc_id"), F.col("text")).alias("chunk_id"))
 
 
+def _outlines(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' lines, and lists of parts as documents of their own, whose lines often are headings."""
+    n, size = F.col("p_partkey"), F.col("p_size")
+    line = F.when(n % 4 == 0, F.concat(F.lit("Chapter "), size, F.lit(" "), "p_name")).when(n % 4 == 1, F.col("p_type")).when(n % 4 == 2, F.concat(size, F.lit(". "), "p_name")).otherwise(F.concat("p_name", F.lit(".")))
+    parts = _t(spark, d, "part").select((-1 - F.floor(n / 20)).alias("doc_id"), (n % 20).cast("int").alias("pos"), tx.clean_block(line).alias("line"))
+    return _lines(spark, d).unionByName(parts)
+
+
+def _end_paths(lines: DataFrame, heading: Column) -> DataFrame:
+    """doc_id, n_headings, path: the section path at the end of each document, folded over its headings (null: a line is none)."""
+    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(heading)).alias("h"))
+    return rows.select("doc_id", F.size("h").alias("n_headings"), F.array_join(tx.section_path(F.col("h")), " > ").alias("path"))
+
+
 @query
 def heading_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).filter(tx.is_heading(F.col("line"))).select("doc_id", "pos", "line", tx.heading_level(F.col("line")).alias("level"))
+    return _outlines(spark, d).filter(tx.is_heading(F.col("line"))).select("doc_id", "pos", "line", tx.heading_level(F.col("line")).alias("level"))
 
 
 @query
 def section_paths(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
-    headings = F.transform(F.slice("w", 1, 6), lambda w, i: F.struct((i * 7 % 4 + 1).alias("level"), w.alias("text")))
-    return rows.select("doc_id", F.array_join(tx.section_path(headings), " > ").alias("path"))
+    """All lines as headings, of levels that follow from their places."""
+    return _end_paths(_outlines(spark, d), F.struct("pos", (F.col("pos") * 7 % 4 + 1).alias("level"), F.col("line").alias("text"))).drop("n_headings")
 
 
 @query
 def heading_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The section path at the end of each document, folded over all its heading lines."""
-    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw")).withColumn("line", tx.clean_block(F.col("raw")))
-    heading = F.when(tx.is_heading(F.col("line")), F.struct("pos", tx.heading_level(F.col("line")).alias("level"), F.col("line").alias("text")))
-    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(heading)).alias("h"))
-    return rows.select("doc_id", F.size("h").alias("n_headings"), F.array_join(tx.section_path(F.col("h")), " > ").alias("path"))
+    heading = F.struct("pos", tx.heading_level(F.col("line")).alias("level"), F.col("line").alias("text"))
+    return _end_paths(_outlines(spark, d), F.when(tx.is_heading(F.col("line")), heading))
 
 
 @query
@@ -301,6 +318,25 @@ def processing_report_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return chunking.processing_report(_t(spark, d, "documents"), "lang").select("lang", "documents", "characters")
 
 
+def _report(raw: DataFrame) -> DataFrame:
+    return build.build_report(build.judged_documents(raw)).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query
+def build_report(spark: SparkSession, d: str) -> DataFrame:
+    """What became of every document: accepted and rejected rows add up to those of the table."""
+    raw = build.raw_document(F.col("source"), F.col("doc_id"), F.col("text"), F.lit("txt"), F.col("source"), F.col("lang"))
+    return _report(_t(spark, d, "documents").select(*raw))
+
+
+@query
+def build_report_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every page, by host."""
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    raw = build.raw_document(host, F.col("page_id"), F.col("html"), F.lit("html"), F.col("url"), F.lit(None))
+    return _report(_t(spark, d, "pages").select(*raw))
+
+
 @query
 def chunk_id_uniqueness(spark: SparkSession, d: str) -> DataFrame:
     """Texts' digests as chunk ids: those that occur more than once."""
@@ -375,8 +411,9 @@ def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def query_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _questions(spark, d).withColumn("terms", terms_of(F.col("query"))).join(_t(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text"), "query_id")
-    return pairs.select("query_id", excerpt(F.col("terms"), F.col("text")).alias("excerpt"))
+    """Of every question's best documents what is nearest to the question."""
+    pairs = _questions(spark, d).withColumn("terms", terms_of(F.col("query"))).join(_retrieved(spark, d), "query_id")
+    return pairs.select("query_id", "rank", "chunk_id", excerpt(F.col("terms"), F.col("text")).alias("excerpt"))
 
 
 # -- answers
@@ -392,7 +429,7 @@ def locators(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def evidence_budget(spark: SparkSession, d: str) -> DataFrame:
-    return _evidence(spark, d).select("query_id", "rank", "citation", F.length("text").alias("characters"))
+    return _evidence(spark, d).select("query_id", "rank", "chunk_id", "citation", F.length("text").alias("characters"))
 
 
 @query
@@ -410,35 +447,6 @@ def answer_sources(spark: SparkSession, d: str) -> DataFrame:
     return answer.sources(_questions(spark, d), _evidence(spark, d)).select("query_id", "citation", "title", "chunk_id", "locator", "evidence")
 
 
-# -- the same on the ranking of all documents
-
-
-@query
-def retrieved_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _questions(spark, d).withColumn("terms", terms_of(F.col("query"))).join(_retrieved(spark, d), "query_id")
-    return pairs.select("query_id", "rank", "chunk_id", excerpt(F.col("terms"), F.col("text")).alias("excerpt"))
-
-
-@query
-def retrieved_evidence_budget(spark: SparkSession, d: str) -> DataFrame:
-    return _retrieved_evidence(spark, d).select("query_id", "rank", "chunk_id", "citation", F.length("text").alias("characters"))
-
-
-@query
-def retrieved_extractive_answers(spark: SparkSession, d: str) -> DataFrame:
-    return answer.extractive_answers(_questions(spark, d), _retrieved_evidence(spark, d))
-
-
-@query
-def retrieved_prompt_context(spark: SparkSession, d: str) -> DataFrame:
-    return answer.prompts(_questions(spark, d), _retrieved_evidence(spark, d)).select("query_id", F.sha2(F.encode("prompt", "UTF-8"), 256).alias("prompt_sha256"))
-
-
-@query
-def retrieved_answer_sources(spark: SparkSession, d: str) -> DataFrame:
-    return answer.sources(_questions(spark, d), _retrieved_evidence(spark, d)).select("query_id", "citation", "title", "chunk_id", "locator", "evidence")
-
-
 # -- ground truth and metrics
 
 
@@ -493,10 +501,20 @@ def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def release_allowlist(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p in oracles.PATHS], "path string")
-    return rows.select("path", package.allowed(F.col("path")).alias("allowed"), package.forbidden(F.col("path")).alias("forbidden"))
+    """Paths that carry the pages' numbers."""
+    n, base = F.col("page_id"), F.col("base")
+    rows = _t(spark, d, "pages").select("page_id", F.get(F.array(*map(F.lit, oracles.PATHS)), (n % len(oracles.PATHS)).cast("int")).alias("base"))
+    path = F.when(F.contains(base, F.lit("/")), F.regexp_replace(base, F.lit("^([^/]+)/"), F.concat(F.lit("$1/"), n, F.lit("/")))).otherwise(base)
+    rows = rows.select("page_id", path.alias("path"))
+    return rows.select("page_id", "path", package.allowed(F.col("path")).alias("allowed"), package.forbidden(F.col("path")).alias("forbidden"))
 
 
 @query
 def demo_sample(spark: SparkSession, d: str) -> DataFrame:
     return package.demo_sample(_chunks(spark, d), "src1").select("chunk_id", "title", "text")
+
+
+#: Names under which the same queries were known before they ran on the ranking of all documents.
+for name in ("evidence_budget", "extractive_answers", "prompt_context", "answer_sources"):
+    QUERIES[f"retrieved_{name}"] = QUERIES[name]
+QUERIES["retrieved_excerpts"] = QUERIES["query_excerpts"]

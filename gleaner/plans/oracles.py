@@ -8,14 +8,6 @@ from gleaner.sources.manifest import KINDS
 MEMBERS = ["docs/a.html", "/etc/a.md", "a/../b.txt", "docs/img.png", "README.md", "x.PDF", "docs/sub/b.htm", "noext", "docs/.md"]
 GLOBS = ["", "docs/*.html", "*.md,docs/*", "?.PDF"]
 PATHS = ["README.md", "setup.py", "src/a/b.py", "src/a/__pycache__/b.pyc", "docs/x.part", "data/raw/open/a.pdf", "tests/data/raw/a.py", ".gitignore", "evaluation/q.yaml", "docs/.DS_Store"]
-SOURCES = [
-    ("good", POLICIES[0], True, "file", "https://a.example/x", "a.example", None),
-    ("Bad Id", POLICIES[3], True, "webpage", "https://a.example/x", "a.example", 5.0),
-    ("good", "unknown", True, "file", "https://a.example/y", "a.example", None),
-    ("closed", POLICIES[3], True, "file", "https://b.example/x", "b.example", 12.5),
-    ("off", POLICIES[1], False, "webpage", "https://b.example/y", "", None),
-    ("nourl", POLICIES[2], True, "ftp", None, "c.example", None),
-]
 RARE = ["zzzunknownzzz", "https", "password"]
 
 
@@ -94,7 +86,8 @@ best AS (SELECT pid, s, w FROM (SELECT *, row_number() OVER (PARTITION BY pid OR
 shown AS (SELECT p.pid, CASE WHEN length(p.text) <= {size} THEN p.text ELSE substr(p.text, best.s + 1, {size}) END AS excerpt FROM {pairs} p LEFT JOIN best ON best.pid = p.pid)"""
 
 
-EVIDENCE = """near AS (SELECT item_id AS query_id, b.text AS query, i + 1 AS rank, d.doc_id AS chunk_id, d.text, d.source AS title, d.lang FROM (SELECT *, unnest(range(0, 5)) AS i FROM benchmark) b JOIN documents d ON d.doc_id = item_id + i),
+EVIDENCE = f"""{bm25(QUESTIONS, 5)},
+near AS (SELECT l.query_id, b.text AS query, l.rank, l.chunk_id, d.text, d.source AS title, d.lang FROM lexical l JOIN benchmark b ON b.item_id = l.query_id JOIN documents d ON d.doc_id = l.chunk_id),
 spend AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM near),
 evidence AS (SELECT query_id, query, rank, chunk_id, title, lang, 'S' || place AS citation, substr(text, 1, CAST(6500 - spent AS BIGINT)) AS text FROM spend WHERE place <= 5 AND spent < 6500)"""
 
@@ -147,9 +140,11 @@ CHUNKS = chunks_of(squeezed("text"))
 
 HEADING = r"length(line) BETWEEN 1 AND 100 AND right(line, 1) NOT IN ('。', '！', '？', '.', '!', '?', '；', ';', '，', ',') AND (regexp_matches(line, '^第[一二三四五六七八九十百零〇0-9]+(?:章|节|部分|篇)') OR regexp_matches(line, '^[一二三四五六七八九十]+[、.]\s*\S+') OR regexp_matches(line, '^\(?[0-9]{1,2}\)?[、.]\s*\S+') OR regexp_matches(line, '^(?i:chapter|section|part|appendix)\s+(?i:[A-Z0-9IVX]+)') OR regexp_matches(line, '^[A-Z][A-Z0-9 /&(),.-]{5,80}$'))"
 MARKDOWN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '^\s*>\s?', ''), '[*_~]{1,3}', '', 'g')"
-_SRC = _values([(i, s, p, e, k, u, h, m) for i, (s, p, e, k, u, h, m) in enumerate(SOURCES)], "pos", "id", "policy", "enabled", "kind", "url", "hosts", "mb")
 _OPEN = ", ".join(map(_q, OPEN_POLICIES))
 _HOST = r"regexp_extract(url, '^https?://([^/?#]+)', 1)"
+_SRC = f"""(SELECT CAST(page_id AS INTEGER) AS pos, CASE WHEN page_id % 11 = 0 THEN 'Bad Id ' || page_id WHEN page_id % 11 = 5 THEN 'twice_' || (page_id // 22) ELSE 'src_' || page_id END AS id,
+  CASE WHEN page_id % 7 = 0 THEN 'unknown' ELSE [{", ".join(map(_q, POLICIES))}][1 + page_id % 4] END AS policy, page_id % 3 <> 0 AS enabled, CASE WHEN page_id % 13 = 0 THEN 'ftp' WHEN page_id % 2 = 0 THEN 'file' ELSE 'webpage' END AS kind,
+  CASE WHEN page_id % 17 <> 0 THEN url END AS url, CASE WHEN page_id % 9 = 0 THEN '' ELSE {_HOST} END AS hosts, CASE WHEN page_id % 5 = 0 THEN page_id % 20 + 0.5 END AS mb FROM pages)"""
 _HOSTS = "('thther.example.org', 'm.therou.example.com', 'therin.example.net')"
 _FIRST = "CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 + 1 END"
 _LAST = f"CASE WHEN doc_id % 5 > 0 THEN {_FIRST} + (doc_id % 3 - 1) END"
@@ -181,10 +176,22 @@ SELECT mode, language, CAST(query_id AS VARCHAR) AS query_id, 1 AS query_count,
 UNION ALL SELECT mode, language, NULL, count(*), NULL, NULL, NULL, {_MEANS} FROM rows GROUP BY GROUPING SETS ((mode), (mode, language))
 """
 
+OUTLINES = f"""{LINES},
+outlines AS (SELECT doc_id, pos, line FROM lines UNION ALL SELECT -1 - p_partkey // 20, p_partkey % 20, {squeezed("CASE WHEN p_partkey % 4 = 0 THEN 'Chapter ' || p_size || ' ' || p_name WHEN p_partkey % 4 = 1 THEN p_type WHEN p_partkey % 4 = 2 THEN p_size || '. ' || p_name ELSE p_name || '.' END")} FROM part)"""
+
+
+def end_paths(test: str, level: str) -> str:
+    """``ends``: doc_id, n, path of every document of the outlines, folded over the lines that meet a test."""
+    return f"""{OUTLINES},
+own AS (SELECT doc_id, coalesce(list(line ORDER BY pos) FILTER (WHERE {test}), []) AS t, coalesce(list({level} ORDER BY pos) FILTER (WHERE {test}), []) AS l FROM outlines GROUP BY doc_id),
+fold AS (SELECT doc_id, t, l, 0 AS i, CAST([] AS VARCHAR[]) AS path FROM own UNION ALL SELECT doc_id, t, l, i + 1, list_append(path[1 : l[i + 1] - 1], t[i + 1]) FROM fold WHERE i < len(t)),
+ends AS (SELECT doc_id, len(t) AS n, array_to_string(path, ' > ') AS path FROM fold WHERE i = len(t))"""
+
+
 SQL: dict[str, str] = {
     "zip_member_filter": f"""
-WITH r AS (SELECT name, globs FROM {_values([(n,) for n in MEMBERS], "name")} a, {_values([(g,) for g in GLOBS], "globs")} b)
-SELECT name, globs, NOT starts_with(name, '/') AND NOT list_contains(string_split(name, '/'), '..') AND lower(regexp_extract(name, '\\.([^.]+)$', 1)) IN ('pdf', 'html', 'htm', 'md', 'txt')
+WITH r AS (SELECT page_id, replace([{", ".join(map(_q, MEMBERS))}][1 + page_id % {len(MEMBERS)}], 'a', 'p' || page_id) AS name, globs FROM pages, {_values([(g,) for g in GLOBS], "globs")} b)
+SELECT page_id, name, globs, NOT starts_with(name, '/') AND NOT list_contains(string_split(name, '/'), '..') AND lower(regexp_extract(name, '\\.([^.]+)$', 1)) IN ('pdf', 'html', 'htm', 'md', 'txt')
   AND regexp_matches(regexp_extract(name, '[^/]*$'), '^.+\\.[^.]+$') AND (globs = '' OR len(list_filter(string_split(globs, ','), lambda g: name GLOB replace(g, '[', '[[]'))) > 0) AS allowed FROM r""",
     "page_links": r"""
 WITH a AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS base, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages),
@@ -201,18 +208,16 @@ UNION ALL SELECT pos, id, 'kind' FROM s WHERE kind NOT IN ({", ".join(map(_q, KI
 UNION ALL SELECT pos, id, 'repeated' FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM s) WHERE n > 1""",
     "source_selection": f"SELECT pos, id FROM {_SRC} s WHERE enabled AND policy IN ({_OPEN})",
     "policy_group": f"SELECT pos, CASE WHEN policy IN ({_OPEN}) THEN 'open' ELSE 'restricted' END AS output_group FROM {_SRC} s",
-    "effective_settings": f"SELECT DISTINCT id, CAST(coalesce(mb, 100) * 1048576 AS BIGINT) AS max_file_size_bytes, 60.0::DOUBLE AS timeout_seconds, 5 AS retries FROM {_SRC} s",
+    "effective_settings": f"SELECT id, CAST(coalesce(mb, 100) * 1048576 AS BIGINT) AS max_file_size_bytes, 60.0::DOUBLE AS timeout_seconds, 5 AS retries FROM {_SRC} s",
     "clean_text": f"SELECT doc_id, sha256({squeezed('text')}) AS sha256 FROM documents",
     "normalize_text": f"SELECT doc_id, sha256({normal('text')}) AS sha256 FROM documents",
     "strip_markdown": f"SELECT doc_id, sha256({squeezed(MARKDOWN)}) AS sha256 FROM documents",
     "tokenize_documents": f"SELECT doc_id, len(w) AS n_tokens, sha256(array_to_string(w, ' ')) AS sha256 FROM (SELECT doc_id, {tokens('text')} AS w FROM documents)",
     "token_frequencies": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS token FROM documents) GROUP BY token",
     "stable_ids": "SELECT doc_id, 'doc_' || substr(sha1(source || '::' || doc_id), 1, 20) AS document_id, 'chk_' || substr(sha1(source || chr(31) || doc_id || chr(31) || text), 1, 20) AS chunk_id FROM documents",
-    "heading_lines": f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, line, CASE WHEN length(line) <= 35 THEN 1 ELSE 2 END AS level FROM lines WHERE {HEADING}",
-    "section_paths": """
-WITH RECURSIVE h AS (SELECT doc_id, string_split(text, ' ')[1:6] AS w FROM documents),
-f AS (SELECT doc_id, w, 0 AS i, CAST([] AS VARCHAR[]) AS path FROM h UNION ALL SELECT doc_id, w, i + 1, list_append(path[1 : (i * 7 % 4)], w[i + 1]) FROM f WHERE i < len(w))
-SELECT doc_id, array_to_string(path, ' > ') AS path FROM f WHERE i = len(w)""",
+    "heading_lines": f"WITH {OUTLINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, line, CASE WHEN length(line) <= 35 THEN 1 ELSE 2 END AS level FROM outlines WHERE {HEADING}",
+    "section_paths": f"WITH RECURSIVE {end_paths('true', 'CAST(pos AS INTEGER) * 7 % 4 + 1')} SELECT doc_id, path FROM ends",
+    "heading_paths": f"WITH RECURSIVE {end_paths(HEADING, 'CASE WHEN length(line) <= 35 THEN 1 ELSE 2 END')} SELECT doc_id, CAST(n AS INTEGER) AS n_headings, path FROM ends",
     "page_char_stats": """
 SELECT conv_id AS document_id, count(*) AS pages, count(*) FILTER (WHERE length(text) < 30) AS sparse_pages, round(avg(length(text)), 6) AS mean_chars,
   count(*) FILTER (WHERE length(text) < 30) / count(*)::DOUBLE >= 0.4 OR avg(length(text)) < 80 AS ocr_recommended FROM conversations GROUP BY conv_id""",
@@ -232,6 +237,10 @@ SELECT doc_id AS document_id, CAST(total AS INTEGER) AS character_count, CAST(a
     "chunk_span_overlap": f"WITH RECURSIVE {CHUNKS} SELECT document_id, chunk_index, CAST(char_start // 500 AS INTEGER) AS page_start, CAST((char_end - 1) // 500 AS INTEGER) AS page_end, 0 AS n_paths FROM pieces",
     "processing_report_by_source": "SELECT source, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY source",
     "processing_report_by_lang": "SELECT lang, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY lang",
+    "build_report": f"""
+WITH d AS (SELECT source, length({squeezed(MARKDOWN)}) AS n FROM documents)
+SELECT source AS source_id, 'txt' AS file_type, count(*) AS documents, count(*) FILTER (WHERE n >= 40) AS accepted, count(*) FILTER (WHERE n < 40) AS rejected, CAST(coalesce(sum(n) FILTER (WHERE n >= 40), 0) AS BIGINT) AS characters,
+  0 AS warnings, CASE WHEN count(*) FILTER (WHERE n < 40) > 0 THEN 'text too short: x ' || count(*) FILTER (WHERE n < 40) ELSE '' END AS errors FROM d GROUP BY source""",
     "chunk_id_uniqueness": "SELECT sha1(text) AS chunk_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1",
     "topk_per_query": "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT event_type AS query_id, event_id AS chunk_id, value AS score, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5",
     "ranking_projection": f"WITH {dense(3)} SELECT query_id, rank, chunk_id, source AS source_id, source AS title, sha256(text) AS text_sha256, lang AS section FROM dense JOIN documents ON doc_id = chunk_id",
@@ -249,11 +258,11 @@ pair AS (SELECT f.query_id || '/' || f.chunk_id AS pid, f.query_id, f.chunk_id,
 {excerpts("pair", 420)},
 score AS (SELECT s.pid, CAST(coalesce(sum(length(term) * (length(lower(excerpt)) - length(replace(lower(excerpt), term, '')))), 0) AS DOUBLE) AS score FROM shown s LEFT JOIN terms t ON t.pid = s.pid GROUP BY s.pid)
 SELECT query_id, chunk_id, rank, score, pre_rerank_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM pair JOIN score USING (pid)) WHERE rank <= 10""",
-    "query_excerpts": f"WITH pair AS (SELECT item_id AS pid, b.text AS query, d.text FROM benchmark b JOIN documents d ON d.doc_id = b.item_id), {excerpts('pair', 420)} SELECT pid AS query_id, excerpt FROM shown",
+    "query_excerpts": f"WITH {bm25(QUESTIONS, 5)}, pair AS (SELECT query_id || '/' || chunk_id AS pid, query_id, chunk_id, rank, b.text AS query, d.text FROM lexical JOIN benchmark b ON item_id = query_id JOIN documents d ON d.doc_id = chunk_id), {excerpts('pair', 420)} SELECT query_id, rank, chunk_id, excerpt FROM pair JOIN shown USING (pid)",
     "locators": f"""
 SELECT doc_id, CASE WHEN p IS NOT NULL THEN CASE WHEN coalesce(z <> 0 AND z <> p, false) THEN 'pp. ' || p || '-' || z ELSE 'p. ' || p END WHEN doc_id % 2 = 0 THEN source || ' > ' || lang ELSE 'web page' END AS locator
 FROM (SELECT *, {_FIRST} AS p, {_LAST} AS z FROM documents)""",
-    "evidence_budget": f"WITH {EVIDENCE} SELECT query_id, CAST(rank AS INTEGER) AS rank, citation, CAST(length(text) AS INTEGER) AS characters FROM evidence",
+    "evidence_budget": f"WITH {EVIDENCE} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, citation, CAST(length(text) AS INTEGER) AS characters FROM evidence",
     "extractive_answers": rf"""
 WITH {EVIDENCE},
 cutup AS (SELECT query_id, query, citation, regexp_split_to_array(regexp_replace(text, '([。！？!?；;.])\s+', '\1' || chr(1), 'g'), '\x01|\n+') AS p FROM evidence),
@@ -283,8 +292,13 @@ SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY place) AS relevant, mi
     "latency_percentiles": "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY event_type",
     "corpus_summary": "SELECT lang AS language, count(*) AS chunks, count(DISTINCT source) AS sources FROM documents GROUP BY lang",
     "release_allowlist": f"""
-SELECT path, NOT regexp_matches(path, '(^|/)(\\.DS_Store|__pycache__)(/|$)') AND NOT regexp_matches(path, '\\.(pyc|part)$')
+WITH p AS (SELECT page_id, CASE WHEN contains(base, '/') THEN regexp_replace(base, '^([^/]+)/', '\\1/' || page_id || '/') ELSE base END AS path FROM (SELECT page_id, [{", ".join(map(_q, PATHS))}][1 + page_id % {len(PATHS)}] AS base FROM pages))
+SELECT page_id, path, NOT regexp_matches(path, '(^|/)(\\.DS_Store|__pycache__)(/|$)') AND NOT regexp_matches(path, '\\.(pyc|part)$')
   AND CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] IN ('configs', 'docs', 'evaluation', 'scripts', 'src', 'tests') ELSE path IN ('.gitignore', 'README.md', 'requirements.txt', 'source_manifest.yaml') END AS allowed,
-  regexp_matches(path, 'data/raw/|data/processed/|data/cache/|\\.venv/|artifacts/') AS forbidden FROM {_values([(p,) for p in PATHS], "path")} p""",
+  regexp_matches(path, 'data/raw/|data/processed/|data/cache/|\\.venv/|artifacts/') AS forbidden FROM p""",
     "demo_sample": "SELECT doc_id AS chunk_id, source AS title, text FROM documents WHERE source = 'src1' ORDER BY doc_id LIMIT 12",
 }
+
+for _name in ("evidence_budget", "extractive_answers", "prompt_context", "answer_sources"):
+    SQL[f"retrieved_{_name}"] = SQL[_name]
+SQL["retrieved_excerpts"] = SQL["query_excerpts"]

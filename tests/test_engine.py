@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleaner import cli
+from conftest import SF
 from gleaner.config import AnswerConfig, ChunkConfig
 from gleaner.functions import pytext, text as tx
 from gleaner.operators import answer, binding, chunking, fusion, metrics
@@ -282,6 +283,7 @@ def test_heading_paths_fold_whole_texts(spark, tmp_path):
     heads = ["Chapter 1 One", "Chapter 2 A chapter whose long title is of level two", "Chapter 3 Three", "Chapter 4 Another chapter whose title is of level two"]
     text = "\n".join(f"plain words here, and more of them.\n{h}" for h in heads * 3)
     spark.createDataFrame([(1, text), (2, "no headings here."), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/part.parquet").limit(0).write.parquet(f"{tmp_path}/part.parquet")
     got = {r.doc_id: (r.n_headings, r.path) for r in catalog.queries()["heading_paths"](spark, str(tmp_path)).collect()}
     found, path = [h for h in heads * 3], []
     for h in found:
@@ -293,7 +295,8 @@ def test_evidence_comes_from_the_ranking_of_all_documents(spark, tmp_path):
     docs = [(i, f"filler number {i} about nothing at all in particular. " * 3, "en", "s") for i in range(30)] + [(5000, "the quokka sleeps under the old bridge at noon today. " * 3, "en", "s")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, "quokka bridge")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    run = {n: q for n, q in catalog.queries().items() if n.startswith("retrieved_")}
+    run = catalog.queries()
+    assert {n for n in run if n.startswith("retrieved_")} <= {f"retrieved_{n}" for n in (*run, "excerpts")}
     first = run["retrieved_evidence_budget"](spark, str(tmp_path)).orderBy("rank").first()
     assert (first.chunk_id, first.citation, first.characters) == (5000, "S1", len(docs[-1][1]))
     assert "quokka" in run["retrieved_extractive_answers"](spark, str(tmp_path)).first().answer

@@ -339,19 +339,57 @@ def test_surrogates_grow_where_a_form_runs_out(spark):
     assert number[:2] == "DE" and len(number) == 22 and int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
 
 
+def test_surrogates_of_names_agree(spark):
+    """Dr., Mr. and untitled mentions of one person, names in other scripts, and what the patterns of other kinds take."""
+    texts = [
+        "Dr. John Smith came. Later John Smith and Mr. John Smith left; Johnny Smith and John Smithson stayed. JOHN SMITH too.",
+        "Prof. Jane Miller and Mrs. Jane Doe", "Mr. Ιωάννης Παππάς and Mrs. Μαρία Παππάς", "Mr. 王 小明 spoke. Dr. محمد علي", "Mr. Արմեն Սարգսյան",
+        "mail josé@example.com or JOSÉ@example.com", "from 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1 at 12:30:45 with std::vector", "John Smith without a title", None,
+    ]
+    got = by_id(surrogates.with_surrogates(frame(spark, texts), "k"))
+    new = [got[i].text for i in range(len(texts))]
+    m = re.fullmatch(r"Dr\. (\w+n) (\w+r) came\. Later (\w+) (\w+) and Mr\. (\w+) (\w+) left; Johnny Smith and John Smithson stayed\. JOHN SMITH too\.", new[0])
+    assert m and m[1] == m[3] == m[5] and m[2] == m[4] == m[6] and m[1] != "John"
+    assert (got[0].n_entities, got[0].kinds) == (3, "name")
+    m = re.fullmatch(r"Prof\. (\w+na) \w+r and Mrs\. (\w+) \w+r", new[1])
+    assert m and m[1] == m[2]
+    m = re.fullmatch(r"Mr\. ([α-ως]+νος) ([α-ως]+ρης) and Mrs\. ([α-ως]+να) ([α-ως]+ρης)", new[2].replace("Mr. " + new[2][4], "Mr. " + new[2][4].lower()), flags=re.IGNORECASE)
+    assert m and m[2].lower() == m[4].lower() and "Παππ" not in new[2]
+    assert re.fullmatch(r"Mr\. [\u4e00-\u9fff]{1,} [\u4e00-\u9fff]{2,} spoke\. Dr\. [\u0600-\u06ff]+ [\u0600-\u06ff]+", new[3]) and "小明" not in new[3] and "محمد" not in new[3]
+    assert re.fullmatch(r"Mr\. [\u0531-\u0587]+ [\u0531-\u0587]+", new[4]) and new[4] != texts[4]
+    assert got[5].n_entities == 2 and "jos" not in new[5].lower()
+    assert len({x.lower() for x in re.findall(r"\S+@\S+", new[5])}) == 1
+    assert re.fullmatch(r"from (2001:db8(:[0-9a-f]{1,4}){6}) and (2001:db8(:[0-9a-f]{1,4}){6}) at 12:30:45 with std::vector", new[6])
+    assert new[7] == texts[7] and new[8] is None  # nothing in that text says that this is a person
+
+
 def test_surrogates_are_brute_force(spark, texts):
     """Against a plain search with the same patterns: what is found, what stays, one surrogate for one entity, none shared."""
     import regex
 
-    find = regex.compile("|".join(f"(?P<{k}>{p.replace('IsCyrillic', 'Cyrillic')})" for k, p in surrogates.PATTERNS.items()))
-    own = [None, "", "Frau Müller and Herr Müller, Dr. Frau", "a@b.co a@B.CO c@b.co", "192.168.1.1 or 192.168.1.2"]
+    python = lambda p: re.sub(r"\\p\{Is(\w+)\}", r"\\p{\1}", p)
+    own_patterns = "|".join(f"(?P<{k}>{python(p)})" for k, p in surrogates.PATTERNS.items())
+    full_name = regex.compile(python(surrogates.FULL_NAME))
+    own = [None, "", "Frau Müller and Herr Müller, Dr. Frau", "a@b.co a@B.CO c@b.co", "192.168.1.1 or 192.168.1.2", "Mr. Al Bo Cy met Al Bo, Al Bo Cy and Ms. Al Bo.", "Dr. Al Bo", "Г-н Иван Петров, Иван Петров"]
     texts = own + texts
     got = by_id(surrogates.with_surrogates(frame(spark, texts), "k"))
-    new_of, old_of, total = {}, {}, 0
+    new_of, old_of, total, given = {}, {}, 0, {}
+    titles = {t: g for g, names in (("m", surrogates.MALE), ("f", surrogates.FEMALE)) for t in names.split("|")}
+    stated = {}
+    for text in texts:
+        for m in regex.finditer(own_patterns, text or ""):
+            if m.lastgroup == "name":
+                title, *words = m[0].split(" ")
+                for w in words[:-1]:
+                    if title.rstrip(".") in titles:
+                        stated.setdefault(w.lower(), set()).add(titles[title.rstrip(".")])
     for i, text in enumerate(texts):
-        found = list(find.finditer(text or ""))
+        names = sorted(set(full_name.findall(text or "")), reverse=True)
+        untitled = rf"|(?P<untitled>(?<!\p{{L}})(?:{'|'.join(map(regex.escape, names))})(?![\p{{L}}'’-]))" if names else ""
+        found = list(regex.finditer(own_patterns + untitled, text or ""))
         total += len(found)
-        assert (got[i].n_entities, got[i].kinds) == (len(found), ",".join(sorted({m.lastgroup for m in found})))
+        kinds = {"name" if m.lastgroup == "untitled" else m.lastgroup for m in found}
+        assert (got[i].n_entities, got[i].kinds) == (len(found), ",".join(sorted(kinds))), text
         rest, at = [], 0
         for m in found:
             rest.append(regex.escape(text[at : m.start()]))
@@ -366,7 +404,16 @@ def test_surrogates_are_brute_force(spark, texts):
                 old = m[0].lower() if m.lastgroup == "email" else m[0]
                 assert new_of.setdefault(old, new.lower() if m.lastgroup == "email" else new) in (new, new.lower())
                 assert old_of.setdefault((m.lastgroup, new_of[old]), old) == old
-            assert m.lastgroup == "name" or new != m[0]
+            if m.lastgroup in ("name", "untitled"):
+                title, words, fresh = ("", m[0].split(" "), new.split(" ")) if m.lastgroup == "untitled" else (m[0].split(" ")[0], m[0].split(" ")[1:], new.split(" ")[1:])
+                assert len(words) == len(fresh) and all(w != f for w, f in zip(words, fresh, strict=True))
+                assert m.lastgroup == "untitled" or new.split(" ")[0] == title
+                for k, (w, f) in enumerate(zip(words, fresh, strict=True)):
+                    gender = "surname" if k == len(words) - 1 else titles.get(title.rstrip(".")) or max(stated.get(w.lower(), {"open"}))
+                    assert given.setdefault((gender, w.lower()), f.lower()) == f.lower()  # one name, one surrogate, whatever the title
+                    assert old_of.setdefault((gender, f.lower()), w.lower()) == w.lower()
+            else:
+                assert new != m[0]
     assert total > 20 and not set(new_of) & set(new_of.values())
 
 

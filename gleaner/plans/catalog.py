@@ -270,6 +270,15 @@ def repeated_edge_lines(spark: SparkSession, d: str) -> DataFrame:
     return pages.repeated_edge_lines(books.join(lines, "doc_id").select("document_id", F.col("doc_id").alias("page"), "lines"))
 
 
+@query
+def page_line_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents of a page a turn, and lists of parts as documents of three pages: their blocks, headers left out."""
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    parts = _outlines(spark, d).filter("doc_id < 0").select(F.floor((F.col("doc_id") + 1) / 3).alias("d"), (-(F.col("doc_id") + 1) % 3).alias("page"), F.col("pos").alias("no"), "line")
+    found = pages.line_blocks(turns.unionByName(parts.select((F.col("d") - 1).alias("document_id"), "page", "no", "line")))
+    return found.select("document_id", "pos", "kind", "page", F.array_join("section_path", " > ").alias("path"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
+
+
 @query
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
     return markdown.text_blocks(_t(spark, d, "documents"), "doc_id").select("doc_id", "pos", "kind", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +11,8 @@ from pyspark.sql.types import StringType
 from gleaner.config import ChunkConfig
 from gleaner.functions.text import stable_id
 from gleaner.operators.chunking import assemble, chunk_documents, substantial
-from gleaner.session import arrow_udf
-from gleaner.sources import html, markdown
+from gleaner.session import arrow_udf, cut, union_all
+from gleaner.sources import html, markdown, pages
 from gleaner.sources.files import zip_members
 
 
@@ -29,13 +27,30 @@ def logical_files(files: DataFrame) -> DataFrame:
     return rows.withColumn("document_id", stable_id("doc", logical)).withColumn("content_sha256", F.sha2("content", 256))
 
 
-def documents_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with text and spans, files whose text is too short). HTML and Markdown or plain text; pages need a reader."""
+def documents_of(files: DataFrame, reader: pages.PageReader | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents with text, spans and warnings, the other files with their error).
+
+    HTML, Markdown and plain text are read here, PDF by ``reader``. A file without a reader for it, one that the reader fails on and one whose
+    text is too short are errors by name; pages with little text are a warning (``ocr_recommended``).
+    """
     from_html = files.filter(F.col("suffix").isin("html", "htm")).select("document_id", html_text("content").alias("html"))
     from_text = files.filter(F.col("suffix").isin("md", "txt")).select("document_id", html_text("content").alias("text"))
-    blocks = reduce(DataFrame.unionByName, [html.page_blocks(from_html, "document_id", "html"), markdown.text_blocks(from_text)])
-    made = files.drop("content").join(assemble(blocks), "document_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
-    return substantial(made)
+    blocks = [html.page_blocks(from_html, "document_id", "html"), markdown.text_blocks(from_text)]
+    paged = files.filter("suffix = 'pdf'").select("document_id", "content")
+    if reader is None:
+        failed = paged.select("document_id", F.lit("no page reader for pdf").alias("failure"))
+        warned = paged.select("document_id", F.lit(None).cast("array<string>").alias("warnings")).limit(0)
+    else:
+        read = cut(pages.read_pages(paged, reader), "read-pages")
+        lines = pages.lines_of(read)
+        blocks.append(pages.line_blocks(lines))
+        failed = read.filter("error IS NOT NULL").select("document_id", F.col("error").alias("failure"))
+        sizes = pages.page_statistics(pages.page_sizes(lines))
+        warned = sizes.filter("ocr_recommended").select("document_id", F.array(F.concat(F.lit("ocr_recommended: "), "sparse_pages", F.lit(" of "), "pages", F.lit(" pages with little text"))).alias("warnings"))
+    texts = files.drop("content").join(assemble(union_all(blocks)), "document_id", "left")
+    made = texts.join(failed, "document_id", "left").join(warned, "document_id", "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+    good, short = substantial(made)
+    return good.drop("failure"), short.withColumn("error", F.coalesce("failure", F.concat(F.lit("text too short: "), F.length("text"), F.lit(" characters")))).drop("failure", "text", "spans")
 
 
 def _decoded(bodies: pd.Series) -> pd.Series:
@@ -46,6 +61,7 @@ def html_text(body: str) -> Column:
     return arrow_udf(_decoded, StringType())(body)
 
 
-def build(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    documents, _ = documents_of(logical_files(files))
-    return chunk_documents(documents, config)
+def build(files: DataFrame, config: ChunkConfig = ChunkConfig(), reader: pages.PageReader | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, the files that gave none, with their error)."""
+    documents, rejected = documents_of(logical_files(files), reader)
+    return chunk_documents(documents, config), rejected

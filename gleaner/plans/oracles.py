@@ -176,6 +176,8 @@ SELECT mode, language, CAST(query_id AS VARCHAR) AS query_id, 1 AS query_count,
 UNION ALL SELECT mode, language, NULL, count(*), NULL, NULL, NULL, {_MEANS} FROM rows GROUP BY GROUPING SETS ((mode), (mode, language))
 """
 
+_NUMBER = r"^(?:第\s*)?[-—–]?\s*[0-9]{1,4}\s*(?:页|/\s*[0-9]{1,4})?\s*[-—–]?$"
+_ENDED = "(f.alone OR (f.size > 240 AND right(f.line, 1) IN ('。', '！', '？', '.', '!', '?', '；', ';', '：', ':')))"
 OUTLINES = f"""{LINES},
 outlines AS (SELECT doc_id, pos, line FROM lines UNION ALL SELECT -1 - p_partkey // 20, p_partkey % 20, {squeezed("CASE WHEN p_partkey % 4 = 0 THEN 'Chapter ' || p_size || ' ' || p_name WHEN p_partkey % 4 = 1 THEN p_type WHEN p_partkey % 4 = 2 THEN p_size || '. ' || p_name ELSE p_name || '.' END")} FROM part)"""
 
@@ -227,6 +229,28 @@ p AS (SELECT doc_id, doc_id // 10 AS document_id, list(line ORDER BY pos) AS l F
 e AS (SELECT document_id, unnest(list_concat(l[1:3], l[greatest(1, len(l) - 2) : len(l)])) AS line FROM p),
 b AS (SELECT document_id, greatest(3, floor(count(*) * 0.4 + 0.999)) AS bound FROM p GROUP BY document_id)
 SELECT document_id, line, count(*) AS times FROM e JOIN b USING (document_id) WHERE length(line) BETWEEN 2 AND 100 AND NOT regexp_matches(line, '^(?:第\s*)?[-—–]?\s*[0-9]{{1,4}}\s*(?:页|/\s*[0-9]{{1,4}})?\s*[-—–]?$') GROUP BY document_id, line, bound HAVING count(*) >= bound""",
+    "page_line_blocks": rf"""
+WITH RECURSIVE {OUTLINES},
+raw AS (
+  SELECT conv_id AS d, turn AS p, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM conversations
+  UNION ALL SELECT CAST(floor((doc_id + 1) / 3.0) AS BIGINT) - 1, (-(doc_id + 1)) % 3, line, pos FROM outlines WHERE doc_id < 0),
+said AS (SELECT d, p, no, {squeezed("line")} AS line FROM raw WHERE {squeezed("line")} <> ''),
+whole AS (SELECT d, p, list(line ORDER BY no) AS l FROM said GROUP BY d, p),
+ends AS (SELECT d, unnest(list_concat(l[1:3], l[greatest(1, len(l) - 2) : len(l)])) AS line FROM whole),
+bound AS (SELECT d, greatest(3, floor(count(*) * 0.4 + 0.999)) AS most FROM whole GROUP BY d),
+again AS (SELECT d, line FROM ends JOIN bound USING (d) WHERE length(line) BETWEEN 2 AND 100 AND NOT regexp_matches(line, '{_NUMBER}') GROUP BY d, line, most HAVING count(*) >= most),
+k AS (SELECT d, p, line, row_number() OVER (PARTITION BY d, p ORDER BY no) AS k, {HEADING} AS alone FROM said ANTI JOIN again USING (d, line) WHERE NOT regexp_matches(line, '{_NUMBER}')),
+f AS (
+  SELECT d, p, k, line, alone, 1 AS n, length(line) + 1 AS size FROM k WHERE k = 1
+  UNION ALL
+  SELECT k.d, k.p, k.k, k.line, k.alone, f.n + CASE WHEN k.alone OR {_ENDED} THEN 1 ELSE 0 END, CASE WHEN k.alone OR {_ENDED} THEN 0 ELSE f.size END + length(k.line) + 1 FROM f JOIN k ON k.d = f.d AND k.p = f.p AND k.k = f.k + 1),
+b AS (SELECT d, p, n, bool_or(alone) AS alone, string_agg(line, ' ' ORDER BY k) AS text, row_number() OVER (PARTITION BY d ORDER BY p, n) - 1 AS pos FROM f GROUP BY d, p, n),
+t AS (SELECT *, CASE WHEN alone THEN CASE WHEN length(text) <= 35 THEN 1 ELSE 2 END END AS level FROM b),
+heads AS (SELECT d, list(text ORDER BY pos) AS t, list(level ORDER BY pos) AS l FROM t WHERE alone GROUP BY d),
+fold AS (SELECT d, t, l, 0 AS i, CAST([] AS VARCHAR[]) AS path FROM heads UNION ALL SELECT d, t, l, i + 1, list_append(path[1 : l[i + 1] - 1], t[i + 1]) FROM fold WHERE i < len(t)),
+c AS (SELECT *, count(level) OVER (PARTITION BY d ORDER BY pos) AS nth FROM t)
+SELECT c.d AS document_id, CAST(pos AS INTEGER) AS pos, CASE WHEN alone THEN 'heading' ELSE 'paragraph' END AS kind, CAST(p AS INTEGER) AS page, coalesce(array_to_string(path, ' > '), '') AS path, sha256(text) AS sha256
+FROM c LEFT JOIN fold ON fold.d = c.d AND fold.i = c.nth""",
     "text_blocks": f"SELECT doc_id, 0 AS pos, 'paragraph' AS kind, sha256(t) AS sha256 FROM (SELECT doc_id, {squeezed(MARKDOWN)} AS t FROM documents) WHERE t <> ''",
     "assembled_spans": f"""
 WITH {LINES}, l AS (SELECT doc_id, pos, length(line) AS n FROM lines WHERE length(line) > 0),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,15 +14,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleaner import cli
 from conftest import SF
+from gleaner import cli
 from gleaner.config import AnswerConfig, ChunkConfig
 from gleaner.functions import pytext, text as tx
 from gleaner.operators import answer, binding, chunking, fusion, metrics
 from gleaner.operators.dense import HashingEncoder, cached_embeddings, dense_search
 from gleaner.operators.excerpt import excerpt, terms_of
 from gleaner.operators.lexical import bm25_search, build_index
-from gleaner.plans import catalog
+from gleaner.plans import catalog, ingest
 from gleaner.plans.ingest import build
 from gleaner.plans.retrieval import MODES, Retriever, evaluate, validated
 from gleaner.sinks import package, writers
@@ -164,10 +166,64 @@ def test_markdown_blocks():
     ]
 
 
-def test_page_blocks_drop_repeated_lines_and_page_numbers(spark):
-    docs = spark.createDataFrame([("d", [["Head", "第一章 总则", "text one", "- 1 -"], ["Head", "text two."]], ["Head"])], "document_id string, pages array<array<string>>, repeated array<string>")
-    rows = pages.page_blocks(docs).orderBy("pos").collect()
-    assert [(r.kind, r.page, r.text) for r in rows] == [("heading", 1, "第一章总则"), ("paragraph", 1, "text one"), ("paragraph", 2, "text two.")]
+def plain_line_blocks(document):
+    """The blocks of a document (a list of pages of lines), line by line."""
+    texts = [[t for t in map(pytext.clean_block, page) if t] for page in document]
+    edges = Counter(t for page in texts for t in page[:3] + (page[-3:] if len(page) >= 3 else page) if 2 <= len(t) <= 100 and not pytext.is_page_number(t))
+    most = max(3, int(0.4 * sum(map(bool, texts)) + 0.999))
+    out, path = [], []
+    for number, page in enumerate(texts, 1):
+        held = []
+
+        def done():
+            if held:
+                out.append(("paragraph", number, list(path), pytext.clean_block(" ".join(held))))
+                held.clear()
+
+        for t in page:
+            if edges[t] >= most or pytext.is_page_number(t):
+                continue
+            if pytext.is_heading(t):
+                done()
+                path = [*path[: 0 if len(t) <= 35 else 1], t]
+                out.append(("heading", number, list(path), t))
+                continue
+            held.append(t)
+            if sum(len(x) + 1 for x in held) > 240 and t[-1] in "。！？.!?；;：:":
+                done()
+        done()
+    return [(i, *b) for i, b in enumerate(out)]
+
+
+def test_line_blocks_are_a_plain_loop(spark):
+    rnd = random.Random(6)
+    choice = ["Head", "第一章 总则", "CHAPTER 2 " + "A LONG TITLE " * 3, "- 1 -", "12", "text one", "some words that end here.", "long " * 30, "long words end. " * 9, "", " ", "中文，没有", "Part B", "x"]
+    documents = [[[rnd.choice(choice) for _ in range(rnd.randrange(14))] for _ in range(rnd.randrange(7))] for _ in range(40)]
+    rows = [(d, p, n, line, "clash") for d, document in enumerate(documents) for p, page in enumerate(document, 1) for n, line in enumerate(page)]
+    rows += [(None, 1, 0, "a line without a document", "x"), (3, None, 0, "a line without a page", "x"), (3, 1, 99, None, "x")]
+    table = spark.createDataFrame(rows, "document_id int, page int, no int, line string, block string").repartition(5)
+    got = {}
+    for r in pages.line_blocks(table).orderBy("document_id", "pos").collect():
+        got.setdefault(r.document_id, []).append((r.pos, r.kind, r.page, r.section_path, r.text))
+    assert got.pop(None) == [(0, "paragraph", 1, [], "a line without a document")]
+    assert {d: got.get(d, []) for d in range(40)} == {d: plain_line_blocks(document) for d, document in enumerate(documents)}
+    assert pages.line_blocks(table.limit(0)).count() == 0
+
+
+def test_pdf_goes_through_a_reader_or_is_an_error(spark):
+    class Reader:
+        def pages(self, body):
+            if body == b"bad":
+                raise ValueError("broken file")
+            return [[line for line in page.split("\n")] for page in body.decode().split("\f")]
+
+    bodies = {"a": b"Part One\n" + b"A sentence of the first page. " * 5 + b"\f" + b"Part Two\n" + b"More words on this page. " * 5, "b": b"bad", "c": b"x\fy"}
+    rows = spark.createDataFrame([(k, "s", "t", f"{k}.pdf", None, "pdf", v) for k, v in bodies.items()], "document_id string, source_id string, title string, raw_path string, member_path string, suffix string, content binary")
+    good, other = ingest.documents_of(rows, Reader())
+    found = good.first()
+    assert good.count() == 1 and found.document_id == "a" and [tuple(s.section_path) for s in found.spans] == [("Part One",), ("Part One",), ("Part Two",), ("Part Two",)] and found.spans[2].page == 2
+    assert {r.document_id: (r.error, len(r.warnings)) for r in other.collect()} == {"b": ("ValueError: broken file", 0), "c": ("text too short: 4 characters", 1)}
+    assert {r.error for r in ingest.documents_of(rows)[1].collect()} == {"no page reader for pdf"}
 
 
 def test_manifest_rules_selection_and_plan(spark):
@@ -209,7 +265,9 @@ def test_raw_files_to_chunks(spark, tmp_path):
         z.writestr("../evil.md", "no")
     (folder / "c.zip").write_bytes(body.getvalue())
     rows = files.raw_files(spark, str(tmp_path / "raw"), spark.createDataFrame([("src", "T", ["in/*"])], "id string, title string, include_members array<string>"))
-    made = build(rows, ChunkConfig(300, 50, 100)).collect()
+    chunks, rejected = build(rows, ChunkConfig(300, 50, 100))
+    made = chunks.collect()
+    assert rejected.count() == 0
     assert {r.member_path for r in made} == {None, "in/b.html"} and all(r.chunk_id.startswith("chk_") for r in made)
     assert {tuple(r.section_path) for r in made if r.member_path is None} == {("Title",)}
 

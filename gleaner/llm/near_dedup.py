@@ -10,7 +10,7 @@
    verified on the full sets, and verified links merge components. Only pairs between different
    components are ever tried, so a group of near copies costs a few pairs per member.
 4. After the star rounds, what can still link is a member outside its bucket's largest component,
-   with any member of another component. Such members are compared with whole blocks of those
+   with any member of another component. Such members are compared with whole blocks of lots of those
    components by an index on the block's shingles, so no link is lost and no list of pairs is made.
 5. Before pairs are made, each document's *common* shingles are counted, those that any other candidate holds.
    Two sets share no more than either's common count, so copies edited too much to link with anything
@@ -138,28 +138,43 @@ def _pairs_of_centres(live: DataFrame, turn: int, most: int, percent: int) -> Da
 SUPER, SUB = 8192, 128
 
 
+def _lots(live: DataFrame) -> DataFrame:
+    """(comp, lot): components of SUB members or more are lots themselves, smaller ones share a lot of about SUB members with those of the same largest bucket.
+
+    Where many look alike and few link, nearly all are components of their own: lots keep the table of who meets whom in proportion to the members.
+    """
+    held = live.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    own = live.select("key", "id", "comp").join(held, "key").groupBy("comp").agg(F.countDistinct("id").alias("n"), F.max(F.struct("held", "key")).alias("largest"))
+    small = own.filter(F.col("n") < SUB).select("comp", "n", F.col("largest.key").alias("key"))
+    pools = small.groupBy("key").agg(F.ceil(F.sum("n") / SUB).alias("lots"))
+    pooled = small.join(pools, "key").select("comp", F.xxhash64("key", F.pmod(F.xxhash64("comp"), F.col("lots"))).alias("lot"))
+    return pooled.unionByName(own.filter(F.col("n") >= SUB).select("comp", F.col("comp").alias("lot")))
+
+
 def _blocks_left(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """((a, comp, part, chunk), (id, comp, part, chunk)): members outside their bucket's largest component, against blocks of other components.
+    """((a, lot, part, chunk), (id, lot, part, chunk)): members outside their bucket's largest component, against blocks of lots of components.
 
-    A component's members fall into blocks of about SUB by hash. A member meets every block that has one of
-    its buckets and may hold a link. Members that meet one block are dealt to chunks of about SUB too.
+    A lot's members fall into blocks of about SUB by hash. A member meets every block of a lot that has, in one of its buckets, a member of
+    another component and may hold a link; of two lots that meet, the one with the larger number asks. Members that meet one block are dealt to chunks of about SUB too.
     """
-    members = live.select("id", "comp").distinct()
-    one = live.drop("comp")
+    members = live.select("id", "comp").distinct().join(_lots(live), "comp")
     most = SUPER // SUB
-    supers = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / SUPER).alias("supers"), F.least(F.lit(most), F.ceil(F.count(F.lit(1)) / SUB)).alias("parts"))
-    live = one.join(members.join(supers, "comp"), "id").withColumn("super", F.pmod(F.xxhash64("id"), F.col("supers")))
-    by_comp = live.groupBy("key", "comp", "super", "parts").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("greatest"), F.max("common").alias("common"))
-    top = by_comp.groupBy("key", "comp").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("comp"))).alias("top")).select("key", (-F.col("top.comp")).alias("top"))
-    minor = live.join(top, "key").filter("comp <> top").select("key", "top", *(F.col(c).alias(f"a_{c}") for c in ("id", "comp", "size", "common")))
+    supers = members.groupBy("lot").agg(F.ceil(F.count(F.lit(1)) / SUPER).alias("supers"), F.least(F.lit(most), F.ceil(F.count(F.lit(1)) / SUB)).alias("parts"))
+    members = members.join(supers, "lot")
+    live = live.drop("comp").join(members, "id").withColumn("super", F.pmod(F.xxhash64("id"), F.col("supers")))
+    by_lot = live.groupBy("key", "lot", "super", "parts").agg(F.min("comp").alias("from_comp"), F.max("comp").alias("to_comp"), F.min("size").alias("least"), F.max("size").alias("greatest"), F.max("common").alias("common"))
+    top = live.groupBy("key", "comp", "lot").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("comp"), "lot")).alias("top"))
+    top = top.select("key", (-F.col("top.comp")).alias("top"), F.col("top.lot").alias("top_lot"))
+    minor = live.join(top, "key").filter("comp <> top").select("key", "top_lot", *(F.col(c).alias(f"a_{c}") for c in ("id", "comp", "lot", "size", "common")))
     # bounds that hold if any member of the block may link
     may = (100 * F.col("greatest") >= percent * F.col("a_size")) & (100 * F.col("a_size") >= percent * F.col("least")) & ((100 + percent) * F.least("common", "a_common") >= percent * (F.col("least") + F.col("a_size")))
-    met = by_comp.join(minor, "key").filter("comp <> a_comp AND (comp = top OR comp < a_comp)").filter(may).select(F.col("a_id").alias("a"), "comp", "super", "parts").distinct()
-    met = met.select("a", "comp", F.explode(F.sequence(F.col("super") * most, F.col("super") * most + F.col("parts") - 1)).alias("part"))
-    chunks = met.groupBy("comp", "part").agg(F.ceil(F.count(F.lit(1)) / SUB).alias("chunks"))
-    left = met.join(chunks, ["comp", "part"]).select("a", "comp", "part", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"))
-    members = members.join(supers, "comp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("supers")) * most + F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.col("parts")))
-    right = members.join(chunks, ["comp", "part"]).select("id", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    asks = F.expr("(lot = top_lot OR lot <= a_lot) AND NOT (from_comp = a_comp AND to_comp = a_comp)")
+    met = by_lot.join(minor, "key").filter(asks).filter(may).select(F.col("a_id").alias("a"), "lot", "super", "parts").distinct()
+    met = met.select("a", "lot", F.explode(F.sequence(F.col("super") * most, F.col("super") * most + F.col("parts") - 1)).alias("part"))
+    chunks = met.groupBy("lot", "part").agg(F.ceil(F.count(F.lit(1)) / SUB).alias("chunks"))
+    left = met.join(chunks, ["lot", "part"]).select("a", "lot", "part", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"))
+    members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("supers")) * most + F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.col("parts")))
+    right = members.join(chunks, ["lot", "part"]).select("id", "lot", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     return left, right
 
 
@@ -238,7 +253,7 @@ def near_links(docs: DataFrame, classes: DataFrame, reps: DataFrame, words: int,
     left, right = _blocks_left(live, percent)
     left = kept(left.join(texts.select(F.col("id").alias("a"), "text"), "a"), "near-left")
     right = kept(right.join(texts, "id"), "near-right")
-    place = ["comp", "part", "chunk"]
+    place = ["lot", "part", "chunk"]
     found = kept(left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(_verify_blocks(words, percent), "a long, b long"), "near-links")
     comp = components(links.unionByName(found), "near-components")
     done_with(*made)

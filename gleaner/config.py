@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
+
+import yaml
 
 
 @dataclass(frozen=True)
@@ -67,3 +69,17 @@ class Config:
     chunks: ChunkConfig = field(default_factory=ChunkConfig)
     answer: AnswerConfig = field(default_factory=AnswerConfig)
     evaluation: EvaluationConfig = field(default_factory=EvaluationConfig)
+
+    @staticmethod
+    def read(path: str) -> Config:
+        """Settings from a YAML file of sections (retrieval, bm25, chunks, generation, evaluation); what it leaves out keeps its default."""
+        with open(path, encoding="utf-8") as f:
+            found = yaml.safe_load(f) or {}
+        if not isinstance(found, dict):
+            raise ValueError(f"{path} must hold sections")
+        parts = {}
+        for name, kind in (("retrieval", RetrievalConfig), ("bm25", Bm25Config), ("chunks", ChunkConfig), ("generation", AnswerConfig), ("evaluation", EvaluationConfig)):
+            known = {f.name for f in fields(kind)}
+            own = {k: tuple(v) if isinstance(v, list) else v for k, v in (found.get(name) or {}).items() if k in known}
+            parts["answer" if name == "generation" else name] = kind(**own)
+        return Config(**parts)

@@ -12,11 +12,12 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleaner.operators.topk import top_k
-from gleaner.session import ship
+from gleaner.session import cut, ship
 
 
 class Encoder(Protocol):
@@ -80,6 +81,39 @@ def cached_embeddings(chunks: DataFrame, encoder: Encoder, folder: str, revision
     return spark.read.parquet(path)
 
 
+KEPT = "chunk_id {kind}, content_sha256 string, model string, embedding array<float>, bucket int"
+
+
+def refreshed_embeddings(chunks: DataFrame, encoder: Encoder, folder: str, revision: str = "main", buckets: int = 64) -> tuple[DataFrame, int]:
+    """(embeddings of ``chunks``: chunk_id, embedding; how many were encoded now). ``chunks``: chunk_id, title, text, content_sha256.
+
+    ``folder`` holds a table in folders by the hash of chunk_id. Only chunks whose id, content and model it doesn't hold are encoded, and only folders that gain
+    or lose a chunk are written again (dynamic partition overwrite), so a run that breaks off is finished by the next one.
+    """
+    spark, kind = chunks.sparkSession, dict(chunks.dtypes)["chunk_id"]
+    model, same = f"{encoder.name}@{revision}", ["chunk_id", "content_sha256"]
+    path = f"{folder}/embeddings"
+    try:
+        there = spark.read.schema(KEPT.format(kind=kind)).parquet(path).filter(F.col("model") == model)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        there = spark.createDataFrame([], KEPT.format(kind=kind))
+    wanted = chunks.select(*same, F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    new = chunks.join(there.select(*same), same, "left_anti")
+    fresh, seen = encode(passage(new), encoder, "chunk_id", "passage", encoder.passage_prefix), Observation()
+    fresh = cut(fresh.observe(seen, F.count(F.lit(1)).alias("n")).join(wanted, "chunk_id").withColumn("model", F.lit(model)), "fresh-embeddings")
+    gone = there.join(wanted, same, "left_anti").select("bucket")
+    touched = [r.bucket for r in fresh.select("bucket").union(gone).distinct().collect()]  # ``buckets`` at most
+    if touched:
+        stays = there.filter(F.col("bucket").isin(touched)).join(wanted.select(*same), same, "left_semi")
+        columns = [*same, "model", "embedding", "bucket"]
+        rows = cut(stays.select(*columns).unionByName(fresh.select(*columns)), "embeddings")  # what is read from the folders is not what is overwritten there
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    found = spark.read.schema(KEPT.format(kind=kind)).parquet(path).filter(F.col("model") == model)
+    return found.join(wanted.select(*same), same, "left_semi").select("chunk_id", "embedding"), seen.get["n"]
+
+
 def dense_search(embeddings: DataFrame, queries: DataFrame, k: int, most_queries: int = 16_384) -> DataFrame:
     """query_id, chunk_id, score, rank, stage of the ``k`` largest dot products of each query.
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import platform
 import time
+from datetime import UTC, datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.config import Config
+from gleaner.config import Config, EvaluationConfig
 from gleaner.operators import metrics
 from gleaner.operators.dense import Encoder, HashingEncoder, dense_search, encode, passage
 from gleaner.operators.fusion import PairScorer, fuse, rerank
 from gleaner.operators.lexical import Bm25Index, bm25_search, build_index
 from gleaner.operators.topk import with_payload
-from gleaner.session import cut
+from gleaner.session import cut, union_all
 
 MODES = ("bm25", "dense", "hybrid", "rerank")
 
@@ -72,30 +74,81 @@ class Retriever:
             return fused.filter(F.col("rank") <= k)
         return rerank(fused.filter(F.col("rank") <= r.rerank_candidates), queries, self.chunks, k, self.scorer)
 
+    def timed(self, queries: DataFrame, mode: str, k: int) -> tuple[DataFrame, dict[str, float]]:
+        """``rank``, written stage by stage, and the seconds that each stage took for all queries together."""
+        r, seconds = self.config.retrieval, {}
+
+        def done(stage: str, rows: DataFrame) -> DataFrame:
+            began = time.perf_counter()
+            rows = cut(rows, f"evaluation-{stage}")
+            seconds[stage] = time.perf_counter() - began
+            return rows
+
+        wide = mode in ("hybrid", "rerank")
+        parts = []
+        if mode != "dense":
+            parts.append(done("bm25", bm25_search(self.lexical, queries, r.candidate_k if wide else k)))
+        if mode != "bm25":
+            asked = encode(queries, self.encoder, "query_id", "query", self.encoder.query_prefix)
+            parts.append(done("dense", dense_search(self.embeddings, asked, r.candidate_k if wide else k)))
+        found = parts[0]
+        if wide:
+            found = done("fusion", fuse(parts, r.hybrid_top_k, r.rrf_k))
+        if mode == "rerank":
+            found = done("rerank", rerank(found.filter(F.col("rank") <= r.rerank_candidates), queries, self.chunks, k, self.scorer))
+        return found.filter(F.col("rank") <= k), seconds
+
     def search(self, queries: DataFrame, mode: str = "hybrid", k: int | None = None) -> DataFrame:
         """``rank`` with the chunks' columns."""
         return with_payload(self.rank(queries, mode, k), self.chunks)
 
 
+def details(ranking: DataFrame, questions: DataFrame, chunks: DataFrame, config: EvaluationConfig) -> DataFrame:
+    """mode, query_id, language, the metrics, relevant and retrieved chunk ids, and the source of the first result.
+
+    ``ranking``: mode, query_id, chunk_id, rank; ``questions``: query_id, language, relevant_chunk_ids.
+    """
+    relevant = questions.select("query_id", F.explode("relevant_chunk_ids").alias("chunk_id"))
+    measured = metrics.per_query(ranking, relevant, config, ("mode",))
+    lists = ranking.groupBy("mode", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda r: r["chunk_id"]).alias("retrieved_chunk_ids"))  # as deep as a ranking is
+    first = ranking.filter("rank = 1").join(chunks.select("chunk_id", F.col("source_id").alias("first_result_source_id")), "chunk_id").drop("rank", "chunk_id")
+    rows = measured.join(lists, ["mode", "query_id"]).join(first, ["mode", "query_id"], "left")
+    return rows.join(questions.select("query_id", "language", "relevant_chunk_ids"), "query_id")
+
+
 def evaluate(retriever: Retriever, queries: DataFrame, relevant: DataFrame, modes: tuple[str, ...] = MODES) -> tuple[dict, DataFrame]:
-    """(report, per-query metrics). A mode is one job over all queries; its seconds are divided by their number.
+    """(report, details of every query and mode). A mode is a batch over all queries, stage by stage; a stage's seconds are divided by their number.
 
     ``queries``: query_id, query, language; ``relevant``: query_id, chunk_id.
     """
     config = retriever.config.evaluation
     names = metrics.metric_names(config)
-    n = queries.count()
-    report, all_rows = {"query_count": n, "chunk_count": retriever.chunks.count(), "source_count": retriever.chunks.select("source_id").distinct().count(), "modes": {}}, None
+    lists = relevant.groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant_chunk_ids"))
+    asked = queries.select("query_id", "query", "language").join(lists, "query_id", "left").withColumn("relevant_chunk_ids", F.coalesce("relevant_chunk_ids", F.array().cast(f"array<{dict(relevant.dtypes)['chunk_id']}>")))
+    spoken = {r.language: r.n for r in queries.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(spoken.values())
+    corpus = retriever.chunks.agg(F.count(F.lit(1)), F.countDistinct("source_id")).first()
+    report = {
+        "generated_at": datetime.now(UTC).isoformat(),
+        "corpus": {"chunk_count": corpus[0], "source_count": corpus[1]},
+        "evaluation_set": {"query_count": n, "languages": spoken},
+        "models": {"embedding": retriever.encoder.name, "reranker": getattr(retriever.scorer, "name", "lexical-standin")},
+        "environment": {"python": platform.python_version(), "platform": platform.platform(), "spark": queries.sparkSession.version},
+        "modes": {},
+        "notes": ["A mode is timed as one batch over all queries; latencies are seconds of a stage divided by the number of queries, index and embeddings not included."],
+    }
+    found = []
     for mode in modes:
-        setup, began = retriever.prepare(mode), time.perf_counter()
-        ranking = retriever.rank(queries.select("query_id", "query"), mode, config.deepest).select("query_id", "chunk_id", "rank").persist()
-        ranking.count()
-        seconds = time.perf_counter() - began
-        rows = metrics.per_query(ranking, relevant, config).join(queries.select("query_id", "language"), "query_id").withColumn("mode", F.lit(mode))
-        all_rows = rows if all_rows is None else all_rows.unionByName(rows)
-        summary = metrics.summarize_levels(rows, names).collect()  # a row for each language and one more
-        report["modes"][mode] = {
-            "setup_seconds": setup, "seconds": seconds, "seconds_per_query": seconds / max(n, 1),
-            "metrics": {c: r[c] for r in summary if r["level"] == 1 for c in names}, "by_language": {r["language"]: {c: r[c] for c in names} for r in summary if r["level"] == 0},
-        }
-    return report, all_rows
+        setup = retriever.prepare(mode)
+        ranking, seconds = retriever.timed(queries.select("query_id", "query"), mode, config.deepest)
+        found.append(ranking.select(F.lit(mode).alias("mode"), "query_id", "chunk_id", "rank"))
+        per_query = {stage: 1000 * s / max(n, 1) for stage, s in seconds.items()}
+        report["modes"][mode] = {"setup_seconds": setup, "seconds": sum(seconds.values()), "latency_ms": sum(per_query.values()), "stage_latency_ms": per_query}
+    rows = cut(details(union_all(found), asked, retriever.chunks, config), "evaluation-details")
+    for r in metrics.summarize_levels(rows, names).collect():  # a row for each mode and language, and one more a mode
+        own = report["modes"][r["mode"]]
+        if r["level"] == 1:
+            own["metrics"] = {c: r[c] for c in names}
+        else:
+            own.setdefault("by_language", {})[r["language"]] = {c: r[c] for c in names}
+    return report, rows

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,16 +18,46 @@ SUFFIXES = ("pdf", "html", "htm", "zip", "md", "txt")
 MOST_MEMBERS, MOST_MEMBER_BYTES = 100, 30 << 20
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines with a given schema; empty lines are skipped, a broken one is an error that shows it."""
+def _parsed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """value, file, start (of the split in its file), row, r: every line that is not blank with what it parses to; ``r._broken`` is null if it parses."""
     full = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).add("_broken", "string")
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    rows = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
-    broken = F.col("r").isNull() | F.col("r._broken").isNotNull()
-    ok = F.when(broken, F.raise_error(F.concat(F.lit(f"invalid JSON in {path}: "), "value"))).otherwise(F.lit("ok")).cast("string")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return lines.withColumn("r", F.when(F.length(F.trim("value")) > 0, F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})))
+
+
+def _is_broken() -> Column:
+    return (F.length(F.trim("value")) > 0) & (F.col("r").isNull() | F.col("r._broken").isNotNull())
+
+
+def broken_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """(file, line, value) of every line that is no JSON of the schema; lines are numbered from 1 in their file.
+
+    A file is read in splits by many tasks: a line's number is its place in its split and the lines of all splits before it,
+    whose counts are one row a split.
+    """
+    lines = _parsed(spark, path, schema)
+    splits = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bad = lines.filter(_is_broken()).select("file", "start", "row", "value")
+    return bad.join(placed, ["file", "start"]).select("file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line"), "value")
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """JSON lines with a given schema; empty lines are skipped, a broken one is an error that shows it when the rows are read."""
+    rows = _parsed(spark, path, schema).filter(F.length(F.trim("value")) > 0)
+    ok = F.when(_is_broken(), F.raise_error(F.concat(F.lit("invalid JSON in "), "file", F.lit(": "), "value"))).otherwise(F.lit("ok")).cast("string")
     return rows.filter(ok == "ok").select("r.*").drop("_broken")
 
 
+def checked_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """``read_json_lines``, checked now: a broken line is a ValueError that begins with file:line of the first one."""
+    first = broken_lines(spark, path, schema).orderBy("file", "line").first()
+    if first:
+        raise ValueError(f"{first.file}:{first.line}: invalid JSON: {first.value[:200]}")
+    return read_json_lines(spark, path, schema)
+
+
 def raw_files(spark: SparkSession, root: str, sources: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(group, source_id, path, name, suffix, content): supported files below root/group/source of manifest sources.
 

@@ -25,7 +25,7 @@ from gleaner.config import EvaluationConfig
 from gleaner.operators import binding, metrics
 from gleaner.operators.fusion import rerank
 from gleaner.operators.lexical import bm25_search, build_index
-from gleaner.plans.retrieval import validated
+from gleaner.plans.retrieval import details, validated
 from gleaner.session import cut, ship
 from jobs.common import HERE, logger, read_config
 
@@ -65,16 +65,6 @@ def ranked(chunks: DataFrame, questions: DataFrame, modes: list[str], depth: int
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
-def scored(ranking: DataFrame, bound: DataFrame, chunks: DataFrame, config: EvaluationConfig) -> DataFrame:
-    """mode, language, query_id, the metrics, and what they were made of."""
-    relevant = bound.select("query_id", F.explode("relevant_chunk_ids").alias("chunk_id"))
-    measured = metrics.per_query(ranking, relevant, config, ("mode",))
-    lists = ranking.groupBy("mode", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda r: r["chunk_id"]).alias("retrieved_chunk_ids"))
-    first = ranking.filter("rank = 1").join(chunks.select("chunk_id", F.col("source_id").alias("first_result_source_id")), "chunk_id").drop("rank", "chunk_id")
-    rows = measured.join(lists, ["mode", "query_id"]).join(first, ["mode", "query_id"], "left")
-    return rows.join(bound.select("query_id", "language", "relevant_chunk_ids"), "query_id")
-
-
 def run(spark: SparkSession, corpus: str, questions: str, output: str, config: dict | None = None) -> dict:
     """Evaluate, and return the counts that are logged."""
     config = config or read_config(DEFAULT_CONFIG)
@@ -96,9 +86,9 @@ def run(spark: SparkSession, corpus: str, questions: str, output: str, config: d
     bound = everyone.filter("status = 'bound'")
     settings = EvaluationConfig(tuple(e["recall_k"]), e["mrr_k"], e["ndcg_k"])
     ranking = ranked(chunks, bound.select("query_id", "query"), e["modes"], settings.deepest, e["candidates"])
-    details, counted = scored(ranking, bound, chunks, settings), Observation()
-    to(details.observe(counted, F.count(F.lit(1)).alias("rows")), "details", "mode", "language")
-    done = spark.read.schema(details.schema).parquet(f"{output}/details")
+    rows, counted = details(ranking, bound, chunks, settings), Observation()
+    to(rows.observe(counted, F.count(F.lit(1)).alias("rows")), "details", "mode", "language")
+    done = spark.read.schema(rows.schema).parquet(f"{output}/details")
     to(metrics.summarize_levels(done, metrics.metric_names(settings)), "summary", "mode")
     counts = {"questions": seen.get["read"], "unusable": seen.get["read"] - seen.get["usable"], "bound": bound.count(), "details": counted.get["rows"]}
     log.info("read %(questions)d questions (%(unusable)d unusable), bound %(bound)d, wrote %(details)d details", counts)

@@ -19,7 +19,7 @@ from gleaner import cli
 from gleaner.config import AnswerConfig, ChunkConfig
 from gleaner.functions import pytext, text as tx
 from gleaner.operators import answer, binding, chunking, fusion, metrics
-from gleaner.operators.dense import HashingEncoder, cached_embeddings, dense_search
+from gleaner.operators.dense import HashingEncoder, cached_embeddings, dense_search, refreshed_embeddings
 from gleaner.operators.excerpt import excerpt, terms_of
 from gleaner.operators.lexical import bm25_search, build_index
 from gleaner.plans import catalog, ingest
@@ -280,6 +280,46 @@ def test_json_lines(spark, tmp_path):
         files.read_json_lines(spark, str(tmp_path / "b.jsonl"), "a int").collect()
 
 
+def test_broken_lines_are_named_by_file_and_line(spark, tmp_path):
+    """Files of several splits; lines of one and of many bytes, empty ones counted."""
+    rnd, want = random.Random(1), []
+    for name in ("a", "b"):
+        lines = ['{"a": %d, "t": "%s"}' % (i, "x" * rnd.randrange(200)) for i in range(3000)]
+        for i in rnd.sample(range(3000), 5):
+            lines[i] = "{broken %d" % i
+            want.append((f"{name}.jsonl", i + 1))
+        for i in rnd.sample(range(3000), 50):
+            lines[i] = lines[i] if "broken" in lines[i] else rnd.choice(["", "  "])
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        bad = files.broken_lines(spark, str(tmp_path), "a int, t string")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        assert sorted((r.file.rsplit("/", 1)[1], r.line) for r in bad.collect()) == sorted(want)
+        with pytest.raises(ValueError, match=rf"a\.jsonl:{min(n for f, n in want if f[0] == 'a')}: invalid JSON"):
+            files.checked_json_lines(spark, str(tmp_path), "a int, t string")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_embeddings_are_made_for_what_changed(spark, chunks, tmp_path):
+    encoder, folder = HashingEncoder(), str(tmp_path / "e")
+    rows = lambda df: sorted((r.chunk_id, tuple(r.embedding)) for r in df.collect())
+    made, n = refreshed_embeddings(chunks, encoder, folder, buckets=4)
+    assert n == 3 and len(rows(made)) == 3
+    again, n = refreshed_embeddings(chunks, encoder, folder, buckets=4)
+    assert n == 0 and rows(again) == rows(made)
+    changed = chunks.withColumn("text", F.when(F.col("chunk_id") == "c2", "A new text.").otherwise(F.col("text"))).withColumn("content_sha256", F.sha2(F.encode("text", "UTF-8"), 256))
+    now, n = refreshed_embeddings(changed, encoder, folder, buckets=4)
+    old, new = dict(rows(made)), dict(rows(now))
+    assert n == 1 and new["c2"] != old["c2"] and (new["c1"], new["c3"]) == (old["c1"], old["c3"])
+    left, n = refreshed_embeddings(changed.filter("chunk_id <> 'c1'"), encoder, folder, buckets=4)
+    assert n == 0 and [r[0] for r in rows(left)] == ["c2", "c3"]
+
+
 def test_dense_search_and_cache(spark, chunks, tmp_path):
     encoder = HashingEncoder()
     made = cached_embeddings(chunks, encoder, str(tmp_path))
@@ -296,6 +336,10 @@ def test_modes_and_evaluation(spark, chunks):
     report, rows = evaluate(retriever, queries, relevant)
     assert set(report["modes"]) == set(MODES) and report["modes"]["bm25"]["metrics"]["mrr_at_10"] == 1.0
     assert rows.count() == 2 * len(MODES)
+    assert report["evaluation_set"] == {"query_count": 2, "languages": {"zh": 1, "en": 1}} and report["models"]["embedding"] == "hashing-standin"
+    assert list(report["modes"]["rerank"]["stage_latency_ms"]) == ["bm25", "dense", "fusion", "rerank"] and set(report["modes"]["bm25"]["by_language"]) == {"zh", "en"}
+    first = rows.filter("mode = 'bm25' AND query_id = 1").first()
+    assert first.first_result_source_id == "s3" and first.relevant_chunk_ids == ["c3"] and first.retrieved_chunk_ids[0] == "c3"
     assert retriever.search(queries.select("query_id", "query"), "rerank", 2).count() == 4
     with pytest.raises(ValueError):
         retriever.rank(queries, "magic")
@@ -324,6 +368,16 @@ def test_cli(spark, chunks, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["--chunks", str(tmp_path / "c"), "search", "passenger flow", "--mode", "bm25", "--top-k", "1"]) == 0
     assert json.loads(capsys.readouterr().out)[0]["chunk_id"] == "c3"
+    (tmp_path / "c.jsonl").write_text("\n".join(json.dumps(dict(zip(("chunk_id", "document_id", "source_id", "title", "text", "page_start", "page_end", "section_path"), c, strict=True)), ensure_ascii=False) for c in CHUNKS))
+    (tmp_path / "q.jsonl").write_text('{"query_id": "q1", "query": "passenger flow", "language": "en", "relevant_chunk_ids": ["c3"]}\n')
+    (tmp_path / "c.yaml").write_text("evaluation:\n  recall_k: [1, 2]\n  mrr_k: 2\nmodels: {}\n")
+    own = ["--config", str(tmp_path / "c.yaml"), "--chunks", str(tmp_path / "c.jsonl")]
+    assert cli.main([*own, "evaluate", "--queries", str(tmp_path / "q.jsonl"), "--modes", "bm25", "--output", str(tmp_path / "report.json"), "--details", str(tmp_path / "details")]) == 0
+    assert json.loads((tmp_path / "report.json").read_text())["modes"]["bm25"]["metrics"] == {"recall_at_1": 1.0, "recall_at_2": 1.0, "hit_at_1": 1.0, "hit_at_2": 1.0, "mrr_at_2": 1.0, "ndcg_at_10": 1.0}
+    assert spark.read.json(str(tmp_path / "details")).first().retrieved_chunk_ids[0] == "c3"
+    (tmp_path / "c.jsonl").write_text("{}\n{oops\n")
+    capsys.readouterr()
+    assert cli.main([*own, "search", "x"]) == 2 and "c.jsonl:2: invalid JSON" in capsys.readouterr().err
     writers.write_report(tmp_path / "r.json", {"a": "é"})
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": "é"}
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import ChunkConfig
 from gleaner.functions.text import clean_block, stable_id
-from gleaner.session import ship
+from gleaner.session import ship, spread
 
 #: After these a chunk may end (fixed values of the chunk format).
 STOPS = ("\n\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ")
@@ -86,7 +86,7 @@ def chunk_offsets(documents: DataFrame, config: ChunkConfig = ChunkConfig(), id_
                     cols = [own, pa.array(range(len(found)), "int32"), *(pa.array([f[i] for f in found], "int32") for i in (0, 1)), pa.array([text[a:z] for a, z in found], "string")]
                     yield pa.RecordBatch.from_arrays(cols, [id_col, "chunk_index", "char_start", "char_end", "text"])
 
-    return documents.select(id_col, "text").mapInArrow(work, f"{id_col} {kind}, chunk_index int, char_start int, char_end int, text string")
+    return spread(documents.select(id_col, "text")).mapInArrow(work, f"{id_col} {kind}, chunk_index int, char_start int, char_end int, text string")
 
 
 def overlapping(spans: Column, start: Column, end: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.config import AnswerConfig, Config
-from gleaner.functions import text as tx
+from gleaner.functions import segment, text as tx
 from gleaner.functions import urls
 from gleaner.operators import answer, binding, chunking, fusion, metrics, topk
 from gleaner.operators.dense import dense_search
@@ -16,8 +16,9 @@ from gleaner.operators.excerpt import excerpt, terms_of
 from gleaner.operators.lexical import bm25_search, build_index
 from gleaner.plans import build, oracles
 from gleaner.plans.retrieval import repeated_ids
+from gleaner.session import spread
 from gleaner.sinks import package
-from gleaner.sources import html, manifest, markdown, pages
+from gleaner.sources import charset, html, manifest, markdown, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 HOSTS = ["thther.example.org", "m.therou.example.com", "therin.example.net"]
@@ -212,7 +213,7 @@ def strip_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:
-    words = _t(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    words = spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.tokens(F.col("text")).alias("w"))
     return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.sha2(F.encode(F.array_join("w", " "), "UTF-8"), 256).alias("sha256"))
 
 
@@ -221,6 +222,26 @@ def token_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def segmented_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' tokens without the blanks between them, parted again by a dictionary counted from all documents."""
+    rows = spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    dictionary = segment.counted_dictionary(rows.select(F.explode("w").alias("w")))
+    parted = segment.segmented(rows.select("doc_id", F.array_join("w", "").alias("run")), dictionary, "doc_id", "run")
+    return parted.select("doc_id", F.size("words").alias("n_words"), F.sha2(F.encode(F.array_join("words", " "), "UTF-8"), 256).alias("sha256"))
+
+
+@query
+def decoded_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written in one of four character sets that is not named: whether their text comes back."""
+    model = charset.learn_charsets(_t(spark, d, "documents"))
+    names = F.array(*map(F.lit, oracles.WRITTEN_IN))
+    pages_ = spread(_t(spark, d, "pages").select("page_id", "html")).select("page_id", "html", F.get(names, (F.col("page_id") % len(oracles.WRITTEN_IN)).cast("int")).alias("written_in"))
+    known = pages_.select("page_id", "written_in", charset.written(F.col("html"), F.col("written_in")).alias("body"))
+    found = charset.detected(known, model, "page_id", "body")
+    return known.join(found, "page_id").select("page_id", "written_in", (charset.read_as(F.col("body"), F.col("written_in")) == F.col("text")).alias("right"))
+
+
 @query
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", tx.stable_id("doc", F.concat_ws("::", "source", "doc_id")).alias("document_id"), tx.stable_id("chk", F.col("source"), F.col("doc_id"), F.col("text")).alias("chunk_id"))

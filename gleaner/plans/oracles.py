@@ -8,6 +8,7 @@ from gleaner.sources.manifest import KINDS
 MEMBERS = ["docs/a.html", "/etc/a.md", "a/../b.txt", "docs/img.png", "README.md", "x.PDF", "docs/sub/b.htm", "noext", "docs/.md"]
 GLOBS = ["", "docs/*.html", "*.md,docs/*", "?.PDF"]
 PATHS = ["README.md", "setup.py", "src/a/b.py", "src/a/__pycache__/b.pyc", "docs/x.part", "data/raw/open/a.pdf", "tests/data/raw/a.py", ".gitignore", "evaluation/q.yaml", "docs/.DS_Store"]
+WRITTEN_IN = ["utf-8", "cp1252", "cp850", "mac_roman"]
 RARE = ["zzzunknownzzz", "https", "password"]
 
 
@@ -216,6 +217,7 @@ UNION ALL SELECT pos, id, 'repeated' FROM (SELECT *, row_number() OVER (PARTITIO
     "strip_markdown": f"SELECT doc_id, sha256({squeezed(MARKDOWN)}) AS sha256 FROM documents",
     "tokenize_documents": f"SELECT doc_id, len(w) AS n_tokens, sha256(array_to_string(w, ' ')) AS sha256 FROM (SELECT doc_id, {tokens('text')} AS w FROM documents)",
     "token_frequencies": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS token FROM documents) GROUP BY token",
+    "decoded_pages": f"SELECT page_id, [{', '.join(map(_q, WRITTEN_IN))}][1 + page_id % {len(WRITTEN_IN)}] AS written_in, true AS right FROM pages",
     "stable_ids": "SELECT doc_id, 'doc_' || substr(sha1(source || '::' || doc_id), 1, 20) AS document_id, 'chk_' || substr(sha1(source || chr(31) || doc_id || chr(31) || text), 1, 20) AS chunk_id FROM documents",
     "heading_lines": f"WITH {OUTLINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, line, CASE WHEN length(line) <= 35 THEN 1 ELSE 2 END AS level FROM outlines WHERE {HEADING}",
     "section_paths": f"WITH RECURSIVE {end_paths('true', 'CAST(pos AS INTEGER) * 7 % 4 + 1')} SELECT doc_id, path FROM ends",

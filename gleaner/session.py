@@ -67,8 +67,11 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores if it comes from fewer files than there are cores.
 
-    Few files are few row groups, often one, and a row group is read by one task; many files fill the cores by themselves and stay as they are.
+    Few files are few row groups, often one, and a row group is read by one task; many files fill the cores by themselves and stay as they are,
+    and so does a stream.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 

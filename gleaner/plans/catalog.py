@@ -18,7 +18,7 @@ from gleaner.plans import build, oracles
 from gleaner.plans.retrieval import repeated_ids
 from gleaner.session import spread
 from gleaner.sinks import package
-from gleaner.sources import charset, html, manifest, markdown, pages
+from gleaner.sources import charset, fetch, html, manifest, markdown, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 HOSTS = ["thther.example.org", "m.therou.example.com", "therin.example.net"]
@@ -145,7 +145,10 @@ def page_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def content_receipts(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "pages").select("page_id", "url", F.octet_length("html").cast("long").alias("bytes"), F.sha2(F.encode("html", "UTF-8"), 256).alias("sha256"))
+    """The pages as if they had just been fetched."""
+    none = F.lit(None).cast("string")
+    got = _t(spark, d, "pages").select(F.col("page_id").alias("id"), "url", F.col("url").alias("final_url"), urls.safe_filename(F.col("url")).alias("filename"), none.alias("content_type"), F.encode("html", "UTF-8").alias("body"), none.alias("error"))
+    return fetch.receipts(got).select(F.col("id").alias("page_id"), "url", "bytes", "sha256")
 
 
 @query

@@ -13,6 +13,7 @@ from gleaner.functions.text import stable_id
 from gleaner.operators.chunking import assemble, chunk_documents, substantial
 from gleaner.session import arrow_udf, cut, union_all
 from gleaner.sources import html, markdown, pages
+from gleaner.sources.charset import CharsetModel
 from gleaner.sources.files import zip_members
 
 
@@ -27,14 +28,14 @@ def logical_files(files: DataFrame) -> DataFrame:
     return rows.withColumn("document_id", stable_id("doc", logical)).withColumn("content_sha256", F.sha2("content", 256))
 
 
-def documents_of(files: DataFrame, reader: pages.PageReader | None = None) -> tuple[DataFrame, DataFrame]:
+def documents_of(files: DataFrame, reader: pages.PageReader | None = None, charsets: CharsetModel | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with text, spans and warnings, the other files with their error).
 
-    HTML, Markdown and plain text are read here, PDF by ``reader``. A file without a reader for it, one that the reader fails on and one whose
+    HTML, Markdown and plain text are read here (in the character set that they name, in UTF-8, or as ``charsets`` finds), PDF by ``reader``. A file without a reader for it, one that the reader fails on and one whose
     text is too short are errors by name; pages with little text are a warning (``ocr_recommended``).
     """
-    from_html = files.filter(F.col("suffix").isin("html", "htm")).select("document_id", html_text("content").alias("html"))
-    from_text = files.filter(F.col("suffix").isin("md", "txt")).select("document_id", html_text("content").alias("text"))
+    from_html = files.filter(F.col("suffix").isin("html", "htm")).select("document_id", html_text("content", charsets).alias("html"))
+    from_text = files.filter(F.col("suffix").isin("md", "txt")).select("document_id", html_text("content", charsets).alias("text"))
     blocks = [html.page_blocks(from_html, "document_id", "html"), markdown.text_blocks(from_text)]
     paged = files.filter("suffix = 'pdf'").select("document_id", "content")
     if reader is None:
@@ -53,15 +54,16 @@ def documents_of(files: DataFrame, reader: pages.PageReader | None = None) -> tu
     return good.drop("failure"), short.withColumn("error", F.coalesce("failure", F.concat(F.lit("text too short: "), F.length("text"), F.lit(" characters")))).drop("failure", "text", "spans")
 
 
-def _decoded(bodies: pd.Series) -> pd.Series:
-    return bodies.map(lambda b: html.decode(bytes(b)), na_action="ignore")
+def html_text(body: str, charsets: CharsetModel | None = None) -> Column:
+    detect = None if charsets is None else charsets.detect
 
+    def decoded(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: html.decode(bytes(b), detect), na_action="ignore")
 
-def html_text(body: str) -> Column:
-    return arrow_udf(_decoded, StringType())(body)
+    return arrow_udf(decoded, StringType())(body)
 
 
-def build(files: DataFrame, config: ChunkConfig = ChunkConfig(), reader: pages.PageReader | None = None) -> tuple[DataFrame, DataFrame]:
+def build(files: DataFrame, config: ChunkConfig = ChunkConfig(), reader: pages.PageReader | None = None, charsets: CharsetModel | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, the files that gave none, with their error)."""
-    documents, rejected = documents_of(logical_files(files), reader)
+    documents, rejected = documents_of(logical_files(files), reader, charsets)
     return chunk_documents(documents, config), rejected

@@ -6,12 +6,14 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.urls import magic_ok, safe_filename, url_allowed
-from gleaner.session import cut, ship
+from gleaner.session import cut, ship, union_all
 from gleaner.sources.html import page_links
+from gleaner.sources.manifest import fetch_plan, group
 
 #: (url, timeout, most bytes) -> (body, final url, content type)
 Transport = Callable[[str, float, int], tuple[bytes, str, str]]
@@ -65,6 +67,7 @@ def chosen_links(links: DataFrame, pattern: str, most: int) -> DataFrame:
     return first.orderBy("pos").limit(most)
 
 
+#: How a listing's links to reports read (fixed values of the collection's site).
 REPORT_TITLE = "^(?:report |bulletin |safety digest )"
 REPORT_PATH = "^/raib-reports/|/government/news/report-|/government/publications/"
 
@@ -107,3 +110,63 @@ def collections(rows: DataFrame, transport: Transport, most: int | None = None,
     few = listings.join(wanted, "id").join(came, "id", "left").withColumn("came", F.coalesce("came", F.lit(0))).filter("came < most")
     few = few.withColumns({"error": F.format_string("%d of %d reports", "came", "most"), "report_page": F.lit(None).cast("string"), "body": F.lit(None).cast("binary"), "filename": F.lit(None).cast("string")}).select(*shown, F.lit("warning").alias("status"))
     return reports.unionByName(bare).unionByName(few)
+
+
+FETCHED = "id string, url string, filename string, body binary, final_url string, content_type string, error string, report_page string, status string"
+LOG = "id string, url string, final_url string, filename string, content_type string, bytes long, sha256 string, fetched_at timestamp, status string, error string"
+
+
+def fetch_all(rows: DataFrame, transport: Transport, there: DataFrame | None = None, force: bool = False, **options) -> DataFrame:
+    """FETCHED rows of sources of any kind: files, pages and bundles by their plan, collections by their listings.
+
+    ``there`` (id, filename) is passed over, with status "cached". A failure is a row with its error.
+    """
+    spark = rows.sparkSession
+    plan = fetch_plan(rows.filter("fetch.kind <> 'govuk_raib_collection'")).withColumn("filename", F.coalesce("filename", safe_filename(F.substring_index("url", "/", -1))))
+    todo, cached = to_fetch(plan, there if there is not None else spark.createDataFrame([], "id string, filename string"), force)
+    none = F.lit(None).cast("string")
+    got = fetch(todo, transport, **options).withColumns({"report_page": none, "status": F.when(F.col("error").isNull(), "downloaded").otherwise("failed")})
+    kept = cached.select("id", "url", "filename", none.cast("binary").alias("body"), none.alias("final_url"), none.alias("content_type"), none.alias("error"), none.alias("report_page"), F.lit("cached").alias("status"))
+    shown = [c.split(" ")[0] for c in FETCHED.split(", ")]
+    parts = [got.select(*shown), kept.select(*shown)]
+    if not rows.filter("fetch.kind = 'govuk_raib_collection'").isEmpty():
+        parts.append(collections(rows, transport, **options).select(*shown))
+    return union_all(parts)
+
+
+def run(rows: DataFrame, transport: Transport, folder: str, force: bool = False, **options) -> dict[str, int]:
+    """Fetch what ``folder`` doesn't hold yet; returns how many rows came to which status.
+
+    Bodies go to ``files`` (source and name as columns, a folder a source), a line for every success and failure to ``log`` (JSON lines, appended).
+    A run that breaks off has logged nothing, so the next one fetches the same again; the latest body of a name counts.
+    """
+    spark = rows.sparkSession
+    there = logged(spark, folder).filter("status NOT IN ('failed', 'listing', 'warning')").select("id", "filename").distinct()
+    got = cut(fetch_all(rows, transport, there, force, **options), "fetched")
+    new = got.filter("status <> 'cached'")
+    names = rows.select("id", group(F.col("repository_policy")).alias("group"), "title", "include_members")
+    bodies = new.filter("body IS NOT NULL").join(names, "id").withColumn("fetched_at", F.current_timestamp())
+    bodies.select("id", "group", "title", "include_members", "filename", "body", "fetched_at").write.mode("append").partitionBy("group").parquet(f"{folder}/files")
+    made = receipts(new).drop("fetched_at").select("id", "filename", "bytes", "sha256")
+    log = new.drop("body", "report_page").join(made, ["id", "filename"], "left").withColumn("fetched_at", F.current_timestamp())
+    log.select(*[c.split(" ")[0] for c in LOG.split(", ")]).write.mode("append").option("ignoreNullFields", "false").json(f"{folder}/log")
+    return {r.status: r.n for r in got.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def logged(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of all runs; empty if there was none."""
+    try:
+        return spark.read.schema(LOG).json(f"{folder}/log")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LOG)
+
+
+def fetched_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest body of every name, as ``ingest.logical_files`` wants files: group, source_id, title, include_members, path, name, suffix, content."""
+    rows = spark.read.parquet(f"{folder}/files")
+    last = rows.groupBy("id", "filename").agg(F.max("fetched_at").alias("fetched_at"))
+    path = F.concat_ws("/", "group", "id", "filename")
+    shown = rows.join(last, ["id", "filename", "fetched_at"], "left_semi").dropDuplicates(["id", "filename"])
+    return shown.select("group", F.col("id").alias("source_id"), "title", "include_members", path.alias("path"), F.col("filename").alias("name"), F.lower(F.substring_index("filename", ".", -1)).alias("suffix"), F.col("body").alias("content"))

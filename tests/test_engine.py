@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import random
 import zipfile
 from collections import Counter
@@ -27,6 +28,7 @@ from gleaner.plans.ingest import build
 from gleaner.plans.retrieval import MODES, Retriever, evaluate, validated
 from gleaner.sinks import package, writers
 from gleaner.sources import fetch, files, html, manifest, markdown, pages
+from gleaner.sources.charset import CharsetModel
 
 CHUNKS = [
     ("c1", "d1", "s1", "线路检修规程", "发现钢轨裂纹时应当立即限速并安排检查。", 3, 3, ["钢轨"]),
@@ -254,6 +256,29 @@ def test_fetch_checks_before_and_after(spark):
     assert (todo.count(), cached.count()) == (3, 1)
 
 
+def test_fetch_runs_take_what_is_missing_and_log_failures(spark, tmp_path):
+    asked, broken = spark.sparkContext.accumulator(0), str(tmp_path / "up")
+
+    def transport(url, timeout, most):
+        asked.add(1)
+        if "bad" in url and not os.path.exists(broken):
+            raise OSError("no answer")
+        return b"<html><body><p>" + url.encode() + b" says caf\xe9 and more words than forty characters.</p></body></html>", url, "text/html"
+
+    one = lambda i, **f: {"pos": i, "id": f"s{i}", "title": f"T{i}", "repository_policy": "manifest_only", "include_members": [], "fetch": {"enabled": True, "allowed_hosts": ["h"], **f}}
+    rows = spark.createDataFrame([one(0, kind="webpage", url="https://h/a.html"), one(1, kind="webpage_bundle", urls=["https://h/b", "https://h/bad"], filenames=["b.html", "bad.html"])], manifest.SOURCE)
+    folder, quiet = str(tmp_path / "f"), {"wait": lambda s: None, "retries": 2}
+    assert fetch.run(rows, transport, folder, **quiet) == {"downloaded": 2, "failed": 1} and asked.value == 4
+    assert fetch.run(rows, transport, folder, **quiet) == {"cached": 2, "failed": 1} and asked.value == 6
+    open(broken, "w").close()
+    assert fetch.run(rows, transport, folder, **quiet) == {"cached": 2, "downloaded": 1} and asked.value == 7
+    log = fetch.logged(spark, folder)
+    assert log.filter("status = 'failed'").count() == 2 and log.filter("status = 'downloaded' AND sha256 IS NOT NULL AND bytes > 0").count() == 3
+    latin = CharsetModel({"cp1252": np.zeros(1 << 16, np.float32)})
+    good, other = ingest.documents_of(ingest.logical_files(fetch.fetched_files(spark, folder)), charsets=latin)
+    assert good.filter("text LIKE '%café%'").count() == 3 and other.count() == 0
+
+
 def test_raw_files_to_chunks(spark, tmp_path):
     folder = tmp_path / "raw/open/src"
     folder.mkdir(parents=True)

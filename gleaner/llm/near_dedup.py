@@ -25,7 +25,7 @@ component; rows of one doc_id with different texts are judged each by itself, an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -151,16 +151,16 @@ def _lots(live: DataFrame) -> DataFrame:
     return pooled.unionByName(own.filter(F.col("n") >= SUB).select("comp", F.col("comp").alias("lot")))
 
 
-def _blocks_left(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _blocks_left(live: DataFrame, percent: int, kept: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """((a, lot, part, chunk), (id, lot, part, chunk)): members outside their bucket's largest component, against blocks of lots of components.
 
     A lot's members fall into blocks of about SUB by hash. A member meets every block of a lot that has, in one of its buckets, a member of
     another component and may hold a link; of two lots that meet, the one with the larger number asks. Members that meet one block are dealt to chunks of about SUB too.
     """
-    members = live.select("id", "comp").distinct().join(_lots(live), "comp")
+    members = kept(live.select("id", "comp").distinct().join(_lots(live), "comp"), "near-members")
     most = SUPER // SUB
     supers = members.groupBy("lot").agg(F.ceil(F.count(F.lit(1)) / SUPER).alias("supers"), F.least(F.lit(most), F.ceil(F.count(F.lit(1)) / SUB)).alias("parts"))
-    members = members.join(supers, "lot")
+    members = kept(members.join(supers, "lot"), "near-members")
     live = live.drop("comp").join(members, "id").withColumn("super", F.pmod(F.xxhash64("id"), F.col("supers")))
     by_lot = live.groupBy("key", "lot", "super", "parts").agg(F.min("comp").alias("from_comp"), F.max("comp").alias("to_comp"), F.min("size").alias("least"), F.max("size").alias("greatest"), F.max("common").alias("common"))
     top = live.groupBy("key", "comp", "lot").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("comp"), "lot")).alias("top"))
@@ -170,7 +170,7 @@ def _blocks_left(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     may = (100 * F.col("greatest") >= percent * F.col("a_size")) & (100 * F.col("a_size") >= percent * F.col("least")) & ((100 + percent) * F.least("common", "a_common") >= percent * (F.col("least") + F.col("a_size")))
     asks = F.expr("(lot = top_lot OR lot <= a_lot) AND NOT (from_comp = a_comp AND to_comp = a_comp)")
     met = by_lot.join(minor, "key").filter(asks).filter(may).select(F.col("a_id").alias("a"), "lot", "super", "parts").distinct()
-    met = met.select("a", "lot", F.explode(F.sequence(F.col("super") * most, F.col("super") * most + F.col("parts") - 1)).alias("part"))
+    met = kept(met.select("a", "lot", F.explode(F.sequence(F.col("super") * most, F.col("super") * most + F.col("parts") - 1)).alias("part")), "near-met")
     chunks = met.groupBy("lot", "part").agg(F.ceil(F.count(F.lit(1)) / SUB).alias("chunks"))
     left = met.join(chunks, ["lot", "part"]).select("a", "lot", "part", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"))
     members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("supers")) * most + F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.col("parts")))
@@ -250,7 +250,7 @@ def near_links(docs: DataFrame, classes: DataFrame, reps: DataFrame, words: int,
         comp = components(links, "near-components")
     live = kept(_several(_with_components(live, comp)), "near-live")
     texts = _of(texts, live)
-    left, right = _blocks_left(live, percent)
+    left, right = _blocks_left(live, percent, kept)
     left = kept(left.join(texts.select(F.col("id").alias("a"), "text"), "a"), "near-left")
     right = kept(right.join(texts, "id"), "near-right")
     place = ["lot", "part", "chunk"]

@@ -23,15 +23,17 @@ listed; repeated rows are judged each by itself; empty tables work; other column
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import id_text, map_batches, sha256_hex
+from gleaner.llm.common import WORKER, id_text, map_batches, sha256_hex, slices
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+#: Bytes of texts that a task works on at once.
+SLICE = 4_000_000
 #: Bytes that belong to words keep themselves (A-Z in lower case); others part words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -101,18 +103,29 @@ def _shards(items: DataFrame, most_bytes: int) -> int:
     return max(1, -(-size // most_bytes))
 
 
+def _key(texts: list[str], window: int) -> str:
+    """Under which a worker keeps the automata of these texts between its tasks."""
+    return f"decontaminate:{window}:{sha256_hex(chr(0).join(texts).encode())}"
+
+
+def _held(key: str, make: Callable[[], list[WuManber]]) -> list[WuManber]:
+    """The automata that the worker holds; it holds those of one shard at a time."""
+    if WORKER.get("automata", (None,))[0] != key:
+        WORKER.pop("automata", None)
+        WORKER["automata"] = key, make()
+    return WORKER["automata"][1]
+
+
 def _hits(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """doc_id, version, n_words, runs, items of each document against one shard."""
     rows = [(i, t) for i, t in items.select("item_id", "text").toLocalIterator() if t]
     sent = docs.sparkSession.sparkContext.broadcast(([i for i, _ in rows], [t for _, t in rows]))
-    kept: list = []
+    key = _key([t for _, t in rows], window)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            names, texts = sent.value
-            kept.extend((names, automata([(k, words_of(t)) for k, t in enumerate(texts)], window)))
-        names, tables = kept
-        for batch in batches:
+        names, texts = sent.value
+        tables = _held(key, lambda: automata([(k, words_of(t)) for k, t in enumerate(texts)], window))
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
             n, runs, own = [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
@@ -139,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_
         key = ["doc_id", "version"]
         merged = None
         for part in parts:
-            part = part.select(*key, "n_words", "runs", "items")
+            part = part.select(*key, "n_words", "runs", "items").dropDuplicates(key)  # one row for each shard is gathered, however often a row is repeated
             merged = part if merged is None else merged.unionByName(part)
         merged = merged.groupBy(*key).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
         base = docs.select("doc_id", F.xxhash64("text").alias("version"))
@@ -182,16 +195,15 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, sha
         return rows.join(bad, rows["id"].eqNullSafe(bad["bad_id"]) & (rows["version"] == bad["bad_version"]), "left_anti").select("row.*")
     texts = [t for (t,) in items.select("text").toLocalIterator() if t]
     sent = docs.sparkSession.sparkContext.broadcast(texts)
-    kept: list = []
+    key = _key(texts, window)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            kept.append(automata([(k, words_of(t)) for k, t in enumerate(sent.value)], window))
-        for batch in batches:
+        tables = _held(key, lambda: automata([(k, words_of(t)) for k, t in enumerate(sent.value)], window))
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
             clean = []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                hit = sum(e - s for s, e in search(kept[0], words)[0])
+                hit = sum(e - s for s, e in search(tables, words)[0])
                 clean.append(not hit or share * hit < len(words))
             yield batch.filter(pa.array(clean, "bool"))
 

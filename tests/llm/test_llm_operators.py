@@ -69,6 +69,9 @@ def test_decontamination_is_brute_force(spark):
     clean = {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()}
     assert clean == {i for i, w in enumerate(want) if not w[4]} == {r.doc_id for r in decontaminate.clean_documents(docs, bench, most_bytes=200).collect()}
     assert decontaminate.contamination(empty(spark), bench).count() == 0
+    long = spark.createDataFrame([(1, make(400_000) + " " + items[3]), (1, "w0"), (None, items[3])], "doc_id long, text string")  # over a megabyte
+    rows = decontaminate.judge(decontaminate.contamination(long, bench)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in rows)[0][0] == 0 and max(r.n_words for r in rows) > 400_000
     assert all(r.n_hit == 0 for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 

@@ -191,6 +191,16 @@ fold AS (SELECT doc_id, t, l, 0 AS i, CAST([] AS VARCHAR[]) AS path FROM own UNI
 ends AS (SELECT doc_id, len(t) AS n, array_to_string(path, ' > ') AS path FROM fold WHERE i = len(t))"""
 
 
+#: ``blocks``: page_id, pos, kind, level, line. The pages hold paragraphs and a title in one article, some paragraphs are left open; an opened one ends with the paragraph that closes it, or the article.
+PAGE_BLOCKS = f"""tok AS (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS nr FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>|[^<]+') AS l FROM pages)),
+deep AS (SELECT *, sum(CASE WHEN t IN ('<p>', '<h1>') THEN 1 WHEN t IN ('</p>', '</h1>') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY nr) AS depth FROM tok),
+placed AS (SELECT *, count(*) FILTER (WHERE t IN ('<p>', '<h1>') AND depth = 1) OVER (PARTITION BY page_id ORDER BY nr) AS block FROM deep),
+named AS (SELECT page_id, block, t = '<h1>' AS title FROM placed WHERE t IN ('<p>', '<h1>') AND depth = 1),
+shown AS (SELECT page_id, block, {squeezed("string_agg(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), ' ' ORDER BY nr)")} AS line FROM placed WHERE NOT starts_with(t, '<') AND depth > 0 GROUP BY page_id, block),
+blocks AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block) - 1 AS pos, CASE WHEN title OR ({HEADING}) THEN 'heading' ELSE 'paragraph' END AS kind,
+    CASE WHEN title THEN 1 WHEN {HEADING} THEN CASE WHEN length(line) <= 35 THEN 1 ELSE 2 END END AS level, line FROM shown JOIN named USING (page_id, block) WHERE line <> '')"""
+
 SQL: dict[str, str] = {
     "zip_member_filter": f"""
 WITH r AS (SELECT page_id, replace([{", ".join(map(_q, MEMBERS))}][1 + page_id % {len(MEMBERS)}], 'a', 'p' || page_id) AS name, globs FROM pages, {_values([(g,) for g in GLOBS], "globs")} b)
@@ -201,6 +211,17 @@ WITH a AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS base, reg
 u AS (SELECT page_id, base, unnest(l) AS l, generate_subscripts(l, 1) - 1 AS pos FROM a)
 SELECT page_id, CAST(pos AS INTEGER) AS pos, base || regexp_extract(l, 'href="([^"]*)"', 1) AS href, trim(regexp_extract(l, '>([^<]*)<', 1)) AS text FROM u""",
     "page_titles": rf"SELECT page_id, nullif({squeezed("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title FROM pages",
+    "page_blocks": f"""
+WITH RECURSIVE {PAGE_BLOCKS},
+heads AS (SELECT page_id, list(line ORDER BY pos) AS t, list(level ORDER BY pos) AS l FROM blocks WHERE level IS NOT NULL GROUP BY page_id),
+fold AS (SELECT page_id, t, l, 0 AS i, CAST([] AS VARCHAR[]) AS path FROM heads UNION ALL SELECT page_id, t, l, i + 1, list_append(path[1 : l[i + 1] - 1], t[i + 1]) FROM fold WHERE i < len(t)),
+c AS (SELECT *, count(level) OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM blocks)
+SELECT c.page_id, CAST(pos AS INTEGER) AS pos, kind, coalesce(array_to_string(path, ' > '), '') AS path, sha256(line) AS sha256 FROM c LEFT JOIN fold ON fold.page_id = c.page_id AND fold.i = c.nth""",
+    "build_report_of_pages": f"""
+WITH {PAGE_BLOCKS},
+p AS (SELECT page_id, {_HOST} AS source_id, coalesce(n, 0) AS n FROM pages LEFT JOIN (SELECT page_id, sum(length(line) + 2) - 2 AS n FROM blocks GROUP BY page_id) USING (page_id))
+SELECT source_id, 'html' AS file_type, count(*) AS documents, count(*) FILTER (WHERE n >= 40) AS accepted, count(*) FILTER (WHERE n < 40) AS rejected, CAST(coalesce(sum(n) FILTER (WHERE n >= 40), 0) AS BIGINT) AS characters,
+  0 AS warnings, CASE WHEN count(*) FILTER (WHERE n < 40) > 0 THEN 'text too short: x ' || count(*) FILTER (WHERE n < 40) ELSE '' END AS errors FROM p GROUP BY source_id""",
     "content_receipts": "SELECT page_id, url, strlen(html) AS bytes, sha256(html) AS sha256 FROM pages",
     "safe_filename": "SELECT page_id, coalesce(nullif(substr(trim(regexp_replace(url_decode(replace(url, '+', '%2B')), '[^A-Za-z0-9._-]+', '-', 'g'), '-._'), 1, 180), ''), 'download') AS filename FROM pages",
     "url_guard": f"SELECT page_id, starts_with(url, 'https://') AND {_HOST} IN {_HOSTS} AS https_only, {_HOST} IN {_HOSTS} AS any_scheme FROM pages",

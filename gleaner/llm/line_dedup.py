@@ -6,7 +6,8 @@ The merge-anti-join with the runs, bucket by bucket without an exchange, decides
 run, of level 0. What the anti-join turns away is known already and goes to the *tallies*, which say how many documents more
 hold a key and which is the largest. When a level holds ``fanout`` runs they are merged into one run of the next level;
 their keys are disjoint, so nothing is added up, and a store of n batches has about fanout * log(n) runs.
-A batch has about ``most_lines`` lines, so that their number and not their size grows with the corpus.
+A batch has about ``most_lines`` lines, so that their number and not their size grows with the corpus; beyond the least number of batches their
+rows are dealt to folders first, so that each is read once.
 
 The main path is native: ``split``, ``xxhash64``, joins and aggregates, no Python on executors.
 A line key is held as two 64-bit hashes with different seeds. A line that a third of all documents
@@ -144,16 +145,31 @@ def in_order(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def dealt(lines: DataFrame, batches: int, path: str) -> DataFrame:
+    """The hashes in a folder for each batch, so that however many batches there are, each is read once; a batch lies in several files."""
+    spark = lines.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), batches)
+    lines.repartition(tasks, "batch", F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(-(-tasks // batches)))).write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    return spark.read.schema(lines.schema).parquet(path)
+
+
 def repeated_lines(docs: DataFrame, least_chars: int, least_docs: int, least_batches: int = 3, most_lines: int = 100_000_000, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
     """(the hashed lines, the repeated keys with the doc_id that keeps them)."""
     lines = cut(hashed_lines(docs, least_chars), "line-hashes")
     batches = max(least_batches, -(-lines.count() // most_lines))
     runs = LineRuns(docs.sparkSession, fanout)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    parted = lines.withColumn("batch", batch)
+    if batches > least_batches:
+        path = work_path(docs.sparkSession, "line-batches")
+        parted = dealt(parted, batches, path)
     for i in range(batches):
-        runs.add(lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
+        runs.add(parted.filter(F.col("batch") == i))
     # written, so that the join with the lines reads two plain shuffles, of which Spark can split a hot line
     repeated = cut(runs.totals(least_docs).select(*KEY, "max_doc"), "line-repeated")
     runs.close()
+    if batches > least_batches:
+        drop_path(docs.sparkSession, path)
     return lines, repeated
 
 

@@ -57,8 +57,10 @@ def test_quality_rules_are_a_plain_loop(spark):
     assert qr.quality_rules(docs.limit(0)).count() == 0
 
 
-def test_quality_rules_stay_native_and_in_place(spark):
-    plan = qr.quality_rules(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
+def test_quality_rules_stay_native_and_in_place(spark, tmp_path):
+    path = str(tmp_path / "documents")  # of its own: another test may have cached the table
+    spark.read.parquet(f"{SF}/documents.parquet").limit(9).write.parquet(path)
+    plan = qr.quality_rules(spark.read.parquet(path))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 

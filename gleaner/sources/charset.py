@@ -1,7 +1,8 @@
 """Which character set bytes are in: rules of validity first, then how likely their pairs of bytes are in each set.
 
 A mark at the beginning, zeros in every second byte, and valid UTF-8 decide by themselves. What is left is read in the set, of those that can hold
-it, in which its pairs of bytes with a high one are likeliest; these are counted from texts of the corpus, written in every set.
+it, in which its distinct pairs of bytes with a high one are likeliest (each once: a word said a hundred times tells no more than said once);
+how likely they are is counted from texts of the corpus, written in every set.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ class CharsetModel:
                 return "utf-16-le" if zeros[1] > zeros[0] else "utf-16-be"
         if _holds(body, "utf-8"):
             return "utf-8"
-        pairs = high_pairs(body)
+        pairs = np.unique(high_pairs(body))
         score = {name: float(table[pairs].mean()) for name, table in self.likely.items() if len(pairs) and _holds(body, name)}
         return max(score, key=lambda n: (score[n], n), default="latin-1")
 

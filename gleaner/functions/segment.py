@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.session import ship, spread
+from gleaner.session import ship, sliced, spread
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -26,12 +26,18 @@ def _codes(texts: list[str], width: int) -> np.ndarray:
     return flat.reshape(len(texts), width).astype(np.uint64) + np.uint64(1)
 
 
-def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` characters that begin at each place (columns: places from which they fit)."""
-    found = np.zeros((len(codes), codes.shape[1] - size + 1), np.uint64)
-    for k in range(size):
-        found = (found ^ codes[:, k : k + found.shape[1]]) * PRIME
+def _growing(codes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For 1 to ``longest`` characters: a hash of those that begin at each place (columns: places from which they fit), each made of the one before."""
+    found = np.zeros(codes.shape, np.uint64)
+    for k in range(longest):
+        found = (found[:, : codes.shape[1] - k] ^ codes[:, k:]) * PRIME
         found ^= found >> np.uint64(29)
+        yield found
+
+
+def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """The last of them."""
+    *_, found = _growing(codes, size)
     return found
 
 
@@ -54,9 +60,8 @@ class Dictionary:
             tables[size] = hashes[order], costs[order]
         return Dictionary(tables, 2 * np.log(total + 1) + 1)
 
-    def _costs(self, codes: np.ndarray, size: int) -> np.ndarray:
+    def _costs(self, wanted: np.ndarray, size: int) -> np.ndarray:
         hashes, costs = self.tables[size]
-        wanted = _hashes(codes, size)
         at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
         return np.where(hashes[at] == wanted, costs[at], np.inf)
 
@@ -80,23 +85,24 @@ class Dictionary:
         width = max(map(len, runs))
         if not width:
             return [[] for _ in runs]
-        codes = _codes(runs, width)
-        sizes = [n for n in self.tables if n <= width]
-        costs = {n: self._costs(codes, n) for n in sizes}
-        best, step = np.full((len(runs), width + 1), np.inf), np.ones((len(runs), width + 1), np.int32)
-        best[:, 0] = 0
+        longest, lanes = max((n for n in self.tables if n <= width), default=1), np.arange(len(runs))
+        # of every place what the words of each length cost that end there, the longest first
+        ending = np.full((width + 1, longest, len(runs)), np.inf)
+        ending[1:, -1] = self.unknown
+        for n, hashes in enumerate(_growing(_codes(runs, width), longest), 1):
+            if n in self.tables:
+                ending[n:, longest - n] = np.minimum(ending[n:, longest - n], self._costs(hashes, n).T)
+        best, step = np.full((longest + width + 1, len(runs)), np.inf), np.ones((width + 1, len(runs)), np.int32)
+        best[longest] = 0
         for j in range(1, width + 1):
-            best[:, j] = best[:, j - 1] + self.unknown
-            for n in sizes:
-                if n <= j:
-                    cost = best[:, j - n] + costs[n][:, j - n]
-                    better = cost <= best[:, j]
-                    best[better, j], step[better, j] = cost[better], n
+            cost = best[j : j + longest] + ending[j]
+            least = cost.argmin(0)  # of equal ones the first, so the longest word
+            best[longest + j], step[j] = cost[least, lanes], longest - least
         found = []
         for i, run in enumerate(runs):
             words, j = [], len(run)
             while j:
-                n = int(step[i, j])
+                n = int(step[j, i])
                 words.append(run[j - n : j])
                 j -= n
             found.append(words[::-1])
@@ -116,7 +122,7 @@ def segmented(texts: DataFrame, dictionary: Dictionary, id_col: str, text: str)
     kind = dict(texts.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = sent.value.segment([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], [id_col, "words"])
 

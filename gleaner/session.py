@@ -7,15 +7,20 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, StringType
 
 _shipped: set[str] = set()
+#: Bytes of texts that an Arrow function turns into Python objects together.
+SLICE = 1 << 20
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -100,6 +105,37 @@ def done_with(*tables: DataFrame) -> None:
     free(spark)
 
 
+def cuts_of(texts: pa.Array, most_bytes: int = SLICE) -> list[tuple[int, int]]:
+    """(start, length) of stretches of texts that hold about ``most_bytes`` at most (one text at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    found, start = [], 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        found.append((start, end - start))
+        start = end
+    return found
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int | str, most_bytes: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts hold about ``most_bytes`` at most: what a worker makes of one does not grow with a partition's rows."""
+    for batch in batches:
+        for start, length in cuts_of(batch.column(column), most_bytes):
+            yield batch.slice(start, length)
+
+
+def text_udf(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A function of one text as a column function, a stretch of the texts at a time; a null stays null."""
+
+    def work(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([None if t is None else f(t) for t in texts.slice(*at).to_pylist()], "string") for at in cuts_of(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], "string")
+
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+    return F.arrow_udf(work, StringType())
+
+
 def arrow_udf(f: Callable, kind: DataType) -> Callable[..., Column]:
     """A pandas function of this package as a column function; the package goes to the executors with it."""
     if (spark := SparkSession.getActiveSession()) is not None:

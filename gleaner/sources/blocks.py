@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.session import ship
+from gleaner.session import ship, sliced
 
 BLOCK_TYPE = "array<struct<pos:int,kind:string,page:int,section_path:array<string>,text:string>>"
 BLOCK = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("page", pa.int32()), ("section_path", pa.list_(pa.string())), ("text", pa.string())])
@@ -44,7 +44,7 @@ def exploded(table: DataFrame, id_col: str, columns: list[str], make: Callable[.
     kind = dict(table.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, columns[0]):
             found = [make(*r) for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(found, pa.list_(element))], [id_col, "found"])
 

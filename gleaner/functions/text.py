@@ -11,12 +11,10 @@ import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from gleaner.session import arrow_udf
+from gleaner.session import text_udf
 
 #: A character outside what the built-in path handles exactly.
 UNUSUAL = r"[^\x00-\x7F\xC0-\xFF]"
@@ -33,20 +31,20 @@ SPACES = r"(?U)\s+"
 EDGES = r"(?U)^\s+|\s+$"
 
 
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _nfkc(text: str) -> str:
+    return unicodedata.normalize("NFKC", text)
 
 
-def _folded(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
+def _folded(text: str) -> str:
+    return unicodedata.normalize("NFKC", text).casefold()
 
 
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.map(str.casefold, na_action="ignore")
+def _casefold(text: str) -> str:
+    return text.casefold()
 
 
-def _arrow(f: Callable[[pd.Series], pd.Series], text: Column) -> Column:
-    return arrow_udf(f, StringType())(_unusual(text))
+def _arrow(f: Callable[[str], str], text: Column) -> Column:
+    return text_udf(f)(_unusual(text))
 
 
 def _unusual(text: Column) -> Column:
@@ -93,7 +91,9 @@ def clean_inline(text: Column, exact: bool = True) -> Column:
 
 
 def clean_block(text: Column, exact: bool = True) -> Column:
-    return F.regexp_replace(squeezed(clean_inline(text, exact)), BETWEEN, "")
+    """One line without invisible characters. Where no character is unusual only ASCII's white space is left to squeeze."""
+    any_ = F.regexp_replace(squeezed(clean_inline(text, exact)), BETWEEN, "")
+    return F.when(text.rlike(UNUSUAL), any_).otherwise(F.trim(F.regexp_replace(text, r"[\t-\r ]+", " ")))
 
 
 #: What Markdown puts around words, in the order in which it goes: (pattern, the group that stays or 0 for none). Images, links, a leading

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import ChunkConfig
 from gleaner.functions.text import clean_block, stable_id
-from gleaner.session import ship, spread
+from gleaner.session import ship, sliced, spread
 
 #: After these a chunk may end (fixed values of the chunk format).
 STOPS = ("\n\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ")
@@ -78,7 +78,7 @@ def chunk_offsets(documents: DataFrame, config: ChunkConfig = ChunkConfig(), id_
     kind = dict(documents.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for row, text in enumerate(batch.column("text").to_pylist()):
                 found = list(cuts(text or "", config))
                 if found:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from gleaner.config import Bm25Config
 from gleaner.functions import pytext
 from gleaner.operators.topk import top_k
-from gleaner.session import cut, ship, spread, work_path
+from gleaner.session import cut, ship, sliced, spread, work_path
 
 #: How a run of CJK characters becomes tokens; a segmenter with a dictionary can take the place of the default.
 Segmenter = Callable[[str], list[str]]
@@ -74,7 +74,7 @@ def counted_tokens(texts: DataFrame, id_col: str, text: Column, segment: Segment
     kind = dict(texts.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = [Counter(pytext.tokens(t or "", segment)) for t in batch.column(1).to_pylist()]
             at = pa.array(np.cumsum([0, *map(len, found)]), "int32")
             tokens = pa.ListArray.from_arrays(at, pa.array([t for c in found for t in c], "string"))
@@ -88,13 +88,12 @@ def _lists(at: np.ndarray, values: np.ndarray, kind: str = "int32") -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(at, "int32"), pa.array(values, kind))
 
 
-def _shard(shard: int, ids: list, counts: list[Counter], kind: pa.DataType) -> pa.RecordBatch:
-    """The rows of one shard: its list of chunks, then its postings by token."""
-    sizes = [len(c) for c in counts]
-    lengths = np.array([c.total() for c in counts], np.int32)
-    tokens = pa.array([t for c in counts for t in c], "string").dictionary_encode()
-    words, code = tokens.dictionary, np.asarray(tokens.indices)
-    place, tf = np.repeat(np.arange(len(counts), dtype=np.int32), sizes), np.array([n for c in counts for n in c.values()], np.int32)
+def _shard(shard: int, ids: list, names: dict[str, int], counts: list[tuple[np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
+    """The rows of one shard: its list of chunks, then its postings by token. ``counts``: of each chunk its tokens' numbers in ``names``, and how often each occurs."""
+    sizes = [len(tfs) for _, tfs in counts]
+    lengths = np.array([tfs.sum() for _, tfs in counts], np.int32)
+    words, code, tf = pa.array(list(names), "string"), np.concatenate([c for c, _ in counts]), np.concatenate([tfs for _, tfs in counts])
+    place = np.repeat(np.arange(len(counts), dtype=np.int32), sizes)
     rank = np.empty(len(words), np.int64)
     by_token = np.asarray(pc.sort_indices(words))
     rank[by_token] = np.arange(len(words))
@@ -123,18 +122,19 @@ def _shard(shard: int, ids: list, counts: list[Counter], kind: pa.DataType) -> p
 
 def _shards(segment: Segmenter, kind: pa.DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, postings, shard = [], [], 0, None
-        for batch in batches:
+        ids, names, counts, postings, shard = [], {}, [], 0, None
+        for batch in sliced(batches, "text"):
             for row, name, text in zip(*(batch.column(c).to_pylist() for c in ("row", "chunk_id", "text")), strict=True):
                 shard = row if shard is None else shard
                 ids.append(name)
-                counts.append(Counter(pytext.tokens(text or "", segment)))
-                postings += len(counts[-1])
+                own = Counter(pytext.tokens(text or "", segment))
+                counts.append((np.fromiter((names.setdefault(t, len(names)) for t in own), np.int32, len(own)), np.fromiter(own.values(), np.int32, len(own))))
+                postings += len(own)
                 if len(ids) >= SHARD_CHUNKS or postings >= SHARD_POSTINGS:
-                    yield _shard(shard, ids, counts, kind)
-                    ids, counts, postings, shard = [], [], 0, None
+                    yield _shard(shard, ids, names, counts, kind)
+                    ids, names, counts, postings, shard = [], {}, [], 0, None
         if ids:
-            yield _shard(shard, ids, counts, kind)
+            yield _shard(shard, ids, names, counts, kind)
 
     return work
 

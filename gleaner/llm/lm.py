@@ -23,7 +23,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import secrets
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,21 +40,29 @@ from gleaner.session import cut, done_with
 END = b"\n"  # no word holds a line feed
 ROUNDS = (4, 16, 64)  # how many of 64 parts of the documents are learned from after each round
 BLOCK = 8192  # weights that are summed together
+INSIDE = bytes(not bytes([i]).isspace() for i in range(256))  # which bytes are a word's
 LONGEST = 64  # bytes of a word in the broadcast table
+TOGETHER = 1 << 21  # tokens of documents that the network scores together
 NAMES = ["doc_id", "rid", "held_out", "n_tokens", "n_known", "logs", "plain", "word", "n"]
 SCORED = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, logs double, plain double, word binary, n long"
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    words = (text or "").encode().translate(UPPER).split()
-    words.append(END)
-    return words
-
-
-def parted(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
-    """(the tokens of all texts, how many each text has)."""
-    own = [pa.array(tokens_of(t), "binary") for t in texts]
-    return pa.concat_arrays(own), np.fromiter(map(len, own), np.int64, len(own))
+def parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the tokens of all texts, how many each text has), by the letters of all texts at once."""
+    texts = pc.binary_join_element_wise(texts, "", END.decode(), null_handling="replace", null_replacement="")  # each with its end
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    letters = memoryview(texts.buffers()[2])[ends[0] : ends[-1]].tobytes().translate(UPPER)
+    ends = ends[1:] - ends[0] - 1
+    inside = np.frombuffer(letters.translate(INSIDE), np.bool_)
+    edges = np.flatnonzero(np.diff(inside, prepend=False))  # words begin and stop in turn, as the last letter is an end
+    n = np.searchsorted(edges[::2], ends)  # words before each end
+    size = np.insert(edges[1::2] - edges[::2], n, 1)
+    kept = inside.copy()
+    kept[ends] = True
+    at = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=at[1:])
+    own = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(np.frombuffer(letters, np.uint8)[kept])])
+    return own, np.diff(n, prepend=0) + 1
 
 
 #: The class of a word by its last two bytes, or by its only one.
@@ -76,7 +84,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 16_000_000):
             if part.num_rows:
-                found = parted(part.column("text").to_pylist())[0].value_counts()
+                found = parted(part.column("text"))[0].value_counts()
                 words = found.field("values")
                 yield pa.RecordBatch.from_arrays([words, pa.array(rare_classes(words), "int32"), found.field("counts")], ["word", "class", "c"])
 
@@ -159,7 +167,7 @@ def fit_further(docs: DataFrame, table: Table, most_tasks: int) -> None:
         for batch in batches:
             for part in slices(batch, "text", 8_000_000):
                 if part.num_rows:
-                    words, size = parted(part.column("text").to_pylist())
+                    words, size = parted(part.column("text"))
                     model.learn(np.split(own.ids(own.places(words)), np.cumsum(size)[:-1]), own.end, adam)
                     total += len(words)
         if total:
@@ -180,27 +188,52 @@ def fit_further(docs: DataFrame, table: Table, most_tasks: int) -> None:
     done_with(parts)
 
 
-def _score(table: Table, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _score(table: Table, parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each part; the network reads the documents of several parts together, ``TOGETHER`` tokens or one part more."""
+    waiting, tokens = [], 0
+    for part in parts:
+        own, ids, rare = _look_up(table, part)
+        if rare.num_rows:
+            yield rare
+        waiting.append((own, ids))
+        tokens += sum(map(len, ids))
+        if tokens >= TOGETHER:
+            yield from _read(table, waiting)
+            waiting, tokens = [], 0
+    yield from _read(table, waiting)
+
+
+def _look_up(table: Table, part: pa.RecordBatch) -> tuple[pa.RecordBatch, list[np.ndarray], pa.RecordBatch]:
+    """(a row for each document, its ``plain`` without the network's share; the ids of its tokens; a row for each of its words beyond the table)."""
     n_rows = part.num_rows
-    words, n = parted(part.column("text").to_pylist())
+    words, n = parted(part.column("text"))
     first = np.cumsum(n) - n  # every text has its end token
     own = table.places(words)
-    seen, held, ids = own >= 0, np.maximum(own, 0), table.ids(own)
+    seen, held, ids = own >= 0, np.maximum(own, 0), table.ids(own).astype(np.int32)
     log_count = np.where(seen, np.log10(table.count + 1.0)[held], 0.0)
     known, logs = np.add.reduceat((seen & (table.count[held] > 0)).astype(np.int64), first), np.add.reduceat(log_count, first)
     without = ids >= table.n_words  # words without an output vector: their share within the class
     share = np.where(without, log_count - np.log10(table.size + 1.0)[np.maximum(ids - table.n_words, 0)], 0.0)
-    plain = np.add.reduceat(share, first) + table.model.score(np.split(ids, first[1:]), table.end) / np.log(10)
+    plain = np.add.reduceat(share, first)
     missed = np.flatnonzero(~seen)
     rare = pa.table({"row": np.repeat(np.arange(n_rows), n)[missed], "word": words.take(pa.array(missed))}).group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
     rid = np.frombuffer(secrets.token_bytes(8 * n_rows), np.int64)
     doc_id, held_out_ = part.column("doc_id").cast("int64"), part.column("held_out")
+    row, word, times = (rare.column(c).combine_chunks() for c in ("row", "word", "count_all"))
+    nulls = (pa.nulls(rare.num_rows, t) for t in ("bool", "int64", "int64", "float64", "float64"))
+    return (
+        pa.RecordBatch.from_arrays([doc_id, pa.array(rid), held_out_, *map(pa.array, (n, known, logs, plain)), pa.nulls(n_rows, "binary"), pa.nulls(n_rows, "int64")], NAMES),
+        np.split(ids, first[1:]),
+        pa.RecordBatch.from_arrays([doc_id.take(row), pa.array(rid).take(row), *nulls, word, times], NAMES),
+    )
 
-    yield pa.RecordBatch.from_arrays([doc_id, pa.array(rid), held_out_, *map(pa.array, (n, known, logs, plain)), pa.nulls(n_rows, "binary"), pa.nulls(n_rows, "int64")], NAMES)
-    if k := rare.num_rows:
-        row, word, times = (rare.column(c).combine_chunks() for c in ("row", "word", "count_all"))
-        nulls = (pa.nulls(k, t) for t in ("bool", "int64", "int64", "float64", "float64"))
-        yield pa.RecordBatch.from_arrays([doc_id.take(row), pa.array(rid).take(row), *nulls, word, times], NAMES)
+
+def _read(table: Table, waiting: list[tuple[pa.RecordBatch, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """The documents' rows, with the network's share."""
+    logs = table.model.score([d for _, docs in waiting for d in docs], table.end) / np.log(10)
+    for batch, docs in waiting:
+        own, logs = logs[: len(docs)], logs[len(docs) :]
+        yield batch.set_column(NAMES.index("plain"), "plain", pa.array(batch.column("plain").to_numpy() + own))
 
 
 def language_scores(docs: DataFrame, folds: int = 7, remainder: int = 2, n_words: int = 2048, most_frequent: int = 200_000, hidden: int = 16, least_tokens: int = 250_000) -> DataFrame:
@@ -216,10 +249,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, table: Table) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 4_000_000):
-                if part.num_rows:
-                    yield from _score(sent.value, part)
+        yield from _score(sent.value, (part for batch in batches for part in slices(batch, "text", 8_000_000) if part.num_rows))
 
     # row ids are drawn at random, so this must be written before it is read twice
     scored = cut(map_batches(docs, SCORED, work), "lm-scored")

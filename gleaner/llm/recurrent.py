@@ -8,13 +8,15 @@ a word has its smoothed share of the class's training tokens, whatever the state
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 
 import numpy as np
 
 RARE = 16
-PART = 4096  # columns whose class probabilities are worked out together, so that they stay in a core's cache
+FAR = 60  # sums below it, and their exponentials' products, are within single precision
+PART = 1024  # columns whose class probabilities are worked out together, so that they stay in a core's cache
 SIZES = (16,) * 8 + (32,) * 8 + (64,) * 10  # words of the first classes; later ones have 128
 
 
@@ -31,20 +33,25 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _soft(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log probability of ``own`` in each column, exponentials in the place of ``x``, their sums)."""
-    x -= x.max(0)
-    found = x[own, np.arange(len(own))]
-    np.exp(x, out=x)
-    total = x.sum(0)
-    return found - np.log(total), x, total
+def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Columns of a table; ``at`` is within it, which "clip" doesn't check in a pass of its own."""
+    return np.take(table, at, 1, mode="clip")
 
 
-def _back(e: np.ndarray, total: np.ndarray, own: np.ndarray, weights: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(dloss/dweights, dloss/dbias, dloss/dstate) of ``_soft``; what is divided by the sums are the few rows of the state."""
-    e[own, np.arange(len(own))] -= total
-    share = 1 / total
-    return e @ (state * share).T, e @ share, (weights.T @ e) * share
+def _far(weights: np.ndarray, reach: float) -> bool:
+    """Whether a sum of these weights, the last column being biases, with a state within ``reach`` may be too far from 0 for ``exp``."""
+    size = np.abs(weights)
+    return not bool((size[:, :-1].sum(1) * reach + size[:, -1]).max(initial=0) < FAR)
+
+
+def _soft(weights: np.ndarray, state: np.ndarray, own: np.ndarray, far: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logarithm of the share of ``own`` in each column, not yet divided by all; exponentials; their sums)."""
+    x = weights @ state
+    if far:
+        x -= x.max(0)
+    found = x[own, np.arange(len(own))]
+    np.exp(x, out=x)
+    return found, x, np.add.reduce(x, 0)
 
 
 class Adam:
@@ -53,11 +60,23 @@ class Adam:
         self.m, self.v = ({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2))
 
     def step(self, grad: dict[str, np.ndarray], rate: float) -> None:
+        """What ``grad`` holds is used up."""
         self.turn += 1
+        slow, fast = (1 - 0.99**self.turn) ** -0.5, rate / (1 - 0.9**self.turn)
         for k, g in grad.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.model.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.turn)) / (np.sqrt(self.v[k] / (1 - 0.99**self.turn)) + 1e-7)).astype(np.float32)
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            g *= g
+            g *= 0.01
+            v += g
+            np.sqrt(v, out=g)
+            g *= slow
+            g += 1e-7
+            np.divide(m, g, out=g)
+            g *= fast
+            self.model.p[k] -= g
 
 
 class Gru:
@@ -80,7 +99,7 @@ class Gru:
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
         """What tokens (steps, lanes) bring to each step: (steps, 3 * hidden, lanes)."""
-        brought = np.take(np.ascontiguousarray((self.p["x"] + self.p["b"]).T), x.ravel(), 1)
+        brought = _take(np.ascontiguousarray((self.p["x"] + self.p["b"]).T), x.ravel())
         return brought.reshape(-1, *x.shape).transpose(1, 0, 2)
 
     def step(self, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -102,31 +121,51 @@ class Gru:
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each y (rare: of its class) after the state in its column of h; with ``grad``, adds to it and returns dloss/dh."""
-        p, c = self.p, self.class_of(y)
-        out, dh = np.empty(len(y), h.dtype), None if grad is None else np.empty_like(h)
-        for part in (slice(at, at + PART) for at in range(0, len(y), PART)):
-            state, own = h[:, part], c[part]
-            out[part], d, total = _soft(p["wc"].T @ state + p["bc"][:, None], own)
+        p, c, n, k = self.p, self.class_of(y), len(y), self.h
+        states = np.concatenate([h, np.ones((1, n), h.dtype)])  # the last row brings the biases
+        wc, ww = np.concatenate([p["wc"].T, p["bc"][:, None]], 1), np.concatenate([p["ww"], p["bw"][:, None]], 1)
+        reach = float(np.abs(h).max(initial=0))
+        out, total, dh, dwc = np.empty(n, h.dtype), np.empty(n, h.dtype), np.empty_like(h), np.zeros_like(wc)
+        far = _far(wc, reach)
+        for part in (slice(at, at + PART) for at in range(0, n, PART)):
+            state, own = states[:, part], c[part]
+            out[part], e, total[part] = _soft(wc, state, own, far)
             if grad is not None:
-                dw, db, dh[:, part] = _back(d, total, own, p["wc"].T, state)
-                grad["wc"] += dw.T
-                grad["bc"] += db
+                e[own, np.arange(len(own))] -= total[part]
+                share = 1 / total[part]
+                dwc += e @ (state * share).T
+                np.multiply(wc[:, :k].T @ e, share, out=dh[:, part])
+        out -= np.log(total)
         order = np.argsort(c, kind="stable")
         bounds = np.searchsorted(c[order], np.arange(self.word_classes + 1))
         order = order[: bounds[-1]]  # words with an output vector
-        states, words = h[:, order], y[order]
-        more, back = np.zeros(len(order), out.dtype), np.zeros_like(states)
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            lo, hi, a, z = bounds[k], bounds[k + 1], self.edge[k], self.edge[k + 1]
-            state, own = states[:, lo:hi], words[lo:hi] - a
-            more[lo:hi], d, total = _soft(p["ww"][a:z] @ state + p["bw"][a:z, None], own)
-            if grad is not None:
-                dw, db, back[:, lo:hi] = _back(d, total, own, p["ww"][a:z], state)
-                grad["ww"][a:z] += dw
-                grad["bw"][a:z] += db
-        out[order] += more
-        if dh is not None:
-            dh[:, order] += back
+        m = len(order)
+        states, own = _take(states, order), y[order] - self.edge[c[order]]
+        found, total, kept = np.empty(m, h.dtype), np.empty(m, h.dtype), []
+        far = _far(ww, reach)
+        for a, z, lo, hi in zip(self.edge.tolist(), self.edge[1:].tolist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+            if hi > lo:
+                found[lo:hi], e, total[lo:hi] = _soft(ww[a:z], states[:, lo:hi], own[lo:hi], far)
+                if grad is not None:
+                    kept.append((a, z, lo, hi, e))
+        found -= np.log(total)
+        out[order] += found
+        if grad is None:
+            return out, None
+        share, dww, back = 1 / total, np.zeros_like(ww), np.zeros((k, m + 1), h.dtype)
+        states *= share  # what is divided by the sums are the few rows of the state
+        for a, z, lo, hi, e in kept:
+            e[own[lo:hi], np.arange(hi - lo)] -= total[lo:hi]
+            np.matmul(e, states[:, lo:hi].T, out=dww[a:z])
+            np.matmul(ww[a:z, :k].T, e, out=back[:, lo:hi])
+        back[:, :m] *= share
+        at = np.full(n, m)  # tokens without an output vector take the last column, zeros
+        at[order] = np.arange(m)
+        dh += _take(back, at)
+        grad["wc"] += dwc[:, :k].T
+        grad["bc"] += dwc[:, k]
+        grad["ww"] += dww[:, :k]
+        grad["bw"] += dww[:, k]
         return out, dh
 
     def learn(self, docs: list[np.ndarray], end: int, adam: Adam, rate: float = 0.02, lanes: int = 512, window: int = 24) -> None:
@@ -173,22 +212,34 @@ class Gru:
         back, dg, ds = np.zeros_like(h), np.empty((3 * k, steps, lanes), h.dtype), np.empty((3 * k, lanes), h.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, n, s = kept[t]
-            d = dout[:, t] + back
-            dn = d * (1 - z)
-            dn *= 1 - n * n
-            dz = d * (before - n)
-            dz *= z * (1 - z)
-            ds[:k] = dz
-            np.multiply(dn * s, r * (1 - r), out=ds[k : 2 * k])
-            np.multiply(dn, r, out=ds[2 * k :])
-            dg[: 2 * k, t], dg[2 * k :, t] = ds[: 2 * k], dn
+            d = dout[:, t]
+            d += back
+            new = d - d * z  # what the new part of the state gets; the rest goes on to the state before
+            dz = before - n
+            dz *= z
+            np.multiply(dz, new, out=ds[:k])
+            d -= new
+            n *= n
+            np.subtract(1, n, out=n)
+            n *= new
+            np.multiply(n, r, out=ds[2 * k :])
+            s *= ds[2 * k :]
+            np.subtract(1, r, out=r)
+            np.multiply(s, r, out=ds[k : 2 * k])
+            dg[: 2 * k, t], dg[2 * k :, t] = ds[: 2 * k], n
             grad["u"] += before @ ds.T
-            back = (d * z + p["u"] @ ds) * stays[t]
+            back = p["u"] @ ds
+            back += d
+            back *= stays[t]
         dg, own = dg.reshape(3 * k, -1), x.T.ravel()
         grad["b"] += dg.sum(1)
-        grad["x"] = np.stack([np.bincount(own, row, len(p["x"])) for row in dg], 1).astype(h.dtype)
-        size = np.float32(1 / max(1, len(live)))
-        return {name: np.clip(g * size, -1, 1) for name, g in grad.items()}, h
+        for row, column in zip(dg, grad["x"].T, strict=True):
+            column += np.bincount(own, row, len(column))
+        size = h.dtype.type(1 / max(1, len(live)))
+        for g in grad.values():
+            g *= size
+            np.clip(g, -1, 1, out=g)
+        return grad, h
 
     def copy(self) -> Gru:
         other = Gru(self.n, self.h)
@@ -205,12 +256,13 @@ class Gru:
             self.p[k] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
             at += w.size
 
-    def score(self, docs: list[np.ndarray], end: int, lanes: int = 1024, window: int = 32) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], end: int, lanes: int = 1024, window: int = 16384) -> np.ndarray:
         """Natural log probability of each document's ids.
 
-        Lanes read whole documents one after the other, each from the zero state on; states are carried from window to window.
+        Lanes read whole documents one after the other, each from the zero state on. Tokens lie step by step, the lanes with most
+        first, so that a step has only the lanes that reach so far; ``window`` is how many tokens' classes are worked out together.
         """
-        size = np.array([len(d) for d in docs], np.int64)
+        size = np.fromiter(map(len, docs), np.int64, len(docs))
         out = np.zeros(len(docs))
         if not size.sum():
             return out
@@ -223,22 +275,32 @@ class Gru:
                 heapq.heapreplace(loads, (load + int(size[i]), lane))
         own.sort(key=lambda lane: -size[lane].sum())
         load = np.array([size[lane].sum() for lane in own])
-        y, fresh = np.zeros((len(own), load[0]), np.int32), np.zeros((len(own), load[0]), bool)
-        for k, lane in enumerate(own):
-            y[k, : load[k]] = np.concatenate([docs[i] for i in lane])
-            fresh[k, np.cumsum(size[lane]) - size[lane]] = True
-        x = np.where(fresh, end, np.roll(y, 1, 1))
-        found, h = np.zeros(y.shape), np.zeros((self.h, len(own)), np.float32)
-        for at in range(0, y.shape[1], window):
-            live = [int(np.searchsorted(-load, -t, "left")) for t in range(at, min(at + window, y.shape[1]))]  # lanes that reach so far
-            inputs, stays = self.inputs(x[: live[0], at : at + window].T), ~fresh[: live[0], at : at + window].T
-            states = []
-            for t, n in enumerate(live):
-                h, _ = self.step(inputs[t][:, :n], h[:, :n] * stays[t, :n])
-                states.append(h)
-            lp, _ = self.log_probs(np.concatenate(states, 1), np.concatenate([y[:n, at + t] for t, n in enumerate(live)]))
-            for t, (n, part) in enumerate(zip(live, np.split(lp, np.cumsum(live)[:-1]), strict=True)):
-                found[:n, at + t] = part
-        for k, lane in enumerate(own):
-            out[lane] = np.add.reduceat(found[k, : load[k]], np.cumsum(size[lane]) - size[lane])
+        reach = np.searchsorted(-load, -np.arange(load[0]), "left")  # how many lanes have a token in each step
+        at = np.concatenate([[0], np.cumsum(reach)])  # the first token of each step
+        order = np.concatenate(own)
+        first = np.cumsum(size[order]) - size[order]  # of each document, lane by lane
+        place = np.concatenate([at[:n] + lane for lane, n in enumerate(load.tolist())])
+        read = np.concatenate([docs[i] for i in order.tolist()])
+        x, y = np.empty(len(read), np.int32), np.empty(len(read), np.int32)
+        y[place] = read
+        read = np.roll(read, 1)
+        read[first] = end
+        x[place] = read
+        starts = np.sort(place[first])
+        begun, at = np.searchsorted(starts, at).tolist(), at.tolist()
+        table, found, h = np.ascontiguousarray((self.p["x"] + self.p["b"]).T), np.empty(len(read), np.float32), np.zeros((self.h, len(own)), np.float32)
+        t = 0
+        while t < load[0]:
+            upto = max(t + 1, bisect.bisect_right(at, at[t] + window) - 1)
+            part = slice(at[t], at[upto])
+            inputs, states = _take(table, x[part]), np.empty((self.h, at[upto] - at[t]), np.float32)
+            for t in range(t, upto):
+                a, z = at[t] - part.start, at[t + 1] - part.start
+                h = h[:, : z - a]
+                if begun[t] < begun[t + 1]:
+                    h[:, starts[begun[t] : begun[t + 1]] - at[t]] = 0
+                h = states[:, a:z] = self.step(inputs[:, a:z], h)[0]
+            found[part] = self.log_probs(states, y[part])[0]
+            t = upto
+        out[order] = np.add.reduceat(found[place], first, dtype=np.float64)
         return out

@@ -6,11 +6,13 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF, comparable
 from hypothesis import given, settings
@@ -233,6 +235,57 @@ def test_recurrent_gradients_and_probabilities():
     assert 0 <= rare_class(b"abc") < 16
 
 
+def test_scoring_takes_memory_by_tokens_not_by_lanes():
+    g, rng = Gru(128, hidden=4), np.random.default_rng(1)
+    docs = [rng.integers(0, 144, n) for n in (20_000, *[6] * 1000)]
+    tracemalloc.start()
+    got = g.score(docs, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # one long text beside a thousand short ones: a full matrix of them has 20 million places
+    assert got[1:] == pytest.approx([g.score([d], 3)[0] for d in docs[1:]], rel=1e-5)
+
+
+def test_probabilities_of_weights_beyond_single_precision():
+    g = Gru(128, hidden=4)
+    g.p = {k: v * np.float32(3000) if k[0] in "wb" else v for k, v in g.p.items()}
+    exact = Gru(128, hidden=4)
+    exact.p = {k: v.astype(np.float64) for k, v in g.p.items()}
+    h = np.random.default_rng(2).uniform(-1, 1, (4, 144)).astype(np.float32)
+    grad, want = ({k: np.zeros_like(w) for k, w in m.p.items()} for m in (g, exact))
+    out, dh = g.log_probs(h, np.arange(144), grad)
+    right, dright = exact.log_probs(h.astype(np.float64), np.arange(144), want)
+    assert out == pytest.approx(right, rel=1e-4, abs=1e-2) and right.min() < -300
+    assert dh == pytest.approx(dright, rel=1e-3, abs=1) and all(grad[k] == pytest.approx(want[k], rel=1e-3, abs=1e-2) for k in grad)
+
+
+def test_tokens_of_all_texts_at_once(texts):
+    rnd = random.Random(11)
+    for own in ([None], [""], texts[:50], *[["".join(rnd.choice("aBZ \t\n\r\x0b\x0c\x00\x1c\x85\u3000é日\U0001f600") for _ in range(rnd.choice((0, 1, 2, 30)))) for _ in range(5)] for _ in range(200)]):
+        words, n = lm.parted(pa.array(["left out", None, *own], "string")[2:])
+        want = [[*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split(), b"\n"] for t in own]
+        assert words.to_pylist() == [w for t in want for w in t] and n.tolist() == [len(t) for t in want]
+
+
+def test_texts_of_several_parts_are_scored_together(texts, monkeypatch):
+    texts = [None, *texts[:60], "a b " * 2000]
+    c = Counter(w for t in texts for w in [*(t or "").encode().lower().split(), b"\n"])
+    totals = {k: (sum(n for w, n in c.items() if rare_class(w) == k), sum(rare_class(w) == k for w in c)) for k in range(16)}
+    table = lm.Table(sorted(c.items(), key=lambda r: -r[1])[:300], totals, 100, 4, sum(c.values()), len(c))
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), "int64"), "text": pa.array(texts, "string"), "held_out": pa.array([False] * len(texts))})
+    turns, score = [], Gru.score
+    monkeypatch.setattr(Gru, "score", lambda self, docs, end: turns.append(len(docs)) or score(self, docs, end))
+    found = []
+    for most in (1, 1 << 21):
+        monkeypatch.setattr(lm, "TOGETHER", most)
+        rows = [r for b in lm._score(table, (batch.slice(i, 7) for i in range(0, len(texts), 7))) for r in b.to_pylist()]
+        found.append({r["doc_id"]: (r["n_tokens"], r["n_known"], r["plain"]) for r in rows if r["word"] is None})
+        assert sum(r["n_tokens"] or 0 for r in rows) == sum(c.values()) and len(found[-1]) == len(texts)
+    assert turns == [*[7] * 8, 6, 0, len(texts)]
+    assert all(a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5) for a, b in zip(*(map(f.get, range(len(texts))) for f in found), strict=True))
+    assert not list(lm._score(table, []))
+
+
 # 4
 
 

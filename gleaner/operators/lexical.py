@@ -88,8 +88,16 @@ def _lists(at: np.ndarray, values: np.ndarray, kind: str = "int32") -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(at, "int32"), pa.array(values, kind))
 
 
-def _shard(shard: int, ids: list, names: dict[str, int], counts: list[tuple[np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
-    """The rows of one shard: its list of chunks, then its postings by token. ``counts``: of each chunk its tokens' numbers in ``names``, and how often each occurs."""
+def _numbered(own: Counter[str], names: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' numbers in ``names``, which gets those it lacks, and how often each occurs."""
+    return np.fromiter((names.setdefault(t, len(names)) for t in own), np.int32, len(own)), np.fromiter(own.values(), np.int32, len(own))
+
+
+def _shard(shard: int, ids: list, counts: list[Counter[str]] | list[tuple[np.ndarray, np.ndarray]], kind: pa.DataType, names: dict[str, int] | None = None) -> pa.RecordBatch:
+    """The rows of one shard: its list of chunks, then its postings by token. ``counts``: of each chunk how often each token occurs, by numbers if there are ``names``."""
+    if names is None:
+        names = {}
+        counts = [_numbered(own, names) for own in counts]
     sizes = [len(tfs) for _, tfs in counts]
     lengths = np.array([tfs.sum() for _, tfs in counts], np.int32)
     words, code, tf = pa.array(list(names), "string"), np.concatenate([c for c, _ in counts]), np.concatenate([tfs for _, tfs in counts])
@@ -128,13 +136,13 @@ def _shards(segment: Segmenter, kind: pa.DataType):
                 shard = row if shard is None else shard
                 ids.append(name)
                 own = Counter(pytext.tokens(text or "", segment))
-                counts.append((np.fromiter((names.setdefault(t, len(names)) for t in own), np.int32, len(own)), np.fromiter(own.values(), np.int32, len(own))))
+                counts.append(_numbered(own, names))
                 postings += len(own)
                 if len(ids) >= SHARD_CHUNKS or postings >= SHARD_POSTINGS:
-                    yield _shard(shard, ids, names, counts, kind)
+                    yield _shard(shard, ids, counts, kind, names)
                     ids, names, counts, postings, shard = [], {}, [], 0, None
         if ids:
-            yield _shard(shard, ids, names, counts, kind)
+            yield _shard(shard, ids, counts, kind, names)
 
     return work
 
